@@ -15,7 +15,7 @@ WINDOW_ROWS = 4
 
 
 def monthly_share(fact: DataFrame) -> DataFrame:
-    """Coded fact rows (ContentsCode, Produk2, Tid, value) to date, total, hydro, ratio.
+    """Coded fact rows (ContentsCode, Produk2, Tid, value) to series, date, total, hydro, ratio.
 
     One row per month: two values for a month and product raise.
     """
@@ -28,9 +28,10 @@ def monthly_share(fact: DataFrame) -> DataFrame:
 
     wanted = fact.filter((F.col("ContentsCode") == CONTENTS) & F.col("Produk2").isin(TOTAL, HYDRO))
     return (
-        wanted.groupBy("Tid")
+        wanted.groupBy("ContentsCode", "Tid")
         .agg(product(TOTAL).alias("total"), product(HYDRO).alias("hydro"))
         .select(
+            "ContentsCode",
             stat_month(F.col("Tid")).alias("date"),
             "total",
             "hydro",
@@ -42,9 +43,9 @@ def monthly_share(fact: DataFrame) -> DataFrame:
 def with_trailing_ratio(monthly: DataFrame) -> DataFrame:
     """Ratio of means over the current and three earlier rows; NULL unless all four are known.
 
-    The unpartitioned window sees one row per month, twelve a year at any data size.
+    The window sees one row per month, twelve a year at any data size.
     """
-    w = W.orderBy(F.asc_nulls_last("date")).rowsBetween(1 - WINDOW_ROWS, 0)
+    w = W.partitionBy("ContentsCode").orderBy(F.asc_nulls_last("date")).rowsBetween(1 - WINDOW_ROWS, 0)
     full = F.least(F.count(F.lit(1)).over(w), F.count("hydro").over(w), F.count("total").over(w))
     return monthly.withColumn(
         "hydro_ratio_ma4",
@@ -53,11 +54,12 @@ def with_trailing_ratio(monthly: DataFrame) -> DataFrame:
 
 
 def share_by_month(balance: DataFrame, share: DataFrame) -> DataFrame:
-    """Share that holds in each month the balance has: (month, on_first, later).
+    """Share that holds in each month that the balance has: (month, on_first, later).
 
     A month's figures are seen through the balance rows of its first day only; without such
     rows the month keeps what earlier months left. So the as-of search needs one row per
-    month, and the facts are aggregated to months before anything is ordered.
+    month, and the facts are aggregated to months before anything is ordered: the one window
+    without partitions orders calendar months, not facts.
     """
     months = balance.groupBy(month_start(F.col("date")).alias("month")).agg(
         F.max(F.dayofmonth("date") == 1).alias("has_first")

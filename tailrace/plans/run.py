@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tailrace import schemas
-from tailrace.functions import sum0, week_start, year_month
+from tailrace.functions import month_start, sum0, week_start, year_month
 from tailrace.operators import balance, hydro_share, revenue, running, tariffs
 from tailrace.operators.scenarios import Scenario, expand_scenarios, variants
 from tailrace.plans.tables import written
@@ -22,8 +22,12 @@ from tailrace.sources.regions import distinct_regions
 NATION, NATION_NAME = "no", "Norge"
 WEEKLY = "weekly"
 
-SERIES = ["variant", "region"]
-BUCKET = "year_month"
+# A series of facts is a region of a variant; region_key is the region with a stand-in for
+# NULL, which no lower-case region equals. Plain equality on it lets the join with the months
+# and the window over a month share one partitioning.
+SERIES = ["variant", "region_key"]
+BUCKET = "month"
+NO_REGION = "<NULL>"
 REGION_ONLY = ["price", "ssb_prop_vannkraft", "price_monthly_mean", "stromstotte_per_kwh"]
 REGION_ONLY += schemas.TARIFFS
 
@@ -101,9 +105,7 @@ class RevenueRun:
             shared = hydro_share.with_hydro_share(chosen, self.share(freq))
             parts.append(shared.withColumn("variant", F.lit(number)))
         rows = reduce(DataFrame.unionByName, parts)
-        rows = rows.withColumns(
-            {BUCKET: year_month(F.col("date")), "quarter": F.quarter("date").cast("int")}
-        )
+        rows = rows.withColumns({BUCKET: month_start(F.col("date")), "region_key": _region_key()})
         return revenue.with_basis(tariffs.with_tariffs(rows), self.basis)
 
     @cached_property
@@ -114,6 +116,7 @@ class RevenueRun:
             for number, (freq, *_) in enumerate(variants(self.scenarios))
         ]
         names = reduce(DataFrame.unionByName, parts)
+        names = names.select("variant", _region_key().alias("region_key"), "region_name")
         return names.withColumn("names", F.count(F.lit(1)).over(W.partitionBy(*SERIES)))
 
     @cached_property
@@ -131,9 +134,7 @@ class RevenueRun:
             *running.bucket_totals(self.basis, self.guards),
         )
         rate = revenue.support_rate(F.col("price_monthly_mean"), F.lit(tariffs.SUPPORT_FLOOR))
-        named = running.join_null_safe(
-            totals.withColumn("rate", rate), self.region_names, SERIES
-        )
+        named = totals.withColumn("rate", rate).join(self.region_names, SERIES)
         scale = {c: F.expr(f"total__{c} * names") for c in self.basis}
         scale |= {
             c: F.expr(f"coalesce(total__{c} * rate, 0D) * names") for c in revenue.rated(self.basis)
@@ -148,7 +149,9 @@ class RevenueRun:
 
     def detail(self, since: Column | None = None) -> DataFrame:
         """Basis rows joined with their month."""
-        joined = running.join_null_safe(self.rows(since), self.months, [*SERIES, BUCKET])
+        # The months come first so that the variant is a column of theirs: as a constant of the
+        # rows it would turn the join with the grid into one without keys.
+        joined = self.months.join(self.rows(since), [*SERIES, BUCKET])
         rate = revenue.support_rate(F.col("price_monthly_mean"), F.col("param_stromstotte_floor"))
         return revenue.rate_support(
             joined.withColumn("support_rate", rate), "support_rate", self.basis
@@ -164,20 +167,19 @@ class RevenueRun:
     # Scenario part -----------------------------------------------------------------------
 
     def regional(self) -> DataFrame:
-        columns = {c: c for c in ["date", "region", "region_name", BUCKET, "quarter", "cnp"]}
-        columns |= {c: c for c in REGION_ONLY}
+        columns = {c: c for c in ["date", "region", "region_name", "cnp", *REGION_ONLY]}
         columns["stromstotte_per_kwh"] = "support_rate * param_stromstotte_prop"
-        return in_order(self._expand(self.cumulated(), {**columns, **self.measures}))
+        return self._result(self.cumulated(), columns)
 
     def national(self, since: Column | None = None) -> DataFrame:
         """Sums over regions per date, NULL where a sum means nothing. The running totals are
         sums of regional ones: a region without a row at a date is missing from them there."""
         summed = ["cnp", *self.basis, *[f"cum__{c}" for c in self.basis]]
-        sums = self.cumulated(since).groupBy("variant", "date", BUCKET, "quarter").agg(*_sums(summed))
-        columns = {c: c for c in ["date", "cnp", BUCKET, "quarter"]}
+        sums = self.cumulated(since).groupBy("variant", "date").agg(*_sums(summed))
+        columns = {"date": "date", "cnp": "cnp"}
         columns |= {"region": f"'{NATION}'", "region_name": f"'{NATION_NAME}'"}
         columns |= {c: "CAST(NULL AS DOUBLE)" for c in REGION_ONLY}
-        return in_order(self._expand(sums, {**columns, **self.measures}))
+        return self._result(sums, columns)
 
     def result(self) -> DataFrame:
         """Regional and national rows."""
@@ -204,12 +206,24 @@ class RevenueRun:
     def _shared(self, df: DataFrame, name: str) -> DataFrame:
         return written(df, name) if self.stored else df
 
+    def _result(self, rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+        """Result columns of every scenario, calendar columns from the date."""
+        expanded = self._expand(rows, {**columns, **self.measures})
+        date = F.col("date")
+        return in_order(
+            expanded.withColumns({"year_month": year_month(date), "quarter": F.quarter(date)})
+        )
+
     def _expand(self, rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
         scenario = {c: c for c in ["group", *map(schemas.plain, schemas.SCENARIO)]}
         project = [f"{text} AS {name}" for name, text in {**scenario, **columns}.items()]
         return expand_scenarios(rows, self.spark, self.scenarios, project)
 
 
+def _region_key() -> Column:
+    return F.coalesce("region", F.lit(NO_REGION))
+
+
 def _sums(columns: Sequence[str]) -> list[Column]:
     return [sum0(F.col(c)).alias(c) for c in columns]
 

@@ -452,7 +452,7 @@ def balance_wide_mean(spark, folder):
 
 @query(f"WITH {oracle.STATISTICS} SELECT date, total, hydro, hydro_ratio_month FROM ratios")
 def hydro_share_monthly(spark, folder):
-    return hydro_share.monthly_share(Warehouse(spark, folder).statistics())
+    return hydro_share.monthly_share(Warehouse(spark, folder).statistics()).drop("ContentsCode")
 
 
 @query(f"WITH {oracle.STATISTICS} SELECT date, hydro_ratio_month, hydro_ratio_ma4 FROM ratios")

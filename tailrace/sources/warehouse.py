@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tailrace.functions import month_start
 from tailrace.operators.hydro_share import CONTENTS, HYDRO, TOTAL
+from tailrace.plans.tables import written
 from tailrace.sources.feeds import Feeds
 from tailrace.sources.regions import join_regions, region_dimension
 
@@ -37,26 +38,27 @@ class Warehouse:
         return self._tables[name]
 
     def zones(self) -> DataFrame:
-        """nation key -> zone and sales region."""
-        nation, region = self.table("nation"), self.table("region")
-        return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-            "n_nationkey",
-            F.concat(F.lit("NO"), F.col("n_regionkey") + 1).alias("zone"),
-            F.col("r_name").alias("name"),
-        )
+        """nation key -> zone of its sales region."""
+        return self.table("nation").select("n_nationkey", _zone("n_regionkey").alias("zone"))
 
-    def shipments(self) -> DataFrame:
-        return (
+    def shipped(self) -> DataFrame:
+        """Quantity and money per day and zone, with the region's name."""
+        days = (
             self.table("lineitem")
             .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.zones(), F.col("s_nationkey") == F.col("n_nationkey"))
-            .withColumn("date", shifted(F.col("l_shipdate")))
+            .groupBy(shifted(F.col("l_shipdate")).alias("date"), "zone")
+            .agg(
+                F.sum("l_quantity").alias("mwh"),
+                F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("money"),
+            )
         )
+        names = self.table("region").select(_zone("r_regionkey").alias("zone"), F.col("r_name").alias("name"))
+        return days.join(names, "zone")
 
-    def production(self) -> DataFrame:
-        return _with_total_zone(
-            self.shipments().groupBy("date", "zone").agg(F.sum("l_quantity").alias("mwh"))
-        )
+    def production(self, shipped: DataFrame | None = None) -> DataFrame:
+        shipped = self.shipped() if shipped is None else shipped
+        return _with_total_zone(shipped.select("date", "zone", "mwh"))
 
     def consumption(self) -> DataFrame:
         """Quantities collapse to one row per order before they meet the order, on the same
@@ -70,24 +72,20 @@ class Warehouse:
         )
         return _with_total_zone(sold.groupBy("date", "zone").agg(F.sum("mwh").alias("mwh")))
 
-    def prices(self) -> DataFrame:
-        money = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
-        display = F.concat("name", F.lit(" ("), "zone", F.lit(")"))
-        return (
-            self.shipments()
-            .groupBy("date", "zone", "name")
-            .agg((money / F.sum("l_quantity") / 10).alias("value"))
-            .select(
-                "date",
-                "name",
-                display.alias("display_name"),
-                F.lower("zone").alias("region"),
-                "value",
-            )
+    def prices(self, shipped: DataFrame | None = None) -> DataFrame:
+        shipped = self.shipped() if shipped is None else shipped
+        return shipped.select(
+            "date",
+            "name",
+            F.concat("name", F.lit(" ("), "zone", F.lit(")")).alias("display_name"),
+            F.lower("zone").alias("region"),
+            (F.col("money").cast("double") / F.col("mwh") / 10).alias("value"),
         )
 
     def daily(self) -> Feeds:
-        return Feeds(self.production(), self.consumption(), self.prices())
+        """All daily feeds. Two of them come from the same lines, which are read once."""
+        shipped = written(self.shipped(), "shipped")
+        return Feeds(self.production(shipped), self.consumption(), self.prices(shipped))
 
     def statistics(self) -> DataFrame:
         """Monthly quantity of all items and of finished items, coded."""
@@ -162,6 +160,10 @@ def shifted(date: Column) -> Column:
     return F.date_add(date.cast("date"), DATE_SHIFT_DAYS)
 
 
+def _zone(region_key: str) -> Column:
+    return F.concat(F.lit("NO"), F.col(region_key) + 1)
+
+
 def _with_total_zone(power: DataFrame) -> DataFrame:
     total = power.groupBy("date").agg(F.sum("mwh").alias("mwh"))
     return power.unionByName(total.withColumn("zone", F.lit("NO")))
