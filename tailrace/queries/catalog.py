@@ -88,7 +88,7 @@ FEEDS = f"WITH {oracle.FEEDS}"
 HOURLY = f"WITH {oracle.HOURLY_FEEDS}"
 BALANCE = f"{FEEDS},{oracle.BALANCE}"
 HOURLY_BALANCE = f"{HOURLY},{oracle.BALANCE}"
-SHARED = f"{BALANCE},{oracle.SHARE}"
+SHARED = f"{BALANCE},{oracle.STATISTICS},{oracle.SHARED}"
 RUN = oracle.model(GRID, AS_OF)
 GAPPED_RUN = oracle.model(GAPPED, AS_OF)
 HOURLY_RUN = oracle.model(HOURLY_GRID, HOURLY_AS_OF, hourly=True)
@@ -450,12 +450,12 @@ def balance_wide_mean(spark, folder):
     return wide.withColumns({"pro": F.round("pro", 4), "cnp": F.round("cnp", 4)})
 
 
-@query(f"WITH {oracle.STATISTICS} SELECT date, total, hydro, hydro_ratio_month FROM ratios")
+@query(f"WITH {oracle.STATISTICS},{oracle.RATIOS} SELECT date, total, hydro, hydro_ratio_month FROM ratios")
 def hydro_share_monthly(spark, folder):
     return hydro_share.monthly_share(Warehouse(spark, folder).statistics()).drop("ContentsCode")
 
 
-@query(f"WITH {oracle.STATISTICS} SELECT date, hydro_ratio_month, hydro_ratio_ma4 FROM ratios")
+@query(f"WITH {oracle.STATISTICS},{oracle.RATIOS} SELECT date, hydro_ratio_month, hydro_ratio_ma4 FROM ratios")
 def hydro_share_ma4(spark, folder):
     monthly = hydro_share.monthly_share(Warehouse(spark, folder).statistics())
     return hydro_share.with_trailing_ratio(monthly).select(

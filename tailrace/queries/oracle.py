@@ -68,7 +68,9 @@ STATISTICS = """
 statistics AS (
   SELECT CAST(date_trunc('month', CAST(l_shipdate AS DATE) + 9497) AS DATE) AS date,
     sum(l_quantity) AS total, sum(l_quantity) FILTER (l_returnflag IN ('A', 'R')) AS hydro
-  FROM lineitem GROUP BY 1),
+  FROM lineitem GROUP BY 1)"""
+
+RATIOS = """
 ratios AS (
   SELECT date, total, hydro, hydro / nullif(total, 0) AS hydro_ratio_month,
     CASE WHEN count(*) OVER w = 4 AND count(hydro) OVER w = 4 AND count(total) OVER w = 4
@@ -85,8 +87,8 @@ wide AS (
     max(value) FILTER (variable = 'cnp') AS cnp, max(value) FILTER (variable = 'price') AS price
   FROM long GROUP BY date, region)"""
 
-SHARE = (
-    STATISTICS
+SHARED = (
+    RATIOS
     + """,
 seen AS (
   SELECT wide.*, hydro_ratio_month,
@@ -204,9 +206,16 @@ def grid(scenarios: Sequence[Scenario]) -> str:
     return f"grid({', '.join(map(quoted, names))}) AS (VALUES {', '.join(rows)})"
 
 
-def model(scenarios: Sequence[Scenario], as_of: str, hourly: bool = False, shared: str = "") -> str:
-    """CTEs up to regional and national results of scenarios with one frequency."""
-    feeds = shared or f"{HOURLY_FEEDS if hourly else FEEDS},{BALANCE},{SHARE}"
+def model(
+    scenarios: Sequence[Scenario], as_of: str, hourly: bool = False, feeds: str | None = None
+) -> str:
+    """CTEs up to regional and national results of scenarios with one frequency.
+
+    feeds gives the CTEs production, consumption, prices and statistics; empty text takes them
+    from tables of these names.
+    """
+    feeds = f"{HOURLY_FEEDS if hourly else FEEDS},{STATISTICS}" if feeds is None else feeds
+    shared = ",".join(part for part in (feeds, BALANCE, SHARED) if part)
     sums = [f"coalesce(sum({c}), 0) AS {c}" for c in [*SUMMED, *[f"{c}_cum" for c in RUNNING]]]
     cums = [
         f"CASE WHEN count({c}) OVER w = count(*) OVER w THEN sum({c}) OVER w END AS {c}_cum"
@@ -214,7 +223,7 @@ def model(scenarios: Sequence[Scenario], as_of: str, hourly: bool = False, share
     ]
     scenario = ", ".join(map(quoted, SCENARIO))
     key = ", ".join(f"{quoted(c)}" for c in ["group", *SCENARIO])
-    return f"""WITH {feeds}, {grid(scenarios)},
+    return f"""WITH {shared}, {grid(scenarios)},
 names AS (SELECT DISTINCT region, display_name AS region_name FROM prices),
 chosen AS (
   SELECT grid.*, shared.* FROM shared JOIN grid ON
