@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -74,18 +74,25 @@ def share_by_month(balance: DataFrame, share: DataFrame) -> DataFrame:
     )
 
 
+def with_month_share(balance: DataFrame, months: DataFrame) -> DataFrame:
+    """Attach the two shares of the row's month. Whole-number keys make the lookup an array
+    access; a NULL date finds the month without a date."""
+    keyed = balance.withColumn("share_key", _month_key(F.col("date")))
+    shares = months.select(_month_key(F.col("month")).alias("share_key"), "on_first", "later")
+    # Calendar months: at most 120,000 rows in the range of the date type.
+    return keyed.join(F.broadcast(shares), "share_key", "left").drop("share_key")
+
+
+def day_share() -> Column:
+    """The month's own share on day 1, the carried one on all other days."""
+    return F.when(F.dayofmonth("date") == 1, F.col("on_first")).otherwise(F.col("later"))
+
+
 def with_hydro_share(balance: DataFrame, months: DataFrame) -> DataFrame:
-    """Attach ssb_prop_vannkraft: the month's own ratio on day 1, the carried four-month
-    ratio on all other days."""
-    return (
-        balance.join(
-            F.broadcast(months),  # calendar months, at most 120,000 in the date type's range
-            month_start(F.col("date")).eqNullSafe(F.col("month")),
-            "left",
-        )
-        .withColumn(
-            "ssb_prop_vannkraft",
-            F.when(F.dayofmonth("date") == 1, F.col("on_first")).otherwise(F.col("later")),
-        )
-        .drop("month", "on_first", "later")
-    )
+    """Attach ssb_prop_vannkraft."""
+    shared = with_month_share(balance, months)
+    return shared.withColumn("ssb_prop_vannkraft", day_share()).drop("on_first", "later")
+
+
+def _month_key(date: Column) -> Column:
+    return F.coalesce(F.unix_date(month_start(date)), F.lit(-(2**31)))

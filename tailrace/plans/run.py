@@ -39,7 +39,7 @@ class RevenueRun:
     statistics  coded production statistics (ContentsCode, Produk2, Tid, value)
     as_of       day of the run; None is the current date
     measures    revenue columns wanted, headline columns at least; only their terms are computed
-    stored      write the shared tables (balance, share, months) once, or recompute them per branch
+    stored      write the shared tables (balance, months) once, or recompute them per branch
     """
 
     def __init__(
@@ -60,6 +60,7 @@ class RevenueRun:
         self.feeds = feeds
         self.statistics = statistics
         self.scenarios = list(scenarios)
+        self.used = list(dict.fromkeys(s.freq for s in scenarios))
         self.today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
         self.on_duplicate = on_duplicate
         wanted = [schemas.plain(m) for m in schemas.RUNNING if m in {*measures, *schemas.HEADLINE}]
@@ -68,7 +69,6 @@ class RevenueRun:
         self.guards = revenue.guards(self.basis)
         self.stored = stored
         self._wide: dict[str, DataFrame] = {}
-        self._share: dict[str, DataFrame] = {}
 
     # Scenario-free part ------------------------------------------------------------------
 
@@ -82,31 +82,28 @@ class RevenueRun:
 
     def share(self, freq: str) -> DataFrame:
         """Hydropower share that holds in each month of the balance."""
-        if freq not in self._share:
-            ratios = hydro_share.with_trailing_ratio(hydro_share.monthly_share(self.statistics))
-            months = hydro_share.share_by_month(self.wide(freq), ratios)
-            self._share[freq] = self._shared(months, "share")
-        return self._share[freq]
+        ratios = hydro_share.with_trailing_ratio(hydro_share.monthly_share(self.statistics))
+        return hydro_share.share_by_month(self.wide(freq), ratios)
 
-    def rows(self, since: Column | None = None) -> DataFrame:
-        """Balance rows of each variant with share, calendar, tariffs and basis.
-
-        The share is looked up before the completeness and date filters and the monthly
-        figures after them: rows that these filters drop still carry a share forward.
-        """
+    def rows(self, freq: str, since: Column | None = None) -> DataFrame:
+        """Balance rows of each variant of a frequency, keyed by series and month."""
         parts = []
-        for number, (freq, start, end, na_rm) in enumerate(variants(self.scenarios)):
-            wide = self.wide(freq)
-            chosen = balance.complete_rows(wide) if na_rm else wide
+        for number, (own, start, end, na_rm) in enumerate(variants(self.scenarios)):
+            if own != freq:
+                continue
+            chosen = balance.complete_rows(self.wide(freq)) if na_rm else self.wide(freq)
             last = F.date_add(self.today, 1) if end is None else F.lit(end).cast("date")
             chosen = balance.in_date_range(chosen, F.lit(start).cast("date"), last)
             if since is not None:
                 chosen = chosen.filter(F.col("date") >= F.trunc(since, "month"))
-            shared = hydro_share.with_hydro_share(chosen, self.share(freq))
-            parts.append(shared.withColumn("variant", F.lit(number)))
+            parts.append(chosen.withColumn("variant", F.lit(number)))
         rows = reduce(DataFrame.unionByName, parts)
-        rows = rows.withColumns({BUCKET: month_start(F.col("date")), "region_key": _region_key()})
-        return revenue.with_basis(tariffs.with_tariffs(rows), self.basis)
+        return rows.withColumns({BUCKET: month_start(F.col("date")), "region_key": _region_key()})
+
+    def with_basis(self, rows: DataFrame) -> DataFrame:
+        """Share of the day, tariffs and basis of rows that carry the shares of their month."""
+        shared = rows.withColumn("ssb_prop_vannkraft", hydro_share.day_share())
+        return revenue.with_basis(tariffs.with_tariffs(shared), self.basis)
 
     @cached_property
     def region_names(self) -> DataFrame:
@@ -121,14 +118,21 @@ class RevenueRun:
 
     @cached_property
     def months(self) -> DataFrame:
-        """One row per variant, region, month and region name: mean price and the totals of
-        earlier months.
+        """One row per variant, region, month and region name: shares, mean price and the totals
+        of earlier months.
 
         All that a fact row needs from other rows sits in this small table, so facts meet it in
-        one join. A region with several names has its facts once per name, hence its totals
-        that many times; a region without prices has no name and drops out.
+        one join. The shares come from all rows of the balance, the other figures from the rows
+        that completeness and date range leave. A region with several names has its facts once
+        per name, hence its totals that many times; a region without prices has no name and
+        drops out.
         """
-        totals = self.rows().groupBy(*SERIES, BUCKET).agg(
+        shared = [
+            hydro_share.with_month_share(self.rows(freq), self.share(freq)) for freq in self.used
+        ]
+        rows = self.with_basis(reduce(DataFrame.unionByName, shared))
+        totals = rows.groupBy(*SERIES, BUCKET).agg(
+            *[F.max(c).alias(c) for c in ("on_first", "later")],  # one value per month
             F.avg("price").alias("price_monthly_mean"),
             F.count(F.lit(1)).alias("rows"),
             *running.bucket_totals(self.basis, self.guards),
@@ -147,11 +151,15 @@ class RevenueRun:
         earlier = running.before_bucket(named, [*SERIES, "region_name"], BUCKET)
         return self._shared(earlier, "months")
 
-    def detail(self, since: Column | None = None) -> DataFrame:
-        """Basis rows joined with their month."""
+    def detail(self, since: Column | None = None, clustered: bool = False) -> DataFrame:
+        """Basis rows joined with their month; clustered brings a region's month into one
+        partition, and does so before the join and the basis widen the rows."""
+        rows = reduce(DataFrame.unionByName, [self.rows(freq, since) for freq in self.used])
+        if clustered:
+            rows = rows.repartition("region_key", BUCKET)
         # The months come first so that the variant is a column of theirs: as a constant of the
         # rows it would turn the join with the grid into one without keys.
-        joined = self.months.join(self.rows(since), [*SERIES, BUCKET])
+        joined = self.with_basis(self.months.join(rows, [*SERIES, BUCKET]))
         rate = revenue.support_rate(F.col("price_monthly_mean"), F.col("param_stromstotte_floor"))
         return revenue.rate_support(
             joined.withColumn("support_rate", rate), "support_rate", self.basis
@@ -159,9 +167,16 @@ class RevenueRun:
 
     def cumulated(self, since: Column | None = None) -> DataFrame:
         """Detail rows with running totals per region. With since, only the months from there
-        on pass through the window; earlier ones count through their totals."""
+        on pass through the window; earlier ones count through their totals.
+
+        A window partition is one region's month: at most its hours, as dates are unique."""
         return running.add_running(
-            self.detail(since), SERIES, BUCKET, ["date", "region_name"], self.basis, self.guards
+            self.detail(since, clustered=True),
+            SERIES,
+            BUCKET,
+            ["date", "region_name"],
+            self.basis,
+            self.guards,
         )
 
     # Scenario part -----------------------------------------------------------------------

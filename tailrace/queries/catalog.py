@@ -591,7 +591,7 @@ GRID_COLUMNS = ["group", *oracle.SCENARIO]
 def scenario_grid(spark, folder):
     """Every combination of the grid, with the balance rows it applies to."""
     run = daily_run(spark, folder, measures=["pro"])
-    sums = run.rows().groupBy("variant").agg(
+    sums = run.rows("daily").groupBy("variant").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("pro").alias("pro")
     )
     return expand_scenarios(sums, spark, GRID, [f"{c} AS {c}" for c in GRID_COLUMNS] + ["n_rows", "pro"])
