@@ -34,7 +34,7 @@ HEADLINE = [
     "national_rollup",
     "national_hourly",
     "weekly_cumulative",
-    "latest_slice_national",
+    "latest_slice",
     "minimal_output",
     "minimal_output_hourly",
     "sink_roundtrip_csv",

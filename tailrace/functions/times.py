@@ -27,7 +27,7 @@ def month_start(date: Column) -> Column:
 
 
 def year_month(date: Column) -> Column:
-    return F.date_format(date, "yyyy-MM")
+    return F.substring(date.cast("date").cast("string"), 1, 7)
 
 
 def week_start(date: Column) -> Column:
@@ -37,4 +37,5 @@ def week_start(date: Column) -> Column:
 
 
 def file_label(date: Column) -> Column:
-    return F.date_format(date, "yyyy-MM-dd-HHmmss")
+    """'2022-01-02-130000', the clock time whatever the session's zone."""
+    return F.translate(date.cast("timestamp_ntz").cast("string"), " :", "-")

@@ -186,15 +186,18 @@ class RevenueRun:
         columns["stromstotte_per_kwh"] = "support_rate * param_stromstotte_prop"
         return self._result(self.cumulated(), columns)
 
-    def national(self, since: Column | None = None) -> DataFrame:
-        """Sums over regions per date, NULL where a sum means nothing. The running totals are
-        sums of regional ones: a region without a row at a date is missing from them there."""
+    def national_sums(self, since: Column | None = None) -> DataFrame:
+        """Sums over regions per date. The running totals are sums of regional ones: a region
+        without a row at a date is missing from them there."""
         summed = ["cnp", *self.basis, *[f"cum__{c}" for c in self.basis]]
-        sums = self.cumulated(since).groupBy("variant", "date").agg(*_sums(summed))
+        return self.cumulated(since).groupBy("variant", "date").agg(*_sums(summed))
+
+    def national(self, since: Column | None = None) -> DataFrame:
+        """National rows with all result columns, NULL where a sum means nothing."""
         columns = {"date": "date", "cnp": "cnp"}
         columns |= {"region": f"'{NATION}'", "region_name": f"'{NATION_NAME}'"}
         columns |= {c: "CAST(NULL AS DOUBLE)" for c in REGION_ONLY}
-        return self._result(sums, columns)
+        return self._result(self.national_sums(since), columns)
 
     def result(self) -> DataFrame:
         """Regional and national rows."""
@@ -207,13 +210,12 @@ class RevenueRun:
         # One row per week: the window is as long as the calendar, not as the data.
         w = W.partitionBy("variant").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
         weeks = sums.withColumns({f"cum__{c}": F.sum(c).over(w) for c in self.basis})
-        rows = self._expand(weeks, {"date": "date", **self.measures})
-        return minimal_columns(rows.withColumn("freq", F.lit(WEEKLY)))
+        return self._minimal(weeks).withColumn("freq", F.lit(WEEKLY))
 
     def latest(self) -> DataFrame:
         """National headline columns from the day before the run on."""
         yesterday = F.date_sub(self.today, 1)
-        return minimal_columns(latest_slice(self.national(yesterday), yesterday))
+        return self._minimal(latest_slice(self.national_sums(yesterday), yesterday))
 
     def minimal(self) -> DataFrame:
         return self.weekly().unionByName(self.latest())
@@ -223,15 +225,21 @@ class RevenueRun:
 
     def _result(self, rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
         """Result columns of every scenario, calendar columns from the date."""
-        expanded = self._expand(rows, {**columns, **self.measures})
         date = F.col("date")
-        return in_order(
-            expanded.withColumns({"year_month": year_month(date), "quarter": F.quarter(date)})
-        )
-
-    def _expand(self, rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-        scenario = {c: c for c in ["group", *map(schemas.plain, schemas.SCENARIO)]}
-        project = [f"{text} AS {name}" for name, text in {**scenario, **columns}.items()]
+        dated = rows.withColumns({"year_month": year_month(date), "quarter": F.quarter(date)})
+        columns = {**columns, "year_month": "year_month", "quarter": "quarter", **self.measures}
+        return self._expand(dated, columns, schemas.RESULT)
+
+    def _minimal(self, rows: DataFrame) -> DataFrame:
+        return self._expand(rows, {"date": "date", **self.measures}, schemas.MINIMAL)
+
+    def _expand(
+        self, rows: DataFrame, columns: Mapping[str, str], order: Sequence[str]
+    ) -> DataFrame:
+        """Every row once per scenario, with the columns of the written order that exist."""
+        known = {c: c for c in ["group", *map(schemas.plain, schemas.SCENARIO)]} | dict(columns)
+        names = [c for c in map(schemas.plain, order) if c in known]
+        project = [f"{known[c]} AS {c}" for c in names]
         return expand_scenarios(rows, self.spark, self.scenarios, project)
 
 
@@ -243,15 +251,5 @@ def _sums(columns: Sequence[str]) -> list[Column]:
     return [sum0(F.col(c)).alias(c) for c in columns]
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    """The result columns that rows has, in written order."""
-    present = set(rows.columns)
-    return rows.select(*[c for c in map(schemas.plain, schemas.RESULT) if c in present])
-
-
-def minimal_columns(rows: DataFrame) -> DataFrame:
-    return rows.select(*map(schemas.plain, schemas.MINIMAL))
-
-
 def latest_slice(rows: DataFrame, since: Column) -> DataFrame:
     return rows.filter(F.col("date") >= since)

@@ -20,13 +20,13 @@ from tailrace.functions import (
 from tailrace.operators import balance, hydro_share, reshape, running, tariffs
 from tailrace.operators.scenarios import Scenario, expand_scenarios, published_grid
 from tailrace.plans import RevenueRun
-from tailrace.plans.run import latest_slice
+from tailrace.plans import run as runs
 from tailrace.plans.sinks import write_csv, write_json
 from tailrace.plans.tables import new_path, written
 from tailrace.queries import landing, oracle
 from tailrace.schemas import plain
 from tailrace.sources import documents, flat, label_codes, load_feeds, metadata_long
-from tailrace.sources.regions import distinct_regions, join_regions, region_dimension
+from tailrace.sources import regions
 from tailrace.sources.warehouse import Warehouse, shifted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,7 +122,7 @@ def src_prices_hourly(spark, folder):
     docs = landing.hourly_price_documents(Warehouse(spark, folder).hourly_price_items())
     path = landing.landed_documents(docs, "prices-hourly")
     raw = documents.read_documents(spark, path, schemas.HOURLY_PRICES_JSON, multi_line=False)
-    return documents.hourly_prices(raw, region_dimension(spark))
+    return documents.hourly_prices(raw, regions.region_dimension(spark))
 
 
 def _daily_power(spark, rows, name):
@@ -288,26 +288,26 @@ def stat_meta_long(spark, folder):
 def dim_regions(spark, folder):
     production = Warehouse(spark, folder).production().withColumn("region", F.lower("zone"))
     return (
-        production.join(region_dimension(spark), "region")
+        production.join(regions.region_dimension(spark), "region")
         .groupBy("name", "display_name", "region")
         .agg(F.count(F.lit(1)).alias("days"), F.sum("mwh").alias("mwh"))
     )
 
 
 @query(f"{FEEDS} SELECT DISTINCT region, display_name AS region_name FROM prices")
-def distinct_regions_daily(spark, folder):
-    return distinct_regions(Warehouse(spark, folder).prices())
+def distinct_regions(spark, folder):
+    return regions.distinct_regions(Warehouse(spark, folder).prices())
 
 
 @query(f"{HOURLY} SELECT DISTINCT region, display_name AS region_name FROM prices")
 def distinct_regions_hourly(spark, folder):
-    return distinct_regions(Warehouse(spark, folder).hourly().prices)
+    return regions.distinct_regions(Warehouse(spark, folder).hourly().prices)
 
 
 @query(f"{HOURLY} SELECT day AS date, hours, name, price AS value, display_name, region FROM hourly")
 def join_region_left(spark, folder):
     cells = Warehouse(spark, folder).hourly_price_items()
-    return join_regions(cells, region_dimension(spark)).withColumn("value", number(F.col("value")))
+    return regions.join_regions(cells, regions.region_dimension(spark)).withColumn("value", number(F.col("value")))
 
 
 @query(
@@ -318,7 +318,7 @@ def join_region_left(spark, folder):
 def join_region_names(spark, folder):
     feeds = Warehouse(spark, folder).hourly()
     wide = balance.balance_wide(balance.balance_long(feeds))
-    return reshape.with_region_names(wide, distinct_regions(feeds.prices))
+    return reshape.with_region_names(wide, regions.distinct_regions(feeds.prices))
 
 
 # Filters and projections --------------------------------------------------------------------
@@ -372,10 +372,10 @@ NATIONAL_KEY += ["pro_cum", *[f"{c}_cum" for c in HEADLINE]]
     f"{RUN} SELECT {oracle.projection(NATIONAL_KEY, summed=True)} FROM national"
     f" WHERE date >= DATE '{AS_OF}' - 1"
 )
-def latest_slice_national(spark, folder):
+def latest_slice(spark, folder):
     since = F.date_sub(F.lit(AS_OF).cast("date"), 1)
     run = daily_run(spark, folder, measures=["pro", "alt_til_spotpris"])
-    return rounded(latest_slice(run.national(since), since), NATIONAL_KEY, summed=True)
+    return rounded(runs.latest_slice(run.national(since), since), NATIONAL_KEY, summed=True)
 
 
 @query(

@@ -36,7 +36,7 @@ def daily_prices(documents: DataFrame) -> DataFrame:
         F.arrays_zip(F.col("dates"), F.col("area.data").alias("data")),
     ).otherwise(F.raise_error(F.concat(F.lit("dates and prices differ in length: "), F.col("area.name"))))
     return area.select("area.name", "area.displayName", F.explode(pairs).alias("pair")).select(
-        F.to_date("pair.dates").alias("date"),
+        F.try_to_date(F.col("pair.dates")).alias("date"),
         "name",
         F.col("displayName").alias("display_name"),
         area_code(F.col("displayName")).alias("region"),
@@ -72,7 +72,7 @@ def hourly_prices(documents: DataFrame, regions: DataFrame) -> DataFrame:
 
 def daily_power(documents: DataFrame) -> DataFrame:
     return documents.select(F.inline("items")).select(
-        F.to_date("date").alias("date"), "zone", nan_to_null(F.col("MWh")).alias("mwh")
+        F.try_to_date(F.col("date")).alias("date"), "zone", nan_to_null(F.col("MWh")).alias("mwh")
     )
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -15,6 +16,7 @@ from tailrace.operators.scenarios import GRID_SLICE, Scenario, expand_grid, publ
 from tailrace.plans import RevenueRun
 from tailrace.plans.job import run_job
 from tailrace.plans.sinks import write_csv, write_json
+from tailrace.plans.tables import CHECKPOINT_DIR, shared_folder
 from tailrace.queries import oracle
 from tailrace.queries.catalog import rounded
 from tailrace.sources import Feeds
@@ -187,6 +189,23 @@ def test_plans(spark):
     assert "Scan ExistingRDD" not in regional
 
 
+class Session:
+    """What shared_folder() asks of a session."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = self
+        self.master, self.applicationId = master, "app-1"
+        self.conf = {CHECKPOINT_DIR: folder} if folder else {}
+
+
+def test_shared_folder():
+    assert shared_folder(Session("yarn", "hdfs://x/shared/")) == "hdfs://x/shared"
+    local = shared_folder(Session("local[2]"))
+    assert Path(local).is_dir() and shared_folder(Session("local[2]")) == local
+    with pytest.raises(ValueError, match=CHECKPOINT_DIR):
+        shared_folder(Session("spark://x:7077"))
+
+
 # Files --------------------------------------------------------------------------------------
 
 
