@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,12 +70,13 @@ def balance_wide(long: DataFrame, on_duplicate: str = "raise") -> DataFrame:
     return long.groupBy("date", "region").agg(*[cell(v).alias(v) for v in VARIABLES])
 
 
+def is_complete() -> Column:
+    return reduce(Column.__and__, [~is_missing(F.col(v)) for v in VARIABLES])
+
+
 def complete_rows(wide: DataFrame) -> DataFrame:
     """Rows where no variable is missing."""
-    complete = ~is_missing(F.col(VARIABLES[0]))
-    for variable in VARIABLES[1:]:
-        complete = complete & ~is_missing(F.col(variable))
-    return wide.filter(complete)
+    return wide.filter(is_complete())
 
 
 def in_date_range(rows: DataFrame, start: Column, end: Column) -> DataFrame:

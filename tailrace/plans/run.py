@@ -86,18 +86,39 @@ class RevenueRun:
         return hydro_share.share_by_month(self.wide(freq), ratios)
 
     def rows(self, freq: str, since: Column | None = None) -> DataFrame:
-        """Balance rows of each variant of a frequency, keyed by series and month."""
-        parts = []
-        for number, (own, start, end, na_rm) in enumerate(variants(self.scenarios)):
-            if own != freq:
-                continue
-            chosen = balance.complete_rows(self.wide(freq)) if na_rm else self.wide(freq)
-            last = F.date_add(self.today, 1) if end is None else F.lit(end).cast("date")
-            chosen = balance.in_date_range(chosen, F.lit(start).cast("date"), last)
-            if since is not None:
-                chosen = chosen.filter(F.col("date") >= F.trunc(since, "month"))
-            parts.append(chosen.withColumn("variant", F.lit(number)))
-        rows = reduce(DataFrame.unionByName, parts)
+        """Balance rows of each variant of a frequency, keyed by series and month.
+
+        One variant filters at the scan. Several share one scan and pick their rows after it.
+        """
+        tomorrow = F.date_add(self.today, 1)
+        own = [
+            (number, F.lit(start).cast("date"), tomorrow if end is None else F.lit(end).cast("date"), na_rm)
+            for number, (used, start, end, na_rm) in enumerate(variants(self.scenarios))
+            if used == freq
+        ]
+        rows = self.wide(freq)
+        if since is not None:
+            rows = rows.filter(F.col("date") >= F.trunc(since, "month"))
+        if len(own) == 1:
+            [(number, first, last, na_rm)] = own
+            rows = balance.complete_rows(rows) if na_rm else rows
+            rows = balance.in_date_range(rows, first, last).withColumn("variant", F.lit(number))
+        else:
+            each = F.array(
+                *[
+                    F.struct(
+                        F.lit(number).alias("variant"),
+                        first.alias("first_date"),
+                        last.alias("last_date"),
+                        F.lit(na_rm).alias("complete"),
+                    )
+                    for number, first, last, na_rm in own
+                ]
+            )
+            rows = rows.select("*", F.inline(each))
+            rows = balance.in_date_range(rows, F.col("first_date"), F.col("last_date"))
+            rows = rows.filter(~F.col("complete") | balance.is_complete())
+            rows = rows.drop("first_date", "last_date", "complete")
         return rows.withColumns({BUCKET: month_start(F.col("date")), "region_key": _region_key()})
 
     def with_basis(self, rows: DataFrame) -> DataFrame:

@@ -54,12 +54,8 @@ def last_label(rows: DataFrame) -> str | None:
 
 
 def write_results(national: DataFrame, minimal: DataFrame, folder: str) -> None:
-    """All result files. Both inputs are read several times, so they should be tables.
-
-    The minimal output has one row per week and scenario, so it is written as one file.
-    """
+    """All result files. Both inputs are read several times, so they should be tables."""
     write_csv(national, f"{folder}/{NATIONAL_DATED.format(label=last_label(national))}")
     write_csv(national, f"{folder}/{NATIONAL_LATEST}")
-    one = minimal.coalesce(1)
-    write_csv(one, f"{folder}/{MINIMAL_CSV}")
-    write_json(one, f"{folder}/{MINIMAL_JSON}")
+    write_csv(minimal, f"{folder}/{MINIMAL_CSV}")
+    write_json(minimal, f"{folder}/{MINIMAL_JSON}")

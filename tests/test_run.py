@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from compare import difference
 from tailrace import schemas
+from tailrace.__main__ import main
 from tailrace.operators.scenarios import GRID_SLICE, Scenario, expand_grid, published_grid
 from tailrace.plans import RevenueRun
 from tailrace.plans.job import run_job
@@ -184,6 +185,9 @@ def test_plans(spark):
     assert weekly.count("Exchange hashpartitioning") == 2 and weekly.count("Window") == 1
     # The latest slice reads the months it needs.
     assert "2022-04-01" in latest or "trunc" in latest
+    # Several row choices share one scan of the balance.
+    mixed = RevenueRun(spark, {"daily": feeds}, statistics, expand_grid(na_rm=[True, False], start_date=["2021-01-01", "2022-01-01"]), AS_OF, measures=[])
+    assert plan(mixed.weekly()).count("FileScan") == 2
     # Facts move once for running totals, whatever the number of scenarios.
     assert regional.count("Exchange hashpartitioning") == 1
     assert "Scan ExistingRDD" not in regional
@@ -271,3 +275,27 @@ def test_job_from_documents_to_files(spark, tmp_path):
     dated = f"{out}/merinntekter-no-2022-03-01-020000.csv"
     assert spark.read.option("header", True).csv(dated).count() == national.count()
     assert spark.read.json(f"{out}/merinntekter-minimal-latest.json").count() == minimal.count()
+
+
+def test_command_line_with_flat_files(spark, tmp_path, monkeypatch):
+    rng = random.Random(10)
+    days = [(dt.date(2022, 1, 1) + dt.timedelta(days=i)).isoformat() for i in range(40)]
+    power = [f"{d},{z},{rng.randint(1, 99)}" for d in days for z in ("NO", "NO1", "NO2")]
+    prices = [f"x,{r.upper()} name,{rng.randint(9, 400)},{d},{r}" for d in days for r in ("no1", "no2")]
+    (tmp_path / "power.csv").write_text("\n".join(["date,zone,MWh", *power]))
+    (tmp_path / "prices.csv").write_text("\n".join(["name,displayName,value,date,region", *prices]))
+    facts = [("Kraft", c, f"2021M{m:02d}", v) for m in range(8, 13) for c, v in (("01", 10.0), ("01.01", 9.0))]
+    spark.createDataFrame(facts, schemas.STAT_FACT).write.parquet(f"{tmp_path}/statistics")
+    power_path, out = f"{tmp_path}/power.csv", tmp_path / "out"
+    options = {
+        "production": power_path, "consumption": power_path, "prices": f"{tmp_path}/prices.csv",
+        "statistics": f"{tmp_path}/statistics", "out": str(out), "freq": "daily", "format": "csv",
+        "as-of": "2022-02-09",
+    }
+    argv = ["tailrace", *[part for name, value in options.items() for part in (f"--{name}", value)]]
+    monkeypatch.setattr("sys.argv", argv)
+    main()
+    national = spark.read.option("header", True).csv(f"{out}/merinntekter-no-2022-02-09-000000.csv")
+    assert national.count() == 6 * len(days)
+    # No balance row falls on the first day of a month with statistics, so no share is known.
+    assert {r["en.vkraft"] for r in national.select("`en.vkraft`").collect()} == {"0.0"}
