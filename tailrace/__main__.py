@@ -11,26 +11,31 @@ from tailrace.plans.job import run_job
 
 
 def main() -> None:
-    parser = argparse.ArgumentParser(prog="tailrace", description="Hydropower revenue from landed feeds")
-    for feed in ("production", "consumption", "prices"):
+    parser = argparse.ArgumentParser(
+        prog="tailrace", description="Hydropower revenue from landed feeds"
+    )
+    feeds = ("production", "consumption", "prices")
+    for feed in feeds:
         parser.add_argument(f"--{feed}", required=True, help=f"path of the landed {feed} feed")
-    parser.add_argument("--statistics", required=True, help="path of the coded statistics (parquet)")
+    parser.add_argument("--statistics", required=True, help="path of the statistics (parquet)")
     parser.add_argument("--out", required=True, help="folder of the result files")
     parser.add_argument("--freq", choices=["daily", "hourly"], default="hourly")
     parser.add_argument("--format", choices=["json", "csv", "parquet"], default="json")
     parser.add_argument("--start-date", default="2022-01-01")
     parser.add_argument("--as-of", help="day of the run (default: today)")
     parser.add_argument("--on-duplicate", choices=["raise", "mean"], default="raise")
+    parser.add_argument("--prefix", default="", help="start of the result names")
     args = parser.parse_args()
     run_job(
         SparkSession.builder.appName("tailrace").getOrCreate(),
-        {args.freq: {feed: getattr(args, feed) for feed in ("production", "consumption", "prices")}},
+        {args.freq: {feed: getattr(args, feed) for feed in feeds}},
         args.statistics,
         args.out,
         published_grid(freq=[args.freq], start_date=[args.start_date]),
         args.as_of,
         args.on_duplicate,
         args.format,
+        args.prefix,
     )
 
 

@@ -45,7 +45,8 @@ def with_trailing_ratio(monthly: DataFrame) -> DataFrame:
 
     The window sees one row per month, twelve a year at any data size.
     """
-    w = W.partitionBy("ContentsCode").orderBy(F.asc_nulls_last("date")).rowsBetween(1 - WINDOW_ROWS, 0)
+    by_date = W.partitionBy("ContentsCode").orderBy(F.asc_nulls_last("date"))
+    w = by_date.rowsBetween(1 - WINDOW_ROWS, 0)
     full = F.least(F.count(F.lit(1)).over(w), F.count("hydro").over(w), F.count("total").over(w))
     return monthly.withColumn(
         "hydro_ratio_ma4",

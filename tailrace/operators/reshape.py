@@ -52,7 +52,9 @@ def clean_names(rows: DataFrame) -> DataFrame:
     return rows.toDF(*names)
 
 
-def unpivot(rows: DataFrame, ids: Sequence[str], name: str = "name", value: str = "value") -> DataFrame:
+def unpivot(
+    rows: DataFrame, ids: Sequence[str], name: str = "name", value: str = "value"
+) -> DataFrame:
     """All columns but ids to (name, value) rows."""
     return rows.unpivot(list(ids), None, name, value)
 

@@ -23,11 +23,13 @@ def run_job(
     as_of: str | None = None,
     on_duplicate: str = "raise",
     fmt: str = "json",
+    prefix: str = "",
 ) -> RevenueRun:
     """Read the feeds of each frequency the grid uses, compute all results, write the files.
 
     paths            frequency -> feed name -> landed files
     statistics_path  coded statistics rows as parquet
+    prefix           start of the result names
     """
     scenarios = published_grid() if scenarios is None else scenarios
     used = dict.fromkeys(s.freq for s in scenarios)
@@ -36,5 +38,5 @@ def run_job(
     run = RevenueRun(spark, feeds, statistics, scenarios, as_of, on_duplicate)
     national = written(run.national(), "national")
     minimal = written(run.minimal(), "minimal")
-    write_results(national, minimal, folder)
+    write_results(national, minimal, folder, prefix)
     return run

@@ -90,32 +90,35 @@ class RevenueRun:
 
         One variant filters at the scan. Several share one scan and pick their rows after it.
         """
-        tomorrow = F.date_add(self.today, 1)
-        own = [
-            (number, F.lit(start).cast("date"), tomorrow if end is None else F.lit(end).cast("date"), na_rm)
-            for number, (used, start, end, na_rm) in enumerate(variants(self.scenarios))
-            if used == freq
-        ]
+        own = {i: v for i, v in enumerate(variants(self.scenarios)) if v[0] == freq}
+        first = {i: F.lit(start).cast("date") for i, (_, start, _, _) in own.items()}
+        last = {
+            i: F.date_add(self.today, 1) if end is None else F.lit(end).cast("date")
+            for i, (_, _, end, _) in own.items()
+        }
         rows = self.wide(freq)
         if since is not None:
             rows = rows.filter(F.col("date") >= F.trunc(since, "month"))
+        if all(na_rm for *_, na_rm in own.values()):
+            rows = balance.complete_rows(rows)
         if len(own) == 1:
-            [(number, first, last, na_rm)] = own
-            rows = balance.complete_rows(rows) if na_rm else rows
-            rows = balance.in_date_range(rows, first, last).withColumn("variant", F.lit(number))
+            [number] = own
+            rows = balance.in_date_range(rows, first[number], last[number])
+            rows = rows.withColumn("variant", F.lit(number))
         else:
-            each = F.array(
-                *[
-                    F.struct(
-                        F.lit(number).alias("variant"),
-                        first.alias("first_date"),
-                        last.alias("last_date"),
-                        F.lit(na_rm).alias("complete"),
-                    )
-                    for number, first, last, na_rm in own
-                ]
+            rows = balance.in_date_range(
+                rows, F.least(*first.values()), F.greatest(*last.values())
             )
-            rows = rows.select("*", F.inline(each))
+            each = [
+                F.struct(
+                    F.lit(i).alias("variant"),
+                    first[i].alias("first_date"),
+                    last[i].alias("last_date"),
+                    F.lit(na_rm).alias("complete"),
+                )
+                for i, (*_, na_rm) in own.items()
+            ]
+            rows = rows.select("*", F.inline(F.array(*each)))
             rows = balance.in_date_range(rows, F.col("first_date"), F.col("last_date"))
             rows = rows.filter(~F.col("complete") | balance.is_complete())
             rows = rows.drop("first_date", "last_date", "complete")

@@ -10,13 +10,6 @@ from tailrace import schemas
 from tailrace.functions import file_label
 from tailrace.operators.reshape import max_date
 
-# Names of the result files.
-NATIONAL_DATED = "merinntekter-no-{label}.csv"
-NATIONAL_LATEST = "merinntekter-no-latest.csv"
-MINIMAL_CSV = "merinntekter-minimal-latest.csv"
-MINIMAL_JSON = "merinntekter-minimal-latest.json"
-
-
 def dotted(rows: DataFrame) -> DataFrame:
     return rows.toDF(*[schemas.DOTTED.get(c, c) for c in rows.columns])
 
@@ -53,9 +46,10 @@ def last_label(rows: DataFrame) -> str | None:
     return max_date(rows).select(file_label(F.col("date"))).first()[0]
 
 
-def write_results(national: DataFrame, minimal: DataFrame, folder: str) -> None:
-    """All result files. Both inputs are read several times, so they should be tables."""
-    write_csv(national, f"{folder}/{NATIONAL_DATED.format(label=last_label(national))}")
-    write_csv(national, f"{folder}/{NATIONAL_LATEST}")
-    write_csv(minimal, f"{folder}/{MINIMAL_CSV}")
-    write_json(minimal, f"{folder}/{MINIMAL_JSON}")
+def write_results(national: DataFrame, minimal: DataFrame, folder: str, prefix: str = "") -> None:
+    """All result files, their names after prefix. Both inputs are read several times, so they
+    should be tables."""
+    write_csv(national, f"{folder}/{prefix}no-{last_label(national)}.csv")
+    write_csv(national, f"{folder}/{prefix}no-latest.csv")
+    write_csv(minimal, f"{folder}/{prefix}minimal-latest.csv")
+    write_json(minimal, f"{folder}/{prefix}minimal-latest.json")

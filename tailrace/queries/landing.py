@@ -16,7 +16,8 @@ from tailrace.plans.tables import new_path
 def landed_documents(documents: DataFrame, name: str) -> str:
     """Write one JSON document per line; returns the path."""
     path = new_path(documents.sparkSession, name)
-    documents.select(F.to_json(F.struct(*documents.columns), {"ignoreNullFields": "false"})).write.text(path)
+    text = F.to_json(F.struct(*documents.columns), {"ignoreNullFields": "false"})
+    documents.select(text).write.text(path)
     return path
 
 
@@ -63,12 +64,13 @@ def hourly_price_documents(items: DataFrame) -> DataFrame:
     number in some cells."""
     bad = (F.substring("hours", 1, 2).cast("int") % 7 == 0) & (F.col("name") == "oslo")
     cell = F.struct("name", F.when(bad, F.lit("12,5")).otherwise(F.col("value")).alias("value"))
-    by_hour = items.groupBy("date", "hours").agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    cells = F.map_from_entries(F.collect_list(cell)).alias("cells")
+    by_hour = items.groupBy("date", "hours").agg(cells)
     by_day = by_hour.groupBy("date").agg(
         F.collect_list(F.struct("hours", "cells")).alias("hours"),
     )
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("hours", lambda h: F.map_keys(h["cells"])))))
-    named = by_day.withColumn("names", names)
+    seen = F.flatten(F.transform("hours", lambda h: F.map_keys(h["cells"])))
+    named = by_day.withColumn("names", F.array_sort(F.array_distinct(seen)))
     rows = F.transform(
         "hours",
         lambda h: F.concat(

@@ -31,10 +31,11 @@ def daily_prices(documents: DataFrame) -> DataFrame:
     area = documents.select(
         F.col("historic.dates").alias("dates"), F.explode("historic.prices").alias("area")
     )
+    problem = F.concat(F.lit("dates and prices differ in length: "), F.col("area.name"))
     pairs = F.when(
         F.size("dates") == F.size("area.data"),
         F.arrays_zip(F.col("dates"), F.col("area.data").alias("data")),
-    ).otherwise(F.raise_error(F.concat(F.lit("dates and prices differ in length: "), F.col("area.name"))))
+    ).otherwise(F.raise_error(problem))
     return area.select("area.name", "area.displayName", F.explode(pairs).alias("pair")).select(
         F.try_to_date(F.col("pair.dates")).alias("date"),
         "name",

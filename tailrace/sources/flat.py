@@ -10,8 +10,10 @@ from tailrace.functions import nan_to_null
 
 
 def read_flat(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    reader = spark.read.schema(schema)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    reader = spark.read.schema(schema).format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    return reader.load(path)
 
 
 def power_rows(rows: DataFrame) -> DataFrame:

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tailrace.functions import month_start
+from tailrace.functions import hour_timestamp, month_start
 from tailrace.operators.hydro_share import CONTENTS, HYDRO, TOTAL
 from tailrace.plans.tables import written
 from tailrace.sources.feeds import Feeds
 from tailrace.sources.regions import join_regions, region_dimension
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
 DATE_SHIFT_DAYS = 9497  # 1995-01-01 becomes 2021-01-01
 
 
@@ -30,12 +33,12 @@ class Warehouse:
         self.spark = spark
         self.folder = folder
 
-        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return self._tables[name]
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:  # reading a schema takes a job
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def zones(self) -> DataFrame:
         """nation key -> zone of its sales region."""
@@ -53,7 +56,9 @@ class Warehouse:
                 F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("money"),
             )
         )
-        names = self.table("region").select(_zone("r_regionkey").alias("zone"), F.col("r_name").alias("name"))
+        names = self.table("region").select(
+            _zone("r_regionkey").alias("zone"), F.col("r_name").alias("name")
+        )
         return days.join(names, "zone")
 
     def production(self, shipped: DataFrame | None = None) -> DataFrame:
@@ -63,7 +68,8 @@ class Warehouse:
     def consumption(self) -> DataFrame:
         """Quantities collapse to one row per order before they meet the order, on the same
         partitioning, so an order with very many lines weighs no more than any other."""
-        quantity = self.table("lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("mwh"))
+        lines = self.table("lineitem")
+        quantity = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("mwh"))
         sold = (
             quantity.join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -178,9 +184,7 @@ def _two_digits(c: Column) -> Column:
 
 
 def _clock() -> Column:
-    return (
-        F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(" "), F.substring("hours", 1, 2), F.lit(":00:00"))
-    ).cast("timestamp_ntz")
+    return hour_timestamp(F.date_format("day", "yyyy-MM-dd"), F.substring("hours", 1, 2))
 
 
 def _price() -> Column:

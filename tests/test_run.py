@@ -261,20 +261,20 @@ def test_job_from_documents_to_files(spark, tmp_path):
     facts = [("Kraft", code, f"{m.year}M{m.month:02d}", v) for m in months for code, v in (("01", 100.0), ("01.01", 90.0))]
     spark.createDataFrame(facts, schemas.STAT_FACT).write.parquet(f"{tmp_path}/statistics")
     out = str(tmp_path / "out")
-    run_job(spark, paths, f"{tmp_path}/statistics", out, as_of="2022-03-01")
+    run_job(spark, paths, f"{tmp_path}/statistics", out, as_of="2022-03-01", prefix="x-")
 
-    minimal = spark.read.option("header", True).csv(f"{out}/merinntekter-minimal-latest.csv")
+    minimal = spark.read.option("header", True).csv(f"{out}/x-minimal-latest.csv")
     assert minimal.columns == schemas.MINIMAL
     weeks = minimal.filter("freq = 'weekly'")
     assert weeks.count() == 6 * weeks.select("date").distinct().count()
     assert minimal.filter("freq = 'hourly'").count() == 6 * len(
         {(d, h) for d, h, price, *_ in rows if d >= "2022-02-28"}
     )
-    national = spark.read.option("header", True).csv(f"{out}/merinntekter-no-latest.csv")
+    national = spark.read.option("header", True).csv(f"{out}/x-no-latest.csv")
     assert national.columns == schemas.RESULT
-    dated = f"{out}/merinntekter-no-2022-03-01-020000.csv"
+    dated = f"{out}/x-no-2022-03-01-020000.csv"
     assert spark.read.option("header", True).csv(dated).count() == national.count()
-    assert spark.read.json(f"{out}/merinntekter-minimal-latest.json").count() == minimal.count()
+    assert spark.read.json(f"{out}/x-minimal-latest.json").count() == minimal.count()
 
 
 def test_command_line_with_flat_files(spark, tmp_path, monkeypatch):
@@ -295,7 +295,7 @@ def test_command_line_with_flat_files(spark, tmp_path, monkeypatch):
     argv = ["tailrace", *[part for name, value in options.items() for part in (f"--{name}", value)]]
     monkeypatch.setattr("sys.argv", argv)
     main()
-    national = spark.read.option("header", True).csv(f"{out}/merinntekter-no-2022-02-09-000000.csv")
+    national = spark.read.option("header", True).csv(f"{out}/no-2022-02-09-000000.csv")
     assert national.count() == 6 * len(days)
     # No balance row falls on the first day of a month with statistics, so no share is known.
     assert {r["en.vkraft"] for r in national.select("`en.vkraft`").collect()} == {"0.0"}
