@@ -190,9 +190,12 @@ def src_by_frequency(spark, folder):
     """The three daily feeds landed as documents and read back through the frequency switch."""
     w = Warehouse(spark, folder)
     paths = {
-        "production": landing.landed_documents(landing.daily_power_documents(w.production()), "pro"),
-        "consumption": landing.landed_documents(landing.daily_power_documents(w.consumption()), "cnp"),
-        "prices": landing.landed_documents(landing.daily_price_documents(w.prices()), "price"),
+        name: landing.landed_documents(make(rows), name)
+        for name, make, rows in (
+            ("production", landing.daily_power_documents, w.daily().production),
+            ("consumption", landing.daily_power_documents, w.daily().consumption),
+            ("prices", landing.daily_price_documents, w.daily().prices),
+        )
     }
     feeds = load_feeds(spark, "daily", paths, multi_line=False)
 
@@ -472,12 +475,12 @@ def hydro_share_asof(spark, folder):
     return hydro_share.with_hydro_share(wide, months).select("date", "region", "ssb_prop_vannkraft")
 
 
-@query(f"{GAPPED_RUN} SELECT date, region, price, round(price_monthly_mean, 8) AS price_monthly_mean FROM named")
+MONTHLY = ["date", "region", "price", "price_monthly_mean"]
+
+
+@query(f"{GAPPED_RUN} SELECT {oracle.projection(MONTHLY)} FROM named")
 def monthly_price_mean(spark, folder):
-    rows = daily_run(spark, folder, GAPPED, measures=[]).detail()
-    return rows.select(
-        "date", "region", "price", F.round("price_monthly_mean", 8).alias("price_monthly_mean")
-    )
+    return rounded(daily_run(spark, folder, GAPPED, measures=[]).detail(), MONTHLY)
 
 
 # Scalar functions ---------------------------------------------------------------------------
@@ -637,25 +640,20 @@ RUNNING_TOTAL = ["date", "region", "pro_cum", "cnp_cum", "price_cum"]
 
 
 @query(
-    f"{BALANCE} SELECT date, region,"
+    f"{BALANCE}, totals AS (SELECT date, region,"
     + ", ".join(
-        f" CASE WHEN count({c}) OVER w = count(*) OVER w THEN round(sum({c}) OVER w, {n}) END AS {c}_cum"
-        for c, n in (("pro", 4), ("cnp", 4), ("price", 6))
+        f" CASE WHEN count({c}) OVER w = count(*) OVER w THEN sum({c}) OVER w END AS {c}_cum"
+        for c in balance.VARIABLES
     )
     + " FROM wide WINDOW w AS (PARTITION BY region ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING"
-    " AND CURRENT ROW)"
+    f" AND CURRENT ROW)) SELECT {oracle.projection(RUNNING_TOTAL)} FROM totals"
 )
 def running_total(spark, folder):
     """The running-total operator on its own."""
     wide = daily_wide(spark, folder).withColumn("year_month", year_month(F.col("date")))
     totals = running.running_total(wide, ["region"], "date", "year_month", balance.VARIABLES)
-    return totals.select(
-        "date",
-        "region",
-        F.round("cum__pro", 4).alias("pro_cum"),
-        F.round("cum__cnp", 4).alias("cnp_cum"),
-        F.round("cum__price", 6).alias("price_cum"),
-    )
+    named = totals.withColumnsRenamed({f"cum__{c}": f"{c}_cum" for c in balance.VARIABLES})
+    return rounded(named, RUNNING_TOTAL)
 
 
 ALL_NATIONAL = [*NATIONAL, *oracle.SUMMED, *[f"{c}_cum" for c in oracle.RUNNING]]

@@ -279,6 +279,8 @@ def boundary(digits: int) -> float:
 def digits(column: str, summed: bool) -> int | None:
     """Rounding of a column; None leaves it as it is."""
     base = column.removesuffix("_cum")
+    if column == "price_cum":
+        return 6
     if base in ON_GRID:
         return 4
     if base in ("price_monthly_mean", "stromstotte_per_kwh"):

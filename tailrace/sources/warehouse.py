@@ -7,6 +7,8 @@ quantities are whole numbers and money is summed as decimal.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +63,10 @@ class Warehouse:
         )
         return days.join(names, "zone")
 
+    @cached_property
+    def landed_shipped(self) -> DataFrame:
+        return written(self.shipped(), "shipped")
+
     def production(self, shipped: DataFrame | None = None) -> DataFrame:
         shipped = self.shipped() if shipped is None else shipped
         return _with_total_zone(shipped.select("date", "zone", "mwh"))
@@ -90,7 +96,7 @@ class Warehouse:
 
     def daily(self) -> Feeds:
         """All daily feeds. Two of them come from the same lines, which are read once."""
-        shipped = written(self.shipped(), "shipped")
+        shipped = self.landed_shipped
         return Feeds(self.production(shipped), self.consumption(), self.prices(shipped))
 
     def statistics(self) -> DataFrame:
@@ -139,17 +145,18 @@ class Warehouse:
         )
 
     def hourly(self) -> Feeds:
-        """Hour-grain feeds without a detour over documents."""
+        """Hour-grain feeds without a detour over documents; the events are read once."""
+        cells = written(self.hourly_cells(), "cells")
 
         def power(value: str) -> DataFrame:
-            return self.hourly_cells().filter(F.col(value).isNotNull()).select(
+            return cells.filter(F.col(value).isNotNull()).select(
                 _clock().alias("date"), _event_zone().alias("zone"), F.col(value).alias("mwh")
             )
 
-        cells = self.hourly_cells().select(
+        named = cells.select(
             _clock().alias("date"), _area_name().alias("name"), _price().alias("value")
         )
-        prices = join_regions(cells, region_dimension(self.spark))
+        prices = join_regions(named, region_dimension(self.spark))
         return Feeds(power("all_value"), power("even_value"), prices)
 
     def hourly_price_items(self) -> DataFrame:

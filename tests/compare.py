@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import duckdb
 import pandas as pd
 
@@ -11,9 +13,9 @@ TABLES = (
 ).split()
 
 
-def connection(folder: str) -> duckdb.DuckDBPyConnection:
+def connection(folder: str, tables: Sequence[str] = TABLES) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
-    for table in TABLES:
+    for table in tables:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     return con
 
