@@ -1,5 +1,5 @@
 """Whole dataflows: the revenue run, its tables and its files."""
 
-from tailrace.plans.run import RevenueRun
+from tailrace.plans.run import RevenueRun, calculate
 
-__all__ = ["RevenueRun"]
+__all__ = ["RevenueRun", "calculate"]

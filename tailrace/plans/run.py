@@ -28,6 +28,7 @@ WEEKLY = "weekly"
 SERIES = ["variant", "region_key"]
 BUCKET = "month"
 NO_REGION = "<NULL>"
+LARGE_GRID = 1_000  # scenarios
 REGION_ONLY = ["price", "ssb_prop_vannkraft", "price_monthly_mean", "stromstotte_per_kwh"]
 REGION_ONLY += schemas.TARIFFS
 
@@ -221,7 +222,7 @@ class RevenueRun:
         columns = {"date": "date", "cnp": "cnp"}
         columns |= {"region": f"'{NATION}'", "region_name": f"'{NATION_NAME}'"}
         columns |= {c: "CAST(NULL AS DOUBLE)" for c in REGION_ONLY}
-        return self._result(self.national_sums(since), columns)
+        return self._result(self._spread(self.national_sums(since)), columns)
 
     def result(self) -> DataFrame:
         """Regional and national rows."""
@@ -255,7 +256,15 @@ class RevenueRun:
         return self._expand(dated, columns, schemas.RESULT)
 
     def _minimal(self, rows: DataFrame) -> DataFrame:
-        return self._expand(rows, {"date": "date", **self.measures}, schemas.MINIMAL)
+        columns = {"date": "date", **self.measures}
+        return self._expand(self._spread(rows), columns, schemas.MINIMAL)
+
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """Sums are few enough to end in one task; a large grid needs them in many."""
+        if len(self.scenarios) < LARGE_GRID:
+            return rows
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(tasks, "variant", "date")
 
     def _expand(
         self, rows: DataFrame, columns: Mapping[str, str], order: Sequence[str]
@@ -267,6 +276,18 @@ class RevenueRun:
         return expand_scenarios(rows, self.spark, self.scenarios, project)
 
 
+def calculate(
+    spark: SparkSession,
+    feeds: Mapping[str, Feeds],
+    statistics: DataFrame,
+    as_of: str | None = None,
+    **assumptions,
+) -> DataFrame:
+    """Regional and national rows of one set of assumptions, without scenario columns."""
+    run = RevenueRun(spark, feeds, statistics, [Scenario(**assumptions)], as_of)
+    return run.result().drop("group", *map(schemas.plain, schemas.SCENARIO))
+
+
 def _region_key() -> Column:
     return F.coalesce("region", F.lit(NO_REGION))
 

@@ -19,7 +19,7 @@ from tailrace.functions import (
 )
 from tailrace.operators import balance, hydro_share, reshape, running, tariffs
 from tailrace.operators.scenarios import Scenario, expand_scenarios, published_grid
-from tailrace.plans import RevenueRun
+from tailrace.plans import RevenueRun, calculate
 from tailrace.plans import run as runs
 from tailrace.plans.sinks import write_csv, write_json
 from tailrace.plans.tables import new_path, written
@@ -687,6 +687,22 @@ def regional_plus_national(spark, folder):
     )
 
 
+ASSUMED = [Scenario(start_date="2021-06-01", na_rm=True, param_prop_hushold=0.3)]
+ALONE = [c for c in oracle.RESULT if c not in ("group", *oracle.SCENARIO)]
+
+
+@query(
+    f"{oracle.model(ASSUMED, AS_OF)} SELECT {oracle.projection(ALONE, summed=True)} FROM"
+    f" (SELECT {', '.join(ALONE)} FROM regional UNION ALL SELECT {', '.join(ALONE)} FROM national)"
+)
+def revenue_model(spark, folder):
+    """One set of assumptions by keyword."""
+    w = Warehouse(spark, folder)
+    assumptions = {"start_date": "2021-06-01", "na_rm": True, "param_prop_hushold": 0.3}
+    result = calculate(spark, {"daily": w.daily()}, w.statistics(), AS_OF, **assumptions)
+    return rounded(result, ALONE, summed=True)
+
+
 WEEKLY = [c for c in oracle.MINIMAL if not c.endswith("_cum")]
 
 

@@ -159,6 +159,17 @@ def rounded_frame(frame):
     return frame.round(4)
 
 
+def test_large_grid_spreads_sums(spark, monkeypatch):
+    feeds, statistics, _ = fixture(spark, DAYS, 6)
+    scenarios = published_grid(freq=["daily"])
+    run = RevenueRun(spark, {"daily": feeds}, statistics, scenarios, AS_OF, measures=[])
+    few = run.minimal().toPandas()
+    monkeypatch.setattr("tailrace.plans.run.LARGE_GRID", 6)
+    weekly = run.weekly()
+    assert "REPARTITION_BY_NUM" in plan(weekly)
+    assert difference(rounded_frame(run.minimal().toPandas()), rounded_frame(few)) is None
+
+
 def test_no_rows_keep_the_schema(spark):
     feeds, statistics, _ = fixture(spark, DAYS, 7)
     run = RevenueRun(spark, {"daily": feeds}, statistics, [Scenario(start_date="2030-01-01")], AS_OF)
