@@ -74,7 +74,8 @@ def running_total(
     columns: Sequence[str],
     prefix: str = "cum__",
 ) -> DataFrame:
-    """Running total of columns per keys in the given order."""
+    """Running total of columns per keys in the given order. Rows are read twice, so they
+    should be a table or cheap to compute."""
     guards = {c: c for c in columns}
     totals = rows.groupBy(*keys, bucket).agg(*bucket_totals(columns, guards))
     earlier = before_bucket(totals, keys, bucket)

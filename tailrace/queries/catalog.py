@@ -407,7 +407,8 @@ def _picked(source: str) -> str:
 
 @query(_picked(f"UNPIVOT last ON {', '.join(map(oracle.quoted, LAST))} INTO NAME name VALUE value"))
 def scenario_last_row(spark, folder):
-    picked = daily_run(spark, folder, measures=[]).national().filter(
+    national = written(daily_run(spark, folder, measures=[]).national(), "national")
+    picked = national.filter(
         (F.col("param_price_baseline") == 0.4) & (F.col("param_prop_spot_eksponert") == 0.7)
     )
     last = reshape.last_row(reshape.at_last_date(picked)).select(LAST)
@@ -469,7 +470,7 @@ def hydro_share_ma4(spark, folder):
 @query(f"{SHARED} SELECT date, region, ssb_prop_vannkraft FROM shared")
 def hydro_share_asof(spark, folder):
     w = Warehouse(spark, folder)
-    wide = balance.balance_wide(balance.balance_long(w.daily()))
+    wide = written(balance.balance_wide(balance.balance_long(w.daily())), "balance")
     ratios = hydro_share.with_trailing_ratio(hydro_share.monthly_share(w.statistics()))
     months = hydro_share.share_by_month(wide, ratios)
     return hydro_share.with_hydro_share(wide, months).select("date", "region", "ssb_prop_vannkraft")
@@ -650,8 +651,9 @@ RUNNING_TOTAL = ["date", "region", "pro_cum", "cnp_cum", "price_cum"]
 )
 def running_total(spark, folder):
     """The running-total operator on its own."""
-    wide = daily_wide(spark, folder).withColumn("year_month", year_month(F.col("date")))
-    totals = running.running_total(wide, ["region"], "date", "year_month", balance.VARIABLES)
+    wide = written(daily_wide(spark, folder), "balance")
+    monthly = wide.withColumn("year_month", year_month(F.col("date")))
+    totals = running.running_total(monthly, ["region"], "date", "year_month", balance.VARIABLES)
     named = totals.withColumnsRenamed({f"cum__{c}": f"{c}_cum" for c in balance.VARIABLES})
     return rounded(named, RUNNING_TOTAL)
 
