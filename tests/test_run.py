@@ -212,6 +212,9 @@ class Session:
         self.master, self.applicationId = master, "app-1"
         self.conf = {CHECKPOINT_DIR: folder} if folder else {}
 
+    def getCheckpointDir(self):
+        return None
+
 
 def test_shared_folder():
     assert shared_folder(Session("yarn", "hdfs://x/shared/")) == "hdfs://x/shared"
