@@ -235,7 +235,7 @@ def unpivot_wide_prices(spark, folder):
 
 def _statistics_metadata(w: Warehouse) -> dict[str, DataFrame]:
     """Labels of the coded columns; a few months have none."""
-    facts = w.statistics()
+    facts = w.landed_statistics
     label = F.when(F.col("Produk2") == hydro_share.HYDRO, F.lit("Vannkraft")).otherwise(
         F.lit("Total produksjon av elektrisk kraft")
     )
@@ -268,7 +268,7 @@ products AS (SELECT * FROM (VALUES ('01', 'Total produksjon av elektrisk kraft')
 def src_stat_table_labelled(spark, folder):
     w = Warehouse(spark, folder)
     wanted = {"ContentsCode": "Kraft", "Tid": True, "Produk2": ["01", "01.01"]}
-    return reshape.clean_names(label_codes(w.statistics(), _statistics_metadata(w), wanted))
+    return reshape.clean_names(label_codes(w.landed_statistics, _statistics_metadata(w), wanted))
 
 
 @query(
@@ -588,14 +588,14 @@ GRID_COLUMNS = ["group", *oracle.SCENARIO]
 
 
 @query(
-    f"{RUN}, days AS (SELECT \"group\", count(*) AS n_rows, sum(pro) AS pro FROM chosen GROUP BY 1)"
+    f"{RUN}, days AS (SELECT \"group\", count(*) AS n_rows, sum(pro) AS pro FROM named GROUP BY 1)"
     f" SELECT {', '.join('g.' + oracle.quoted(c) for c in GRID_COLUMNS)}, n_rows, pro"
     " FROM grid g JOIN days USING (\"group\")"
 )
 def scenario_grid(spark, folder):
     """Every combination of the grid, with the balance rows it applies to."""
     run = daily_run(spark, folder, measures=["pro"])
-    sums = run.rows("daily").groupBy("variant").agg(
+    sums = run.detail().groupBy("variant").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("pro").alias("pro")
     )
     return expand_scenarios(sums, spark, GRID, [f"{c} AS {c}" for c in GRID_COLUMNS] + ["n_rows", "pro"])

@@ -117,6 +117,10 @@ class Warehouse:
             F.lit(CONTENTS).alias("ContentsCode"), "Produk2", "Tid", "value"
         )
 
+    @cached_property
+    def landed_statistics(self) -> DataFrame:
+        return written(self.statistics(), "statistics")
+
     def hourly_cells(self) -> DataFrame:
         """Event value per hour and event type, with the hour as text."""
         start = F.hour("ts")
