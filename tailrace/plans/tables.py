@@ -6,29 +6,29 @@ no recomputation, and the planner knows the table's size on disk when it picks j
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from functools import cache
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_removed_at_exit: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where it is unset, a local session gets a
-    temporary one; a cluster has to name it."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors reach")
-        folder = _local_folder(spark.sparkContext.applicationId)
-    return folder.rstrip("/")
-
-
-@cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"{application}-")
+    """This application's folder below the one named by spark.checkpoint.dir; where that is unset,
+    below the warehouse, which is shared as well. It is removed when the driver ends."""
+    folder = (
+        spark.conf.get(CHECKPOINT_DIR, None)
+        or spark.sparkContext.getCheckpointDir()
+        or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+    )
+    own = f"{folder.rstrip('/')}/tailrace-{spark.sparkContext.applicationId}"
+    if own not in _removed_at_exit:
+        _removed_at_exit.add(own)
+        atexit.register(remove, spark, own, quiet=True)
+    return own
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -37,6 +37,45 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as parquet and return the table."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).write(df, name)
+
+
+def remove(spark: SparkSession, path: str, quiet: bool = False) -> None:
+    """Delete a folder of the shared store. quiet: the session may be gone, as at exit."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    except (Py4JError, AttributeError, OSError):
+        if not quiet:
+            raise
+
+
+class Tables:
+    """The intermediate tables of one run, by name; drop() or close() deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, list[str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                remove(self.spark, path)
+
+    def close(self) -> None:
+        self.drop(*list(self.paths))
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from compare import connection, difference
+from tailrace.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables are absent")
@@ -17,13 +18,15 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= entry_module.queries().items()
+    assert ORACLES.items() <= entry_module.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    got = entry_module.queries()[name](spark, FOLDER).toPandas()
-    want = con.sql(entry_module.oracle_sql()[name]).df()
+    got = QUERIES[name](spark, FOLDER).toPandas()
+    want = con.sql(ORACLES[name]).df()
     assert len(want)
     assert difference(got, want) is None, difference(got, want)
 

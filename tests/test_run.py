@@ -17,7 +17,7 @@ from tailrace.operators.scenarios import GRID_SLICE, Scenario, expand_grid, publ
 from tailrace.plans import RevenueRun
 from tailrace.plans.job import run_job
 from tailrace.plans.sinks import write_csv, write_json
-from tailrace.plans.tables import CHECKPOINT_DIR, shared_folder
+from tailrace.plans.tables import CHECKPOINT_DIR, Tables, shared_folder
 from tailrace.queries import oracle
 from tailrace.queries.catalog import rounded
 from tailrace.sources import Feeds
@@ -207,21 +207,28 @@ def test_plans(spark):
 class Session:
     """What shared_folder() asks of a session."""
 
-    def __init__(self, master, folder=None):
+    def __init__(self, folder=None):
         self.sparkContext = self
-        self.master, self.applicationId = master, "app-1"
-        self.conf = {CHECKPOINT_DIR: folder} if folder else {}
+        self.applicationId = "app-1"
+        self.conf = {"spark.sql.warehouse.dir": "hdfs://x/warehouse"}
+        if folder:
+            self.conf[CHECKPOINT_DIR] = folder
 
     def getCheckpointDir(self):
         return None
 
 
 def test_shared_folder():
-    assert shared_folder(Session("yarn", "hdfs://x/shared/")) == "hdfs://x/shared"
-    local = shared_folder(Session("local[2]"))
-    assert Path(local).is_dir() and shared_folder(Session("local[2]")) == local
-    with pytest.raises(ValueError, match=CHECKPOINT_DIR):
-        shared_folder(Session("spark://x:7077"))
+    assert shared_folder(Session("hdfs://x/shared/")) == "hdfs://x/shared/tailrace-app-1"
+    assert shared_folder(Session()) == "hdfs://x/warehouse/_intermediate/tailrace-app-1"
+
+
+def test_tables_are_removed(spark):
+    with Tables(spark) as tables:
+        assert tables.write(spark.range(3), "three").count() == 3
+        (path,) = tables.paths["three"]
+        assert Path(path.removeprefix("file:")).is_dir()
+    assert not Path(path.removeprefix("file:")).exists()
 
 
 # Files --------------------------------------------------------------------------------------
