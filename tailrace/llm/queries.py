@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailrace.llm import hilbert, mixture, toxicity
+from tailrace.llm import chunks, hilbert, metric, mixture, rendering, revisits, toxicity
 from tailrace.llm.oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -26,8 +26,44 @@ def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.shard_documents(read(spark, folder, "documents"))
 
 
+def op5_metric_join(spark: SparkSession, folder: str) -> DataFrame:
+    return metric.near_duplicates(read(spark, folder, "embeddings"))
+
+
+def op6_rendering(spark: SparkSession, folder: str) -> DataFrame:
+    """The visible text of every page."""
+    return rendering.render_pages(read(spark, folder, "pages")).drop("url")
+
+
+def op7_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every revisit of a crawl of all pages, with the response it stands for; headers as one text."""
+    found = revisits.resolve(revisits.crawl(read(spark, folder, "pages")))
+    fields = F.array_sort(F.map_entries("headers"))
+    named = F.transform(fields, lambda x: F.concat(x["key"], F.lit(": "), x["value"]))
+    return found.withColumn("headers", F.array_join(named, "; "))
+
+
+def op8_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's lines and what of it repeats an earlier chunk of lines."""
+    rows = chunks.remove_repeats(read(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", "n_lines", "n_removed_lines", "n_removed_bytes", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix_documents(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_hilbert_shards, op9_mixture)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_toxicity,
+        op4_hilbert_shards,
+        op5_metric_join,
+        op6_rendering,
+        op7_revisits,
+        op8_line_chunks,
+        op9_mixture,
+    )
+}
