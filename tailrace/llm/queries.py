@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailrace.llm import chunks, hilbert, metric, mixture, rendering, revisits, toxicity
+from tailrace.llm import chunks, hilbert, metric, mixture, rendering, revisits, substrings, toxicity
 from tailrace.llm.oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -55,6 +55,12 @@ def op9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix_documents(read(spark, folder, "documents"))
 
 
+def op10_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every document without strings of 400 bytes that occur twice."""
+    rows = substrings.cut_repeats(read(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,5 +71,6 @@ QUERIES = {
         op7_revisits,
         op8_line_chunks,
         op9_mixture,
+        op10_suffix_arrays,
     )
 }
