@@ -171,9 +171,9 @@ def mix(documents: DataFrame, members: str, size: str, key: str = "doc_id", seed
     patterns = tables.write(
         rows.groupBy("pattern").agg(F.sum("size").alias("words"), F.first("members").alias("members")), "patterns"
     )
-    total = patterns.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("total_size"))
+    total = patterns.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     sources = patterns.select(F.explode("members").alias("source"), "words").groupBy("source")
-    sources = sources.agg(F.sum("words").alias("source_size")).crossJoin(F.broadcast(total))  # one row
+    sources = sources.agg(F.sum("words").alias("source_size"), F.lit(total).alias("total_size"))
     quotas = tables.write(targets(sources), "quotas")
     flow = routes(patterns, quotas, tables).groupBy("pattern").agg(F.sum("words").alias("flow"))
     first = patterns.withColumn("__first", F.col("members")[0]).join(
