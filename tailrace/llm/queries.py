@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailrace.llm import chunks, decontamination, hilbert, metric, mixture, rendering, revisits, substrings, toxicity
+from tailrace.llm import chunks, decontamination, hilbert, jaccard, metric, mixture, rendering, revisits, substrings, toxicity
 from tailrace.llm.oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -15,6 +15,10 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_copies(read(spark, folder, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
     return decontamination.matches(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
@@ -69,6 +73,7 @@ def op10_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_jaccard_join,
         op2_decontamination,
         op3_toxicity,
         op4_hilbert_shards,
