@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes handled at once; a longer text is handled alone and whole.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

@@ -42,10 +42,10 @@ FLANK = 64
 GRAM = 16
 UNIT = 24
 # Contexts that a task holds before it sends them out.
-HELD = 1 << 20
+HELD = 1 << 19
 # At most so many bits mark the cores whose contexts are sent out with bytes.
 FILTER_BITS = 25
-SYMBOLS = 1 << 20  # of strings whose suffix arrays are built in one call
+SYMBOLS = 1 << 18  # of strings whose suffix arrays are built in one call
 
 PACKED = "slot int, core binary, context binary, many binary, row binary, doc_id binary, text_hash binary, low binary, high binary"
 SPAN = "doc_id long, text_hash long, low int, high int, core long"
