@@ -1,5 +1,76 @@
-"""The corpus pipeline: documents in, sharded training documents out."""
+"""From raw documents to the plan of a training set's shards, stage by stage.
+
+toxicity          documents that the severity model calls toxic go
+jaccard_join      of each group of linked near copies the one with the smallest doc_id stays
+decontamination   documents that hold a benchmark item go
+mixture           documents are taken as often as the mix of sources takes them, or not at all
+sharding          every row that is left gets its shard and slot
+
+A stage is a function of (spark, docs, sf_dir); its result is written as parquet and read again as the
+docs of the next one. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tailrace.llm import decontamination, hilbert, jaccard, mixture, toxicity
+from tailrace.plans.tables import Tables
+
+# The severity model and the edit distance have no SQL; the stages are tested one by one.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are not toxic, by a model of the labelled ones among them."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    marked = toxicity.score(docs.withColumnRenamed("toxic", "__toxic"), model)
+    return marked.where("not toxic").drop(*toxicity.ADDED).withColumnRenamed("__toxic", "toxic")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each component; of rows that repeat it and its text one."""
+    found = jaccard.near_copies(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first"))
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["__first"]), "left_semi")
+    kept = kept.withColumn("__hash", F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; rows that repeat a doc_id are taken alike."""
+    taken = mixture.mix_documents(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__id"))
+    times = taken.agg(F.ceil(F.sum("taken") / F.sum("size")).cast("int").alias("__times"))
+    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of every row."""
+    return hilbert.shard_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", one_of_each),
+    ("decontamination", drop_contaminated),
+    ("mixture", mixed),
+    ("sharding", sharded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = Tables(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs = tables.write(stage(spark, docs, sf_dir), name)
+        if before:
+            tables.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
