@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import fields
 
 from pyspark.sql import SparkSession
 
-from tailrace.operators.scenarios import published_grid
+from tailrace.operators.scenarios import Scenario, published_grid
 from tailrace.plans.job import run_job
 
+PARAMETERS = [f.name for f in fields(Scenario) if f.name.startswith("param_")]
+
 
 def main() -> None:
     parser = argparse.ArgumentParser(
@@ -22,6 +25,12 @@ def main() -> None:
     parser.add_argument("--freq", choices=["daily", "hourly"], default="hourly")
     parser.add_argument("--format", choices=["json", "csv", "parquet"], default="json")
     parser.add_argument("--start-date", default="2022-01-01")
+    parser.add_argument("--end-date", help="last day of the rows (default: the day after the run)")
+    parser.add_argument("--na-rm", choices=["yes", "no"], nargs="+", default=["yes"])
+    for name in PARAMETERS:
+        option = name.removeprefix("param_").replace("_", "-")
+        help_ = "values of the grid (default: those of the published grid, or the usual one)"
+        parser.add_argument(f"--{option}", dest=name, type=float, nargs="+", help=help_)
     parser.add_argument("--as-of", help="day of the run (default: today)")
     parser.add_argument("--on-duplicate", choices=["raise", "mean"], default="raise")
     parser.add_argument("--prefix", default="", help="start of the result names")
@@ -31,7 +40,13 @@ def main() -> None:
         {args.freq: {feed: getattr(args, feed) for feed in feeds}},
         args.statistics,
         args.out,
-        published_grid(freq=[args.freq], start_date=[args.start_date]),
+        published_grid(
+            freq=[args.freq],
+            start_date=[args.start_date],
+            end_date=[args.end_date],
+            na_rm=[x == "yes" for x in args.na_rm],
+            **{name: getattr(args, name) for name in PARAMETERS if getattr(args, name)},
+        ),
         args.as_of,
         args.on_duplicate,
         args.format,

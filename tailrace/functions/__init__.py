@@ -1,6 +1,6 @@
 """Column builders for the null, text and calendar rules of the engine."""
 
-from tailrace.functions.missing import across, is_missing, nan_to_null, pmax, ratio, sum0
+from tailrace.functions.missing import is_missing, nan_to_null, pmax, ratio, sum0
 from tailrace.functions.text import area_code, number
 from tailrace.functions.times import (
     file_label,
@@ -13,7 +13,6 @@ from tailrace.functions.times import (
 )
 
 __all__ = [
-    "across",
     "area_code",
     "file_label",
     "hour_timestamp",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,16 +28,3 @@ def pmax(c: Column, floor: float) -> Column:
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division with NULL for a zero denominator."""
     return F.try_divide(numerator, denominator)
-
-
-def across(
-    columns: Iterable[str],
-    functions: Mapping[str, Callable[[Column], Column]],
-    names: str = "{col}_{fn}",
-) -> dict[str, Column]:
-    """Apply each named function to each column; the result feeds withColumns()."""
-    return {
-        names.format(col=column, fn=label): fn(F.col(column))
-        for column in columns
-        for label, fn in functions.items()
-    }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, fields
-from functools import reduce
 from itertools import product
 
 import pyarrow as pa
@@ -50,8 +50,15 @@ PUBLISHED_GRID = {
     "na_rm": [True],
 }
 
-# Rows of one broadcast grid: about 60 MB. A larger grid is joined in slices.
-GRID_SLICE = 200_000
+# Scenarios of a variant that share a join key, so that a large grid spreads over tasks.
+SLICE = 1_000
+
+
+def check_groups(scenarios: Sequence[Scenario]) -> None:
+    """Results tell scenarios apart by their group alone."""
+    repeated = [g for g, n in Counter(s.group for s in scenarios).items() if n > 1]
+    if repeated:
+        raise ValueError(f"several scenarios have group {', '.join(map(repr, repeated[:5]))}")
 
 
 def expand_grid(**values: Sequence) -> list[Scenario]:
@@ -79,11 +86,15 @@ def _arrow(annotation: str) -> pa.DataType:
 def scenario_table(
     spark: SparkSession, scenarios: Sequence[Scenario], numbers: Mapping[tuple, int]
 ) -> DataFrame:
-    """The grid as a literal table with its variant numbers and coefficients."""
-    rows = [{**asdict(s), "variant": numbers[s.variant]} for s in scenarios]
-    schema = pa.schema(
-        [(f.name, _arrow(f.type)) for f in fields(Scenario)] + [("variant", pa.int32())]
-    )
+    """The grid as a literal table with its variant numbers, slices and coefficients."""
+    seen = Counter()
+    rows = []
+    for s in scenarios:
+        number = numbers[s.variant]
+        rows.append({**asdict(s), "variant": number, "slice": seen[number] // SLICE})
+        seen[number] += 1
+    keys = [("variant", pa.int32()), ("slice", pa.int32())]
+    schema = pa.schema([(f.name, _arrow(f.type)) for f in fields(Scenario)] + keys)
     return with_coefficients(local_table(spark, rows, schema)).drop("end_date")
 
 
@@ -93,12 +104,15 @@ def expand_scenarios(
     scenarios: Sequence[Scenario],
     project: Sequence[str],
 ) -> DataFrame:
-    """Every row once per scenario of its variant: an equi-join with the broadcast grid."""
+    """Every row once per scenario of its variant.
+
+    One equi-join with the grid on (variant, slice): a row has each slice of its variant, one for a
+    small grid. The planner broadcasts the grid or not by its size; the plan is the same for any grid.
+    """
     numbers = {v: i for i, v in enumerate(variants(scenarios))}
-    parts = [
-        rows.join(
-            F.broadcast(scenario_table(spark, scenarios[at : at + GRID_SLICE], numbers)), "variant"
-        ).selectExpr(*project)
-        for at in range(0, len(scenarios), GRID_SLICE)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    sizes = Counter(numbers[s.variant] for s in scenarios)
+    last = F.array(*[F.lit((sizes[i] - 1) // SLICE) for i in range(len(numbers))])
+    slices = F.sequence(F.lit(0), F.element_at(last, F.col("variant") + 1))
+    keyed = rows.withColumn("slice", F.explode(slices))
+    grid = scenario_table(spark, scenarios, numbers)
+    return keyed.join(grid, ["variant", "slice"]).selectExpr(*project)

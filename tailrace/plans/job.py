@@ -6,12 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import SparkSession
 
-from tailrace import schemas
 from tailrace.operators.scenarios import Scenario, published_grid
 from tailrace.plans.run import RevenueRun
 from tailrace.plans.sinks import write_results
-from tailrace.plans.tables import written
-from tailrace.sources.feeds import load_feeds
+from tailrace.sources import load_feeds, read_statistics
 
 
 def run_job(
@@ -24,19 +22,18 @@ def run_job(
     on_duplicate: str = "raise",
     fmt: str = "json",
     prefix: str = "",
-) -> RevenueRun:
+) -> None:
     """Read the feeds of each frequency the grid uses, compute all results, write the files.
 
     paths            frequency -> feed name -> landed files
-    statistics_path  coded statistics rows as parquet
+    statistics_path  landed statistics: coded facts, by code lists or all, see read_statistics()
     prefix           start of the result names
     """
     scenarios = published_grid() if scenarios is None else scenarios
     used = dict.fromkeys(s.freq for s in scenarios)
     feeds = {freq: load_feeds(spark, freq, paths[freq], fmt) for freq in used}
-    statistics = spark.read.schema(schemas.STAT_FACT).parquet(statistics_path)
-    run = RevenueRun(spark, feeds, statistics, scenarios, as_of, on_duplicate)
-    national = written(run.national(), "national")
-    minimal = written(run.minimal(), "minimal")
-    write_results(national, minimal, folder, prefix)
-    return run
+    statistics = read_statistics(spark, statistics_path).fact
+    with RevenueRun(spark, feeds, statistics, scenarios, as_of, on_duplicate) as run:
+        national = run.tables.write(run.national(), "national")
+        minimal = run.tables.write(run.minimal(), "minimal")
+        write_results(national, minimal, folder, prefix)

@@ -3,6 +3,7 @@ latest results."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import cached_property, reduce
 
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from tailrace import schemas
 from tailrace.functions import month_start, sum0, week_start, year_month
 from tailrace.operators import balance, hydro_share, revenue, running, tariffs
-from tailrace.operators.scenarios import Scenario, expand_scenarios, variants
-from tailrace.plans.tables import written
+from tailrace.operators.scenarios import Scenario, check_groups, expand_scenarios, variants
+from tailrace.plans.tables import Tables
 from tailrace.sources.feeds import Feeds
 from tailrace.sources.regions import distinct_regions
 
@@ -22,23 +23,28 @@ from tailrace.sources.regions import distinct_regions
 NATION, NATION_NAME = "no", "Norge"
 WEEKLY = "weekly"
 
-# A series of facts is a region of a variant; region_key is the region with a stand-in for
-# NULL, which no lower-case region equals. Plain equality on it lets the join with the months
+# A series of facts is a region of a variant; region_key is the frequency and the region with a
+# stand-in for NULL, which no lower-case region equals. Plain equality on it lets the join with the months
 # and the window over a month share one partitioning.
 SERIES = ["variant", "region_key"]
 BUCKET = "month"
 NO_REGION = "<NULL>"
-LARGE_GRID = 1_000  # scenarios
+# Facts meet the months of all variants on their place, and stay there for the window.
+PLACE = ["region_key", BUCKET]
 REGION_ONLY = ["price", "ssb_prop_vannkraft", "price_monthly_mean", "stromstotte_per_kwh"]
 REGION_ONLY += schemas.TARIFFS
 
 
 class RevenueRun:
-    """All results of one grid over one set of feeds, as lazy DataFrames.
+    """All results of one grid over one set of feeds.
+
+    Results are DataFrames over shared tables (the balance of each frequency, the months), which the
+    first result that needs them writes. close(), or leaving the run as a context, deletes the
+    tables; results have to be read before.
 
     feeds       canonical feeds per frequency in use
     statistics  coded production statistics (ContentsCode, Produk2, Tid, value)
-    as_of       day of the run; None is the current date
+    as_of       day of the run; None is the date in UTC when the run is made
     measures    revenue columns wanted, headline columns at least; only their terms are computed
     stored      write the shared tables (balance, months) once, or recompute them per branch
     """
@@ -62,13 +68,16 @@ class RevenueRun:
         self.statistics = statistics
         self.scenarios = list(scenarios)
         self.used = list(dict.fromkeys(s.freq for s in scenarios))
-        self.today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+        check_groups(scenarios)
+        now = dt.datetime.now(dt.timezone.utc).date().isoformat()
+        self.today = F.lit(as_of or now).cast("date")
         self.on_duplicate = on_duplicate
         wanted = [schemas.plain(m) for m in schemas.RUNNING if m in {*measures, *schemas.HEADLINE}]
         self.measures = revenue.measures([*wanted, *[f"{m}_cum" for m in wanted]])
         self.basis = revenue.used_basis(self.measures.values())
         self.guards = revenue.guards(self.basis)
         self.stored = stored
+        self.tables = Tables(spark)
         self._wide: dict[str, DataFrame] = {}
 
     # Scenario-free part ------------------------------------------------------------------
@@ -87,43 +96,40 @@ class RevenueRun:
         return hydro_share.share_by_month(self.wide(freq), ratios)
 
     def rows(self, freq: str, since: Column | None = None) -> DataFrame:
-        """Balance rows of each variant of a frequency, keyed by series and month.
-
-        One variant filters at the scan. Several share one scan and pick their rows after it.
-        """
-        own = {i: v for i, v in enumerate(variants(self.scenarios)) if v[0] == freq}
-        first = {i: F.lit(start).cast("date") for i, (_, start, _, _) in own.items()}
-        last = {
-            i: F.date_add(self.today, 1) if end is None else F.lit(end).cast("date")
-            for i, (_, _, end, _) in own.items()
-        }
+        """Balance rows that any variant of a frequency takes, keyed by region and month. The rows of
+        one variant are picked where they meet its range, see picked()."""
+        ranges = [self._range(v) for v in variants(self.scenarios) if v[0] == freq]
         rows = self.wide(freq)
         if since is not None:
             rows = rows.filter(F.col("date") >= F.trunc(since, "month"))
-        if all(na_rm for *_, na_rm in own.values()):
+        if all(na_rm for _, _, na_rm in ranges):
             rows = balance.complete_rows(rows)
-        if len(own) == 1:
-            [number] = own
-            rows = balance.in_date_range(rows, first[number], last[number])
-            rows = rows.withColumn("variant", F.lit(number))
-        else:
-            rows = balance.in_date_range(
-                rows, F.least(*first.values()), F.greatest(*last.values())
-            )
-            each = [
-                F.struct(
-                    F.lit(i).alias("variant"),
-                    first[i].alias("first_date"),
-                    last[i].alias("last_date"),
-                    F.lit(na_rm).alias("complete"),
-                )
-                for i, (*_, na_rm) in own.items()
-            ]
-            rows = rows.select("*", F.inline(F.array(*each)))
-            rows = balance.in_date_range(rows, F.col("first_date"), F.col("last_date"))
-            rows = rows.filter(~F.col("complete") | balance.is_complete())
-            rows = rows.drop("first_date", "last_date", "complete")
-        return rows.withColumns({BUCKET: month_start(F.col("date")), "region_key": _region_key()})
+        first, last = [r[0] for r in ranges], [r[1] for r in ranges]
+        if len(ranges) > 1:
+            first, last = [F.least(*first)], [F.greatest(*last)]
+        rows = balance.in_date_range(rows, first[0], last[0])
+        keys = {BUCKET: month_start(F.col("date")), "region_key": _region_key(freq)}
+        return rows.withColumns(keys)
+
+    def _range(self, variant: tuple) -> tuple[Column, Column, bool]:
+        _, start, end, na_rm = variant
+        last = F.date_add(self.today, 1) if end is None else F.lit(end).cast("date")
+        return F.lit(start).cast("date"), last, na_rm
+
+    def ranges(self, freq: str) -> Column:
+        """variant, first_date, last_date and complete of each variant of a frequency."""
+        each = []
+        for i, variant in enumerate(variants(self.scenarios)):
+            if variant[0] == freq:
+                first, last, na_rm = self._range(variant)
+                named = {"variant": F.lit(i), "first_date": first, "last_date": last, "complete": F.lit(na_rm)}
+                each.append(F.struct(*[c.alias(n) for n, c in named.items()]))
+        return F.inline(F.array(*each))
+
+    def picked(self, rows: DataFrame) -> DataFrame:
+        """The rows that the variant beside them takes."""
+        rows = balance.in_date_range(rows, F.col("first_date"), F.col("last_date"))
+        return rows.filter(~F.col("complete") | balance.is_complete())
 
     def with_basis(self, rows: DataFrame) -> DataFrame:
         """Share of the day, tariffs and basis of rows that carry the shares of their month."""
@@ -134,11 +140,12 @@ class RevenueRun:
     def region_names(self) -> DataFrame:
         """Region names seen in the prices, with the number of names of each region."""
         parts = [
-            distinct_regions(self.feeds[freq].prices).withColumn("variant", F.lit(number))
+            distinct_regions(self.feeds[freq].prices).select(
+                F.lit(number).alias("variant"), _region_key(freq).alias("region_key"), "region_name"
+            )
             for number, (freq, *_) in enumerate(variants(self.scenarios))
         ]
         names = reduce(DataFrame.unionByName, parts)
-        names = names.select("variant", _region_key().alias("region_key"), "region_name")
         return names.withColumn("names", F.count(F.lit(1)).over(W.partitionBy(*SERIES)))
 
     @cached_property
@@ -153,11 +160,17 @@ class RevenueRun:
         drops out.
         """
         shared = [
-            hydro_share.with_month_share(self.rows(freq), self.share(freq)) for freq in self.used
+            self.picked(
+                hydro_share.with_month_share(self.rows(freq), self.share(freq)).select(
+                    "*", self.ranges(freq)
+                )
+            )
+            for freq in self.used
         ]
         rows = self.with_basis(reduce(DataFrame.unionByName, shared))
+        one_value = ("first_date", "last_date", "complete", "on_first", "later")
         totals = rows.groupBy(*SERIES, BUCKET).agg(
-            *[F.max(c).alias(c) for c in ("on_first", "later")],  # one value per month
+            *[F.max(c).alias(c) for c in one_value],  # the same in all rows of the group
             F.avg("price").alias("price_monthly_mean"),
             F.count(F.lit(1)).alias("rows"),
             *running.bucket_totals(self.basis, self.guards),
@@ -177,14 +190,14 @@ class RevenueRun:
         return self._shared(earlier, "months")
 
     def detail(self, since: Column | None = None, clustered: bool = False) -> DataFrame:
-        """Basis rows joined with their month; clustered brings a region's month into one
-        partition, and does so before the join and the basis widen the rows."""
+        """Basis rows of each variant, joined with their month, which brings the variants; clustered
+        gathers a region's month in one partition before that, while rows are narrow and stand for
+        all variants."""
         rows = reduce(DataFrame.unionByName, [self.rows(freq, since) for freq in self.used])
         if clustered:
-            rows = rows.repartition("region_key", BUCKET)
-        # The months come first so that the variant is a column of theirs: as a constant of the
-        # rows it would turn the join with the grid into one without keys.
-        joined = self.with_basis(self.months.join(rows, [*SERIES, BUCKET]))
+            rows = rows.repartition(*PLACE)
+        joined = self.picked(self.months.join(rows, PLACE))
+        joined = self.with_basis(joined.drop("first_date", "last_date", "complete"))
         rate = revenue.support_rate(F.col("price_monthly_mean"), F.col("param_stromstotte_floor"))
         return revenue.rate_support(
             joined.withColumn("support_rate", rate), "support_rate", self.basis
@@ -222,7 +235,7 @@ class RevenueRun:
         columns = {"date": "date", "cnp": "cnp"}
         columns |= {"region": f"'{NATION}'", "region_name": f"'{NATION_NAME}'"}
         columns |= {c: "CAST(NULL AS DOUBLE)" for c in REGION_ONLY}
-        return self._result(self._spread(self.national_sums(since)), columns)
+        return self._result(self.national_sums(since), columns)
 
     def result(self) -> DataFrame:
         """Regional and national rows."""
@@ -246,7 +259,17 @@ class RevenueRun:
         return self.weekly().unionByName(self.latest())
 
     def _shared(self, df: DataFrame, name: str) -> DataFrame:
-        return written(df, name) if self.stored else df
+        return self.tables.write(df, name) if self.stored else df
+
+    def close(self) -> None:
+        """Delete the shared tables."""
+        self.tables.close()
+
+    def __enter__(self) -> RevenueRun:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def _result(self, rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
         """Result columns of every scenario, calendar columns from the date."""
@@ -257,14 +280,7 @@ class RevenueRun:
 
     def _minimal(self, rows: DataFrame) -> DataFrame:
         columns = {"date": "date", **self.measures}
-        return self._expand(self._spread(rows), columns, schemas.MINIMAL)
-
-    def _spread(self, rows: DataFrame) -> DataFrame:
-        """Sums are few enough to end in one task; a large grid needs them in many."""
-        if len(self.scenarios) < LARGE_GRID:
-            return rows
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(tasks, "variant", "date")
+        return self._expand(rows, columns, schemas.MINIMAL)
 
     def _expand(
         self, rows: DataFrame, columns: Mapping[str, str], order: Sequence[str]
@@ -288,8 +304,8 @@ def calculate(
     return run.result().drop("group", *map(schemas.plain, schemas.SCENARIO))
 
 
-def _region_key() -> Column:
-    return F.coalesce("region", F.lit(NO_REGION))
+def _region_key(freq: str) -> Column:
+    return F.concat(F.lit(f"{freq}:"), F.coalesce("region", F.lit(NO_REGION)))
 
 
 def _sums(columns: Sequence[str]) -> list[Column]:

@@ -10,6 +10,7 @@ from tailrace import schemas
 from tailrace.functions import file_label
 from tailrace.operators.reshape import max_date
 
+
 def dotted(rows: DataFrame) -> DataFrame:
     return rows.toDF(*[schemas.DOTTED.get(c, c) for c in rows.columns])
 
@@ -31,8 +32,8 @@ def write_csv(rows: DataFrame, path: str) -> None:
     )
 
 
-def write_json(rows: DataFrame, path: str, digits: int | None = 4) -> None:
-    """One object per line, missing values left out, numbers rounded (None: full precision)."""
+def write_json(rows: DataFrame, path: str, digits: int | None = None) -> None:
+    """One object per line, missing values left out, numbers in full precision or rounded."""
     if digits is not None:
         numbers = [f.name for f in rows.schema if isinstance(f.dataType, T.DoubleType)]
         rows = rows.withColumns({c: F.round(F.col(c), digits) for c in numbers})

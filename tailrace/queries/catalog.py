@@ -21,12 +21,11 @@ from tailrace.operators import balance, hydro_share, reshape, running, tariffs
 from tailrace.operators.scenarios import Scenario, expand_scenarios, published_grid
 from tailrace.plans import RevenueRun, calculate
 from tailrace.plans import run as runs
-from tailrace.plans.sinks import write_csv, write_json
+from tailrace.plans.sinks import last_label, write_csv, write_json, write_results
 from tailrace.plans.tables import new_path, written
 from tailrace.queries import landing, oracle
 from tailrace.schemas import plain
-from tailrace.sources import documents, flat, label_codes, load_feeds, metadata_long
-from tailrace.sources import regions
+from tailrace.sources import documents, flat, load_feeds, metadata_long, read_statistics, regions
 from tailrace.sources.warehouse import Warehouse, shifted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,7 +183,7 @@ def src_csv_prices(spark, folder):
 @query(
     f"{FEEDS} SELECT 'cnp' AS feed, zone AS area, count(*) AS n, sum(mwh) AS total FROM consumption GROUP BY zone"
     " UNION ALL SELECT 'pro', zone, count(*), sum(mwh) FROM production GROUP BY zone"
-    " UNION ALL SELECT 'price', region, count(*), NULL FROM prices GROUP BY region"
+    " UNION ALL SELECT 'price', region, count(*), round(sum(value), 4) FROM prices GROUP BY region"
 )
 def src_by_frequency(spark, folder):
     """The three daily feeds landed as documents and read back through the frequency switch."""
@@ -204,11 +203,11 @@ def src_by_frequency(spark, folder):
             F.lit(feed).alias("feed"), F.count(F.lit(1)).alias("n"), total.alias("total")
         )
 
-    mwh, none = F.sum("mwh"), F.max(F.lit(None).cast("double"))
+    mwh, value = F.sum("mwh"), F.round(F.sum("value"), 4)
     return (
         summary(feeds.consumption, "cnp", "zone", mwh)
         .unionByName(summary(feeds.production, "pro", "zone", mwh))
-        .unionByName(summary(feeds.prices, "price", "region", none))
+        .unionByName(summary(feeds.prices, "price", "region", value))
     )
 
 
@@ -233,9 +232,8 @@ def unpivot_wide_prices(spark, folder):
     return reshape.unpivot(prices.groupBy("date").agg(*cells), ["date"])
 
 
-def _statistics_metadata(w: Warehouse) -> dict[str, DataFrame]:
-    """Labels of the coded columns; a few months have none."""
-    facts = w.landed_statistics
+def _statistics_metadata(facts: DataFrame) -> dict[str, DataFrame]:
+    """Code lists of the coded columns, and one of a variable that the facts lack."""
     label = F.when(F.col("Produk2") == hydro_share.HYDRO, F.lit("Vannkraft")).otherwise(
         F.lit("Total produksjon av elektrisk kraft")
     )
@@ -245,9 +243,7 @@ def _statistics_metadata(w: Warehouse) -> dict[str, DataFrame]:
             F.col("ContentsCode").alias("values"), F.lower("ContentsCode").alias("valueTexts")
         ).distinct(),
         "Produk2": facts.select(F.col("Produk2").alias("values"), label.alias("valueTexts")).distinct(),
-        "Tid": months.filter(~F.col("values").endswith("M12")).withColumn(
-            "valueTexts", F.concat(F.lit("month "), F.col("values"))
-        ),
+        "Tid": months.withColumn("valueTexts", F.concat(F.lit("month "), F.col("values"))),
         "Region": months.withColumn("valueTexts", F.col("values")),
     }
 
@@ -266,19 +262,24 @@ products AS (SELECT * FROM (VALUES ('01', 'Total produksjon av elektrisk kraft')
     FROM coded JOIN products USING (product) WHERE tid NOT LIKE '%M12'"""
 )
 def src_stat_table_labelled(spark, folder):
-    w = Warehouse(spark, folder)
+    """Landed facts with landed code lists; the list of months lacks each December."""
+    facts = Warehouse(spark, folder).statistics()
+    lists = _statistics_metadata(facts)
+    lists["Tid"] = lists["Tid"].filter(~F.col("values").endswith("M12"))
+    paths = {v: landing.landed_csv(rows, f"labels-{v}") for v, rows in lists.items()}
+    landed = read_statistics(spark, landing.landed_csv(facts, "statistics"), paths, "csv")
     wanted = {"ContentsCode": "Kraft", "Tid": True, "Produk2": ["01", "01.01"]}
-    return reshape.clean_names(label_codes(w.landed_statistics, _statistics_metadata(w), wanted))
+    return reshape.clean_names(landed.labelled(wanted))
 
 
 @query(
     f"""{CODED} SELECT DISTINCT 'ContentsCode' AS key, contents AS code, 'kraft' AS "desc" FROM coded
     UNION ALL SELECT DISTINCT 'Produk2', product, label FROM coded JOIN products USING (product)
-    UNION ALL SELECT DISTINCT 'Tid', tid, 'month ' || tid FROM coded WHERE tid NOT LIKE '%M12'
+    UNION ALL SELECT DISTINCT 'Tid', tid, 'month ' || tid FROM coded
     UNION ALL SELECT DISTINCT 'Region', tid, tid FROM coded"""
 )
 def stat_meta_long(spark, folder):
-    return metadata_long(_statistics_metadata(Warehouse(spark, folder)), simplify=True)
+    return metadata_long(_statistics_metadata(Warehouse(spark, folder).statistics()), simplify=True)
 
 
 @query(
@@ -441,17 +442,17 @@ def balance_wide_hourly(spark, folder):
 
 @query(
     f"{BALANCE}, coarse AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, region, variable,"
-    " avg(value) AS value FROM long WHERE variable <> 'price' GROUP BY ALL)"
+    " avg(value) AS value FROM long GROUP BY ALL)"
     " SELECT date, region, round(max(value) FILTER (variable = 'pro'), 4) AS pro,"
-    " round(max(value) FILTER (variable = 'cnp'), 4) AS cnp, CAST(NULL AS DOUBLE) AS price"
-    " FROM coarse GROUP BY date, region"
+    " round(max(value) FILTER (variable = 'cnp'), 4) AS cnp,"
+    " round(max(value) FILTER (variable = 'price'), 4) AS price FROM coarse GROUP BY date, region"
 )
 def balance_wide_mean(spark, folder):
     """Many values per cell, averaged: all days of a month under its first day."""
-    long = balance.balance_long(Warehouse(spark, folder).daily()).filter("variable <> 'price'")
+    long = balance.balance_long(Warehouse(spark, folder).daily())
     coarse = long.withColumn("date", F.trunc("date", "month"))
     wide = balance.balance_wide(coarse, on_duplicate="mean")
-    return wide.withColumns({"pro": F.round("pro", 4), "cnp": F.round("cnp", 4)})
+    return wide.withColumns({c: F.round(c, 4) for c in balance.VARIABLES})
 
 
 @query(f"WITH {oracle.STATISTICS},{oracle.RATIOS} SELECT date, total, hydro, hydro_ratio_month FROM ratios")
@@ -470,7 +471,7 @@ def hydro_share_ma4(spark, folder):
 @query(f"{SHARED} SELECT date, region, ssb_prop_vannkraft FROM shared")
 def hydro_share_asof(spark, folder):
     w = Warehouse(spark, folder)
-    wide = written(balance.balance_wide(balance.balance_long(w.daily())), "balance")
+    wide = balance.balance_wide(balance.balance_long(w.daily()))
     ratios = hydro_share.with_trailing_ratio(hydro_share.monthly_share(w.statistics()))
     months = hydro_share.share_by_month(wide, ratios)
     return hydro_share.with_hydro_share(wide, months).select("date", "region", "ssb_prop_vannkraft")
@@ -651,7 +652,7 @@ RUNNING_TOTAL = ["date", "region", "pro_cum", "cnp_cum", "price_cum"]
 )
 def running_total(spark, folder):
     """The running-total operator on its own."""
-    wide = written(daily_wide(spark, folder), "balance")
+    wide = daily_wide(spark, folder)
     monthly = wide.withColumn("year_month", year_month(F.col("date")))
     totals = running.running_total(monthly, ["region"], "date", "year_month", balance.VARIABLES)
     named = totals.withColumnsRenamed({f"cum__{c}": f"{c}_cum" for c in balance.VARIABLES})
@@ -734,23 +735,58 @@ def minimal_output_hourly(spark, folder):
 # Sinks --------------------------------------------------------------------------------------
 
 
-@query(MINIMAL_SQL)
+HOURLY_MINIMAL_SQL = f"{HOURLY_RUN} SELECT {oracle.projection(oracle.MINIMAL, summed=True)} FROM minimal"
+
+
+@query(HOURLY_MINIMAL_SQL)
 def sink_roundtrip_csv(spark, folder):
-    rows = minimal_output(spark, folder)
+    """Hourly rows in full precision; rounded after reading."""
+    rows = hourly_run(spark, folder, measures=[]).minimal()
     path = new_path(spark, "minimal-csv")
     write_csv(rows, path)
-    back = (
-        spark.read.schema(_dotted_schema(rows)).option("header", True).option("nullValue", "NA").csv(path)
-    )
-    return back.toDF(*rows.columns)
+    return rounded(_read_csv(spark, path, rows), oracle.MINIMAL, summed=True)
 
 
-@query(MINIMAL_SQL)
+@query(HOURLY_MINIMAL_SQL)
 def sink_roundtrip_json(spark, folder):
-    rows = minimal_output(spark, folder)
+    rows = hourly_run(spark, folder, measures=[]).minimal()
     path = new_path(spark, "minimal-json")
     write_json(rows, path)
-    return spark.read.schema(_dotted_schema(rows)).json(path).toDF(*rows.columns)
+    back = spark.read.schema(_dotted_schema(rows)).json(path).toDF(*rows.columns)
+    return rounded(back, oracle.MINIMAL, summed=True)
+
+
+DATED = "'no-' || strftime((SELECT max(date) FROM national), '%Y-%m-%d-%H%M%S') || '.csv'"
+
+
+@query(
+    f"{HOURLY_RUN}, files(file) AS (VALUES ('no-latest.csv'), ({DATED}))"
+    f" SELECT file, {oracle.projection(NATIONAL_KEY, summed=True)} FROM national, files"
+)
+def sink_national_csv(spark, folder):
+    """The national result under its dated and its latest name."""
+    run = hourly_run(spark, folder, measures=["pro", "alt_til_spotpris"])
+    national = run.tables.write(run.national(), "national")
+    out = new_path(spark, "results")
+    write_results(national, run.tables.write(run.minimal(), "minimal"), out)
+    names = [f"no-{last_label(national)}.csv", "no-latest.csv"]
+    files = [
+        _read_csv(spark, f"{out}/{name}", national).withColumn("file", F.lit(name)) for name in names
+    ]
+    return rounded(files[0].unionByName(files[1]), ["file", *NATIONAL_KEY], summed=True)
+
+
+@query(
+    f"{HOURLY_RUN} SELECT max(date) AS date, strftime(max(date), '%Y-%m-%d-%H%M%S') AS label FROM national"
+)
+def max_date_hourly(spark, folder):
+    last = reshape.max_date(hourly_run(spark, folder, measures=[]).national())
+    return last.withColumn("label", file_label(F.col("date")))
+
+
+def _read_csv(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    reader = spark.read.schema(_dotted_schema(rows)).options(header=True, nullValue="NA")
+    return reader.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").csv(path).toDF(*rows.columns)
 
 
 def _dotted_schema(rows: DataFrame):

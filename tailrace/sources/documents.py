@@ -8,7 +8,7 @@ its own and no document meets another.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +19,17 @@ from tailrace.sources.regions import join_regions
 def read_documents(
     spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
 ) -> DataFrame:
-    """One document per file (multi_line) or one per line."""
-    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    """One document per file (multi_line) or one per line. Text that is no JSON, or a value of
+    another type, stops the read."""
+    reader = spark.read.schema(schema).option("mode", "FAILFAST")
+    return reader.option("multiLine", multi_line).json(path)
+
+
+def required(name: str) -> Column:
+    """An array that every document has; a document without it stops the query, while explode()
+    would drop it."""
+    missing = F.raise_error(F.lit(f"a document has no {name}"))
+    return F.when(F.col(name).isNotNull(), F.col(name)).otherwise(missing)
 
 
 def daily_prices(documents: DataFrame) -> DataFrame:
@@ -29,7 +38,8 @@ def daily_prices(documents: DataFrame) -> DataFrame:
     arrays_zip would pad the shorter list with NULL, so unequal lengths raise.
     """
     area = documents.select(
-        F.col("historic.dates").alias("dates"), F.explode("historic.prices").alias("area")
+        required("historic.dates").alias("dates"),
+        F.explode(required("historic.prices")).alias("area"),
     )
     problem = F.concat(F.lit("dates and prices differ in length: "), F.col("area.name"))
     pairs = F.when(
@@ -47,7 +57,9 @@ def daily_prices(documents: DataFrame) -> DataFrame:
 
 def hourly_price_cells(documents: DataFrame) -> DataFrame:
     """Matrix with named columns to one row per hour and area, values still text."""
-    row = documents.select("columns", F.explode("rows").alias("row")).select(
+    row = documents.select(
+        required("columns").alias("columns"), F.explode(required("rows")).alias("row")
+    ).select(
         F.map_from_arrays("columns", "row").alias("cells")
     )
     areas = F.map_filter("cells", lambda key, _: ~key.isin("date", "hours"))
@@ -72,13 +84,13 @@ def hourly_prices(documents: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def daily_power(documents: DataFrame) -> DataFrame:
-    return documents.select(F.inline("items")).select(
+    return documents.select(F.inline(required("items"))).select(
         F.try_to_date(F.col("date")).alias("date"), "zone", nan_to_null(F.col("MWh")).alias("mwh")
     )
 
 
 def hourly_power(documents: DataFrame) -> DataFrame:
-    items = documents.select(F.inline("items"))
+    items = documents.select(F.inline(required("items")))
     return _at_hour(items).select(
         "date", "hour_start", "hour_end", "zone", nan_to_null(F.col("MWh")).alias("mwh")
     )

@@ -10,9 +10,11 @@ from tailrace.functions import nan_to_null
 
 
 def read_flat(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+    """Rows of the schema's columns. A CSV file whose header names other columns, or the same in
+    another order, stops the read, and so does a value of another type."""
     reader = spark.read.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(header=True, enforceSchema=False, mode="FAILFAST")
     return reader.load(path)
 
 

@@ -3,11 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tailrace import schemas
+from tailrace.sources.flat import read_flat
+
+@dataclass(frozen=True)
+class Statistics:
+    """Coded facts and, by variable, the list of its codes and labels."""
+
+    fact: DataFrame
+    metadata: Mapping[str, DataFrame]
+
+    def labelled(self, codes: Mapping[str, Sequence[str] | str | bool] | None = None) -> DataFrame:
+        return label_codes(self.fact, self.metadata, codes)
+
+
+def read_statistics(
+    spark: SparkSession,
+    fact: str,
+    labels: Mapping[str, str] | None = None,
+    fmt: str = "parquet",
+) -> Statistics:
+    """The statistics table landed at `fact` (ContentsCode, Produk2, Tid, value) and the code lists landed
+    at labels[variable] (values, valueTexts), as parquet or CSV with a header."""
+    lists = {v: read_flat(spark, path, schemas.STAT_LABELS, fmt) for v, path in (labels or {}).items()}
+    return Statistics(read_flat(spark, fact, schemas.STAT_FACT, fmt), lists)
+
 
 def select_codes(fact: DataFrame, codes: Mapping[str, Sequence[str] | str | bool]) -> DataFrame:
     """Keep the requested codes of each variable; True keeps all of them."""

@@ -7,20 +7,14 @@ quantities are whole numbers and money is summed as decimal.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tailrace.functions import hour_timestamp, month_start
 from tailrace.operators.hydro_share import CONTENTS, HYDRO, TOTAL
-from tailrace.plans.tables import written
 from tailrace.sources.feeds import Feeds
 from tailrace.sources.regions import join_regions, region_dimension
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
 DATE_SHIFT_DAYS = 9497  # 1995-01-01 becomes 2021-01-01
 
 
@@ -34,53 +28,52 @@ class Warehouse:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}.parquet"
-        if path not in _SCHEMAS:  # reading a schema takes a job
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if name not in self._tables:  # reading a schema takes a job
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def zones(self) -> DataFrame:
         """nation key -> zone of its sales region."""
         return self.table("nation").select("n_nationkey", _zone("n_regionkey").alias("zone"))
 
     def shipped(self) -> DataFrame:
-        """Quantity and money per day and zone, with the region's name."""
+        """Quantity and money per day and zone, with the region's name. Lines collapse to one row per
+        supplier and day before they meet the supplier, so a hot supplier weighs no more than others."""
+        sold = self.table("lineitem").groupBy("l_suppkey", shifted(F.col("l_shipdate")).alias("date"))
         days = (
-            self.table("lineitem")
-            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(self.zones(), F.col("s_nationkey") == F.col("n_nationkey"))
-            .groupBy(shifted(F.col("l_shipdate")).alias("date"), "zone")
-            .agg(
+            sold.agg(
                 F.sum("l_quantity").alias("mwh"),
                 F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("money"),
             )
+            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self.zones(), F.col("s_nationkey") == F.col("n_nationkey"))
+            .groupBy("date", "zone")
+            .agg(F.sum("mwh").alias("mwh"), F.sum("money").alias("money"))
         )
         names = self.table("region").select(
             _zone("r_regionkey").alias("zone"), F.col("r_name").alias("name")
         )
         return days.join(names, "zone")
 
-    @cached_property
-    def landed_shipped(self) -> DataFrame:
-        return written(self.shipped(), "shipped")
-
     def production(self, shipped: DataFrame | None = None) -> DataFrame:
         shipped = self.shipped() if shipped is None else shipped
         return _with_total_zone(shipped.select("date", "zone", "mwh"))
 
     def consumption(self) -> DataFrame:
         """Quantities collapse to one row per order before they meet the order, on the same
-        partitioning, so an order with very many lines weighs no more than any other."""
+        partitioning, and to one per customer and day before they meet the customer, so neither an
+        order with very many lines nor a hot customer weighs more than any other."""
         lines = self.table("lineitem")
         quantity = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("mwh"))
         sold = (
             quantity.join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy("o_custkey", shifted(F.col("o_orderdate")).alias("date"))
+            .agg(F.sum("mwh").alias("mwh"))
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.zones(), F.col("c_nationkey") == F.col("n_nationkey"))
-            .withColumn("date", shifted(F.col("o_orderdate")))
         )
         return _with_total_zone(sold.groupBy("date", "zone").agg(F.sum("mwh").alias("mwh")))
 
@@ -95,8 +88,8 @@ class Warehouse:
         )
 
     def daily(self) -> Feeds:
-        """All daily feeds. Two of them come from the same lines, which are read once."""
-        shipped = self.landed_shipped
+        """All daily feeds. Two of them come from the same lines; in one plan they share that exchange."""
+        shipped = self.shipped()
         return Feeds(self.production(shipped), self.consumption(), self.prices(shipped))
 
     def statistics(self) -> DataFrame:
@@ -117,10 +110,6 @@ class Warehouse:
             F.lit(CONTENTS).alias("ContentsCode"), "Produk2", "Tid", "value"
         )
 
-    @cached_property
-    def landed_statistics(self) -> DataFrame:
-        return written(self.statistics(), "statistics")
-
     def hourly_cells(self) -> DataFrame:
         """Event value per hour and event type, with the hour as text."""
         start = F.hour("ts")
@@ -149,8 +138,8 @@ class Warehouse:
         )
 
     def hourly(self) -> Feeds:
-        """Hour-grain feeds without a detour over documents; the events are read once."""
-        cells = written(self.hourly_cells(), "cells")
+        """Hour-grain feeds without a detour over documents; in one plan they share one exchange."""
+        cells = self.hourly_cells()
 
         def power(value: str) -> DataFrame:
             return cells.filter(F.col(value).isNotNull()).select(

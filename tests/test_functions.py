@@ -35,12 +35,6 @@ def test_ratio_by_zero_is_null(spark):
     assert got == [(0.5,), (None,), (None,), (None,)]
 
 
-def test_across_names_column_and_function(spark):
-    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
-    made = fn.across(["a", "b"], {"twice": lambda c: c * 2, "neg": lambda c: -c})
-    assert df.withColumns(made).select("a_twice", "a_neg", "b_twice", "b_neg").first() == (2, -1, 4, -2)
-
-
 def test_area_code(spark):
     rows = [("Vest-Norge (NO5)",), ("NO12 and NO3",), ("Norge",), (None,)]
     assert values(spark, rows, "x string", fn.area_code(F.col("x"))) == [("no5",), ("no12",), (None,), (None,)]

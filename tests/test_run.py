@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 from pathlib import Path
 
 import duckdb
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from compare import difference
 from tailrace import schemas
 from tailrace.__main__ import main
-from tailrace.operators.scenarios import GRID_SLICE, Scenario, expand_grid, published_grid
+from tailrace.operators.scenarios import Scenario, expand_grid, published_grid
 from tailrace.plans import RevenueRun
 from tailrace.plans.job import run_job
 from tailrace.plans.sinks import write_csv, write_json
@@ -149,25 +150,77 @@ def test_grid_in_slices(spark, monkeypatch):
     feeds, statistics, _ = fixture(spark, DAYS, 6)
     scenarios = published_grid(freq=["daily"], na_rm=[True, False])
     whole = RevenueRun(spark, {"daily": feeds}, statistics, scenarios, AS_OF, measures=[]).weekly().toPandas()
-    assert GRID_SLICE > len(scenarios)
-    monkeypatch.setattr("tailrace.operators.scenarios.GRID_SLICE", 5)
+    monkeypatch.setattr("tailrace.operators.scenarios.SLICE", 5)
     sliced = RevenueRun(spark, {"daily": feeds}, statistics, scenarios, AS_OF, measures=[]).weekly().toPandas()
     assert difference(rounded_frame(sliced), rounded_frame(whole)) is None
 
 
-def rounded_frame(frame):
-    return frame.round(4)
+def operators(text):
+    """Names of a plan's operators, without what tells one run from another."""
+    names = [re.sub(r"\(\d+\)", "", line.strip(" +-:*")).split("[")[0].split(" ")[0] for line in text.splitlines()]
+    return [n for n in names if n and n not in ("Relation", "LocalTableScan", "Scan", "Project")]
+
+
+def test_grid_of_any_length_has_one_plan(spark):
+    feeds, statistics, _ = fixture(spark, DAYS, 6)
+    many = [f"{i / 1000}" for i in range(50_000)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = []
+        for grid in (
+            published_grid(freq=["daily"]),
+            published_grid(freq=["daily"], param_price_baseline=list(map(float, many)), param_prop_hushold=[0.1, 0.2, 0.3]),
+        ):
+            run = RevenueRun(spark, {"daily": feeds}, statistics, grid, AS_OF, measures=[])
+            plans.append((operators(plan(run.regional())), operators(plan(run.weekly()))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans[0] == plans[1]
+    assert plans[0][0].count("Window") == 1
+
+
+def test_groups_are_unique(spark):
+    with pytest.raises(ValueError, match="'1'"):
+        RevenueRun(spark, {"daily": None}, None, [Scenario(), Scenario(na_rm=True)])
+
+
+def test_many_start_dates_move_facts_once(spark):
+    feeds, statistics, _ = fixture(spark, DAYS, 6)
+    starts = [f"2021-{m:02d}-{d:02d}" for m in range(1, 11) for d in (1, 15)]
+    run = RevenueRun(spark, {"daily": feeds}, statistics, expand_grid(start_date=starts), AS_OF, measures=[])
+    text = plan(run.regional())
+    exchange = next(i for i, line in enumerate(text.splitlines()) if "REPARTITION_BY_COL" in line)
+    below = text.splitlines()[exchange + 1 :]
+    assert not any("Generate" in line for line in below)
+    assert text.count("REPARTITION_BY_COL") == 1
 
 
-def test_large_grid_spreads_sums(spark, monkeypatch):
+def test_one_date_for_a_run(spark):
     feeds, statistics, _ = fixture(spark, DAYS, 6)
-    scenarios = published_grid(freq=["daily"])
-    run = RevenueRun(spark, {"daily": feeds}, statistics, scenarios, AS_OF, measures=[])
-    few = run.minimal().toPandas()
-    monkeypatch.setattr("tailrace.plans.run.LARGE_GRID", 6)
-    weekly = run.weekly()
-    assert "REPARTITION_BY_NUM" in plan(weekly)
-    assert difference(rounded_frame(run.minimal().toPandas()), rounded_frame(few)) is None
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    run = RevenueRun(spark, {"daily": feeds}, statistics, [Scenario(start_date="2021-01-01")])
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Kiritimati")
+        run.months.count()
+        first = run.regional().count(), run.latest().count()
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Pago_Pago")
+        assert (run.regional().count(), run.latest().count()) == first
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_close_leaves_nothing(spark):
+    feeds, statistics, _ = fixture(spark, DAYS, 6)
+    with RevenueRun(spark, {"daily": feeds}, statistics, published_grid(freq=["daily"]), AS_OF) as run:
+        assert run.minimal().count()
+        paths = [Path(p.removeprefix("file:")) for group in run.tables.paths.values() for p in group]
+        assert paths and all(p.exists() for p in paths)
+    assert not any(p.exists() for p in paths)
+
+
+def rounded_frame(frame):
+    return frame.round(4)
 
 
 def test_no_rows_keep_the_schema(spark):
@@ -245,7 +298,7 @@ def test_csv_and_json_files(spark, tmp_path):
     assert lines[1:] == ["1,TRUE,2022-01-01T05:00:00Z,1.123456,NA", "2,FALSE,NA,NA,Norge"]
     objects = [json.loads(x) for x in next((tmp_path / "json").glob("part-*")).read_text().splitlines()]
     assert objects == [
-        {"group": "1", "na.rm": True, "date": "2022-01-01 05:00:00", "en.staten.spot": 1.1235},
+        {"group": "1", "na.rm": True, "date": "2022-01-01 05:00:00", "en.staten.spot": 1.123456},
         {"group": "2", "na.rm": False, "region.name": "Norge"},
     ]
 

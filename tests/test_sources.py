@@ -1,10 +1,19 @@
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 
 from tailrace import schemas
-from tailrace.sources import documents, label_codes, load_feeds, metadata_long, region_dimension
+from tailrace.sources import (
+    documents,
+    label_codes,
+    load_feeds,
+    metadata_long,
+    read_statistics,
+    region_dimension,
+)
+from tailrace.sources.flat import read_flat
 from tailrace.sources.regions import distinct_regions, join_regions
 
 
@@ -89,18 +98,57 @@ def test_hourly_documents(spark, tmp_path):
 
 
 def test_flat_files(spark, tmp_path):
-    (tmp_path / "power.csv").write_text("date,zone,MWh\n2020-01-01,NO1,47933\n2020-01-02,NO,NaN\n2020-01-03,NO2,\n")
+    (tmp_path / "power.csv").write_text("date,zone,MWh\n2021-05-01,NO1,1234.5\n2021-05-02,NO,NaN\n2021-05-03,NO2,\n")
     (tmp_path / "prices.csv").write_text(
-        "name,displayName,value,date,region\noslo,Sørøst-Norge (NO1),24.14,2013-01-01,no1\n"
+        "name,displayName,value,date,region\noslo,Sørøst-Norge (NO1),31.75,2019-02-03,no1\n"
     )
     paths = {"production": f"{tmp_path}/power.csv", "consumption": f"{tmp_path}/power.csv", "prices": f"{tmp_path}/prices.csv"}
     feeds = load_feeds(spark, "daily", paths, fmt="csv")
-    assert [r.mwh for r in feeds.production.orderBy("date").collect()] == [47933.0, None, None]
+    assert [r.mwh for r in feeds.production.orderBy("date").collect()] == [1234.5, None, None]
     assert rows(feeds.prices, "date", "name", "display_name", "region", "value") == [
-        (dt.date(2013, 1, 1), "oslo", "Sørøst-Norge (NO1)", "no1", 24.14)
+        (dt.date(2019, 2, 3), "oslo", "Sørøst-Norge (NO1)", "no1", 31.75)
     ]
 
 
+def test_broken_documents_stop_the_read(spark, tmp_path):
+    good = {"items": [{"date": "2022-01-01", "zone": "NO1", "MWh": 3.0}]}
+    path = land(tmp_path, "pro", good, good)
+    assert documents.daily_power(documents.read_documents(spark, path, schemas.DAILY_ITEMS_JSON)).count() == 2
+    broken = next(Path(path).glob("*.json"))
+    broken.write_text(json.dumps(good)[:-12])
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        documents.daily_power(documents.read_documents(spark, path, schemas.DAILY_ITEMS_JSON)).collect()
+
+
+@pytest.mark.parametrize(
+    "parse, schema, doc, name",
+    [
+        (documents.daily_power, "DAILY_ITEMS_JSON", {"itmes": []}, "items"),
+        (documents.hourly_power, "HOURLY_ITEMS_JSON", {"itmes": []}, "items"),
+        (documents.daily_prices, "DAILY_PRICES_JSON", {"historic": {"dates": []}}, "historic.prices"),
+        (documents.hourly_price_cells, "HOURLY_PRICES_JSON", {"columns": ["date"]}, "rows"),
+    ],
+)
+def test_documents_without_their_array_stop_the_read(spark, tmp_path, parse, schema, doc, name):
+    raw = documents.read_documents(spark, land(tmp_path, "x", doc), getattr(schemas, schema))
+    with pytest.raises(Exception, match=f"no {name}"):
+        parse(raw).collect()
+
+
+def test_other_header_stops_the_read(spark, tmp_path):
+    (tmp_path / "power.csv").write_text("zone,date,MWh\nNO1,2021-05-01,7\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_flat(spark, f"{tmp_path}/power.csv", schemas.POWER_CSV).collect()
+
+
+def test_landed_statistics(spark, tmp_path):
+    (tmp_path / "fact.csv").write_text("ContentsCode,Produk2,Tid,value\nKraft,01,2021M01,5\nKraft,99,2021M01,1\n")
+    (tmp_path / "products.csv").write_text("values,valueTexts\n01,Total\n")
+    landed = read_statistics(spark, f"{tmp_path}/fact.csv", {"Produk2": f"{tmp_path}/products.csv"}, "csv")
+    assert landed.fact.count() == 2
+    assert [tuple(r) for r in landed.labelled().collect()] == [("Kraft", "01", "Total", "2021M01", 5.0)]
+
+
 def test_frequency_is_checked(spark):
     with pytest.raises(ValueError, match="freq = weekly is not supported"):
         load_feeds(spark, "weekly", {})
