@@ -129,7 +129,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     gone = gone.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     tables.drop("sent")
     match = documents["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(documents["text"]) == gone["__hash"])
-    rows = documents.join(gone, match, "left").select(*names, "__gone")
+    # The lists have no size bound, so they are never broadcast: texts move once at any size.
+    rows = documents.join(gone.hint("merge"), match, "left").select(*names, "__gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
