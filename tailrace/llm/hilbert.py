@@ -27,7 +27,7 @@ from tailrace.plans.tables import Tables
 BITS = 4
 SHARDS = 16
 # Rows that are ordered together.
-SLICE_ROWS = 4_096
+SLICE_ROWS = 512
 
 
 def with_curve(df: DataFrame, point: list[str], bits: int = BITS) -> DataFrame:
