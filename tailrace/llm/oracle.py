@@ -1,5 +1,120 @@
-"""SQL (DuckDB) that gives the rows of the queries, for those that SQL can express."""
+"""SQL (DuckDB) that gives the rows of the queries, for those that SQL can express.
+
+The others (checksums of CRC-32, models, edit distance, rendering, content-defined chunks, byte strings of
+whole texts) are tested against brute force on small tables.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+# reach: (node, other) for all nodes that a path of links connects; links has both directions.
+REACH = """reach(node, other) AS (
+  SELECT a, b FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)"""
+
+OP1 = f"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM words),
+entries AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM entries x JOIN entries y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+{REACH}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
+  least(doc_id, coalesce((SELECT min(other) FROM reach WHERE node = doc_id), doc_id)) AS component_id FROM sets"""
+
+OP5 = f"""WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+{REACH},
+found AS (
+  SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
+    least(vec_id, coalesce((SELECT min(other) FROM reach WHERE node = vec_id), vec_id)) AS component_id FROM embeddings)
+SELECT *, vec_id = component_id AS kept FROM found"""
+
+URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)([^?]*)\??(.*)$"
+
+OP7 = f"""WITH bare AS (SELECT page_id, html, regexp_replace(trim(url), '(?s)#.*$', '') AS bare FROM pages),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '{URL}', 1)), '^www\\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(bare, '{URL}', 2), '/+$', '') AS path,
+    list_sort([x FOR x IN string_split(regexp_extract(bare, '{URL}', 3), '&') IF x <> '' AND NOT starts_with(x, 'utm_')])
+      AS fields FROM bare),
+records AS (
+  SELECT page_id, CASE WHEN regexp_matches(bare, '{URL}')
+      THEN host || path || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END
+    WHEN bare <> '' THEN bare END AS place,
+    '"' || md5(html) || '"' AS tag, 'day ' || page_id // 100 AS changed, md5(html) AS digest, strlen(html) AS size,
+    page_id + CASE WHEN page_id % 13 = 0 THEN -1000 ELSE 1000 END AS moment FROM parts),
+found AS (
+  SELECT v.page_id, v.place, v.moment, v.tag, v.changed, max(r.page_id) AS response FROM records v
+  LEFT JOIN records r ON r.place = v.place AND r.page_id < v.moment GROUP BY ALL),
+judged AS (
+  SELECT f.*, r.digest, r.size, CASE WHEN response IS NULL THEN 'no_earlier_response'
+    WHEN f.page_id % 77 = 0 THEN 'no_validator'
+    WHEN CASE WHEN f.page_id % 11 <> 0 THEN f.page_id % 7 <> 0 AND f.tag = r.tag ELSE f.changed = r.changed END
+      THEN 'resolved' ELSE 'validator_mismatch' END AS outcome
+  FROM found f LEFT JOIN records r ON r.page_id = f.response)
+SELECT page_id * 2 + 1 AS record_id, place AS canonical_url, moment AS captured, response * 2 AS response_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN digest END AS digest,
+  CASE WHEN outcome = 'resolved' THEN 'content-length: ' || size || '; content-type: text/html; date: moment '
+    || moment || '; x-cache: hit' END AS headers
+FROM judged"""
+
+
+def _fills(count: int) -> str:
+    """Each fill takes, per source, the largest document left out that fits what is left."""
+    steps = []
+    for i in range(count):
+        before = f"fill{i - 1}" if i else "chosen"
+        steps.append(
+            f"""pick{i} AS (
+  SELECT source, arg_max(struct_pack(doc_id, size), struct_pack(size, h)) AS best FROM (
+    SELECT c.*, rest - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY source) AS remaining FROM {before} c)
+  WHERE NOT more AND size > 0 AND size <= remaining GROUP BY source),
+fill{i} AS (
+  SELECT c.* REPLACE (more OR coalesce(c.doc_id = p.best.doc_id, false) AS more) FROM {before} c
+  LEFT JOIN pick{i} p ON c.source IS NOT DISTINCT FROM p.source)"""
+        )
+    return ",\n".join(steps)
+
+
+OP9 = f"""WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+    md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 3 * source_size AS cap,
+    CAST(sum(source_size) OVER () AS BIGINT) AS total FROM sources),
+levels AS (
+  SELECT *, CAST(total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n,
+    CAST(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS d
+  FROM weighed),
+level AS (SELECT arg_max(struct_pack(n, d), n / d) AS best FROM levels),
+targets AS (
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), best.n * w / best.d) AS target FROM weighed, level),
+planned AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS copies,
+    CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) % source_size ELSE 0 END AS rest FROM targets),
+chosen AS (
+  SELECT s.*, source_size, target, copies, rest, size > 0
+    AND sum(size) OVER (PARTITION BY s.source ORDER BY h, size, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS more
+  FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source),
+{_fills(3)}
+SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM fill2"""
+
+ORACLES: dict[str, str] = {
+    "op1_jaccard_join": OP1,
+    "op5_metric_join": OP5,
+    "op7_revisits": OP7,
+    "op9_mixture": OP9,
+}
