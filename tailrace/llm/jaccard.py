@@ -12,7 +12,10 @@ sets have that room at the first shingle they share.
 
 Equal sets are joined as one. Within a list all sets first meet the one with most room, and only sets that
 these links leave in different components meet pair by pair; sets that are connected need no further
-links, so lists of many near copies stay linear. Every meeting is verified on the whole sets.
+links, so lists of many near copies stay linear. Every meeting is verified on the whole sets, after
+sketches have ruled out most: a set's sketch holds, for each of at least 2 |x| slots of the hashes, whether
+an odd number of its shingles fall there. Slots in which two sketches differ each hold a shingle that one
+set has alone, so linked sets differ in at most (|x| + |y|) / 7 slots.
 
 The order by frequency needs only the frequent shingles: those seen twice in a task's texts are summed
 over all tasks, and the most frequent ORDERED of them are sent to the tasks; the others come first. Any
@@ -44,7 +47,7 @@ LARGEST_LIGHT = 32
 HELD = 1 << 20  # shingles or prefix entries that a task holds before it sends them out
 FILTER_BITS = 25
 
-COUNTED = "kind int, doc_id long, set_id long, n int, shingle long, number long"
+COUNTED = "kind int, doc_id long, set_id long, n int, shingle long, number long, sketch binary"
 PACKED = "slot int, entry binary, owner binary, place binary, set_id binary, n binary"
 MEETING = "entry long, pair boolean, set_id long, n int, place int"
 SET = "set_id long, n int, shingles binary"
@@ -68,32 +71,62 @@ def _sets(column: pa.Array) -> Iterator[tuple]:
         yield run.first, n, ids, text, value
 
 
+def _sketches(n: np.ndarray, text: np.ndarray, value: np.ndarray) -> list[bytes]:
+    """Odd slots of each text's shingles, as bits; the slots are a power of two, by the low bits of hashes."""
+    slots = np.array([max(8, 1 << int(2 * x - 1).bit_length()) if x else 0 for x in n.tolist()], np.int64)
+    stop = np.cumsum(slots)
+    spot = (value & (slots[text] - 1).astype(np.uint64)).astype(np.int64) + (stop - slots)[text]
+    bits = np.packbits((np.bincount(spot, minlength=int(slots.sum())) & 1).astype(np.uint8))
+    return [bits[a // 8 : b // 8].tobytes() for a, b in zip(stop - slots, stop)]
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Slots in which two sketches differ; the longer one is folded to the length of the other."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = batch["n"].to_numpy() + batch["m"].to_numpy()
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (x, y) in enumerate(zip(batch["x"], batch["y"])):
+            keep[i] = 7 * _differing(*(np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))) <= n[i]
+        kept = batch.filter(pa.array(keep))
+        yield kept.select(["a", "b", "first_a", "first_b"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a document's set; 1: a shingle of several of the task's sets; 2: of sets of n shingles, the
     number and (as shingle) how many other sets stand in their lists."""
 
     def batch_of(kind, *columns) -> pa.RecordBatch:
         size = max(len(c) for c in columns if c is not None)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         arrays = [pa.nulls(size, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)]
-        names = ["kind", "doc_id", "set_id", "n", "shingle", "number"]
+        names = ["kind", "doc_id", "set_id", "n", "shingle", "number", "sketch"]
         return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *arrays], names)
 
     def lists(held: list) -> Iterator[pa.RecordBatch]:
         value, size = (np.concatenate(x) for x in zip(*held))
         found, where, number = np.unique(value, return_inverse=True, return_counts=True)
         often = number > 1
-        yield batch_of(1, None, None, None, signed(found[often]), number[often])
+        yield batch_of(1, None, None, None, signed(found[often]), number[often], None)
         small = size <= LARGEST_LIGHT
         others = np.bincount(size[small], number[where[small]] - 1, LARGEST_LIGHT + 1)
         sets = np.bincount(size[small], 1 / size[small], LARGEST_LIGHT + 1)
         known = np.flatnonzero(sets)
-        yield batch_of(2, None, None, known, others[known].astype(np.int64), np.rint(sets[known]).astype(np.int64))
+        size = np.rint(sets[known]).astype(np.int64)
+        yield batch_of(2, None, None, known, others[known].astype(np.int64), size, None)
 
     held, total, seen = [], 0, set()
     for batch in batches:
         for first, n, ids, text, value in _sets(batch["text"]):
-            yield batch_of(0, batch["doc_id"].slice(first, len(n)), signed(ids), n, None, None)
+            rows = batch["doc_id"].slice(first, len(n))
+            yield batch_of(0, rows, signed(ids), n, None, None, _sketches(n, text, value))
             fresh = _fresh(ids, seen)
             own = fresh[text]
             held.append((value[own], n[text[own]]))
@@ -230,16 +263,22 @@ def _room(a: str, b: str, heavy: int) -> str:
     )
 
 
+def _mark(set_id: np.ndarray, doc_id: np.ndarray, bits: int) -> np.ndarray:
+    """Bit of a set in the document that stands for it."""
+    return mixed(set_id ^ mixed(doc_id)) >> np.uint64(64 - bits)
+
+
 def _needed_sets(marks: np.ndarray, bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            doc_id = batch["doc_id"].fill_null(0).to_numpy().view(np.uint64)
             seen: set = set()
-            for _, n, ids, text, value in _sets(batch["text"]):
-                slot = ids >> np.uint64(64 - bits)
+            for first, n, ids, text, value in _sets(batch["text"]):
+                slot = _mark(ids, doc_id[first : first + len(n)], bits)
                 wanted = ((marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0) & (n > 0)
-                wanted &= _fresh(ids, seen)
-                stop = np.cumsum(n)
                 rows = np.flatnonzero(wanted)
+                rows = rows[_fresh(ids[rows], seen)]
+                stop = np.cumsum(n)
                 data = [value[stop[i] - n[i] : stop[i]].tobytes() for i in rows]
                 columns = [pa.array(signed(ids[rows])), pa.array(n[rows].astype(np.int32)), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["set_id", "n", "shingles"])
@@ -258,22 +297,44 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], ["a", "b"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """The pairs (a, b) of set ids that link. Only sets that occur in pairs are read whole: a bitmap of at most
-    2 ** FILTER_BITS bits tells the tasks which; sets that share a bit with one are sent and fall out."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    bits = min(FILTER_BITS, max(16, ids.count().bit_length() + 4))
-    slot = ids.select(F.shiftrightunsigned("id", 64 - bits).cast("int").alias("slot")).distinct()
-    slot = slot.toPandas()["slot"].to_numpy(np.int64)  # at most 2 ** FILTER_BITS numbers
+def verified(pairs: DataFrame, counted: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The pairs (a, b) of set ids that link. Sketches rule out most; of what is left the sets are read whole,
+    each from one document: a bitmap of at most 2 ** FILTER_BITS bits tells the tasks which."""
+    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    known = counted.where("kind = 0").join(ids, "set_id", "left_semi").groupBy("set_id")
+    known = known.agg(
+        F.any_value("n").alias("n"), F.coalesce(F.min("doc_id"), F.lit(0)).alias("first"), F.any_value("sketch").alias("sketch")
+    )
+    known = tables.write(known, f"{name}-sketches")
+    x = known.select(F.col("set_id").alias("a"), "n", F.col("first").alias("first_a"), F.col("sketch").alias("x"))
+    y = known.select(F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("first").alias("first_b"), F.col("sketch").alias("y"))
+    left = pairs.join(x, "a").join(y, "b").select("a", "b", "first_a", "first_b", "n", "m", "x", "y")
+    left = tables.write(left.mapInArrow(_possible, "a long, b long, first_a long, first_b long"), f"{name}-possible")
+    ids = left.select(F.col("a").alias("set_id"), F.col("first_a").alias("first"))
+    ids = ids.union(left.select("b", "first_b")).distinct()
+    bits = min(FILTER_BITS, max(16, ids.count().bit_length() + 8))
+    slot = _bits(ids, bits)
     marks = np.zeros(1 << (bits - 3), np.uint8)
     np.bitwise_or.at(marks, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    sets = texts.select("text").mapInArrow(_needed_sets(marks, bits), SET)
-    sets = sets.join(ids.withColumnRenamed("id", "set_id"), "set_id", "left_semi")
-    sets = tables.write(sets.groupBy("set_id").agg(F.any_value("shingles").alias("shingles")), f"{name}-sets")
+    sets = tables.write(texts.mapInArrow(_needed_sets(marks, bits), SET), f"{name}-sets")
+    sets = sets.dropDuplicates(["set_id"])
     x = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return tables.write(both.mapInArrow(_verified, "a long, b long"), f"{name}-links")
+    both = left.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    links = tables.write(both.mapInArrow(_verified, "a long, b long"), f"{name}-links")
+    tables.drop(f"{name}-sketches", f"{name}-possible", f"{name}-sets")
+    return links
+
+
+def _bits(ids: DataFrame, bits: int) -> np.ndarray:
+    """The bits to mark, each at most once: at most 2 ** FILTER_BITS numbers reach the driver."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _mark(*(batch[c].to_numpy().view(np.uint64) for c in ("set_id", "first")), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32))], ["slot"])
+
+    return ids.mapInArrow(marked, "slot int").distinct().toPandas()["slot"].to_numpy(np.int64)
 
 
 def frequent_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +375,7 @@ def join_sets(documents: DataFrame, tables: Tables) -> tuple[DataFrame, DataFram
     met = a.join(b, F.expr(f"a.entry = b.entry AND a.pair = b.pair AND a.set_id <> b.set_id AND {_room('a', 'b', heavy)}"))
     met = met.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b"))
     stars = tables.write(met.distinct(), "stars")
-    links = verified(stars, texts, tables, "stars")
+    links = verified(stars, counted, texts, tables, "stars")
     parts = components(links, tables, "parts")
     # Sets of a list that are still apart meet pair by pair.
     part = F.coalesce("component", "set_id").alias("part")
@@ -329,8 +390,8 @@ def join_sets(documents: DataFrame, tables: Tables) -> tuple[DataFrame, DataFram
     )
     met = met.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
     rest = tables.write(met.join(stars, ["a", "b"], "left_anti"), "rest")
-    links = links.union(verified(rest, texts, tables, "rest"))
-    tables.drop("meetings", "marked", "stars-sets", "rest-sets")
+    tables.drop("meetings", "marked")
+    links = links.union(verified(rest, counted, texts, tables, "rest"))
     return counted.where("kind = 0").select("doc_id", "set_id", "n"), links
 
 
