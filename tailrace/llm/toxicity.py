@@ -71,16 +71,27 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     return texts.select("label", "text").mapInArrow(_training_words, "label int, words binary")
 
 
-def graded(toxic: np.ndarray, rows: np.ndarray, columns: np.ndarray, words: int) -> np.ndarray:
-    """Grade 0 for clean texts, 1 to 3 for toxic ones by their number of telling words."""
-    among_toxic = np.bincount(columns[toxic[rows] > 0], minlength=words) + 0.5
-    among_clean = np.bincount(columns[toxic[rows] == 0], minlength=words) + 0.5
-    odds = (among_toxic / max(toxic.sum(), 1)) / (among_clean / max((toxic == 0).sum(), 1))
-    telling = np.bincount(rows[(odds > 4)[columns]], minlength=len(toxic))
+def _evidence(toxic: np.ndarray, rows: np.ndarray, columns: np.ndarray, words: int) -> np.ndarray:
+    """By word, the log-likelihood ratio (G) of its texts being toxic more often than others; 0 where they
+    are not."""
+    seen = np.bincount(columns, minlength=words)
+    hits = np.bincount(columns[toxic[rows]], minlength=words)
+    rate = np.clip(toxic.mean() if len(toxic) else 0.5, 1e-9, 1 - 1e-9)
+    share = hits / np.maximum(seen, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(hits > 0, hits * np.log(share / rate), 0)
+        gain += np.where(hits < seen, (seen - hits) * np.log((1 - share) / (1 - rate)), 0)
+    return np.where(share > rate, 2 * gain, 0)
+
+
+def graded(toxic: np.ndarray, telling: np.ndarray) -> np.ndarray:
+    """Grade 0 for clean texts, 1 to 3 for toxic ones by their number of telling words. telling: the text
+    of each telling word."""
+    count = np.bincount(telling, minlength=len(toxic))
     grade = np.zeros(len(toxic), int)
     if toxic.any():
-        cuts = np.quantile(telling[toxic > 0], [1 / 3, 2 / 3])
-        grade[toxic > 0] = 1 + (telling[toxic > 0][:, None] > cuts).sum(1)
+        cuts = np.quantile(count[toxic], [1 / 3, 2 / 3])
+        grade[toxic] = 1 + (count[toxic][:, None] > cuts).sum(1)
     return grade
 
 
@@ -88,44 +99,53 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(sample: DataFrame, least_rows: int = 5, penalty: float = 4e-5, steps: int = 400) -> SeverityModel:
-    """Fit by proximal gradient steps; the penalty on the weights' size leaves most words without one.
+def fit(sample: DataFrame, least_rows: int = 4, penalty: float = 1e-6, steps: int = 4_000) -> SeverityModel:
+    """Weights for the words whose evidence stands out among that of all words, by proximal gradient steps.
 
     sample: (label, words) as of training_sample(), at most TRAINING_ROWS rows. Labels of 0 and 1
-    are graded, others are taken as grades.
+    are graded, others are taken as grades. Texts with the same words count once.
     """
-    held = sample.collect()
-    label = np.array([r.label for r in held], int)
-    sets = [np.frombuffer(r.words, np.uint64) for r in held]
+    held: dict[bytes, int] = {}
+    for r in sample.collect():
+        held[bytes(r.words)] = max(r.label, held.get(bytes(r.words), 0))
+    label = np.array(list(held.values()), int)
+    sets = [np.frombuffer(x, np.uint64) for x in held]
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     words, columns, seen = np.unique(
         np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True
     )
-    keep = seen >= least_rows
-    rows, columns = rows[keep[columns]], (np.cumsum(keep) - 1)[columns[keep[columns]]]
-    words = words[keep]
+    standing = 3 * np.log(max(int((seen >= least_rows).sum()), 3))
+    keep = (_evidence(label > 0, rows, columns, len(words)) > standing) & (seen >= least_rows)
+    telling = keep[columns]
+    rows, columns = rows[telling], (np.cumsum(keep) - 1)[columns[telling]]
     top = int(label.max(initial=0))
-    grade = label if top > 1 else graded(label, rows, columns, len(words))
-    levels = max(top + 1, GRADES)
-    above = (grade[:, None] >= np.arange(1, levels)).astype(float)
-    n = max(len(grade), 1)
-    thresholds = np.linspace(1.0, 2.0, levels - 1)
-    weights = np.zeros(len(words))
-    rate = np.sqrt(np.bincount(columns, minlength=len(words)) / n + 1e-9)  # so that rare words keep pace
+    grade = label if top > 1 else graded(label > 0, rows)
+    above = (grade[:, None] >= np.arange(1, max(top + 1, GRADES))).astype(float)
+    weights, thresholds = np.zeros(int(keep.sum())), np.linspace(1.0, 2.0, above.shape[1])
+    weights, thresholds = _descend(rows, columns, above, weights, thresholds, steps, penalty)
+    used = weights > 0
+    return SeverityModel(words[keep][used], weights[used], thresholds)
+
+
+def _descend(rows, columns, above, weights, thresholds, steps: int, penalty: float):
+    """Accelerated proximal gradient steps. Weights stay at 0 or above: a word never lowers a severity, so
+    harmless words cannot hide others, and a text without words has the least."""
+    n, size = max(len(above), 1), len(weights)
+    share = np.bincount(columns, minlength=size) / n + 1e-9
+    crowd = np.quantile(np.bincount(rows, minlength=n), 0.99) if len(rows) else 1.0
+    rate = 4 / (above.shape[1] * share * max(crowd, 1.0))
     momentum_w, momentum_t = weights.copy(), thresholds.copy()
-    for step in range(1, steps + 1 if len(grade) else 1):
-        score = np.bincount(rows, momentum_w[columns], minlength=len(grade))
+    for step in range(1, steps + 1 if len(above) else 1):
+        score = np.bincount(rows, momentum_w[columns], minlength=len(above))
         slack = _sigmoid(score[:, None] - momentum_t) - above
-        size = 0.5 / rate / (levels - 1)
-        new = momentum_w - size * np.bincount(columns, slack.sum(1)[rows], minlength=len(words)) / n
-        new = np.sign(new) * np.maximum(np.abs(new) - size * penalty, 0)
+        slope = np.bincount(columns, slack.sum(1)[rows], minlength=size) / n
+        new = np.maximum(momentum_w - rate * (slope + penalty), 0)
         bars = np.maximum.accumulate(momentum_t + 2.0 * slack.mean(0))
-        push = (step - 1) / (step + 2)
-        momentum_w, momentum_t = new + push * (new - weights), bars + push * (bars - thresholds)
-        momentum_t = np.maximum.accumulate(momentum_t)
+        push = (step - 1) / (step + 2) if step % 100 else 0.0
+        momentum_w = np.maximum(new + push * (new - weights), 0)
+        momentum_t = np.maximum.accumulate(bars + push * (bars - thresholds))
         weights, thresholds = new, bars
-    used = weights != 0
-    return SeverityModel(words[used], weights[used], thresholds)
+    return weights, thresholds
 
 
 def score(documents: DataFrame, model: SeverityModel) -> DataFrame:
