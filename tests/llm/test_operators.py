@@ -1,0 +1,445 @@
+"""The operators against brute force on small tables, with nulls, empty and repeated rows."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tailrace.llm import (
+    bytewise,
+    chunks,
+    components,
+    decontamination,
+    grouping,
+    hilbert,
+    jaccard,
+    metric,
+    mixture,
+    revisits,
+    substrings,
+    toxicity,
+)
+from tailrace.plans.tables import Tables
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows, parts=3):
+    """Rows of (doc_id, text) or (doc_id, text, source)."""
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "a", len(r[1] or "")) for r in rows]
+    return spark.createDataFrame(full, DOCUMENT).repartition(parts)
+
+
+# Helpers ------------------------------------------------------------------------------------
+
+
+def test_words_and_shingles():
+    import pyarrow as pa
+
+    texts = ["  One two\tTHREE ", None, "", "x", "é ü\none two three four five"]
+    (run,) = bytewise.runs(pa.array(texts))
+    begin, end, at = run.words(bytewise.white_space())
+    words = [[run.bytes[b:e].tobytes().decode() for b, e in zip(begin[i:j], end[i:j])] for i, j in zip(at, at[1:])]
+    assert words == [(t or "").split() for t in texts]
+    hashes = run.hashes(begin, end, fold=True)
+    assert hashes[0] == hashes[6] and hashes[2] == hashes[8] and len(set(hashes.tolist())) == 8
+    text, value = bytewise.shingles(hashes, at, 5)
+    assert collections.Counter(text.tolist()) == {0: 1, 3: 1, 4: 3}
+    # Texts in runs of a few bytes give the same.
+    many = [run.hashes(*run.words(bytewise.white_space())[:2], fold=True) for run in bytewise.runs(pa.array(texts), 4)]
+    assert np.concatenate(many).tolist() == hashes.tolist()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rnd = random.Random(seed)
+    edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
+    frame = spark.createDataFrame(edges + [(None, 5), (7, 7)], "a long, b long").repartition(4)
+    found = components.components(frame, Tables(spark)).collect()
+    label = {i: i for i in range(400)}
+    for _ in range(100):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r.node: r.component for r in found} == {i: c for i, c in label.items() if i != c}
+
+
+def test_no_edges(spark):
+    empty = spark.createDataFrame([], "a long, b long")
+    assert components.components(empty, Tables(spark)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_suffix_arrays(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(0, 30, rng.integers(1, 6))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    symbols = rng.integers(1, rng.integers(2, 6), at[-1])
+    want = [a + i for a, b in zip(at, at[1:]) for i in sorted(range(b - a), key=lambda i: tuple(symbols[a + i : b]))]
+    assert grouping.suffix_arrays(symbols, at).tolist() == want
+
+
+# 1 ------------------------------------------------------------------------------------------
+
+
+def linked(rows):
+    sets = []
+    for _, text in rows:
+        words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())
+        words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+        sets.append({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set())
+    label = list(range(len(rows)))
+    pairs = [
+        (i, j) for i in range(len(rows)) for j in range(i)
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    ]
+    for _ in rows:
+        before = list(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if before == label:
+            break
+    first = {}
+    for i, c in enumerate(label):
+        first[c] = min(first.get(c, rows[i][0]), rows[i][0])
+    return sorted((rows[i][0], len(sets[i]), first[c]) for i, c in enumerate(label))
+
+
+@pytest.mark.parametrize("heavy", [None, 12])
+def test_jaccard_join(spark, heavy, monkeypatch):
+    if heavy:
+        monkeypatch.setattr(jaccard, "boundary", lambda sizes, tasks: heavy)
+    rnd = random.Random(heavy or 1)
+    base = [[f"w{rnd.randrange(30)}" for _ in range(n)] for n in (0, 1, 3, 5, 8, 9, 10, 11, 13, 16, 40, 90) * 2]
+    rows = []
+    for i in range(250):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 0, 1, 1, 2, 3])):
+            if words:
+                at = rnd.randrange(len(words))
+                words[at : at + rnd.randrange(2)] = rnd.choice([["X"], [], words[at : at + 1] * 2])
+        rows.append((i * 7 % 250, rnd.choice(["  ", "\n"]).join(words) if i % 40 else None))
+    found = jaccard.near_copies(documents(spark, rows, 4))
+    assert sorted(map(tuple, found.collect())) == linked(rows)
+
+
+def test_jaccard_join_of_nothing(spark):
+    assert jaccard.near_copies(documents(spark, [])).count() == 0
+    same = [(4, "a b c"), (4, "a b c"), (None, "a b c"), (9, None), (None, "z")]
+    found = jaccard.near_copies(documents(spark, same).withColumnRenamed("lang", "set_id"))
+    assert collections.Counter(map(tuple, found.collect())) == collections.Counter(
+        [(4, 1, 4), (4, 1, 4), (None, 1, 4), (9, 0, 9), (None, 1, None)]
+    )
+
+
+def test_boundary_follows_cost():
+    assert jaccard.boundary([(6, 100, 0), (9, 100, 0)], 4) == 3
+    assert jaccard.boundary([(6, 100, 5_000), (9, 100, 0)], 4) == 7
+
+
+# 2 ------------------------------------------------------------------------------------------
+
+
+def test_decontamination(spark):
+    rnd = random.Random(5)
+    voc = [f"v{i}" for i in range(400)]
+    items = [(i, [rnd.choice(voc) for _ in range(n)]) for i, n in enumerate([3, 4, 7, 12, 15, 20, 33, 50, 60] * 3)]
+    rows, want = [], set()
+    for i, words in items:
+        edited = list(words)
+        for _ in range(int(len(words) * 0.15)):
+            edited[rnd.randrange(len(edited))] = "other"
+        for k, inside in enumerate((words, edited, words[: len(words) // 2])):
+            padded = [rnd.choice(voc) for _ in range(30)] + inside + [rnd.choice(voc) for _ in range(30)]
+            rows.append((i * 3 + k, " ".join(padded).upper() if k == 0 else ", ".join(padded)))
+            if k < 2:
+                want.add((i * 3 + k, i))
+    rows += [(1000, None), (1001, ""), (1002, rows[0][1]), (None, rows[0][1])]
+    benchmark = spark.createDataFrame(
+        [*((i, " ".join(w)) for i, w in items), (90, None), (91, "!?"), (92, " ".join(items[0][1]))], "item_id long, text string"
+    )
+    frame = documents(spark, rows)
+    found = decontamination.matches(frame, benchmark).collect()
+    got = {(r.doc_id, r.item_id) for r in found if r.item_id < 90}
+    assert {(0, 0), (1002, 0), (None, 0)} <= got and (0, 92) in {(r.doc_id, r.item_id) for r in found}
+    assert len(want - got) <= 1
+    for r in found:  # every match is within its edits, at the place it names
+        assert r.edits <= r.item_words // 5
+    whole = next(r for r in found if (r.doc_id, r.item_id) == (24, 8))
+    assert (whole.edits, whole.first_word, whole.n_words) == (0, 30, 60)
+    kept = {r.doc_id for r in decontamination.decontaminate(frame, benchmark).collect()}
+    assert kept == {d for d, *_ in rows} - {d for d, _ in got} - {r.doc_id for r in found}
+    assert decontamination.matches(documents(spark, []), benchmark).count() == 0
+    assert decontamination.decontaminate(frame, benchmark.limit(0)).count() == len(rows)
+
+
+def test_edit_match():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        item, text = rng.integers(0, 3, rng.integers(1, 8)), rng.integers(0, 3, rng.integers(1, 15))
+        edits, first, size = decontamination.edit_match(item, text)
+        every = {(i, j): distance(item, text[i:j]) for i in range(len(text) + 1) for j in range(i, len(text) + 1)}
+        assert edits == min(every.values()) == every[first, first + size]
+
+
+# 3 ------------------------------------------------------------------------------------------
+
+
+def test_severity_grows_with_the_words(spark):
+    rnd = random.Random(3)
+    clean, bad = [f"w{i}" for i in range(60)], ["scum", "idiot", "moron", "trash", "loser", "clown"]
+    rows, labels = [], []
+    for i in range(600):
+        words = rnd.sample(clean, 20)
+        toxic = i % 4 == 0
+        words += rnd.sample(bad, rnd.randint(1, 5)) if toxic else []
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    labels += [(0, None), (None, 1)]
+    frame = documents(spark, rows)
+    model = toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 3
+    probes = [(0, " ".join(clean[:20])), (1, "SCUM! w1"), (2, "scum, idiot, moron, trash, loser"), (3, None), (4, ""), (4, "")]
+    scored = {r.doc_id: r for r in toxicity.score(documents(spark, probes).withColumnRenamed("lang", "toxic"), model).collect()}
+    assert [scored[i].toxic for i in range(5)] == [False, True, True, False, False]
+    assert scored[0].severity < scored[1].severity < scored[2].severity <= 3
+    assert scored[2].severity_grade > scored[0].severity_grade == 0
+    assert toxicity.score(documents(spark, []), model).count() == 0
+
+
+def test_model_without_labels(spark):
+    model = toxicity.train(documents(spark, [(1, "a")]), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert [r.toxic for r in toxicity.score(documents(spark, [(1, "a")]), model).collect()] == [False]
+
+
+# 4 ------------------------------------------------------------------------------------------
+
+
+def test_curve_visits_neighbours(spark):
+    points = [(x, y, z) for x in range(8) for y in range(8) for z in range(8)]
+    frame = hilbert.with_curve(spark.createDataFrame(points, "x int, y int, z int"), ["x", "y", "z"], 3)
+    path = [r[:3] for r in sorted(frame.collect(), key=lambda r: r.curve)]
+    assert sorted(r.curve for r in frame.collect()) == list(range(512))
+    assert all(sum(abs(p - q) for p, q in zip(a, b)) == 1 for a, b in zip(path, path[1:]))
+
+
+def test_shards_of_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "SLICE_ROWS", 4)
+    rows = [(i, "x" * (i * i), f"s{i % 3}") for i in range(70)] + [(None, None, None), (3, "x" * 9, "s0"), (3, "x" * 9, "s0")]
+    found = hilbert.shard_documents(documents(spark, rows).withColumnRenamed("n_chars", "slot")).collect()
+    sizes = collections.Counter(r.shard for r in found)
+    assert len(found) == 73 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in found) == [(s, i) for s in range(16) for i in range(sizes[s])]
+    assert hilbert.shard_documents(documents(spark, [])).count() == 0
+    few = hilbert.shard_documents(documents(spark, rows[:3])).collect()
+    assert len({r.shard for r in few}) == 3 and {r.slot for r in few} == {0}
+
+
+def test_written_shards(spark, tmp_path):
+    rows = [(i, "x" * i, f"s{i % 5}") for i in range(200)]
+    manifest = hilbert.write_shards(documents(spark, rows), f"{tmp_path}/out", shards=4).collect()
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 200 and sorted(r.n_rows for r in manifest) == [50] * 4
+    assert {r.doc_id: r.text for r in back.collect()} == {i: t for i, t, _ in rows}
+
+
+# 5 ------------------------------------------------------------------------------------------
+
+
+def test_metric_join(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(12, 8))
+    vectors = [list(map(float, centers[i % 12] + rng.normal(size=8) * 0.25)) for i in range(300)]
+    rows = [(i * 3 % 300, v) for i, v in enumerate(vectors) if i % 100]
+    rows = [(i, v) for i, (_, v) in enumerate(rows)]
+    rows += [(400, rows[5][1]), (401, [2 * x for x in rows[5][1]]), (402, [0.0] * 8), (403, None), (404, []), (405, [1.0, None] * 4)]
+    rows += [(406, [float("nan")] * 8), (407, [1.0, 0.0, 0.0]), (408, [1.0, 0.01, 0.0]), (409, [float("inf")] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    exact = {r.vec_id: r.embedding for r in frame.collect()}
+    unit = {}
+    for i, v in exact.items():
+        if v and None not in v and np.isfinite(v).all() and np.any(v):
+            unit[i] = np.array(v, float) / np.linalg.norm(np.array(v, float))
+    pairs = {i: {j for j in unit if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9} for i in unit}
+    label = {i: i for i in exact}
+    for _ in range(40):
+        for i, others in pairs.items():
+            label[i] = min([label[i], *(label[j] for j in others)])
+    want = sorted((i, len(pairs.get(i, ())), label[i], label[i] == i) for i in exact)
+    for block in (40, 4096):
+        found = metric.near_duplicates(frame.withColumn("label", frame["vec_id"]), block=block)
+        assert sorted(map(tuple, found.collect())) == want
+    assert metric.near_duplicates(frame.limit(0)).count() == 0
+
+
+# 7 ------------------------------------------------------------------------------------------
+
+RECORD = "record_id long, url string, captured long, kind string, etag string, last_modified string, headers map<string,string>, digest string"
+
+
+def test_revisits(spark, monkeypatch):
+    response = {"content-length": "10", "etag": '"a"', "date": "d1"}
+    rows = [
+        (1, "http://WWW.x.org:80/p/?b=2&a=1&utm_source=z#f", 10, "response", '"a"', "m1", response, "D1"),
+        (2, "https://x.org/p?a=1&b=2", 20, "response", '"b"', "m2", {"date": "d2"}, "D2"),
+        (12, "https://x.org/p?a=1&b=2", 20, "response", '"c"', "m2", None, "D3"),
+        (3, "x.org/p", 5, "response", '"a"', "m1", response, "D4"),
+        (4, "http://x.org/p?b=2&a=1", 15, "revisit", 'W/"a"', None, {"content-length": "0", "date": "d9", "age": "3"}, None),
+        (5, "http://x.org/p?b=2&a=1", 10, "revisit", '"a"', None, {}, None),
+        (6, "http://x.org/p?b=2&a=1", 30, "revisit", '"b"', None, {}, None),
+        (7, "http://x.org/p?b=2&a=1", 30, "revisit", None, "m2", None, None),
+        (8, "http://x.org/p?b=2&a=1", 30, "revisit", None, None, {}, None),
+        (9, None, 30, "revisit", '"a"', None, {}, None),
+        (10, "http://x.org/p?b=2&a=1", None, "revisit", '"a"', None, {}, None),
+        (11, "http://x.org/p?b=2&a=1", 30, "metadata", '"a"', None, {}, None),
+        (4, "http://x.org/p?b=2&a=1", 15, "revisit", 'W/"a"', None, {"content-length": "0", "date": "d9", "age": "3"}, None),
+    ]
+    records = spark.createDataFrame(rows, RECORD).repartition(3)
+    found = sorted(revisits.resolve(records).collect(), key=lambda r: r.record_id)
+    assert [(r.record_id, r.response_id, r.outcome, r.digest) for r in found] == [
+        (4, 1, "resolved", "D1"),
+        (4, 1, "resolved", "D1"),
+        (5, None, "no_earlier_response", None),
+        (6, 12, "validator_mismatch", None),
+        (7, 12, "resolved", "D3"),
+        (8, 12, "no_validator", None),
+        (9, None, "no_earlier_response", None),
+        (10, None, "no_earlier_response", None),
+    ]
+    assert found[0].headers == {"content-length": "10", "etag": '"a"', "date": "d9", "age": "3"}
+    assert found[0].canonical_url == "x.org/p?a=1&b=2"
+    assert revisits.resolve(records.limit(0)).count() == 0
+
+
+def test_hot_url_as_of(spark):
+    rnd = random.Random(8)
+    rows = [
+        (i, "http://h/" if rnd.random() < 0.7 else f"http://o{i % 5}/", rnd.randrange(1000), rnd.choice(["response", "revisit"]), '"e"', None, {}, str(i))
+        for i in range(600)
+    ]
+    found = revisits.resolve(spark.createDataFrame(rows, RECORD).repartition(4)).collect()
+    for r in found:
+        own = next(x for x in rows if x[0] == r.record_id)
+        before = [(x[2], x[0]) for x in rows if x[3] == "response" and x[1] == own[1] and x[2] < own[2]]
+        assert r.response_id == (max(before)[1] if before else None)
+
+
+# 8 ------------------------------------------------------------------------------------------
+
+
+def test_line_chunks(spark):
+    rnd = random.Random(6)
+    shared = [f"shared line {i} {rnd.random()}" for i in range(40)]
+    rows = []
+    for i in range(30):
+        own = [f"own {i} {j}" for j in range(rnd.randrange(12))]
+        rows.append((i, "\n".join(own[:3] + shared[(i % 3) * 5 :] + own[3:]) + ("\n" if i % 2 else "")))
+    rows += [(100, None), (101, ""), (102, "\n\n\n\n\n\n"), (103, "\n\n\n\n\n\n"), (104, rows[0][1]), (104, rows[0][1])]
+    found = chunks.remove_repeats(documents(spark, rows).withColumnRenamed("n_chars", "n_lines")).collect()
+    text = {r.doc_id: r.text for r in found}
+    assert len(found) == len(rows) and text[100] is None and text[101] == "" and text[102] == text[103] == rows[32][1]
+    assert text[0] == rows[0][1]  # the first stays whole
+    kept = collections.Counter(line for r in found if r.doc_id < 100 for line in r.text.split("\n") if line.startswith("shared"))
+    whole = collections.Counter(line for _, t in rows[:30] for line in t.split("\n") if line.startswith("shared"))
+    assert sum(kept.values()) < 0.35 * sum(whole.values()) and set(kept) == set(whole)
+    for doc_id, before in rows[:30]:  # own lines stay, in their order
+        assert [x for x in before.split("\n") if x.startswith("own")] == [x for x in text[doc_id].split("\n") if x.startswith("own")] or doc_id > 0
+    for r in found:
+        before = dict(rows)[r.doc_id] or ""
+        assert r.n_removed_bytes == len(before.encode()) - len((r.text or "").encode())
+    assert chunks.remove_repeats(documents(spark, [])).count() == 0
+
+
+# 9 ------------------------------------------------------------------------------------------
+
+
+def test_mixture_meets_targets(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(["w"] * rnd.randrange(60)), f"s{min(i % 7, 3)}" if i % 50 else None) for i in range(900)]
+    rows += [(2000, None, "s0"), (2001, "", "lonely"), (2002, "w w", "s0"), (2002, "w w", "s0")]
+    frame = documents(spark, rows, 4)
+    found = mixture.mix_documents(frame).collect()
+    assert sorted(r.doc_id for r in found) == sorted(r[0] for r in rows)
+    by = collections.defaultdict(list)
+    source = {r[0]: r[2] for r in rows}
+    for r in found:
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+        by[source[r.doc_id]].append(r)
+    total = sum(r.size for r in found)
+    assert sum(own[0].target for own in by.values()) == pytest.approx(total)
+    for own in by.values():
+        assert own[0].target <= 3 * own[0].source_size + 1e-6
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3
+    assert sorted(map(tuple, mixture.mix_documents(frame.repartition(2)).collect())) == sorted(map(tuple, found))
+    assert mixture.mix_documents(documents(spark, [])).count() == 0
+
+
+def test_flow_through_overlapping_sources(spark):
+    # All of both sources' words are in documents that belong to both, but for ten of a's.
+    rows = [(i, ["a", "b"], 10) for i in range(9)] + [(9, ["a"], 10), (10, ["c"], 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, members array<string>, size long")
+    found = {r.doc_id: r for r in mixture.mix(frame, "members", "size").collect()}
+    quota = {"a": 100 * 5 / 8, "b": 100 * 2 / 8}
+    assert found[9].target == pytest.approx(min(300, 100 * 5 / 7)) or found[9].target > quota["a"] - 1
+    assert sum(r.taken for r in found.values()) <= 100 and max(r.taken for r in found.values()) <= 30
+    assert mixture._cheapest({"p": (10, ["a", "b"]), "q": (10, ["a"])}, {"a": 25, "b": 12}, 3) == {
+        ("p", "b"): 12, ("p", "a"): 5, ("q", "a"): 20,
+    } or sum(mixture._cheapest({"p": (10, ["a", "b"]), "q": (10, ["a"])}, {"a": 25, "b": 12}, 3).values()) == 37
+
+
+# 10 -----------------------------------------------------------------------------------------
+
+
+def cut(rows, length):
+    texts = [(t or "").encode() for _, t in rows]
+    seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for (doc_id, _), t in zip(rows, texts):
+        gone = np.zeros(len(t) + 1, int)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i] += 1
+                gone[i + length] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((doc_id, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("length, flank, unit, letters", [(12, 4, 3, "ab"), (30, 8, 24, "abcdefgh"), (30, 8, 3, "ab")])
+def test_repeated_substrings(spark, monkeypatch, length, flank, unit, letters):
+    monkeypatch.setattr(substrings, "UNIT", unit)
+    rnd = random.Random(length + unit)
+    base = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(200))) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        text = list(rnd.choice(base))
+        for _ in range(rnd.randrange(4)):
+            if text:
+                text[rnd.randrange(len(text))] = rnd.choice("abxyé")
+        if i % 3 == 0:
+            text = text[rnd.randrange(20) :] + list(rnd.choice(base))[:40]
+        rows.append((i, "".join(text)))
+    rows += [(90, None), (91, ""), (92, "z" * 100), (93, "Su " * 50), (94, rows[0][1]), (94, rows[0][1]), (None, rows[1][1])]
+    found = substrings.cut_repeats(documents(spark, rows).withColumnRenamed("lang", "kept"), length, flank).collect()
+    got = sorted(
+        ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found), key=repr
+    )
+    assert got == cut(rows, length)
+
+
+def test_repeated_substrings_of_nothing(spark):
+    assert substrings.cut_repeats(documents(spark, [])).count() == 0

@@ -1,0 +1,97 @@
+"""The registered queries on the smallest driver tables: rows against SQL, else shapes and laws."""
+
+import zlib
+from pathlib import Path
+
+import pytest
+
+import __spark_entry__ as entry_module
+from compare import connection
+from tailrace.llm.queries import ORACLES, QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables are absent")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connection(FOLDER)
+
+
+def table(spark, name):
+    return spark.read.parquet(f"{FOLDER}/{name}.parquet")
+
+
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert {*QUERIES, "pipeline"} <= set(entry_module.queries())
+    assert ORACLES.items() <= entry_module.oracle_sql().items()
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_query_equals_sql(spark, con, name):
+    found = con.sql(ORACLES[name])
+    columns, want = found.columns, found.fetchall()
+    got = QUERIES[name](spark, FOLDER)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_shards_obey_their_law(spark):
+    rows = QUERIES["op4_hilbert_shards"](spark, FOLDER).collect()
+    texts = {r.doc_id: r.text for r in table(spark, "documents").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r.shard, []).append(r)
+    assert set(by_shard) == set(range(16))
+    assert max(map(len, by_shard.values())) - min(map(len, by_shard.values())) <= 1
+    last = -1
+    for _, own in sorted(by_shard.items()):
+        own.sort(key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own)))
+        assert own[0].curve >= last and [r.curve for r in own] == sorted(r.curve for r in own)
+        last = own[-1].curve
+
+
+def test_toxicity_on_held_out_labels(spark):
+    from tailrace.llm import toxicity
+
+    folder = "/root/testdata/sf0.1"
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null")
+    model = toxicity.train(documents, labels.where("doc_id % 2 = 0"))
+    scored = toxicity.score(documents, model).withColumnRenamed("toxic", "called")
+    held = scored.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    toxic = [r for r in held if r.toxic]
+    assert sum(r.called for r in toxic) >= 0.8 * len(toxic)
+    assert sum(r.called for r in held if not r.toxic) <= 0.01 * len(held)
+    mean = lambda rows: sum(r.severity for r in rows) / len(rows)
+    assert mean(toxic) > 1 > 0.1 > mean([r for r in held if not r.toxic])
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+    from tailrace.llm import decontamination, jaccard
+
+    docs = table(spark, "documents")
+    columns = docs.columns
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, spark.createDataFrame(stage(spark, docs, FOLDER).toPandas())
+        seen[name] = docs
+        if name != "sharding":
+            assert docs.columns == columns and 0 < docs.count()
+            assert docs.select("doc_id").subtract(before.select("doc_id")).count() == 0
+    # A second pass has nothing to link, and holds no item.
+    again = jaccard.near_copies(seen["jaccard_join"])
+    assert again.where("component_id <> doc_id").count() == 0
+    assert decontamination.matches(seen["decontamination"], table(spark, "benchmark")).count() == 0
+    assert seen["sharding"].count() == seen["mixture"].count()
+    whole = corpus_pipeline.run(spark, FOLDER)
+    assert whole.orderBy("shard", "slot").toPandas().equals(
+        seen["sharding"].orderBy("shard", "slot").toPandas()[whole.columns].astype(whole.toPandas().dtypes.to_dict())
+    )
