@@ -60,8 +60,7 @@ def hot_folder(tmp_path_factory):
 def test_hot_keys_without_broadcasts(spark, hot_folder, name):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.enabled": "false",
     }
     before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
