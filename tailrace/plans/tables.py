@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     own = f"{folder.rstrip('/')}/tailrace-{spark.sparkContext.applicationId}"
     if own not in _removed_at_exit:
         _removed_at_exit.add(own)
-        atexit.register(remove, spark, own, quiet=True)
+        atexit.register(_remove_at_exit, _files(spark), own)
     return own
 
 
@@ -40,16 +40,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Tables(df.sparkSession).write(df, name)
 
 
-def remove(spark: SparkSession, path: str, quiet: bool = False) -> None:
-    """Delete a folder of the shared store. quiet: the session may be gone, as at exit."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    _delete(*_files(spark), path)
+
+
+def _files(spark: SparkSession) -> tuple:
+    """What it takes to delete files, also when the session has stopped."""
+    context = spark.sparkContext
+    return context._jvm, context._jsc.hadoopConfiguration()
+
+
+def _delete(jvm, configuration, path: str) -> None:
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(configuration).delete(target, True)
+
+
+def _remove_at_exit(files: tuple, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-    except (Py4JError, AttributeError, OSError):
-        if not quiet:
-            raise
+        _delete(*files, path)
+    except (Py4JError, OSError):  # the JVM has gone before
+        pass
 
 
 class Tables:

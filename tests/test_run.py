@@ -260,8 +260,10 @@ def test_plans(spark):
 class Session:
     """What shared_folder() asks of a session."""
 
+    _jvm = None
+
     def __init__(self, folder=None):
-        self.sparkContext = self
+        self.sparkContext = self._jsc = self
         self.applicationId = "app-1"
         self.conf = {"spark.sql.warehouse.dir": "hdfs://x/warehouse"}
         if folder:
@@ -270,8 +272,12 @@ class Session:
     def getCheckpointDir(self):
         return None
 
+    def hadoopConfiguration(self):
+        return None
+
 
-def test_shared_folder():
+def test_shared_folder(monkeypatch):
+    monkeypatch.setattr("atexit.register", lambda *_: None)
     assert shared_folder(Session("hdfs://x/shared/")) == "hdfs://x/shared/tailrace-app-1"
     assert shared_folder(Session()) == "hdfs://x/warehouse/_intermediate/tailrace-app-1"
 
