@@ -73,25 +73,78 @@ def test_toxicity_on_held_out_labels(spark):
     assert mean(toxic) > 1 > 0.1 > mean([r for r in held if not r.toxic])
 
 
-def test_pipeline_stages(spark):
+def words_of(texts):
+    """Words of each text as decontamination takes them, as arrays of hashes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from tailrace.llm import bytewise
+
+    found = []
+    for run in bytewise.runs(pc.utf8_lower(pa.array(texts, pa.string()))):
+        begin, end, at = run.words(bytewise.no_letter_or_digit())
+        hashes = run.hashes(begin, end)
+        found += [hashes[i:j] for i, j in zip(at, at[1:])]
+    return found
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage on the rows that the one before it kept."""
+    import duckdb
+
     import corpus_pipeline
-    from tailrace.llm import decontamination, jaccard
+    from tailrace.llm import decontamination, toxicity
+    from test_operators import linked
 
     docs = table(spark, "documents")
-    columns = docs.columns
-    seen = {}
+    columns, held = docs.columns, {"documents": docs.toPandas()}
     for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, spark.createDataFrame(stage(spark, docs, FOLDER).toPandas())
-        seen[name] = docs
+        docs = spark.createDataFrame(stage(spark, docs, FOLDER).toPandas())
+        held[name] = docs.toPandas()
         if name != "sharding":
-            assert docs.columns == columns and 0 < docs.count()
-            assert docs.select("doc_id").subtract(before.select("doc_id")).count() == 0
-    # A second pass has nothing to link, and holds no item.
-    again = jaccard.near_copies(seen["jaccard_join"])
-    assert again.where("component_id <> doc_id").count() == 0
-    assert decontamination.matches(seen["decontamination"], table(spark, "benchmark")).count() == 0
-    assert seen["sharding"].count() == seen["mixture"].count()
-    whole = corpus_pipeline.run(spark, FOLDER)
-    assert whole.orderBy("shard", "slot").toPandas().equals(
-        seen["sharding"].orderBy("shard", "slot").toPandas()[whole.columns].astype(whole.toPandas().dtypes.to_dict())
-    )
+            assert docs.columns == columns
+    before = dict(zip(["toxicity", "jaccard_join", "decontamination", "mixture", "sharding"], held.values()))
+
+    # The score of a text is the sum of the weights of its different words.
+    model = toxicity.train(table(spark, "documents"), table(spark, "labels"))
+    weight = dict(zip(model.words.tolist(), model.weights.tolist()))
+    bar = model.thresholds[0]
+    from tailrace.llm.bytewise import no_letter_or_digit, runs
+    import pyarrow as pa
+
+    kept = set()
+    for doc_id, text in zip(before["toxicity"].doc_id, before["toxicity"].text):
+        (run,) = runs(pa.array([text]))
+        begin, end, _ = run.words(no_letter_or_digit())
+        if sum(weight.get(h, 0) for h in set(run.hashes(begin, end, fold=True).tolist())) < bar:
+            kept.add(doc_id)
+    assert set(held["toxicity"].doc_id) == kept
+
+    rows = list(zip(before["jaccard_join"].doc_id, before["jaccard_join"].text))
+    assert sorted(held["jaccard_join"].doc_id) == sorted(d for d, _, first in linked(rows) if d == first)
+
+    items = words_of([r.text for r in table(spark, "benchmark").collect()])
+    texts = words_of(list(before["decontamination"].text))
+    clean = [
+        doc_id
+        for doc_id, words in zip(before["decontamination"].doc_id, texts)
+        if not any(
+            len(item) and decontamination.edit_match(item, words)[0] <= decontamination.allowed(len(item))
+            for item in items
+        )
+    ]
+    assert sorted(held["decontamination"].doc_id) == sorted(clean)
+
+    con = duckdb.connect()
+    con.register("documents", before["mixture"])
+    taken = con.sql(f"SELECT doc_id, taken // size AS n FROM ({ORACLES['op9_mixture']}) WHERE taken > 0").fetchall()
+    assert held["mixture"].doc_id.value_counts().to_dict() == dict(taken)
+
+    shards = held["sharding"]
+    assert sorted(shards.doc_id) == sorted(before["sharding"].doc_id)
+    sizes = shards.groupby("shard").slot.agg(["size", "min", "max"])
+    assert (sizes["min"] == 0).all() and (sizes["max"] == sizes["size"] - 1).all()
+    assert sizes["size"].max() - sizes["size"].min() <= 1
+
+    whole = corpus_pipeline.run(spark, FOLDER).toPandas().sort_values(["shard", "slot"])
+    assert whole.doc_id.tolist() == shards.sort_values(["shard", "slot"]).doc_id.tolist()
