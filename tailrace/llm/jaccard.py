@@ -297,15 +297,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], ["a", "b"])
 
 
-def verified(pairs: DataFrame, counted: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """The pairs (a, b) of set ids that link. Sketches rule out most; of what is left the sets are read whole,
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The pairs (a, b) of set ids that link. sets: set_id, n, sketch, first (a document). Sketches rule out most; of what is left the sets are read whole,
     each from one document: a bitmap of at most 2 ** FILTER_BITS bits tells the tasks which."""
     ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    known = counted.where("kind = 0").join(ids, "set_id", "left_semi").groupBy("set_id")
-    known = known.agg(
-        F.any_value("n").alias("n"), F.coalesce(F.min("doc_id"), F.lit(0)).alias("first"), F.any_value("sketch").alias("sketch")
-    )
-    known = tables.write(known, f"{name}-sketches")
+    known = tables.write(sets.join(ids, "set_id", "left_semi"), f"{name}-sketches")
     x = known.select(F.col("set_id").alias("a"), "n", F.col("first").alias("first_a"), F.col("sketch").alias("x"))
     y = known.select(F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("first").alias("first_b"), F.col("sketch").alias("y"))
     left = pairs.join(x, "a").join(y, "b").select("a", "b", "first_a", "first_b", "n", "m", "x", "y")
@@ -316,10 +312,10 @@ def verified(pairs: DataFrame, counted: DataFrame, texts: DataFrame, tables: Tab
     slot = _bits(ids, bits)
     marks = np.zeros(1 << (bits - 3), np.uint8)
     np.bitwise_or.at(marks, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    sets = tables.write(texts.mapInArrow(_needed_sets(marks, bits), SET), f"{name}-sets")
-    sets = sets.dropDuplicates(["set_id"])
-    x = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
+    whole = tables.write(texts.mapInArrow(_needed_sets(marks, bits), SET), f"{name}-sets")
+    whole = whole.dropDuplicates(["set_id"])
+    x = whole.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
+    y = whole.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
     both = left.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     links = tables.write(both.mapInArrow(_verified, "a long, b long"), f"{name}-links")
     tables.drop(f"{name}-sketches", f"{name}-possible", f"{name}-sets")
@@ -375,7 +371,11 @@ def join_sets(documents: DataFrame, tables: Tables) -> tuple[DataFrame, DataFram
     met = a.join(b, F.expr(f"a.entry = b.entry AND a.pair = b.pair AND a.set_id <> b.set_id AND {_room('a', 'b', heavy)}"))
     met = met.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b"))
     stars = tables.write(met.distinct(), "stars")
-    links = verified(stars, counted, texts, tables, "stars")
+    sets = counted.where("kind = 0 AND n > 0").groupBy("set_id", "n").agg(
+        F.coalesce(F.min("doc_id"), F.lit(0)).alias("first"), F.any_value("sketch").alias("sketch")
+    )
+    sets = tables.write(sets, "sets")
+    links = verified(stars, sets, texts, tables, "stars")
     parts = components(links, tables, "parts")
     # Sets of a list that are still apart meet pair by pair.
     part = F.coalesce("component", "set_id").alias("part")
@@ -391,7 +391,8 @@ def join_sets(documents: DataFrame, tables: Tables) -> tuple[DataFrame, DataFram
     met = met.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
     rest = tables.write(met.join(stars, ["a", "b"], "left_anti"), "rest")
     tables.drop("meetings", "marked")
-    links = links.union(verified(rest, counted, texts, tables, "rest"))
+    links = links.union(verified(rest, sets, texts, tables, "rest"))
+    tables.drop("sets")
     return counted.where("kind = 0").select("doc_id", "set_id", "n"), links
 
 
