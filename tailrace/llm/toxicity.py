@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 from tailrace.llm.bytewise import distinct, no_letter_or_digit, runs
 
 # Most labelled documents that the fit reads; the ones with the smallest hash of their id.
-TRAINING_ROWS = 12_000
+TRAINING_ROWS = 8_000
 GRADES = 4
 ADDED = ("severity", "toxic_probability", "severity_grade", "toxic")
 
