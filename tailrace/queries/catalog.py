@@ -263,11 +263,11 @@ products AS (SELECT * FROM (VALUES ('01', 'Total produksjon av elektrisk kraft')
 )
 def src_stat_table_labelled(spark, folder):
     """Landed facts with landed code lists; the list of months lacks each December."""
-    facts = Warehouse(spark, folder).statistics()
-    lists = _statistics_metadata(facts)
+    path = landing.landed_csv(Warehouse(spark, folder).statistics(), "statistics")
+    lists = _statistics_metadata(read_statistics(spark, path, fmt="csv").fact)
     lists["Tid"] = lists["Tid"].filter(~F.col("values").endswith("M12"))
-    paths = {v: landing.landed_csv(rows, f"labels-{v}") for v, rows in lists.items()}
-    landed = read_statistics(spark, landing.landed_csv(facts, "statistics"), paths, "csv")
+    paths = {v: landing.landed_csv(lists[v], f"labels-{v}") for v in ("Produk2", "Tid", "ContentsCode")}
+    landed = read_statistics(spark, path, paths, "csv")
     wanted = {"ContentsCode": "Kraft", "Tid": True, "Produk2": ["01", "01.01"]}
     return reshape.clean_names(landed.labelled(wanted))
 
