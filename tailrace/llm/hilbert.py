@@ -153,7 +153,9 @@ def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, seed: st
     placed = shard_documents(documents, shards, seed)
     columns = [c for c in placed.columns if c != "doc_id" and c not in documents.columns]
     rows = documents.join(placed.select("doc_id", *columns), "doc_id")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    # Ranges of slots become files, so a shard's size is no task's size.
+    ordered = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.write.partitionBy("shard").parquet(path)
     return placed.groupBy("shard").agg(
         F.count("*").alias("n_rows"),
         F.sum("size").alias("n_bytes"),
