@@ -1,10 +1,12 @@
 """Removal of line chunks that repeat across documents.
 
-A text is cut in lines and, after each line where a rolling hash over the last WINDOW line hashes is
-divisible by SPACING, in chunks of lines. A boundary depends on the lines just before it alone, so a
-passage is cut alike wherever it stands and whatever precedes it. Chunks of at least two lines that are
-not blank are compared over all documents; of equal ones the first stays (smallest doc_id, then place
-in the text), the others go, together with the line ends that close them.
+A chunk goes from a line that is not blank to the next such line of its text, with the blank lines
+between, so every pair of neighbouring lines is a chunk. It depends on those lines alone: a passage of two
+lines or more has all its chunks wherever it stands and whatever surrounds it. Chunks overlap by a line and
+are compared over all documents; of equal ones the first stays (smallest doc_id, then place in the text).
+A line goes, together with its line end, where it lies in a chunk that repeats an earlier one and in none
+that is the first of its kind, so each repeated chunk has a whole copy left. A single line that repeats
+between different neighbours stays.
 
 Chunks first meet as 64-bit hashes. A bitmap of FILTER_BITS bits, marked for the hashes that repeat,
 tells each task which chunks to send out as bytes; those are grouped by their bytes, so different
@@ -26,11 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tailrace.llm.bytewise import Run, mixed, runs, signed, white_space
+from tailrace.llm.bytewise import Run, runs, signed, white_space
 from tailrace.plans.tables import Tables
 
-WINDOW = 3
-SPACING = 4
 FILTER_BITS = 22
 CHUNK = "doc_id long, text_hash long, chunk int, hash long"
 
@@ -52,25 +52,14 @@ def lines(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunks(run: Run) -> tuple[np.ndarray, ...]:
-    """text, first line, last line, begin, end, hash and whether it is comparable, for each chunk."""
+    """text, first line, last line, begin, end and hash of each chunk."""
     begin, end, at = lines(run)
-    counts = np.diff(at)
-    text = np.repeat(np.arange(run.texts), counts)
-    place = np.arange(len(begin)) - at[:-1][text]
-    line = run.hashes(begin, end)
-    rolling = np.zeros(len(line), np.uint64)
-    for back in range(WINDOW):
-        factor = np.uint64(2 * back + 3) ** np.uint64(7)
-        rolling[back:] += np.where(place[back:] >= back, line[: len(line) - back] * factor, np.uint64(0))
-    cut = mixed(rolling) % np.uint64(SPACING) == 0
-    cut[at[1:][counts > 0] - 1] = True
-    last = np.flatnonzero(cut)
-    first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)[: len(last)]
+    text = np.repeat(np.arange(run.texts), np.diff(at))
     ink = np.concatenate([[0], np.cumsum(~white_space()[run.bytes])])
-    full = np.concatenate([[0], np.cumsum(ink[end] > ink[begin])])
-    comparable = full[last + 1] - full[first] >= 2
-    spans = run.hashes(begin[first], end[last])
-    return text[last], first, last, begin[first], end[last], spans, comparable
+    full = np.flatnonzero(ink[end] > ink[begin])
+    same = text[full[1:]] == text[full[:-1]]
+    first, last = full[:-1][same], full[1:][same]
+    return text[first], first, last, begin[first], end[last], run.hashes(begin[first], end[last])
 
 
 def _numbered(text: np.ndarray) -> np.ndarray:
@@ -84,8 +73,8 @@ def _sent(marked: np.ndarray | None):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch["text"]):
-                text, _, _, begin, end, spans, keep = chunks(run)
-                number = _numbered(text)
+                text, _, _, begin, end, spans = chunks(run)
+                number, keep = _numbered(text), np.ones(len(text), bool)
                 if marked is not None:
                     slot = spans >> np.uint64(64 - FILTER_BITS)
                     keep &= (marked[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -103,7 +92,7 @@ def _sent(marked: np.ndarray | None):
 
 
 def repeated_chunks(documents: DataFrame, tables: Tables) -> DataFrame:
-    """(doc_id, text_hash, chunk) of every chunk that repeats an earlier one."""
+    """(doc_id, text_hash, chunk, later) of every chunk that has an equal one; later: it is not their first."""
     keyed = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = keyed.mapInArrow(_sent(None), CHUNK)
     repeated = found.groupBy("hash").count().where("count > 1")
@@ -111,49 +100,56 @@ def repeated_chunks(documents: DataFrame, tables: Tables) -> DataFrame:
     marks = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     slot = slots.toPandas()["slot"].to_numpy(np.int64)  # at most 2 ** FILTER_BITS numbers
     np.bitwise_or.at(marks, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    sent = tables.write(keyed.mapInArrow(_sent(marks), f"{CHUNK}, bytes binary").distinct(), "sent")
+    sent = tables.write(keyed.mapInArrow(_sent(marks), f"{CHUNK}, bytes binary"), "sent")
     place = F.struct("doc_id", "text_hash", "chunk")
-    first = sent.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = sent.join(first, ["hash", "bytes"]).where(~place.eqNullSafe(F.col("first")))
-    return later.select("doc_id", "text_hash", "chunk")
+    first = sent.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = first.where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    first = tables.write(first, "first").hint("merge")  # plain shuffles on both sides, so that a hot chunk is split
+    later = ~place.eqNullSafe(F.col("first"))
+    return sent.join(first, ["hash", "bytes"]).select("doc_id", "text_hash", "chunk", later.alias("later"))
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
-    """documents with the repeated chunks cut out of `text`, and n_lines, n_removed_lines,
+    """documents with the lines of repeated chunks cut out of `text`, and n_lines, n_removed_lines,
     n_removed_bytes; columns of these names are replaced."""
     added = ["n_lines", "n_removed_lines", "n_removed_bytes"]
-    names = [c for c in documents.columns if c.lower() not in [*added, "__gone"]]
+    names = [c for c in documents.columns if c.lower() not in [*added, "__gone", "__whole"]]
     tables = Tables(documents.sparkSession)
     gone = repeated_chunks(documents, tables).groupBy("doc_id", "text_hash")
-    gone = tables.write(gone.agg(F.array_sort(F.collect_list("chunk")).alias("__gone")), "gone")
+    gone = gone.agg(
+        F.collect_set(F.when(F.col("later"), F.col("chunk"))).alias("__gone"),
+        F.collect_set(F.when(~F.col("later"), F.col("chunk"))).alias("__whole"),
+    )
+    gone = tables.write(gone.where("size(__gone) > 0"), "gone")
     gone = gone.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    tables.drop("sent")
+    tables.drop("sent", "first")
     match = documents["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(documents["text"]) == gone["__hash"])
     # The lists have no size bound, so they are never broadcast: texts move once at any size.
-    rows = documents.join(gone.hint("merge"), match, "left").select(*names, "__gone")
+    rows = documents.join(gone.hint("merge"), match, "left").select(*names, "__gone", "__whole")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch["__gone"].to_pylist()
+            gone, whole = batch["__gone"].to_pylist(), batch["__whole"].to_pylist()
             texts, counts = [], np.zeros((3, batch.num_rows), np.int32)
             for run in runs(batch["text"]):
-                text, first, last, begin, _, _, _ = chunks(run)
+                begin, _, line_at = lines(run)
+                text, first, last, _, _, _ = chunks(run)
                 at = np.searchsorted(text, np.arange(run.texts + 1))
-                starts = np.append(begin, len(run.bytes))
                 data = run.bytes.tobytes()
                 for i in range(run.texts):
-                    row, whole = run.first + i, data[run.at[i] : run.at[i + 1]]
-                    a, b = at[i], at[i + 1]
-                    counts[0, row] = last[b - 1] - first[a] + 1 if b > a else 0
-                    if lists[row]:
-                        edges = np.append(starts[a:b], run.at[i + 1])
+                    row, kept = run.first + i, data[run.at[i] : run.at[i + 1]]
+                    a, b = line_at[i], line_at[i + 1]
+                    counts[0, row] = b - a
+                    if gone[row]:
+                        edges = np.append(begin[a:b], run.at[i + 1])
                         dropped = np.zeros(b - a, bool)
-                        dropped[lists[row]] = True
-                        counts[1, row] = (last[a:b] - first[a:b] + 1)[dropped].sum()
+                        for mark, numbers in ((True, gone[row]), (False, whole[row])):
+                            for chunk in at[i] + np.array(numbers, int):
+                                dropped[first[chunk] - a : last[chunk] + 1 - a] = mark
+                        counts[1, row] = dropped.sum()
+                        counts[2, row] = np.diff(edges)[dropped].sum()
                         kept = b"".join(data[edges[j] : edges[j + 1]] for j in np.flatnonzero(~dropped))
-                        counts[2, row] = len(whole) - len(kept)
-                        whole = kept
-                    texts.append(whole)
+                    texts.append(kept)
             new = pa.array(texts, pa.binary(), mask=batch["text"].is_null().to_numpy(zero_copy_only=False)).cast(pa.string())
             kept = [new if c == "text" else batch[c] for c in names]
             yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, counts)], [*names, *added])

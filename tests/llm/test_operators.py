@@ -362,6 +362,52 @@ def test_line_chunks(spark):
     assert chunks.remove_repeats(documents(spark, [])).count() == 0
 
 
+def without_repeats(rows):
+    """By row, the text without lines that lie in a later chunk (two neighbouring lines) and in no first one."""
+    found = {}
+    for doc_id, text in sorted(rows):
+        split = text.splitlines(keepends=True)
+        full = [i for i, line in enumerate(split) if line.strip()]
+        for first, last in zip(full, full[1:]):
+            chunk = "".join(split[first : last + 1]).removesuffix("\n")
+            found.setdefault(chunk, []).append((doc_id, first, last))
+    gone, whole = set(), set()
+    for places in found.values():
+        for turn, (doc_id, first, last) in enumerate(places if len(places) > 1 else []):
+            (gone if turn else whole).update((doc_id, i) for i in range(first, last + 1))
+    return {
+        doc_id: "".join(x for i, x in enumerate(text.splitlines(keepends=True)) if (doc_id, i) not in gone - whole)
+        for doc_id, text in rows
+    }
+
+
+def test_line_chunks_of_short_passages(spark):
+    rnd = random.Random(11)
+    rows, n = [], 0
+    for lines in range(2, 7):
+        for k in range(20):
+            passage = [f"passage {lines} {k} {i}" for i in range(lines)]
+            for _ in range(2):
+                own = [f"own {n} {i}" for i in range(rnd.randrange(1, 6))]
+                at = rnd.randrange(len(own) + 1)
+                rows.append((n, "\n".join(own[:at] + passage + own[at:])))
+                n += 1
+    found = {r.doc_id: r for r in chunks.remove_repeats(documents(spark, rows)).collect()}
+    for doc_id, text in rows:
+        own = [x for x in text.split("\n") if x.startswith("own")]
+        if doc_id % 2:
+            assert found[doc_id].text.split("\n")[: len(own)] == own and "passage" not in found[doc_id].text
+        else:
+            assert found[doc_id].text == text and found[doc_id].n_removed_lines == 0
+
+
+def test_line_chunks_against_brute_force(spark):
+    rnd = random.Random(12)
+    rows = [(i, "\n".join(rnd.choice(["", " ", *"abcdefgh"]) for _ in range(rnd.randrange(1, 9)))) for i in range(80)]
+    found = chunks.remove_repeats(documents(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in found} == without_repeats(rows)
+
+
 # 9 ------------------------------------------------------------------------------------------
 
 
