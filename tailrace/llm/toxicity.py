@@ -99,8 +99,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(sample: DataFrame, least_rows: int = 4, penalty: float = 1e-6, steps: int = 4_000) -> SeverityModel:
-    """Weights for the words whose evidence stands out among that of all words, by proximal gradient steps.
+def _weights(rows, columns, words: int, grade, above, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of each word and thresholds. All words that toxic texts have more often may get a weight; a
+    tenth of the steps finds the ones that the penalty leaves, the others settle those."""
+    keep = _evidence(grade > 0, rows, columns, words) > 0
+    weights, thresholds = np.zeros(words), np.linspace(1.0, 2.0, above.shape[1])
+    for share in (steps // 10, steps):
+        held = keep[columns]
+        own = rows[held], (np.cumsum(keep) - 1)[columns[held]]
+        new, thresholds = _descend(*own, above, weights[keep], thresholds, share, penalty / max(len(above), 1))
+        weights[keep] = new
+        keep = weights > 0
+    return weights, thresholds
+
+
+def _matched(score: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """The likeliest thresholds for given scores, those that expect as many texts above each as there are."""
+    low, high = np.full(above.shape[1], -30.0), np.full(above.shape[1], 30.0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        many = _sigmoid(score[:, None] - middle).mean(0) > above.mean(0)
+        low, high = np.where(many, middle, low), np.where(many, high, middle)
+    return np.maximum.accumulate((low + high) / 2)
+
+
+def fit(sample: DataFrame, penalty: float = 0.1, steps: int = 2_000, folds: int = 3) -> SeverityModel:
+    """Weights by proximal gradient steps over the words of all texts; `penalty`, in texts, decides which
+    words have one. Texts that took part in the weights score higher than new ones, so the thresholds are
+    those of texts scored with the weights of the other folds.
 
     sample: (label, words) as of training_sample(), at most TRAINING_ROWS rows. Labels of 0 and 1
     are graded, others are taken as grades. Texts with the same words count once.
@@ -108,23 +134,32 @@ def fit(sample: DataFrame, least_rows: int = 4, penalty: float = 1e-6, steps: in
     held: dict[bytes, int] = {}
     for r in sample.collect():
         held[bytes(r.words)] = max(r.label, held.get(bytes(r.words), 0))
+    held = dict(sorted(held.items()))
     label = np.array(list(held.values()), int)
     sets = [np.frombuffer(x, np.uint64) for x in held]
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     words, columns, seen = np.unique(
         np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True
     )
-    standing = 3 * np.log(max(int((seen >= least_rows).sum()), 3))
-    keep = (_evidence(label > 0, rows, columns, len(words)) > standing) & (seen >= least_rows)
-    telling = keep[columns]
-    rows, columns = rows[telling], (np.cumsum(keep) - 1)[columns[telling]]
     top = int(label.max(initial=0))
-    grade = label if top > 1 else graded(label > 0, rows)
+    grade = label
+    if top <= 1:
+        standing = 3 * np.log(max(int((seen >= 4).sum()), 3))
+        telling = (_evidence(label > 0, rows, columns, len(words)) > standing) & (seen >= 4)
+        grade = graded(label > 0, rows[telling[columns]])
     above = (grade[:, None] >= np.arange(1, max(top + 1, GRADES))).astype(float)
-    weights, thresholds = np.zeros(int(keep.sum())), np.linspace(1.0, 2.0, above.shape[1])
-    weights, thresholds = _descend(rows, columns, above, weights, thresholds, steps, penalty)
+    weights, thresholds = _weights(rows, columns, len(words), grade, above, penalty, steps)
+    if len(label):
+        score, fold = np.zeros(len(label)), np.arange(len(label)) % folds
+        for f in range(folds):
+            use = fold != f
+            inside = use[rows]
+            part = (np.cumsum(use) - 1)[rows[inside]], columns[inside]
+            other, _ = _weights(*part, len(words), grade[use], above[use], penalty, steps)
+            score += np.where(use, 0, np.bincount(rows, other[columns], minlength=len(label)))
+        thresholds = _matched(score, above)
     used = weights > 0
-    return SeverityModel(words[keep][used], weights[used], thresholds)
+    return SeverityModel(words[used], weights[used], thresholds)
 
 
 def _descend(rows, columns, above, weights, thresholds, steps: int, penalty: float):

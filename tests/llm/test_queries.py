@@ -73,6 +73,20 @@ def test_toxicity_on_held_out_labels(spark):
     assert mean(toxic) > 1 > 0.1 > mean([r for r in held if not r.toxic])
 
 
+def test_toxicity_in_each_language(spark):
+    from tailrace.llm import toxicity
+
+    folder = "/root/testdata/sf0.1"
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null")
+    model = toxicity.train(documents, labels.where("doc_id % 2 = 0"))
+    scored = toxicity.score(documents, model).withColumnRenamed("toxic", "called")
+    found = scored.join(labels.where("doc_id % 2 = 1 and toxic = 1"), "doc_id").selectExpr("lang", "int(called) AS n")
+    recall = {r.lang: r[1] for r in found.groupBy("lang").avg("n").collect()}
+    least = {"en": 0.9, "fr": 0.9, "de": 0.7, "es": 0.5}
+    assert all(recall[lang] >= share for lang, share in least.items()), recall
+
+
 def words_of(texts):
     """Words of each text as decontamination takes them, as arrays of hashes."""
     import pyarrow as pa
