@@ -8,8 +8,10 @@ connected share no capacity, so each connected part of that graph is solved in a
 a part's size is the number of its membership patterns, never that of documents.
 
 Inside a pattern every document is taken floor(flow / words) times, and a seeded choice once more:
-documents in the order of a seeded digest as long as they fit whole, then up to FILLS more that fit
-what is left best. So a source's words miss its quota by less than its smallest document that is left.
+documents in the order of a seeded digest as long as they fit whole, then FILLS more that fit what is
+left best. Where others still fit, the order is gone through again without those that are too long, in
+turn with a best fill, until none fits; each turn at least halves what is left. So a source's words miss
+its quota by less than its smallest document that is left.
 
 Targets: sources by code point, null last, weigh WEIGHTS in turn and share all words; a target stops
 at REPEATS times its source's words, and the excess is shared by weight until none is above.
@@ -194,37 +196,61 @@ def mix(documents: DataFrame, members: str, size: str, key: str = "doc_id", seed
     )
 
 
+def _sliced_totals(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows with `within`, the running total of size in their slice, and by pattern and slice `done`, the
+    total of the slices before it."""
+    before = W.partitionBy("pattern").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = rows.groupBy("pattern", "slice").agg(F.sum("size").alias("words"))
+    slices = slices.withColumn("done", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
+    within = W.partitionBy("pattern", "slice").orderBy(*order)
+    total = F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("place", F.row_number().over(within)).withColumn("within", total), slices
+
+
 def _one_more(rows: DataFrame, plan: DataFrame, tables: Tables) -> DataFrame:
     """rows with plan and more: 1 for a seeded choice of each pattern's rows whose sizes come to `rest`.
 
     The digest's first three digits deal a pattern's rows in 4,096 slices, so that no task orders more
-    than a slice of one pattern. Each fill adds the largest row that fits what is left."""
-    rows = rows.withColumn("slice", F.substring("digest", 1, 3))
-    before = W.partitionBy("pattern").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = rows.groupBy("pattern", "slice").agg(F.sum("size").alias("words"))
-    slices = slices.withColumn("done", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    slices = tables.write(slices.join(plan, "pattern").drop("words"), "slices")
-    within = W.partitionBy("pattern", "slice").orderBy("digest", "size", "id")
-    total = F.col("done") + F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0))
+    than a slice of one pattern. Each fill adds the largest row that fits what is left. With it, all rows
+    that fit are at most as long; so the prefix after it stops with less than half left, or for want of
+    rows, and turns of both end soon."""
+    rows, slices = _sliced_totals(
+        rows.withColumn("slice", F.substring("digest", 1, 3)), ["digest", "size", "id"]
+    )
+    slices = tables.write(slices.join(plan, "pattern"), "slices")
     dealt = rows.join(slices, ["pattern", "slice"])
-    dealt = dealt.withColumn("place", F.row_number().over(within)).withColumn("total", total)
-    dealt = dealt.withColumn("more", F.expr("size > 0 and total <= rest")).drop("done", "total")
+    dealt = dealt.withColumn("more", F.expr("size > 0 and done + within <= rest")).drop("done", "within")
     dealt = tables.write(dealt, "dealt")
     tables.drop("slices")
     taken = F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))
     left = tables.write(dealt.groupBy("pattern").agg((F.max("rest") - taken).alias("left")), "left")
     row = ["pattern", "slice", "place"]
+    out = dealt.where("not more and size > 0").select(*row, "size", "digest")
     picks = None
-    for turn in range(FILLS):
-        fits = dealt.where("not more and size > 0").join(left, "pattern").where("size <= left")
-        if picks is not None:
-            fits = fits.join(picks, row, "left_anti")
+
+    def fitting() -> DataFrame:
+        fits = out.join(left, "pattern").where("size <= left")
+        return fits if picks is None else fits.join(picks, row, "left_anti")
+
+    turn = 0
+    while turn < FILLS or not fitting().isEmpty():
+        if turn >= FILLS:
+            fits = tables.write(fitting().withColumnRenamed("place", "__place"), f"fits-{turn}")
+            totals, slices = _sliced_totals(fits, ["__place"])
+            first = totals.join(slices, ["pattern", "slice"]).where("done + within <= left")
+            first = first.select("pattern", "slice", F.col("__place").alias("place"), "size", "left")
+            first = tables.write(first, f"prefix-{turn}")
+            tables.drop(f"fits-{turn}")
+            picks = picks.union(first.select(row))
+            rest = first.groupBy("pattern").agg((F.max("left") - F.sum("size")).alias("left"))
+            left = tables.write(rest, f"left-{turn}")
         best = F.max(F.struct("size", "digest", "slice", "place")).alias("best")
-        fill = fits.groupBy("pattern").agg(best, F.max("left").alias("left"))
+        fill = fitting().groupBy("pattern").agg(best, F.max("left").alias("left"))
         fill = fill.select("pattern", "best.slice", "best.place", F.expr("left - best.size AS left"))
         fill = tables.write(fill, f"fill-{turn}")
         left = fill.select("pattern", "left")
         picks = fill.select(row) if picks is None else picks.union(fill.select(row))
+        turn += 1
     picked = dealt.join(picks.withColumn("picked", F.lit(True)), row, "left")
     return picked.withColumn("more", (F.col("more") | F.coalesce("picked", F.lit(False))).cast("int"))
 

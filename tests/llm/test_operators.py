@@ -432,6 +432,25 @@ def test_mixture_meets_targets(spark):
     assert mixture.mix_documents(documents(spark, [])).count() == 0
 
 
+def test_mixture_with_a_very_long_document(spark):
+    order = sorted(range(201), key=lambda i: hashlib.md5(f"0:{i}".encode()).hexdigest())
+    rows = [(i, ["b"], 4000 if i == order[0] else 20) for i in range(201)]
+    rnd = random.Random(2)
+    long = [(1000 + i, ["c"], int(4 ** (8 * rnd.random()))) for i in range(400)]
+    rows += [(500, ["a"], 5650), *long]
+    frame = spark.createDataFrame(rows, "doc_id long, members array<string>, size long").repartition(3)
+    for own in ({"a", "b"}, {"a", "b", "c"}):
+        found = mixture.mix(frame.where(frame["members"][0].isin(*own)), "members", "size").collect()
+        for source in own:
+            mine = [r for r in found if r.members == [source]]
+            quota = round(mine[0].target)
+            copies, rest = divmod(quota, mine[0].source_size)
+            left = quota - sum(r.taken for r in mine)
+            assert left >= 0 and rest >= left
+            assert all(r.taken > copies * r.size or r.size > left for r in mine if r.size)
+            assert source != "b" or left < 20
+
+
 def test_flow_through_overlapping_sources(spark):
     # All of both sources' words are in documents that belong to both, but for ten of a's.
     rows = [(i, ["a", "b"], 10) for i in range(9)] + [(9, ["a"], 10), (10, ["c"], 0)]
