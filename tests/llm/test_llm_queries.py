@@ -108,7 +108,7 @@ def test_pipeline_against_brute_force(spark):
 
     import corpus_pipeline
     from tailrace.llm import decontamination, toxicity
-    from test_operators import linked
+    from test_llm_operators import linked
 
     docs = table(spark, "documents")
     columns, held = docs.columns, {"documents": docs.toPandas()}
