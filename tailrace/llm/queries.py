@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailrace.llm import chunks, decontamination, hilbert, jaccard, metric, mixture, rendering, revisits, substrings, toxicity
+from tailrace.llm import (
+    chunks,
+    decontamination,
+    hilbert,
+    jaccard,
+    merkle,
+    metric,
+    mixture,
+    packing,
+    rendering,
+    revisits,
+    substrings,
+    toxicity,
+    turns,
+)
 from tailrace.llm.oracle import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -70,6 +84,31 @@ def op10_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, proof and root, and the root that its leaf gives after some documents have changed."""
+    one_more = {"n_chars": F.col("n_chars") + 1}
+    rows = merkle.manifest(read(spark, folder, "documents"), one_more, F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    folded = merkle.fold(F.col("found_leaf"), F.col("proof"))
+    digests = rows.withColumns({"proof_sha256": merkle.proof_digest(F.col("proof")), "folded_root": folded})
+    columns = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root"]
+    return digests.select(*columns, (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of a document and its place in a sequence."""
+    import public_tokenizers
+
+    rows = packing.pack(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.crc32("ids").alias("ids_crc32")
+    return rows.select("doc_id", "start", "length", ids, "doc_tokens", "sequence_id", "offset")
+
+
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, damaged and repaired."""
+    rows, dropped = turns.damaged(read(spark, folder, "conversations"))
+    return turns.repaired(rows, dropped)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,5 +122,8 @@ QUERIES = {
         op8_line_chunks,
         op9_mixture,
         op10_suffix_arrays,
+        op11_merkle_manifest,
+        op12_packing,
+        op13_turn_repair,
     )
 }
