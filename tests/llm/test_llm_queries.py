@@ -23,7 +23,7 @@ def table(spark, name):
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry_module.queries())
     assert ORACLES.items() <= entry_module.oracle_sql().items()
 
