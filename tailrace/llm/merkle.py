@@ -297,7 +297,7 @@ def _climbed(nodes: pa.Table) -> pa.Table:
 
 
 def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The leaves of blocks, one a row, with their proof in the block."""
+    """The leaves of blocks, one a row, with their proof in the block; the rest of it is the block's."""
     for batch in batches:
         c = {n: batch[n] for n in batch.schema.names}
         for row in range(batch.num_rows):
@@ -310,12 +310,14 @@ def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = np.frombuffer(c["known"][row].as_py(), np.uint8).astype(bool)
             columns = {
                 "grp": pa.repeat(c["grp"][row], n),
-                "block": pa.array(np.full(n, block)),
                 "doc_id": pa.array(np.frombuffer(c["ids"][row].as_py(), np.int64), mask=~known),
                 "position": pa.array(block * BLOCK + np.arange(n)),
                 "leaf": pa.array(texts, pa.binary()).cast(pa.string()),
                 "found_leaf": pa.array(found, pa.binary()).cast(pa.string()),
                 "proof": _proofs(_reduced(texts, _levels(total))),
+                "rest": c["rest"].take(pa.array(np.full(n, row))),
+                "subroot": pa.repeat(c["subroot"][row], n),
+                "root": pa.repeat(c["root"][row], n),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -447,9 +449,10 @@ def manifest(documents: DataFrame, found: Mapping[str, Column] | None = None, al
     paths = above.select(F.col("tree").alias("grp"), F.col("at").alias("block"), F.col("proof").alias("rest"))
     paths = paths.join(tops, "grp").select("grp", "block", F.concat("rest", "last").alias("rest"), "subroot", F.col("whole").alias("root"))
 
-    leaf_rows = f"grp string, block long, doc_id long, position long, leaf string, found_leaf string, proof {STEPS}"
-    leaves = blocks.drop("digest").mapInArrow(_unfolded, leaf_rows)
-    return leaves.join(paths, ["grp", "block"]).select(
+    # Blocks meet their paths packed.
+    leaf = f"grp string, doc_id long, position long, leaf string, found_leaf string, proof {STEPS}, rest {STEPS}"
+    whole = blocks.drop("digest").join(paths, ["grp", "block"])
+    return whole.mapInArrow(_unfolded, f"{leaf}, subroot string, root string").select(
         "doc_id",
         F.expr("if(grp = '', null, substring(grp, 2))").alias("lang"),
         "position",
