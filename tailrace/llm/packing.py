@@ -10,8 +10,10 @@ group, shorter than a window, goes to sequences whose lengths are powers of two,
 at all, and few documents are cut in other places than full windows.
 
 A word between white space is tokenized once for a task's vocabulary, as tokens never cross white space in the
-vocabularies this is for (pre-tokenizers that split at it and drop it). The vocabulary is read in the driver (a few MB) and
-broadcast. A very long text is looked up word by word, so it takes memory in proportion to its words and ids only.
+vocabularies this is for (pre-tokenizers that split at it and drop it). New words of letters alone, and the letters of
+those that only end in punctuation, are tokenized many at a time as one text, which is cut where tokens end words; that as
+many end as there are words proves the cuts. The vocabulary is read in the driver (a few MB) and broadcast. A very long
+text is looked up word by word, so it takes memory in proportion to its words and ids only.
 
 A null text is empty: it has the end id alone. Ties and repeated rows are documents of their own. An empty table gives
 no rows. Only doc_id and text are read, so other columns may have any name.
@@ -19,9 +21,13 @@ no rows. Only doc_id and text are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import string
 from array import array
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from pathlib import Path
 
 import numpy as np
@@ -33,8 +39,9 @@ WINDOW = 4_096
 END_ID = 2
 GROUP_TOKENS = 1 << 22
 # Words whose ids a task holds; the table starts anew beyond that. Longer words are never held.
-HELD_WORDS, HELD_LENGTH = 1 << 18, 64
-BATCH_WORDS = 1 << 14  # words sent to the tokenizer at once
+HELD_WORDS, HELD_LENGTH = 1 << 20, 64
+HELD_TEXTS = 1 << 15  # words of texts that are looked up together; a longer text is looked up alone
+BATCH_WORDS = 1 << 12  # words sent to the tokenizer at once
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 SEQUENCE_BITS = 36  # of a task's sequence numbers, below the task's own
 
@@ -42,12 +49,12 @@ SEQUENCE_BITS = 36  # of a task's sequence numbers, below the task's own
 # Bitsets --------------------------------------------------------------------------------------------
 
 
-def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
+def closest_fill(counts: Mapping[int, int], capacity: int, lengths: Iterable[int] | None = None) -> dict[int, int]:
     """How many of each length to take so that their sum is as near to the capacity as can be, not above.
-    counts: how many there are of each length. Lengths are tried from the longest."""
+    counts: how many there are of each length; lengths: those to try, in that order (default: from the longest)."""
     mask = (1 << (capacity + 1)) - 1
     reach, before = 1, []
-    for length in sorted(counts, reverse=True):
+    for length in sorted(counts, reverse=True) if lengths is None else lengths:
         if length > capacity:
             continue
         before.append((length, reach))
@@ -76,34 +83,40 @@ class Group:
     def __init__(self, window: int):
         self.window = window
         self.pieces: dict[int, list[tuple]] = {}  # length -> (document, start)
+        self.counts: dict[int, int] = {}
+        self.lengths: list[int] = []  # in order
         self.total = 0
 
     def add(self, document: object, start: int, length: int) -> None:
-        if length:
-            self.pieces.setdefault(length, []).append((document, start))
-            self.total += length
+        if not length:
+            return
+        if not self.counts.get(length):
+            insort(self.lengths, length)
+        self.pieces.setdefault(length, []).append((document, start))
+        self.counts[length] = self.counts.get(length, 0) + 1
+        self.total += length
 
     def _take(self, length: int) -> tuple:
-        pieces = self.pieces[length]
-        piece = pieces.pop()
-        if not pieces:
-            del self.pieces[length]
+        piece = self.pieces[length].pop()
+        self.counts[length] -= 1
+        if not self.counts[length]:
+            del self.lengths[bisect_left(self.lengths, length)]
         self.total -= length
         return (*piece, length)
 
     def _filled(self, capacity: int) -> list[tuple]:
         """Pieces of exactly this capacity in all; there must be enough."""
-        fits = [n for n in self.pieces if n <= capacity]
         found, rest = [], capacity
+        fits = bisect_right(self.lengths, capacity)
         if fits:
-            found.append(self._take(max(fits)))
+            found.append(self._take(self.lengths[fits - 1]))
             rest -= found[0][2]
-        counts = {n: len(p) for n, p in self.pieces.items()}
-        for length, n in closest_fill(counts, rest).items():
+        lengths = (self.lengths[i] for i in range(bisect_right(self.lengths, rest) - 1, -1, -1))
+        for length, n in closest_fill(self.counts, rest, lengths).items():
             found += [self._take(length) for _ in range(n)]
             rest -= length * n
         while rest:  # no piece that is left fits whole together with these
-            document, start, length = self._take(max(self.pieces))
+            document, start, length = self._take(self.lengths[-1])
             cut = min(rest, length)
             found.append((document, start, cut))
             self.add(document, start + cut, length - cut)
@@ -119,42 +132,78 @@ class Group:
 # Tasks ----------------------------------------------------------------------------------------------
 
 
-def word_encoder(vocabulary: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of words by the vocabulary (the text of a tokenizer file), one thread."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(vocabulary)
-    return lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-
 class Encoder:
     """Token ids of whole texts, each different word encoded once."""
 
     WORD = re.compile(r"[^ \t-\r]+")
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], end_id: int):
-        self.encode, self.end_id = encode, end_id
-        self.known: dict[str, bytes] = {}
+    def __init__(self, vocabulary: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def ids(self, text: str | None) -> np.ndarray:
-        words = self.WORD.findall(text or "")
+        self.tokenizer, self.end_id = Tokenizer.from_str(vocabulary), end_id
+        self.known: dict[str, bytes] = {}
+        self.ends = None
+        suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix")
+        if suffix:
+            words = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(words.values()) + 1, bool)
+            self.ends[[i for word, i in words.items() if word.endswith(suffix)]] = True
+
+    def ids(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text and the end id."""
+        held, size = [], 0
+        for text in texts:
+            held.append(self.WORD.findall(text or ""))
+            size += len(held[-1])
+            if size >= HELD_TEXTS:
+                yield from self._looked_up(held)
+                held, size = [], 0
+        yield from self._looked_up(held)
+
+    def _looked_up(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
         if len(self.known) > HELD_WORDS:
             self.known = {}
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        table = self.known
-        for i in range(0, len(new), BATCH_WORDS):
-            part = new[i : i + BATCH_WORDS]
-            for word, ids in zip(part, self.encode(part)):
-                table[word] = array("I", ids).tobytes()
-        ids = np.frombuffer(b"".join(map(table.__getitem__, words)), np.uint32)
-        ids = np.append(ids, np.uint32(self.end_id))
+        new = set().union(*texts).difference(self.known)
+        self._learn(new)
+        end = np.array([self.end_id], np.uint32).tobytes()
+        for words in texts:
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)) + end, np.uint32)
         for word in new:
             if len(word) > HELD_LENGTH:
-                del table[word]
-        return ids
+                del self.known[word]
+
+    def _learn(self, words: set[str]) -> None:
+        letters, split, others = set(), {}, set()
+        for word in words:
+            stem = word.rstrip(string.punctuation)
+            if self.ends is None or not stem.isalpha():
+                others.add(word)
+                continue
+            letters.add(stem)
+            if len(stem) < len(word):
+                split[word] = (stem, word[len(stem) :])
+                others.add(split[word][1])
+        self._one_by_one([w for w in others if w not in self.known])
+        fresh = [w for w in letters if w not in self.known]
+        for i in range(0, len(fresh), BATCH_WORDS):
+            part = fresh[i : i + BATCH_WORDS]
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                data, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
+                self.known.update(zip(part, [data[a:b] for a, b in zip(at, at[1:])]))
+            else:  # a letter that is none for the vocabulary
+                self._one_by_one(part)
+        for word, (stem, tail) in split.items():
+            self.known[word] = self.known[stem] + self.known[tail]
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for i in range(0, len(words), BATCH_WORDS):
+            part = words[i : i + BATCH_WORDS]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[word] = array("I", found.ids).tobytes()
 
 
 def _packed(encoder: Callable[[], Encoder], window: int, group_tokens: int):
@@ -182,8 +231,7 @@ def _packed(encoder: Callable[[], Encoder], window: int, group_tokens: int):
             return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PIECE.split(", ")])
 
         for found in batches:
-            for doc_id, text in zip(found["doc_id"].to_pylist(), found["text"]):
-                ids = texts.ids(text.as_py())
+            for doc_id, ids in zip(found["doc_id"].to_pylist(), texts.ids(t.as_py() for t in found["text"])):
                 whole = len(ids) - len(ids) % window
                 for start in range(0, whole, window):
                     put([((doc_id, ids, 0, len(ids)), start, window)])
@@ -214,6 +262,6 @@ def pack(
     doc_tokens (end id included), sequence_id, and offset, the piece's place in its sequence. Every id lies in one piece;
     a sequence's pieces follow one another from offset 0. vocabulary: path of a tokenizer file, read in the driver."""
     text = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
-    encoder = lambda: Encoder(word_encoder(text.value), end_id)
+    encoder = lambda: Encoder(text.value, end_id)
     rows = documents.selectExpr("cast(doc_id AS long) AS doc_id", "text")
     return rows.mapInArrow(_packed(encoder, window, group_tokens), PIECE)
