@@ -40,6 +40,7 @@ END_ID = 2
 GROUP_TOKENS = 1 << 22
 # Words whose ids a task holds; the table starts anew beyond that. Longer words are never held.
 HELD_WORDS, HELD_LENGTH = 1 << 20, 64
+OTHER_SPACE = "\x1c\x1d\x1e\x1f"  # at which Python splits, and no tokenizer
 HELD_TEXTS = 1 << 15  # words of texts that are looked up together; a longer text is looked up alone
 BATCH_WORDS = 1 << 12  # words sent to the tokenizer at once
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -144,7 +145,9 @@ class Encoder:
         self.tokenizer, self.end_id = Tokenizer.from_str(vocabulary), end_id
         self.known: dict[str, bytes] = {}
         self.ends = None
-        suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix")
+        rules = json.loads(vocabulary)
+        self.lower = "Lowercase" in json.dumps(rules["normalizer"])
+        suffix = rules["model"].get("end_of_word_suffix")
         if suffix:
             words = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(words.values()) + 1, bool)
@@ -154,13 +157,18 @@ class Encoder:
         """Ids of each text and the end id."""
         held, size = [], 0
         for text in texts:
-            held.append(self.WORD.findall(text or ""))
+            held.append(self._words(text or ""))
             size += len(held[-1])
             if size >= HELD_TEXTS:
                 yield from self._looked_up(held)
                 held, size = [], 0
         yield from self._looked_up(held)
 
+    def _words(self, text: str) -> list[str]:
+        if not text.isascii() or any(c in text for c in OTHER_SPACE):
+            return self.WORD.findall(text)
+        return text.lower().split() if self.lower else text.split()
+
     def _looked_up(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
         if len(self.known) > HELD_WORDS:
             self.known = {}
@@ -174,18 +182,21 @@ class Encoder:
                 del self.known[word]
 
     def _learn(self, words: set[str]) -> None:
-        letters, split, others = set(), {}, set()
-        for word in words:
+        if self.ends is None:
+            self._one_by_one(list(words))
+            return
+        letters, split, others = set(filter(str.isalpha, words)), {}, set()
+        stems = set()
+        for word in words.difference(letters):
             stem = word.rstrip(string.punctuation)
-            if self.ends is None or not stem.isalpha():
-                others.add(word)
-                continue
-            letters.add(stem)
-            if len(stem) < len(word):
+            if stem.isalpha():
                 split[word] = (stem, word[len(stem) :])
-                others.add(split[word][1])
-        self._one_by_one([w for w in others if w not in self.known])
-        fresh = [w for w in letters if w not in self.known]
+                stems.add(stem)
+                others.add(word[len(stem) :])
+            else:
+                others.add(word)
+        self._one_by_one(list(others.difference(self.known)))
+        fresh = list(letters.union(stems.difference(self.known)))
         for i in range(0, len(fresh), BATCH_WORDS):
             part = fresh[i : i + BATCH_WORDS]
             (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
