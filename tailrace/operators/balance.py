@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tailrace.functions import is_missing
 from tailrace.sources.feeds import Feeds
 
-VARIABLES = ["pro", "cnp", "price"]
+PRICE = "price"
+VARIABLES = ["pro", "cnp", PRICE]
 
 # Zone of the national total; MWh to kWh; price unit to currency per kWh.
 TOTAL_ZONE = "NO"
@@ -23,8 +24,11 @@ def drop_total_zone(power: DataFrame) -> DataFrame:
     return power.filter(F.col("zone") != TOTAL_ZONE)
 
 
-def balance_long(feeds: Feeds) -> DataFrame:
-    """(date, region, value, variable) of all feeds, units scaled."""
+def balance_long(feeds: Feeds, names: bool = False) -> DataFrame:
+    """(date, region, value, variable) of all feeds, units scaled; with names also the region_name of prices."""
+
+    def name(text: Column) -> list[Column]:
+        return [text.cast("string").alias("region_name")] if names else []
 
     def power(rows: DataFrame, variable: str) -> DataFrame:
         return drop_total_zone(rows).select(
@@ -32,13 +36,15 @@ def balance_long(feeds: Feeds) -> DataFrame:
             F.lower("zone").alias("region"),
             (F.col("mwh") * KWH_PER_MWH).alias("value"),
             F.lit(variable).alias("variable"),
+            *name(F.lit(None)),
         )
 
     prices = feeds.prices.select(
         "date",
         F.lower("region").alias("region"),
         (F.col("value") / PRICE_DIVISOR).alias("value"),
-        F.lit("price").alias("variable"),
+        F.lit(PRICE).alias("variable"),
+        *name(F.col("display_name")),
     )
     return (
         power(feeds.production, "pro")
@@ -47,8 +53,9 @@ def balance_long(feeds: Feeds) -> DataFrame:
     )
 
 
-def balance_wide(long: DataFrame, on_duplicate: str = "raise") -> DataFrame:
-    """One row per (date, region) that any feed has, NULL where a feed lacks it.
+def balance_wide(long: DataFrame, on_duplicate: str = "raise", *also: str) -> DataFrame:
+    """One row per (date, region) that any feed has, NULL where a feed lacks it; also names columns that
+    depend on these two and stay.
 
     Conditional aggregates pivot in one exchange (pivot() would take two) and combine before
     it, so copies of one key cannot pile up in a task. A cell with several rows raises, or is
@@ -67,7 +74,7 @@ def balance_wide(long: DataFrame, on_duplicate: str = "raise") -> DataFrame:
             F.raise_error(F.concat(F.lit("several values for "), where))
         )
 
-    return long.groupBy("date", "region").agg(*[cell(v).alias(v) for v in VARIABLES])
+    return long.groupBy(*also, "date", "region").agg(*[cell(v).alias(v) for v in VARIABLES])
 
 
 def is_complete() -> Column:
@@ -79,7 +86,7 @@ def complete_rows(wide: DataFrame) -> DataFrame:
     return wide.filter(is_complete())
 
 
-def in_date_range(rows: DataFrame, start: Column, end: Column) -> DataFrame:
+def in_date_range(rows: DataFrame, start: Column, end: Column, date: str = "date") -> DataFrame:
     """start <= date <= end, both dates. At hour grain a date is its 00:00, so of the
     last day only that hour stays."""
-    return rows.filter((F.col("date") >= start) & (F.col("date") <= end))
+    return rows.filter((F.col(date) >= start) & (F.col(date) <= end))

@@ -1,5 +1,6 @@
 """Whole dataflows: the revenue run, its tables and its files."""
 
 from tailrace.plans.run import RevenueRun, calculate
+from tailrace.plans.store import FeedStore, StoredRun
 
-__all__ = ["RevenueRun", "calculate"]
+__all__ = ["FeedStore", "RevenueRun", "StoredRun", "calculate"]

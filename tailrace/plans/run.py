@@ -17,7 +17,6 @@ from tailrace.operators import balance, hydro_share, revenue, running, tariffs
 from tailrace.operators.scenarios import Scenario, check_groups, expand_scenarios, variants
 from tailrace.plans.tables import Tables
 from tailrace.sources.feeds import Feeds
-from tailrace.sources.regions import distinct_regions
 
 # Key and name of national rows, label of weekly rows.
 NATION, NATION_NAME = "no", "Norge"
@@ -31,6 +30,8 @@ BUCKET = "month"
 NO_REGION = "<NULL>"
 # Facts meet the months of all variants on their place, and stay there for the window.
 PLACE = ["region_key", BUCKET]
+# Lines, as stored, that share a file of the balance.
+CLUSTER_BYTES = 64 << 20
 REGION_ONLY = ["price", "ssb_prop_vannkraft", "price_monthly_mean", "stromstotte_per_kwh"]
 REGION_ONLY += schemas.TARIFFS
 
@@ -46,9 +47,11 @@ class RevenueRun:
     statistics  coded production statistics (ContentsCode, Produk2, Tid, value)
     as_of       day of the run; None is the date in UTC when the run is made
     measures    revenue columns wanted, headline columns at least; only their terms are computed
-    stored      write the shared tables (balance, months) once, or recompute them per branch
+    stored      write the shared tables (lines, balance, months) once, or recompute them per branch
     """
 
+    by_month = False  # whether the balance is in folders by month
+
     def __init__(
         self,
         spark: SparkSession,
@@ -70,7 +73,8 @@ class RevenueRun:
         self.used = list(dict.fromkeys(s.freq for s in scenarios))
         check_groups(scenarios)
         now = dt.datetime.now(dt.timezone.utc).date().isoformat()
-        self.today = F.lit(as_of or now).cast("date")
+        self.day = dt.date.fromisoformat(as_of or now)
+        self.today = F.lit(self.day)
         self.on_duplicate = on_duplicate
         wanted = [schemas.plain(m) for m in schemas.RUNNING if m in {*measures, *schemas.HEADLINE}]
         self.measures = revenue.measures([*wanted, *[f"{m}_cum" for m in wanted]])
@@ -78,43 +82,88 @@ class RevenueRun:
         self.guards = revenue.guards(self.basis)
         self.stored = stored
         self.tables = Tables(spark)
+        self._lines: dict[str, DataFrame] = {}
         self._wide: dict[str, DataFrame] = {}
 
     # Scenario-free part ------------------------------------------------------------------
 
+    def lines(self, freq: str) -> DataFrame:
+        """The rows of all feeds in one narrow form. Feeds are read for this table only."""
+        if freq not in self._lines:
+            named = balance.balance_long(self.feeds[freq], names=True)
+            self._lines[freq] = self._shared(named, f"lines-{freq}")
+        return self._lines[freq]
+
     def wide(self, freq: str) -> DataFrame:
-        """Energy balance of all dates, sorted in its files so that date filters skip pages."""
+        """Energy balance of all dates. A region's month is one piece of one file, as large as CLUSTER_BYTES of lines
+        make it: lines move once, for the pivot, and the balance never again."""
         if freq not in self._wide:
-            long = balance.balance_long(self.feeds[freq])
-            wide = balance.balance_wide(long, self.on_duplicate)
-            self._wide[freq] = self._shared(wide.sortWithinPartitions("date"), "balance")
+            lines = self.keyed(freq, self.lines(freq))
+            if not self.stored:
+                self._wide[freq] = balance.balance_wide(lines, self.on_duplicate, *PLACE)
+            else:
+                files = 1 + self.tables.size(f"lines-{freq}") // CLUSTER_BYTES
+                wide = balance.balance_wide(lines.repartition(files, *PLACE), self.on_duplicate, *PLACE)
+                self._wide[freq] = self.tables.write_clustered(wide, "balance", PLACE, files, "date")
         return self._wide[freq]
 
+    def names(self, freq: str) -> DataFrame:
+        """(region, region_name) of the prices."""
+        prices = self.lines(freq).where(F.col("variable") == balance.PRICE)
+        return prices.select("region", "region_name").distinct()
+
+    def months_seen(self, freq: str) -> DataFrame:
+        """The months of the balance, and whether they have rows on their first day."""
+        return hydro_share.first_days(self.wide(freq))
+
     def share(self, freq: str) -> DataFrame:
         """Hydropower share that holds in each month of the balance."""
         ratios = hydro_share.with_trailing_ratio(hydro_share.monthly_share(self.statistics))
-        return hydro_share.share_by_month(self.wide(freq), ratios)
+        return hydro_share.carried_share(self.months_seen(freq), ratios)
 
-    def rows(self, freq: str, since: Column | None = None) -> DataFrame:
+    def rows(self, freq: str, since: Column | None = None, only: Column | None = None) -> DataFrame:
         """Balance rows that any variant of a frequency takes, keyed by region and month. The rows of
-        one variant are picked where they meet its range, see picked()."""
-        ranges = [self._range(v) for v in variants(self.scenarios) if v[0] == freq]
-        rows = self.wide(freq)
+        one variant are picked where they meet its range, see picked(). A balance in folders by month
+        opens the months from since on, or those that `only` holds for."""
+        dates = [self._dates(v) for v in variants(self.scenarios) if v[0] == freq]
+        first, last = F.lit(min(d[0] for d in dates)), F.lit(max(d[1] for d in dates))
+        rows = self.keyed(freq, self.wide(freq))
         if since is not None:
-            rows = rows.filter(F.col("date") >= F.trunc(since, "month"))
-        if all(na_rm for _, _, na_rm in ranges):
+            first = F.greatest(first, F.trunc(since, "month"))
+        if self.by_month:
+            rows = balance.in_date_range(rows, F.trunc(first, "month"), last, BUCKET)
+        if only is not None:
+            rows = rows.where(only)
+        if self._completeness(freq) == {True}:
             rows = balance.complete_rows(rows)
-        first, last = [r[0] for r in ranges], [r[1] for r in ranges]
-        if len(ranges) > 1:
-            first, last = [F.least(*first)], [F.greatest(*last)]
-        rows = balance.in_date_range(rows, first[0], last[0])
+        return balance.in_date_range(rows, first, last)
+
+    def keyed(self, freq: str, rows: DataFrame) -> DataFrame:
+        """Rows with their month and the key of their region."""
         keys = {BUCKET: month_start(F.col("date")), "region_key": _region_key(freq)}
-        return rows.withColumns(keys)
+        return rows.withColumns({k: c for k, c in keys.items() if k not in rows.columns})
+
+    def _completeness(self, freq: str) -> set[bool]:
+        return {v[3] for v in variants(self.scenarios) if v[0] == freq}
 
     def _range(self, variant: tuple) -> tuple[Column, Column, bool]:
-        _, start, end, na_rm = variant
-        last = F.date_add(self.today, 1) if end is None else F.lit(end).cast("date")
-        return F.lit(start).cast("date"), last, na_rm
+        first, last = self._dates(variant)
+        return F.lit(first), F.lit(last), variant[3]
+
+    def _dates(self, variant: tuple) -> tuple[dt.date, dt.date]:
+        _, start, end, _ = variant
+        last = self.day + dt.timedelta(days=1) if end is None else dt.date.fromisoformat(end)
+        return dt.date.fromisoformat(start), last
+
+    def cuts(self, freq: str) -> dict[dt.date, list[dt.datetime]]:
+        """By month, the instants at which the rows of a variant of the frequency begin or have ended."""
+        found: dict[dt.date, set] = {}
+        for variant in variants(self.scenarios):
+            if variant[0] == freq:
+                first, last = (dt.datetime.combine(day, dt.time()) for day in self._dates(variant))
+                for instant in (first, last + dt.timedelta(microseconds=1)):
+                    found.setdefault(instant.date().replace(day=1), set()).add(instant)
+        return {month: sorted(instants) for month, instants in found.items()}
 
     def ranges(self, freq: str) -> Column:
         """variant, first_date, last_date and complete of each variant of a frequency."""
@@ -139,14 +188,45 @@ class RevenueRun:
     @cached_property
     def region_names(self) -> DataFrame:
         """Region names seen in the prices, with the number of names of each region."""
-        parts = [
-            distinct_regions(self.feeds[freq].prices).select(
-                F.lit(number).alias("variant"), _region_key(freq).alias("region_key"), "region_name"
-            )
-            for number, (freq, *_) in enumerate(variants(self.scenarios))
-        ]
+        parts = [self.names(f).select(_region_key(f).alias("region_key"), "region_name") for f in self.used]
         names = reduce(DataFrame.unionByName, parts)
-        return names.withColumn("names", F.count(F.lit(1)).over(W.partitionBy(*SERIES)))
+        return names.withColumn("names", F.count(F.lit(1)).over(W.partitionBy("region_key")))
+
+    def pieces(self, freq: str, only: Column | None = None) -> DataFrame:
+        """Totals per region, piece of a month and completeness, for all variants at once.
+
+        Months are cut where the rows of some variant begin or end (twice a variant, whatever the data), so
+        that each piece belongs to a variant as a whole or not at all. A row is read once and counts in one
+        piece; what a variant takes is added up from pieces, see months.
+        """
+        chosen = self._completeness(freq)
+        whole = balance.is_complete() if len(chosen) > 1 else F.lit(chosen == {True})
+        return self.piece_totals(freq, self.rows(freq, only=only), self.cuts(freq), whole)
+
+    def piece_totals(
+        self, freq: str, rows: DataFrame, cuts: Mapping[dt.date, Sequence[dt.datetime]], whole: Column
+    ) -> DataFrame:
+        calendar = hydro_share.with_cuts(self.share(freq), cuts)
+        rows = self.with_basis(hydro_share.with_month_share(rows, calendar))
+        instants = [F.col(c) for c in calendar.columns if c.startswith(hydro_share.CUT)]
+        start = F.col(BUCKET).cast("timestamp_ntz")
+        begins = F.greatest(start, *[F.when(c <= F.col("date"), c) for c in instants]) if instants else start
+        keys = ["region_key", BUCKET, begins.alias("begins"), whole.alias("whole")]
+        return rows.groupBy(*keys).agg(
+            F.max("on_first").alias("on_first"),  # the same in all rows of the group
+            F.max("later").alias("later"),
+            F.sum("price").alias("price"),
+            F.count("price").alias("prices"),
+            F.count(F.lit(1)).alias("rows"),
+            *running.bucket_totals(self.basis, self.guards),
+        )
+
+    def taken(self, freq: str) -> DataFrame:
+        """The pieces of each variant of a frequency."""
+        pieces = self.pieces(freq).select("*", self.ranges(freq))
+        begins = F.col("begins")
+        inside = (begins >= F.col("first_date")) & (begins <= F.col("last_date"))
+        return pieces.where(inside & (~F.col("complete") | F.col("whole")))
 
     @cached_property
     def months(self) -> DataFrame:
@@ -159,24 +239,17 @@ class RevenueRun:
         per name, hence its totals that many times; a region without prices has no name and
         drops out.
         """
-        shared = [
-            self.picked(
-                hydro_share.with_month_share(self.rows(freq), self.share(freq)).select(
-                    "*", self.ranges(freq)
-                )
-            )
-            for freq in self.used
-        ]
-        rows = self.with_basis(reduce(DataFrame.unionByName, shared))
+        rows = reduce(DataFrame.unionByName, [self.taken(freq) for freq in self.used])
         one_value = ("first_date", "last_date", "complete", "on_first", "later")
+        added = [c for c in rows.columns if c.startswith(("total__", "missing__"))]
         totals = rows.groupBy(*SERIES, BUCKET).agg(
             *[F.max(c).alias(c) for c in one_value],  # the same in all rows of the group
-            F.avg("price").alias("price_monthly_mean"),
-            F.count(F.lit(1)).alias("rows"),
-            *running.bucket_totals(self.basis, self.guards),
+            (F.sum("price") / F.nullif(F.sum("prices"), F.lit(0))).alias("price_monthly_mean"),
+            F.sum("rows").alias("rows"),
+            *[F.sum(c).alias(c) for c in added],
         )
         rate = revenue.support_rate(F.col("price_monthly_mean"), F.lit(tariffs.SUPPORT_FLOOR))
-        named = totals.withColumn("rate", rate).join(self.region_names, SERIES)
+        named = totals.withColumn("rate", rate).join(self.region_names, "region_key")
         scale = {c: F.expr(f"total__{c} * names") for c in self.basis}
         scale |= {
             c: F.expr(f"coalesce(total__{c} * rate, 0D) * names") for c in revenue.rated(self.basis)
@@ -192,9 +265,9 @@ class RevenueRun:
     def detail(self, since: Column | None = None, clustered: bool = False) -> DataFrame:
         """Basis rows of each variant, joined with their month, which brings the variants; clustered
         gathers a region's month in one partition before that, while rows are narrow and stand for
-        all variants."""
+        all variants. The balance of one frequency is stored that way."""
         rows = reduce(DataFrame.unionByName, [self.rows(freq, since) for freq in self.used])
-        if clustered:
+        if clustered and (self.by_month or not self.stored or len(self.used) > 1):
             rows = rows.repartition(*PLACE)
         joined = self.picked(self.months.join(rows, PLACE))
         joined = self.with_basis(joined.drop("first_date", "last_date", "complete"))

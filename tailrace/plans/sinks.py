@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from tailrace import schemas
 from tailrace.functions import file_label
 from tailrace.operators.reshape import max_date
+from tailrace.plans.tables import move, remove
 
 
 def dotted(rows: DataFrame) -> DataFrame:
@@ -49,8 +52,19 @@ def last_label(rows: DataFrame) -> str | None:
 
 def write_results(national: DataFrame, minimal: DataFrame, folder: str, prefix: str = "") -> None:
     """All result files, their names after prefix. Both inputs are read several times, so they
-    should be tables."""
-    write_csv(national, f"{folder}/{prefix}no-{last_label(national)}.csv")
-    write_csv(national, f"{folder}/{prefix}no-latest.csv")
-    write_csv(minimal, f"{folder}/{prefix}minimal-latest.csv")
-    write_json(minimal, f"{folder}/{prefix}minimal-latest.json")
+    should be tables. Files are written aside and take their names when all are complete, so a job that
+    fails leaves the results of the last one."""
+    spark, aside = national.sparkSession, f"{folder}/_written-{uuid.uuid4().hex}"
+    files = {
+        f"{prefix}no-{last_label(national)}.csv": (write_csv, national),
+        f"{prefix}no-latest.csv": (write_csv, national),
+        f"{prefix}minimal-latest.csv": (write_csv, minimal),
+        f"{prefix}minimal-latest.json": (write_json, minimal),
+    }
+    try:
+        for name, (write, rows) in files.items():
+            write(rows, f"{aside}/{name}")
+        for name in files:
+            move(spark, f"{aside}/{name}", f"{folder}/{name}")
+    finally:
+        remove(spark, aside)

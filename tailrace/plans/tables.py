@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Sequence
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,17 @@ def remove(spark: SparkSession, path: str) -> None:
     _delete(*_files(spark), path)
 
 
+def move(spark: SparkSession, path: str, target: str) -> None:
+    """Give a folder another name, in place of what has that name."""
+    jvm, configuration = _files(spark)
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, target))
+    files = new.getFileSystem(configuration)
+    files.delete(new, True)
+    files.mkdirs(new.getParent())
+    if not files.rename(old, new):
+        raise OSError(f"{path} could not be moved to {target}")
+
+
 def _files(spark: SparkSession) -> tuple:
     """What it takes to delete files, also when the session has stopped."""
     context = spark.sparkContext
@@ -69,6 +81,7 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[str, list[str]] = {}
+        self.registered: dict[str, str] = {}  # path -> table of the session's catalogue
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
@@ -76,10 +89,29 @@ class Tables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_clustered(self, df: DataFrame, name: str, keys: Sequence[str], files: int, *order: str) -> DataFrame:
+        """Like write(), with the rows of a key in one of so many files: joins, sums and windows by the keys need
+        no exchange of this table. df should be partitioned by the keys in as many parts."""
+        path = new_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        self.registered[path] = table
+        writer = df.write.format("parquet").bucketBy(files, *keys).sortBy(*keys, *order)
+        writer.option("path", path).saveAsTable(table)
+        return self.spark.table(table)
+
+    def size(self, name: str) -> int:
+        """Bytes of a table's files."""
+        jvm, configuration = _files(self.spark)
+        paths = [jvm.org.apache.hadoop.fs.Path(path) for path in self.paths.get(name, [])]
+        return sum(p.getFileSystem(configuration).getContentSummary(p).getLength() for p in paths)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         for name in names:
             for path in self.paths.pop(name, []):
+                if path in self.registered:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {self.registered.pop(path)}")
                 remove(self.spark, path)
 
     def close(self) -> None:

@@ -18,14 +18,14 @@ from tailrace.functions import (
     year_month,
 )
 from tailrace.operators import balance, hydro_share, reshape, running, tariffs
-from tailrace.operators.scenarios import Scenario, expand_scenarios, published_grid
-from tailrace.plans import RevenueRun, calculate
+from tailrace.operators.scenarios import Scenario, expand_grid, expand_scenarios, published_grid
+from tailrace.plans import FeedStore, RevenueRun, StoredRun, calculate
 from tailrace.plans import run as runs
 from tailrace.plans.sinks import last_label, write_csv, write_json, write_results
-from tailrace.plans.tables import new_path, written
+from tailrace.plans.tables import Tables, new_path, written
 from tailrace.queries import landing, oracle
 from tailrace.schemas import plain
-from tailrace.sources import documents, flat, load_feeds, metadata_long, read_statistics, regions
+from tailrace.sources import Feeds, documents, flat, load_feeds, metadata_long, read_statistics, regions
 from tailrace.sources.warehouse import Warehouse, shifted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,6 +211,31 @@ def src_by_frequency(spark, folder):
     )
 
 
+BROKEN = {
+    "no json": "{ items: ",
+    "another type": '{"items": [{"date": "2022-01-01", "zone": "NO1", "MWh": {}}]}',
+    "no array": '{"item": []}',
+}
+
+
+@query(
+    f"{FEEDS} SELECT 'rows' AS part, zone, sum(mwh) AS mwh, count(*) AS n FROM production GROUP BY zone"
+    " UNION ALL SELECT 'unreadable', NULL, NULL, 2 UNION ALL SELECT 'no items', NULL, NULL, 1"
+)
+def src_quarantine(spark, folder):
+    """Landed production among which three documents are broken: the others' rows, and what was put aside."""
+    docs = landing.daily_power_documents(Warehouse(spark, folder).production())
+    path = landing.landed_documents(docs, "production-broken")
+    spark.createDataFrame([(t,) for t in BROKEN.values()], "value string").write.mode("append").text(path)
+    aside = documents.Quarantine(Tables(spark).write, at_most=3)
+    raw = aside.read(spark, "production", path, schemas.DAILY_ITEMS_JSON, multi_line=False)
+    n = F.count(F.lit(1)).alias("n")
+    rows = documents.daily_power(raw).groupBy("zone").agg(F.sum("mwh").alias("mwh"), n)
+    broken = aside.broken.groupBy(F.col("reason").alias("part")).agg(n)
+    nothing = {"zone": F.lit(None).cast("string"), "mwh": F.lit(None).cast("double")}
+    return rows.withColumn("part", F.lit("rows")).unionByName(broken.withColumns(nothing))
+
+
 @query(
     f"{HOURLY_PRICE_CELLS}, texts AS (SELECT day AS date, hours, name, value FROM matrix)"
     " SELECT date, hours, name, value FROM texts"
@@ -625,6 +650,22 @@ def scenario_sweep_variants(spark, folder):
     return rounded(daily_run(spark, folder, MIXED, measures=[]).regional(), VARIANT)
 
 
+STARTS = expand_grid(
+    freq=["daily"], start_date=[f"{2021 + i // 6}-{i % 6 * 2 + 1:02d}-{i % 28 + 1:02d}" for i in range(24)], na_rm=[True, False]
+)
+
+
+@query(
+    f"{oracle.model(STARTS, AS_OF)} SELECT {oracle.projection(NATIONAL_KEY, summed=True)} FROM national"
+    f" WHERE date >= DATE '{AS_OF}' - 1"
+)
+def scenario_sweep_starts(spark, folder):
+    """48 choices of rows: the totals of their months are added up from pieces that are computed once."""
+    run = daily_run(spark, folder, STARTS, measures=["pro", "alt_til_spotpris"])
+    since = F.date_sub(F.lit(AS_OF).cast("date"), 1)
+    return rounded(runs.latest_slice(run.national(since), since), NATIONAL_KEY, summed=True)
+
+
 CUMULATIVE = ["group", *ROW_KEY, *[f"{c}_cum" for c in oracle.RUNNING]]
 
 
@@ -732,6 +773,52 @@ def minimal_output_hourly(spark, folder):
     return rounded(hourly_run(spark, folder, measures=[]).minimal(), oracle.MINIMAL, summed=True)
 
 
+# Runs over a store --------------------------------------------------------------------------
+
+LAST_WEEK = "2027-02-23"  # the week before AS_OF lands after the rest
+
+
+def _between(feeds: Feeds, condition: str) -> Feeds:
+    return Feeds(*[rows.where(condition) for rows in (feeds.production, feeds.consumption, feeds.prices)])
+
+
+def _daily_store(spark, folder) -> FeedStore:
+    """A store of all daily documents, in two batches: what landed first, and a week later the rest."""
+    landed = new_path(spark, "landed")
+    feeds = Warehouse(spark, folder).daily()
+    store = FeedStore(spark, new_path(spark, "store"))
+    for part, condition in (("first", f"date < '{LAST_WEEK}'"), ("second", f"date >= '{LAST_WEEK}'")):
+        paths = landing.land_daily(_between(feeds, condition), landed, part)
+        store.ingest("daily", paths, multi_line=False)
+        statistics = Warehouse(spark, folder).statistics()
+        StoredRun(store, statistics, GRID, AS_OF, measures=[]).months  # the first batch's totals stay
+    return store
+
+
+@query(MINIMAL_SQL)
+def incremental_run(spark, folder):
+    """A week lands after a run: only its files are read, only its months are written anew."""
+    run = StoredRun(_daily_store(spark, folder), Warehouse(spark, folder).statistics(), GRID, AS_OF, measures=[])
+    return rounded(run.minimal(), oracle.MINIMAL, summed=True)
+
+
+@query(
+    f"SELECT 'one' AS grid, * FROM ({RUN} SELECT {oracle.projection(NATIONAL_KEY, summed=True)} FROM national"
+    f" WHERE date >= DATE '{AS_OF}' - 1) UNION ALL SELECT 'two', * FROM"
+    f" ({oracle.model(MIXED, AS_OF)} SELECT {oracle.projection(NATIONAL_KEY, summed=True)} FROM national"
+    f" WHERE date >= DATE '{AS_OF}' - 1)"
+)
+def store_two_grids(spark, folder):
+    """Two grids over one store; of the facts only the last month and those that a grid cuts are opened."""
+    store, statistics = _daily_store(spark, folder), Warehouse(spark, folder).statistics()
+    since, parts = F.date_sub(F.lit(AS_OF).cast("date"), 1), []
+    for grid, scenarios in (("one", GRID), ("two", MIXED)):
+        run = StoredRun(store, statistics, scenarios, AS_OF, measures=["pro", "alt_til_spotpris"])
+        rows = runs.latest_slice(run.national(since), since)
+        parts.append(rounded(rows, NATIONAL_KEY, summed=True).withColumn("grid", F.lit(grid)))
+    return parts[0].unionByName(parts[1])
+
+
 # Sinks --------------------------------------------------------------------------------------
 
 

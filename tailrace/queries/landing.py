@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tailrace.functions import month_start
 from tailrace.plans.tables import new_path
+from tailrace.sources.feeds import Feeds
 
 
-def landed_documents(documents: DataFrame, name: str) -> str:
+def landed_documents(documents: DataFrame, name: str, path: str | None = None) -> str:
     """Write one JSON document per line; returns the path."""
-    path = new_path(documents.sparkSession, name)
+    path = path or new_path(documents.sparkSession, name)
     text = F.to_json(F.struct(*documents.columns), {"ignoreNullFields": "false"})
     documents.select(text).write.text(path)
     return path
@@ -27,6 +28,19 @@ def landed_csv(rows: DataFrame, name: str) -> str:
     return path
 
 
+def land_daily(feeds: Feeds, folder: str, part: str) -> dict[str, str]:
+    """Land daily feeds as documents in a folder by feed, this part in a folder of its own; returns the feeds'
+    folders."""
+    made = {
+        "production": daily_power_documents(feeds.production),
+        "consumption": daily_power_documents(feeds.consumption),
+        "prices": daily_price_documents(feeds.prices),
+    }
+    for feed, documents in made.items():
+        landed_documents(documents, feed, f"{folder}/{feed}/{part}")
+    return {feed: f"{folder}/{feed}" for feed in made}
+
+
 def daily_power_documents(power: DataFrame) -> DataFrame:
     """One document per day."""
     item = F.struct(F.col("date").cast("string").alias("date"), "zone", F.col("mwh").alias("MWh"))

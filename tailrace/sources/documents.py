@@ -8,6 +8,9 @@ its own and no document meets another.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,14 +20,61 @@ from tailrace.sources.regions import join_regions
 
 
 def read_documents(
-    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multi_line: bool = True
 ) -> DataFrame:
     """One document per file (multi_line) or one per line. Text that is no JSON, or a value of
-    another type, stops the read."""
+    another type, stops the read. An empty list of files has no documents."""
+    if not path:
+        return spark.createDataFrame([], schema)
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
     return reader.option("multiLine", multi_line).json(path)
 
 
+class Quarantine:
+    """Puts broken documents aside instead of stopping: documents that are no JSON, hold a value of another
+    type, or lack their array. More than `at_most` of them in a feed stop the read all the same.
+
+    write(rows, name) stores rows once and returns the table (as Tables.write does), so that every document is
+    parsed once. `broken` has feed, path, reason and document of what was put aside.
+    """
+
+    TEXT, PATH, REASON = "_document", "_path", "_reason"
+
+    def __init__(self, write: Callable[[DataFrame, str], DataFrame], at_most: int):
+        self.write, self.at_most = write, at_most
+        self.parts: list[DataFrame] = []
+
+    def read(
+        self, spark: SparkSession, feed: str, path: str | Sequence[str], schema: T.StructType, multi_line: bool = True
+    ) -> DataFrame:
+        """The documents of a feed that can be used."""
+        if not path:
+            return spark.createDataFrame([], schema)
+        text = T.StructType([*schema.fields, T.StructField(self.TEXT, T.StringType())])
+        reader = spark.read.schema(text).options(mode="PERMISSIVE", columnNameOfCorruptRecord=self.TEXT)
+        parsed = reader.option("multiLine", multi_line).json(path).withColumn(self.PATH, F.col("_metadata.file_path"))
+        array = NEEDED[schema.fieldNames()[0]]
+        lacks = F.when(reduce(Column.__or__, [F.col(c).isNull() for c in array]), F.lit(f"no {array[0]}"))
+        reason = F.when(F.col(self.TEXT).isNotNull(), F.lit("unreadable")).otherwise(lacks)
+        held = self.write(parsed.withColumn(self.REASON, reason), f"documents-{feed}")
+        broken = held.where(F.col(self.REASON).isNotNull())
+        number = broken.count()
+        if number > self.at_most:
+            example = broken.select(self.PATH).first()[0]
+            raise ValueError(f"{number} documents of {feed} are broken, as one of {example}")
+        columns = [F.col(c).alias(c[1:]) for c in (self.PATH, self.REASON, self.TEXT)]
+        self.parts.append(broken.select(F.lit(feed).alias("feed"), *columns))
+        return held.where(F.col(self.REASON).isNull()).select(*schema.fieldNames())
+
+    @property
+    def broken(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
+# The arrays that a document must have, by its first field.
+NEEDED = {"historic": ["historic.dates", "historic.prices"], "columns": ["columns", "rows"], "items": ["items"]}
+
+
 def required(name: str) -> Column:
     """An array that every document has; a document without it stops the query, while explode()
     would drop it."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +24,13 @@ class Feeds:
 def load_feeds(
     spark: SparkSession,
     freq: str,
-    paths: Mapping[str, str],
+    paths: Mapping[str, str | Sequence[str]],
     fmt: str = "json",
     multi_line: bool = True,
+    quarantine: documents.Quarantine | None = None,
 ) -> Feeds:
-    """Read the feeds landed at paths['production'], ['consumption'] and ['prices'].
+    """Read the feeds landed at paths['production'], ['consumption'] and ['prices']; a list names files, an
+    empty one a feed without rows. A quarantine puts broken documents aside, which else stop the read.
 
     Flat formats (csv, parquet) are daily, as the documented flat shape is.
     """
@@ -37,6 +39,8 @@ def load_feeds(
     if fmt == "json":
 
         def docs(feed, schema):
+            if quarantine:
+                return quarantine.read(spark, feed, paths[feed], schema, multi_line)
             return documents.read_documents(spark, paths[feed], schema, multi_line)
 
         if freq == "daily":

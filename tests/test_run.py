@@ -15,7 +15,7 @@ from compare import difference
 from tailrace import schemas
 from tailrace.__main__ import main
 from tailrace.operators.scenarios import Scenario, expand_grid, published_grid
-from tailrace.plans import RevenueRun
+from tailrace.plans import RevenueRun, sinks
 from tailrace.plans.job import run_job
 from tailrace.plans.sinks import write_csv, write_json
 from tailrace.plans.tables import CHECKPOINT_DIR, Tables, shared_folder
@@ -185,15 +185,36 @@ def test_groups_are_unique(spark):
         RevenueRun(spark, {"daily": None}, None, [Scenario(), Scenario(na_rm=True)])
 
 
-def test_many_start_dates_move_facts_once(spark):
+def above(text, marker):
+    """Lines of a plan from the first one that has the marker up to the root."""
+    lines = text.splitlines()
+    at = next(i for i, line in enumerate(lines) if marker in line)
+    depth, found = len(lines[at]), []
+    for line in reversed(lines[: at + 1]):
+        own = re.search(r"[A-Za-z*(]", line).start() if re.search(r"[A-Za-z*(]", line) else depth
+        if own < depth:
+            found.append(line)
+            depth = own
+    return found
+
+
+def test_facts_never_move_after_the_pivot(spark):
+    """The balance is stored by region and month: neither the join with the months of 20 row choices nor the window
+    moves it, with or without broadcasts."""
     feeds, statistics, _ = fixture(spark, DAYS, 6)
     starts = [f"2021-{m:02d}-{d:02d}" for m in range(1, 11) for d in (1, 15)]
     run = RevenueRun(spark, {"daily": feeds}, statistics, expand_grid(start_date=starts), AS_OF, measures=[])
-    text = plan(run.regional())
-    exchange = next(i for i, line in enumerate(text.splitlines()) if "REPARTITION_BY_COL" in line)
-    below = text.splitlines()[exchange + 1 :]
-    assert not any("Generate" in line for line in below)
-    assert text.count("REPARTITION_BY_COL") == 1
+    run.months.count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            path = above(plan(run.regional()), "FileScan parquet spark_catalog.default.balance")
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        window = next(i for i, line in enumerate(path) if "Window" in line)
+        assert any("Join" in line for line in path[:window])
+        assert not any("Exchange" in line or "Generate" in line for line in path[:window]), path
 
 
 def test_one_date_for_a_run(spark):
@@ -252,8 +273,8 @@ def test_plans(spark):
     # Several row choices share one scan of the balance.
     mixed = RevenueRun(spark, {"daily": feeds}, statistics, expand_grid(na_rm=[True, False], start_date=["2021-01-01", "2022-01-01"]), AS_OF, measures=[])
     assert plan(mixed.weekly()).count("FileScan") == 2
-    # Facts move once for running totals, whatever the number of scenarios.
-    assert regional.count("Exchange hashpartitioning") == 1
+    # Facts do not move for running totals, whatever the number of scenarios.
+    assert regional.count("Exchange hashpartitioning") == 0
     assert "Scan ExistingRDD" not in regional
 
 
@@ -309,6 +330,28 @@ def test_csv_and_json_files(spark, tmp_path):
     ]
 
 
+def test_failed_job_leaves_old_results(spark, tmp_path, monkeypatch):
+    def rows(n):
+        text = "group string, date timestamp_ntz"
+        return spark.createDataFrame([(str(i), dt.datetime(2022, 1, 1)) for i in range(n)], text)
+
+    sinks.write_results(rows(3), rows(2), str(tmp_path), "x-")
+    names = {"x-no-2022-01-01-000000.csv", "x-no-latest.csv", "x-minimal-latest.csv", "x-minimal-latest.json"}
+    assert {p.name for p in tmp_path.iterdir()} == names
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken, pytest.raises(RuntimeError):
+        broken.setattr(sinks, "write_json", fail)
+        sinks.write_results(rows(9), rows(9), str(tmp_path), "x-")
+    assert {p.name for p in tmp_path.iterdir()} == names
+    read = lambda name: spark.read.option("header", True).csv(f"{tmp_path}/{name}").count()
+    assert [read("x-no-latest.csv"), read("x-minimal-latest.csv")] == [3, 2]
+    sinks.write_results(rows(5), rows(4), str(tmp_path), "x-")
+    assert [read("x-no-latest.csv"), read("x-minimal-latest.csv")] == [5, 4]
+
+
 def test_job_from_documents_to_files(spark, tmp_path):
     rng = random.Random(9)
     dates = [dt.date(2022, 1, 1) + dt.timedelta(days=i) for i in range(60)]

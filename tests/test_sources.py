@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from tailrace import schemas
+from tailrace.plans.tables import Tables
 from tailrace.sources import (
     documents,
     label_codes,
@@ -187,3 +188,35 @@ def test_code_labels(spark):
     long = metadata_long(metadata, simplify=True)
     assert long.columns == ["key", "code", "desc"] and long.count() == 5
     assert metadata_long(metadata) is metadata
+
+
+def test_quarantine_puts_broken_documents_aside(spark, tmp_path):
+    good = {"items": [{"date": "2022-01-01", "zone": "NO1", "MWh": 1.5}]}
+    texts = [json.dumps(good), "{ items: ", '{"items": [{"MWh": {}}]}', '{"item": []}', json.dumps({"items": None})]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(text)
+    tables = Tables(spark)
+    aside = documents.Quarantine(tables.write, at_most=4)
+    raw = aside.read(spark, "production", str(tmp_path), schemas.DAILY_ITEMS_JSON)
+    assert rows(documents.daily_power(raw), "zone", "mwh") == [("NO1", 1.5)]
+    found = sorted((r.path[-6:], r.reason) for r in aside.broken.collect())
+    assert found == [("1.json", "unreadable"), ("2.json", "unreadable"), ("3.json", "no items"), ("4.json", "no items")]
+    with pytest.raises(ValueError, match="4 documents of production"):
+        documents.Quarantine(tables.write, at_most=3).read(spark, "production", str(tmp_path), schemas.DAILY_ITEMS_JSON)
+    # By default they stop the read.
+    with pytest.raises(Exception):
+        documents.daily_power(documents.read_documents(spark, str(tmp_path), schemas.DAILY_ITEMS_JSON)).collect()
+
+
+def test_quarantine_of_a_frequency(spark, tmp_path):
+    good = {"items": [{"date": "2022-01-01", "zone": "NO1", "MWh": 1.5}]}
+    prices = {"historic": {"dates": ["2022-01-01"], "prices": [{"name": "a", "displayName": "A (NO1)", "data": [2.0]}]}}
+    for feed, doc in (("production", good), ("consumption", good), ("prices", prices)):
+        land(tmp_path, feed, doc, {"historic": {"dates": []}} if feed == "prices" else {"items": None})
+    paths = {feed: f"{tmp_path}/{feed}" for feed in ("production", "consumption", "prices")}
+    aside = documents.Quarantine(Tables(spark).write, at_most=1)
+    feeds = load_feeds(spark, "daily", paths, quarantine=aside)
+    assert [f.count() for f in (feeds.production, feeds.consumption, feeds.prices)] == [1, 1, 1]
+    assert {(r.feed, r.reason) for r in aside.broken.collect()} == {
+        ("production", "no items"), ("consumption", "no items"), ("prices", "no historic.dates")
+    }
