@@ -9,7 +9,7 @@ the bitsets gives how many of each length to take. Slack that no multiset fills
 group, shorter than a window, goes to sequences whose lengths are powers of two, which need no padding. So no id is padded
 at all, and few documents are cut in other places than full windows.
 
-A word between white space is tokenized once for a task's vocabulary, as tokens never cross white space in the
+A word between white space is tokenized once by a worker, as tokens never cross white space in the
 vocabularies this is for (pre-tokenizers that split at it and drop it). New words of letters alone, and the letters of
 those that only end in punctuation, are tokenized many at a time as one text, which is cut where tokens end words; that as
 many end as there are words proves the cuts. The vocabulary is read in the driver (a few MB) and broadcast. A very long
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 WINDOW = 4_096
 END_ID = 2
 GROUP_TOKENS = 1 << 22
-# Words whose ids a task holds; the table starts anew beyond that. Longer words are never held.
+# Words whose ids a worker holds; the table starts anew beyond that. Longer words are never held.
 HELD_WORDS, HELD_LENGTH = 1 << 20, 64
 OTHER_SPACE = "\x1c\x1d\x1e\x1f"  # at which Python splits, and no tokenizer
 HELD_TEXTS = 1 << 15  # words of texts that are looked up together; a longer text is looked up alone
@@ -153,6 +153,14 @@ class Encoder:
             self.ends = np.zeros(max(words.values()) + 1, bool)
             self.ends[[i for word, i in words.items() if word.endswith(suffix)]] = True
 
+    @classmethod
+    def of_task(cls, vocabulary: str, end_id: int) -> Encoder:
+        """The encoder that tasks of one Python worker share, with the words it has seen."""
+        key, held = (hash(vocabulary), end_id), getattr(cls, "held", None)
+        if held is None or held[0] != key:
+            held = cls.held = key, cls(vocabulary, end_id)
+        return held[1]
+
     def ids(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text and the end id."""
         held, size = [], 0
@@ -273,6 +281,6 @@ def pack(
     doc_tokens (end id included), sequence_id, and offset, the piece's place in its sequence. Every id lies in one piece;
     a sequence's pieces follow one another from offset 0. vocabulary: path of a tokenizer file, read in the driver."""
     text = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
-    encoder = lambda: Encoder(text.value, end_id)
+    encoder = lambda: Encoder.of_task(text.value, end_id)
     rows = documents.selectExpr("cast(doc_id AS long) AS doc_id", "text")
     return rows.mapInArrow(_packed(encoder, window, group_tokens), PIECE)
