@@ -25,10 +25,12 @@ import json
 import os
 import re
 import string
+import sys
 from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from pathlib import Path
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -153,14 +155,6 @@ class Encoder:
             self.ends = np.zeros(max(words.values()) + 1, bool)
             self.ends[[i for word, i in words.items() if word.endswith(suffix)]] = True
 
-    @classmethod
-    def of_task(cls, vocabulary: str, end_id: int) -> Encoder:
-        """The encoder that tasks of one Python worker share, with the words it has seen."""
-        key, held = (hash(vocabulary), end_id), getattr(cls, "held", None)
-        if held is None or held[0] != key:
-            held = cls.held = key, cls(vocabulary, end_id)
-        return held[1]
-
     def ids(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text and the end id."""
         held, size = [], 0
@@ -225,6 +219,16 @@ class Encoder:
                 self.known[word] = array("I", found.ids).tobytes()
 
 
+def shared_encoder(vocabulary: str, end_id: int) -> Encoder:
+    """The encoder of a Python worker, with the words that its tasks have seen. This module travels with each task
+    and goes with it, so the encoder is held by a module of the worker's own."""
+    held = sys.modules.setdefault("tailrace_held", ModuleType("tailrace_held"))
+    key = (hash(vocabulary), end_id)
+    if getattr(held, "key", None) != key:
+        held.key, held.encoder = key, Encoder(vocabulary, end_id)
+    return held.encoder
+
+
 def _packed(encoder: Callable[[], Encoder], window: int, group_tokens: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = encoder()
@@ -281,6 +285,6 @@ def pack(
     doc_tokens (end id included), sequence_id, and offset, the piece's place in its sequence. Every id lies in one piece;
     a sequence's pieces follow one another from offset 0. vocabulary: path of a tokenizer file, read in the driver."""
     text = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
-    encoder = lambda: Encoder.of_task(text.value, end_id)
+    encoder = lambda: shared_encoder(text.value, end_id)
     rows = documents.selectExpr("cast(doc_id AS long) AS doc_id", "text")
     return rows.mapInArrow(_packed(encoder, window, group_tokens), PIECE)
