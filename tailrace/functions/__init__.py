@@ -1,7 +1,7 @@
 """Column builders for the null, text and calendar rules of the engine."""
 
 from tailrace.functions.missing import is_missing, nan_to_null, pmax, ratio, sum0
-from tailrace.functions.text import area_code, number
+from tailrace.functions.text import area_code, number, number_of, text_of
 from tailrace.functions.times import (
     file_label,
     hour_timestamp,
@@ -20,11 +20,13 @@ __all__ = [
     "month_start",
     "nan_to_null",
     "number",
+    "number_of",
     "pmax",
     "ratio",
     "split_hours",
     "stat_month",
     "sum0",
+    "text_of",
     "week_start",
     "year_month",
 ]

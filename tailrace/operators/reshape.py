@@ -6,18 +6,20 @@ import re
 import unicodedata
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
-def drop_all_null_columns(rows: DataFrame) -> DataFrame:
-    """Columns that hold at least one value. One pass counts all columns; the driver gets one
-    row. Without rows there is nothing to judge by, and all columns stay."""
-    counts = rows.agg(
-        F.count(F.lit(1)).alias("rows of the table"),
-        *[F.count(F.col(f"`{c}`")).alias(c) for c in rows.columns],
-    ).first()
-    total, *held = counts
+def held_counts(columns: Sequence[str]) -> list[Column]:
+    """Aggregates that tell which columns hold a value: the number of rows, and of values by column."""
+    return [F.count(F.lit(1)).alias("rows of the table"), *[F.count(F.col(f"`{c}`")).alias(c) for c in columns]]
+
+
+def drop_all_null_columns(rows: DataFrame, counts: Row | None = None) -> DataFrame:
+    """Columns that hold at least one value. One pass counts all columns, or counts has held_counts() of
+    them, as a stored table gives them without a pass; the driver gets one row. Without rows there is nothing
+    to judge by, and all columns stay."""
+    total, *held = counts or rows.agg(*held_counts(rows.columns)).first()
     return rows.select(*[f"`{c}`" for c, n in zip(rows.columns, held) if n or not total])
 
 

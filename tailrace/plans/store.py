@@ -19,6 +19,7 @@ later months shift with them when a run adds them up. One writer at a time.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from tailrace.functions import month_start
 from tailrace.operators import balance, hydro_share
 from tailrace.plans.run import BUCKET, RevenueRun
+from tailrace.plans.tables import aggregated
 from tailrace.sources.feeds import Feeds, load_feeds
 
 FEEDS = ("production", "consumption", "prices")
@@ -95,6 +97,13 @@ class FeedStore:
     def calendar(self, freq: str) -> DataFrame:
         return self.table("calendar", CALENDAR, freq)
 
+    def last_date(self, freq: str) -> dt.date | dt.datetime | None:
+        """The latest date of the balance: of its last month alone, and of footers where they hold it."""
+        month = self.calendar(freq).agg(F.max(BUCKET)).first()[0]
+        if month is None:
+            return None
+        return aggregated(self.spark, f"{self.folder}/balance/freq={freq}/{BUCKET}={month}", F.max("date"))[0]
+
     # Reading what is new ------------------------------------------------------------------
 
     def landed(self, paths: Mapping[str, str]) -> DataFrame:

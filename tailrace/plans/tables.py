@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _removed_at_exit: set[str] = set()
@@ -75,6 +76,27 @@ def _remove_at_exit(files: tuple, path: str) -> None:
         pass
 
 
+@contextmanager
+def footers(spark: SparkSession) -> Iterator[None]:
+    """Within, counts and extremes of parquet tables that are read here are answered from the footers of their
+    files, where nothing but partitions is filtered and columns are numbers or dates; plan and read inside."""
+    settings = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def aggregated(spark: SparkSession, path: str, *columns: Column) -> Row:
+    """Aggregates of a parquet table as one row, from footers where they hold them."""
+    with footers(spark):
+        return spark.read.parquet(path).agg(*columns).first()
+
+
 class Tables:
     """The intermediate tables of one run, by name; drop() or close() deletes them."""
 
@@ -100,6 +122,10 @@ class Tables:
         writer.option("path", path).saveAsTable(table)
         return self.spark.table(table)
 
+    def aggregated(self, name: str, *columns: Column) -> Row:
+        """Aggregates of the table of this name that was written last."""
+        return aggregated(self.spark, self.paths[name][-1], *columns)
+
     def size(self, name: str) -> int:
         """Bytes of a table's files."""
         jvm, configuration = _files(self.spark)

@@ -118,7 +118,8 @@ matrix AS (
     FROM matrix LEFT JOIN (SELECT name, display_name, region FROM area WHERE region IS NOT NULL) USING (name)"""
 )
 def src_prices_hourly(spark, folder):
-    docs = landing.hourly_price_documents(Warehouse(spark, folder).hourly_price_items())
+    """Matrices with cells of both types: numbers, and text that is a number or not."""
+    docs = landing.with_numbers(landing.hourly_price_documents(Warehouse(spark, folder).hourly_price_items()))
     path = landing.landed_documents(docs, "prices-hourly")
     raw = documents.read_documents(spark, path, schemas.HOURLY_PRICES_JSON, multi_line=False)
     return documents.hourly_prices(raw, regions.region_dimension(spark))
@@ -387,7 +388,10 @@ HELD = [c for c in oracle.RESULT if c not in oracle.REGION_ONLY]
 
 @query(f"{RUN} SELECT {oracle.projection(HELD, summed=True)} FROM national")
 def drop_all_null_columns(spark, folder):
-    held = reshape.drop_all_null_columns(written(daily_run(spark, folder).national(), "national"))
+    tables = Tables(spark)
+    national = tables.write(daily_run(spark, folder).national(), "national")
+    counts = tables.aggregated("national", *reshape.held_counts(national.columns))
+    held = reshape.drop_all_null_columns(national, counts)
     return rounded(held, held.columns, summed=True)
 
 
@@ -415,6 +419,18 @@ def max_date(spark, folder):
     return last.withColumn("label", file_label(F.col("date")))
 
 
+@query(
+    f"{BALANCE} SELECT max(date) AS date, count(*) AS n, count(price) AS prices, count(pro) AS pro FROM wide"
+)
+def max_date_stored(spark, folder):
+    """The last date of a stored balance and how much it holds, from the footers of its files."""
+    tables = Tables(spark)
+    tables.write(daily_wide(spark, folder), "balance")
+    counts = [F.count(F.lit(1)).alias("n"), F.count("price").alias("prices"), F.count("pro").alias("pro")]
+    row = tables.aggregated("balance", F.max("date").alias("date"), *counts)
+    return spark.createDataFrame([row], "date date, n long, prices long, pro long")
+
+
 LAST = ["group", "date", "region", "quarter", *HEADLINE, *[f"{c}_cum" for c in HEADLINE]]
 
 

@@ -6,7 +6,7 @@ bounded by the calendar and the areas, whatever the size of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tailrace.functions import month_start
@@ -96,3 +96,15 @@ def hourly_price_documents(items: DataFrame) -> DataFrame:
         F.concat(F.array(F.lit("date"), F.lit("hours")), F.col("names")).alias("columns"),
         rows.alias("rows"),
     )
+
+
+def with_numbers(documents: DataFrame) -> DataFrame:
+    """Matrix documents whose even hours have prices as JSON numbers; all else stays text."""
+
+    def typed(cell: Column, at: Column, row: Column) -> Column:
+        even = F.substring(row[1], 1, 2).cast("int") % 2 == 0
+        bare = even & (at > 1) & cell.try_cast("double").isNotNull()
+        return F.parse_json(F.when(bare, cell).otherwise(F.concat(F.lit('"'), cell, F.lit('"'))))
+
+    rows = F.transform("rows", lambda row: F.transform(row, lambda cell, at: typed(cell, at, row)))
+    return documents.withColumn("rows", rows)

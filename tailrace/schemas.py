@@ -18,7 +18,8 @@ DAILY_PRICES_JSON = _struct(
         prices=T.ArrayType(_struct(name=_s, displayName=_s, data=T.ArrayType(_d))),
     )
 )
-HOURLY_PRICES_JSON = _struct(columns=T.ArrayType(_s), rows=T.ArrayType(T.ArrayType(_s)))
+# Cells of the price matrix are text or numbers; a VARIANT keeps what they are.
+HOURLY_PRICES_JSON = _struct(columns=T.ArrayType(_s), rows=T.ArrayType(T.ArrayType(T.VariantType())))
 DAILY_ITEMS_JSON = _struct(items=T.ArrayType(_struct(date=_s, zone=_s, MWh=_d)))
 HOURLY_ITEMS_JSON = _struct(items=T.ArrayType(_struct(date=_s, hours=_s, zone=_s, MWh=_d)))
 

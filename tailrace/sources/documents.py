@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tailrace.functions import area_code, hour_timestamp, nan_to_null, number, split_hours
+from tailrace.functions import area_code, hour_timestamp, nan_to_null, number, number_of, split_hours, text_of
 from tailrace.sources.regions import join_regions
 
 
@@ -106,22 +106,34 @@ def daily_prices(documents: DataFrame) -> DataFrame:
 
 
 def hourly_price_cells(documents: DataFrame) -> DataFrame:
-    """Matrix with named columns to one row per hour and area, values still text."""
+    """Matrix with named columns to one row per hour and area, values still as in the document."""
     row = documents.select(
         required("columns").alias("columns"), F.explode(required("rows")).alias("row")
     ).select(
         F.map_from_arrays("columns", "row").alias("cells")
     )
     areas = F.map_filter("cells", lambda key, _: ~key.isin("date", "hours"))
+    text = text_of if typed_cells(row) else (lambda c: c)
     return row.select(
-        F.col("cells")["date"].alias("date"),
-        F.col("cells")["hours"].alias("hours"),
+        text(F.col("cells")["date"]).alias("date"),
+        text(F.col("cells")["hours"]).alias("hours"),
         F.explode(areas).alias("name", "value"),
     )
 
 
+def typed_cells(row: DataFrame) -> bool:
+    """Whether cells are VARIANTs, which keep numbers apart from text."""
+    return isinstance(row.schema["cells"].dataType.valueType, T.VariantType)
+
+
+def cell_number(cells: DataFrame) -> Column:
+    typed = isinstance(cells.schema["value"].dataType, T.VariantType)
+    return (number_of if typed else number)(F.col("value"))
+
+
 def hourly_prices(documents: DataFrame, regions: DataFrame) -> DataFrame:
     cells = _at_hour(hourly_price_cells(documents))
+    cells = cells.withColumn("value", cell_number(cells))
     return join_regions(cells, regions).select(
         "date",
         "hour_start",
@@ -129,7 +141,7 @@ def hourly_prices(documents: DataFrame, regions: DataFrame) -> DataFrame:
         "name",
         "display_name",
         "region",
-        number(F.col("value")).alias("value"),
+        "value",
     )
 
 

@@ -18,7 +18,8 @@ from tailrace.operators.scenarios import Scenario, expand_grid, published_grid
 from tailrace.plans import RevenueRun, sinks
 from tailrace.plans.job import run_job
 from tailrace.plans.sinks import write_csv, write_json
-from tailrace.plans.tables import CHECKPOINT_DIR, Tables, shared_folder
+from tailrace.operators.reshape import drop_all_null_columns, held_counts
+from tailrace.plans.tables import CHECKPOINT_DIR, Tables, footers, shared_folder
 from tailrace.queries import oracle
 from tailrace.queries.catalog import rounded
 from tailrace.sources import Feeds
@@ -302,6 +303,26 @@ def test_shared_folder(monkeypatch):
     assert shared_folder(Session()) == "hdfs://x/warehouse/_intermediate/tailrace-app-1"
 
 
+def test_footers_answer(spark, tmp_path):
+    """Counts and the last date of a stored table need none of its rows; the rules of columns stay."""
+    feeds, statistics, _ = fixture(spark, DAYS, 6)
+    tables = Tables(spark)
+    run = RevenueRun(spark, {"daily": feeds}, statistics, published_grid(freq=["daily"]), AS_OF, measures=[])
+    stored = tables.write(run.wide("daily"), "balance")
+    path = tables.paths["balance"][0]
+    with footers(spark):
+        read = spark.read.parquet(path)
+        assert "PushedAggregation: [MAX(date)]" in plan(read.agg(F.max("date")))
+        counted = plan(read.agg(*held_counts(read.columns)))
+        assert "PushedAggregation: [COUNT(*)" in counted and "ReadSchema: struct<count(*)" in counted
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") != ""
+    assert tables.aggregated("balance", F.max("date"))[0] == stored.agg(F.max("date")).first()[0]
+    empty = stored.withColumns({"none": F.lit(None).cast("double"), "text": F.lit(None).cast("string")})
+    held = tables.write(empty, "more")
+    counts = tables.aggregated("more", *held_counts(held.columns))
+    assert drop_all_null_columns(held, counts).columns == drop_all_null_columns(held).columns == stored.columns
+
+
 def test_tables_are_removed(spark):
     with Tables(spark) as tables:
         assert tables.write(spark.range(3), "three").count() == 3

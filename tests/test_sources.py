@@ -72,6 +72,8 @@ def test_hourly_documents(spark, tmp_path):
             ["2022-01-01", "00 - 01", "1.5", "2"],
             ["2022-01-01", "01 - 02", "12,5", None],
             ["2022-01-01", "02", "", "x"],
+            ["2022-01-01", "03 - 04", 3.25, 7],
+            ["2022-01-01", "04 - 05", True, 1e3],
         ],
     }
     power = {"items": [{"date": "2022-01-01", "hours": "05 - 06", "zone": "NO1", "MWh": 3.0}]}
@@ -90,6 +92,10 @@ def test_hourly_documents(spark, tmp_path):
             (hour[1], "01", "02", "mars", None, None),
             (hour[2], "02", None, "oslo", "no1", None),
             (hour[2], "02", None, "mars", None, None),
+            (hour[3], "03", "04", "oslo", "no1", 3.25),
+            (hour[3], "03", "04", "mars", None, 7.0),
+            (hour[4], "04", "05", "oslo", "no1", None),
+            (hour[4], "04", "05", "mars", None, 1000.0),
         ],
         key=str,
     )

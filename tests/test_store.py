@@ -73,6 +73,8 @@ def test_new_rows_rewrite_their_months_only(spark, tmp_path):
         after = held_files(tmp_path, table)
         gone = {month for month, _ in files - after}
         assert gone and gone <= {"month=2022-03-01", "month=2022-04-01", "month=2022-05-01"}, (table, gone)
+    assert store.last_date("daily") == store.balance("daily").agg(F.max("date")).first()[0]
+    assert store.last_date("hourly") is None
 
 
 def test_new_shares_rewrite_totals_from_their_month_on(spark, tmp_path):
