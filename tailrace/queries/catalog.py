@@ -708,8 +708,8 @@ RUNNING_TOTAL = ["date", "region", "pro_cum", "cnp_cum", "price_cum"]
     f" AND CURRENT ROW)) SELECT {oracle.projection(RUNNING_TOTAL)} FROM totals"
 )
 def running_total(spark, folder):
-    """The running-total operator on its own."""
-    wide = daily_wide(spark, folder)
+    """The running-total operator on its own; it reads its rows twice."""
+    wide = written(daily_wide(spark, folder), "balance")
     monthly = wide.withColumn("year_month", year_month(F.col("date")))
     totals = running.running_total(monthly, ["region"], "date", "year_month", balance.VARIABLES)
     named = totals.withColumnsRenamed({f"cum__{c}": f"{c}_cum" for c in balance.VARIABLES})
