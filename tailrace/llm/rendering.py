@@ -4,9 +4,11 @@ A page is cut into tags and text, built into a tree (with the tags that HTML let
 rid of what is not shown, and rendered: blocks on lines of their own with blank lines where margins
 are, list items with bullets or numbers, table cells in aligned columns, preformatted text as it is.
 
-Not shown: head, scripts, styles, templates, noscript; hidden attributes; inline styles and simple
-rules of style elements (tag, .class, #id, tag.class) with display:none or visibility:hidden; closed
-dialogs; all but the summary of closed details.
+Not shown: head, scripts, styles, templates, noscript; hidden attributes; what inline styles and style elements give
+display:none or visibility:hidden; closed dialogs; all but the summary of closed details. Of style sheets, rules for
+screens count (not those for print, nor those that ask for a width), with selectors of tags, classes, ids, descendants
+and children; the more specific rule wins, then the later one, important ones first. Visibility is inherited, so
+a visible child of a hidden element is shown.
 
 Null html gives null text, an empty page an empty text. Pages are rendered one by one in the tasks
 that read them; nothing moves, so repeated rows and hot hosts cost what they weigh.
@@ -16,6 +18,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+import textwrap
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,8 +54,8 @@ CLOSES = {
     "body": (frozenset(["head"]), frozenset()),
 }
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
-DEEPEST = 250  # elements nested deeper become siblings
-WIDEST = 40  # longer table cells do not widen their column
+WIDEST = 40  # longer lines of a table's cells are wrapped, so that columns after them stay in place
+FRAMES = 4  # calls in Python by level of nesting
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>"
@@ -59,17 +63,18 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-SELECTOR = re.compile(r"^([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?$")
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "marks", "tag")
+    __slots__ = ("children", "marks", "style", "tag")
 
     def __init__(self, tag: str, marks: str = ""):
         self.tag, self.marks, self.children = tag, marks, []
+        self.style: dict[str, str] | None = None
 
     def attributes(self) -> dict[str, str]:
         if not self.marks:
@@ -78,12 +83,15 @@ class Node:
         return dict(reversed(list(found)))
 
 
-def parse(page: str) -> tuple[Node, list[str]]:
-    """The tree below html, and the contents of the style elements."""
+def parse(page: str) -> tuple[Node, list[str], int]:
+    """The tree below html, the contents of the style elements, and how deep elements nest."""
     root = Node("html")
-    stack, styles, at = [root], [], 0
+    stack, styles, at, deepest = [root], [], 0, 0
+    seen = set()  # tags that were ever opened
 
     def close(names: frozenset, until: frozenset) -> None:
+        if seen.isdisjoint(names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in names:
                 del stack[depth:]
@@ -92,10 +100,12 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 return
 
     def open_(tag: str, marks: str = "") -> Node:
+        nonlocal deepest
         node = Node(tag, marks)
         stack[-1].children.append(node)
-        if len(stack) < DEEPEST:
-            stack.append(node)
+        stack.append(node)
+        seen.add(tag)
+        deepest = max(deepest, len(stack))
         return node
 
     def text(piece: str) -> None:
@@ -130,7 +140,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
         if tag == "br":
             stack[-1].children.append(Node("br"))
             return
-        for depth in range(len(stack) - 1, 0, -1):
+        for depth in range(len(stack) - 1 if tag in seen else 0, 0, -1):
             here = stack[depth].tag
             if here == tag:
                 del stack[depth:]
@@ -165,44 +175,148 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 text(piece)
             if stack[-1].tag == tag:
                 stack.pop()
-    return root, styles
-
-
-def hidden_by_rules(styles: list[str]) -> set[tuple[str, str, str]]:
-    """(tag, `.` or `#` or nothing, name) of the simple selectors that hide what they match."""
-    found = set()
-    for selectors, body in (rule for style in styles for rule in RULE.findall(style)):
-        if NOT_SHOWN.search(body):
-            for selector in selectors.split(","):
-                match = SELECTOR.match(selector.strip())
-                if match and selector.strip():
-                    found.add(((match[1] or "").lower(), match[2] or "", match[3] or ""))
-    return found
+    return root, styles, deepest
+
+
+def blocks(sheet: str) -> Iterator[tuple[str, str]]:
+    """What stands before each outer pair of braces, and what is in it."""
+    depth, begin, head = 0, 0, ""
+    for mark in re.finditer(r"[{};]", sheet):
+        if mark[0] == "{":
+            if depth == 0:
+                head, begin = sheet[begin : mark.start()].strip(), mark.end()
+            depth += 1
+        elif mark[0] == "}":
+            depth -= depth > 0
+            if depth == 0:
+                yield head, sheet[begin : mark.start()]
+                head, begin = "", mark.end()
+        elif depth == 0:  # a rule without braces, as an import
+            begin = mark.end()
+    if depth:
+        yield head, sheet[begin:]
+
+
+def on_screens(query: str) -> bool:
+    """Whether some part of a media query holds for every screen."""
+    parts = (part.strip().removeprefix("only ").strip() for part in query.lower().split(","))
+    return any(part in ("", "all", "screen", "not print") for part in parts)
+
+
+class Rules:
+    """The rules of style sheets about display and visibility, by the last part of their selectors."""
+
+    def __init__(self, sheets: list[str]):
+        self.by_key: dict[tuple[str, str], list] = {}
+        self.count = 0
+        for sheet in sheets:
+            self.add(COMMENT.sub(" ", sheet))
+
+    def add(self, sheet: str) -> None:
+        for head, body in blocks(sheet):
+            name, _, query = head.partition(" ")
+            if head.startswith("@"):
+                if name.lower() == "@supports" or (name.lower().startswith("@media") and on_screens((head + " ")[6:].strip())):
+                    self.add(body)
+                continue
+            values = [(m[1].lower(), m[2].lower(), bool(m[3])) for m in DECLARATION.finditer(body)]
+            for selector in head.split(",") if values else ():
+                parts = self.parts(selector)
+                if parts:
+                    self.keep(parts, values)
+
+    @staticmethod
+    def parts(selector: str) -> list[tuple] | None:
+        """(how it stands to the next, tag, classes, ids) from the last part to the first; None for selectors that
+        say more."""
+        found, child = [], False
+        for word in reversed(re.sub(r"\s*>\s*", " > ", selector.strip()).split()):
+            if word == ">":
+                child = True
+                continue
+            match = COMPOUND.match(word)
+            if not match:
+                return None
+            names = re.findall(r"([.#])([\w-]+)", match[2])
+            tag = (match[1] or "").lower().replace("*", "")
+            found.append((child, tag, {n for k, n in names if k == "."}, {n for k, n in names if k == "#"}))
+            child = False
+        return found if not child else None
+
+    def keep(self, parts: list[tuple], values: list[tuple]) -> None:
+        weight = (sum(len(p[3]) for p in parts), sum(len(p[2]) for p in parts), sum(bool(p[1]) for p in parts))
+        _, tag, classes, ids = parts[0]
+        key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", tag)
+        self.count += 1
+        self.by_key.setdefault(key, []).append((weight, self.count, parts, values))
+
+    def of(self, node: Node, path: list[Node]) -> dict[str, str]:
+        """display and visibility of a node below the path, as far as rules or its style tell."""
+        if not node.marks and not self.by_key:
+            return {}
+        marks = node.attributes()
+        found = {}
+        if self.by_key:
+            names = _names(node, marks)
+            keys = [("", ""), ("", node.tag), *((".", c) for c in names[1]), *(("#", i) for i in names[2])]
+            for key in keys:
+                for weight, order, parts, values in self.by_key.get(key, ()):
+                    if _fits(parts[0], names) and self.below(parts, 1, path, len(path) - 1):
+                        for name, value, important in values:
+                            rank = (important, 0, weight, order)
+                            if name not in found or found[name][0] < rank:
+                                found[name] = (rank, value)
+        if "style" in marks:
+            for match in DECLARATION.finditer(COMMENT.sub(" ", marks["style"])):
+                rank = (bool(match[3]), 1, (0, 0, 0), match.start())
+                name = match[1].lower()
+                if name not in found or found[name][0] < rank:
+                    found[name] = (rank, match[2].lower())
+        style = {name: value for name, (_, value) in found.items()}
+        if "display" not in style and ("hidden" in marks or (node.tag == "dialog" and "open" not in marks)):
+            style["display"] = "none"
+        return style
+
+    def below(self, parts: list[tuple], at: int, path: list[Node], end: int) -> bool:
+        """Whether the rest of a selector fits ancestors, the nearest at path[end]."""
+        if at == len(parts):
+            return True
+        last = end - 1 if parts[at][0] else -1
+        for i in range(end, last, -1):
+            if i >= 0 and _fits(parts[at], _names(path[i], path[i].attributes())) and self.below(parts, at + 1, path, i - 1):
+                return True
+        return False
+
+
+def _names(node: Node, marks: dict[str, str]) -> tuple[str, set[str], set[str]]:
+    return node.tag, set(marks.get("class", "").split()), {marks["id"]} if marks.get("id") else set()
+
+
+def _fits(part: tuple, names: tuple) -> bool:
+    return (not part[1] or part[1] == names[0]) and part[2] <= names[1] and part[3] <= names[2]
 
 
 class Page:
     """Renders one tree. Lines grow in `lines`; `line` is the one being filled."""
 
-    def __init__(self, rules: set):
-        self.rules = rules
+    def __init__(self, rules: Rules, path: list[Node] | None = None, visible: bool = True):
+        self.rules, self.path, self.visible = rules, path or [], visible
         self.lines: list[str] = []
         self.line, self.space = "", False
         self.indent, self.bullet, self.gap = "", "", False
 
+    def style(self, node: Node) -> dict[str, str]:
+        """The style of a child of the path's last element."""
+        if node.style is None:
+            node.style = self.rules.of(node, self.path)
+        return node.style
+
     def shown(self, node: Node) -> bool:
         if node.tag in HIDDEN:
             return False
-        if not node.marks and not (self.rules and (node.tag, "", "") in self.rules) and node.tag != "dialog":
+        if not node.marks and not self.rules.by_key and node.tag != "dialog":
             return True
-        marks = node.attributes()
-        if "hidden" in marks or NOT_SHOWN.search(marks.get("style", "")):
-            return False
-        if node.tag == "dialog" and "open" not in marks:
-            return False
-        if self.rules:
-            names = [("", ""), *((".", c) for c in marks.get("class", "").split()), ("#", marks.get("id", ""))]
-            return not any((t, *name) in self.rules for t in (node.tag, "") for name in names)
-        return True
+        return self.style(node).get("display", "none" if node.tag == "dialog" and not node.marks else "") != "none"
 
     def flush(self) -> None:
         """End the line being filled."""
@@ -216,6 +330,9 @@ class Page:
         self.line, self.space = "", False
 
     def words(self, text: str) -> None:
+        if not self.visible:
+            self.space |= bool(self.line)
+            return
         parts = SPACES.split(text)
         if parts[0] == "" and len(parts) > 1:
             self.space = True
@@ -225,6 +342,8 @@ class Page:
             self.space = parts[-1] == ""
 
     def preformatted(self, text: str) -> None:
+        if not self.visible:
+            return
         first, *more = text.expandtabs(8).split("\n")
         self.line += first.replace("\xa0", " ")
         for part in more:
@@ -261,17 +380,32 @@ class Page:
         elif tag == "li":
             self.item(node, "- ")
         elif tag == "details" and "open" not in node.attributes():
+            outer_visible = self.enter(node)
             for child in node.children:
                 if isinstance(child, Node) and child.tag == "summary":
                     self.render(child)
                     break
+            self.leave(outer_visible)
         else:
             self.inside(node, pre or tag in ("pre", "textarea", "xmp"))
         self.flush()
         self.gap |= spaced and (tag not in LISTS or not outer)
         self.indent = outer
 
+    def enter(self, node: Node) -> bool:
+        """Go below a node; returns what leave() needs to come back."""
+        outer, own = self.visible, self.style(node).get("visibility")
+        if own and own not in ("inherit", "unset"):
+            self.visible = own not in ("hidden", "collapse")
+        self.path.append(node)
+        return outer
+
+    def leave(self, outer: bool) -> None:
+        self.path.pop()
+        self.visible = outer
+
     def inside(self, node: Node, pre: bool) -> None:
+        outer = self.enter(node)
         for child in node.children:
             if isinstance(child, Node):
                 self.render(child, pre)
@@ -279,6 +413,7 @@ class Page:
                 self.preformatted(child)
             else:
                 self.words(child)
+        self.leave(outer)
 
     def item(self, node: Node, bullet: str) -> None:
         outer = self.indent
@@ -289,7 +424,7 @@ class Page:
         self.indent, self.bullet = outer, ""
 
     def list(self, node: Node) -> None:
-        marks = node.attributes()
+        marks, outer = node.attributes(), self.enter(node)
         items = [c for c in node.children if isinstance(c, Node) and c.tag == "li" and self.shown(c)]
         step = -1 if "reversed" in marks else 1
         number = _whole(marks.get("start"), len(items) if step < 0 else 1)
@@ -305,11 +440,13 @@ class Page:
                     number = _whole(child.attributes().get("value"), number)
                     self.item(child, f"{number}. ")
                     number += step
+        self.leave(outer)
 
     def table(self, node: Node) -> None:
         """Rows with cells in columns; a cell that spans rows or columns stands in the first of them."""
         self.flush()
         self.gap = True
+        outer = self.enter(node)
         rows, spans = [], {}
         outside = []
         for row in self.rows(node, outside):
@@ -320,7 +457,7 @@ class Page:
                 while spans.get(column, 0) > 0:
                     column += 1
                 marks = cell.attributes()
-                box = Page(self.rules)
+                box = Page(self.rules, self.path, self.visible)
                 box.inside(cell, False)
                 cells.append((column, box.done()))
                 wide = min(max(_whole(marks.get("colspan"), 1), 1), 1000)
@@ -332,10 +469,13 @@ class Page:
             rows.append(cells)
         for piece in outside:
             self.render(piece)
+        self.leave(outer)
         self.flush()
+        last = max((column for cells in rows for column, _ in cells), default=0)
+        rows = [[(column, lines if column == last else _narrow(lines)) for column, lines in cells] for cells in rows]
         widths: dict[int, int] = {}
         for column, lines in (cell for cells in rows for cell in cells):
-            widths[column] = max([widths.get(column, 0), *(len(x) for x in lines if len(x) <= WIDEST)])
+            widths[column] = max([widths.get(column, 0), *map(len, lines)])
         for cells in rows:
             for i in range(max((len(lines) for _, lines in cells), default=0)):
                 line, edge = "", 0
@@ -355,13 +495,17 @@ class Page:
             if isinstance(child, str):
                 if child.strip():
                     outside.append(_wrapped(child))
-            elif child.tag == "tr":
-                if self.shown(child):
+            elif child.tag in ("tr", "tbody", "thead", "tfoot"):
+                if not self.shown(child):
+                    continue
+                outer = self.enter(child)
+                if child.tag == "tr":
                     yield child
-                    outside += [c if isinstance(c, Node) else _wrapped(c) for c in child.children if (c.strip() if isinstance(c, str) else c.tag not in ("td", "th"))]
-            elif child.tag in ("tbody", "thead", "tfoot"):
-                if self.shown(child):
+                    inner = (c for c in child.children if (c.strip() if isinstance(c, str) else c.tag not in ("td", "th")))
+                    outside += [c if isinstance(c, Node) else _wrapped(c) for c in inner]
+                else:
                     yield from self.rows(child, outside)
+                self.leave(outer)
             else:
                 outside.append(child)
 
@@ -372,6 +516,18 @@ class Page:
         return self.lines
 
 
+def _narrow(lines: list[str]) -> list[str]:
+    """Lines wrapped at spaces to WIDEST characters; only a longer word stays longer."""
+    found = []
+    for line in lines:
+        if len(line) <= WIDEST:
+            found.append(line)
+            continue
+        lead = line[: len(line) - len(line.lstrip())]
+        found += textwrap.wrap(line, WIDEST, subsequent_indent=lead, break_long_words=False, break_on_hyphens=False)
+    return found
+
+
 def _wrapped(text: str) -> Node:
     node = Node("div")
     node.children.append(text)
@@ -384,9 +540,13 @@ def _whole(text: str | None, default: int) -> int:
 
 
 def visible_text(page: str) -> str:
-    root, styles = parse(page)
-    canvas = Page(hidden_by_rules(styles))
-    canvas.render(root)
+    root, styles, deepest = parse(page)
+    canvas, before = Page(Rules(styles)), sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, before + FRAMES * deepest))
+    try:
+        canvas.render(root)
+    finally:
+        sys.setrecursionlimit(before)
     return "\n".join(canvas.done())
 
 

@@ -52,3 +52,38 @@ def test_pages(spark):
     got = sorted(((r.page_id, r.text, r.n_chars, r.n_lines) for r in found.collect()), key=repr)
     assert got == sorted([(1, "a\n\nb", 4, 3), (2, None, None, None), (3, "", 0, 0), (3, "", 0, 0), (None, "é", 1, 1)], key=repr)
     assert render_pages(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # Deep nesting keeps what it hides hidden, and shows the rest.
+        ("<div>" * 260 + 'a<span style="display:none">secret<b>more</b></span>b' + "</div>" * 260 + "c", "ab\nc"),
+        ("<i>" * 5_000 + "deep" + "</i>" * 5_000, "deep"),
+        # Rules for print do not count, those for screens do.
+        ("<style>@media print{.a{display:none}}</style><p class=a>shown", "shown"),
+        ("<style>@media screen{.a{display:none}} .b{color:red}</style><p class=a>x<p class=b>y", "y"),
+        ("<style>@import 'x.css'; @font-face{a:b} .a{display:none}</style><p class=a>x<p>y", "y"),
+        ("<style>@media (max-width: 5px){p{display:none}}</style><p>y", "y"),
+        # The last rule wins, a more specific one before it, an important one before both.
+        ("<style>.a{display:none}.a{display:block}</style><p class=a>shown", "shown"),
+        ("<style>#i{display:none} p{display:block}</style><p id=i>x<p>y", "y"),
+        ("<style>p{display:none!important}</style><p style='display:block'>x</p><div>y</div>", "y"),
+        ("<style>.a{display:block}</style><p class=a hidden>shown", "shown"),
+        # Visibility is inherited and can be taken back.
+        ("<div style='visibility:hidden'>x<p style='visibility:visible'>y</p>z</div>", "y"),
+        ("<style>.h{visibility:hidden}.v{visibility:visible}</style><ul class=h><li>x<li class=v>y</ul>", "- y"),
+        # Descendants and children.
+        ("<style>.n p{display:none}</style><div class=n><div><p>x</p></div></div><p>y", "y"),
+        ("<style>.n > p{display:none}</style><div class=n><div><p>x</p></div><p>z</p></div><p>y", "x\n\ny"),
+        ("<style>/* .a{} */ p.a.b{display:none}</style><p class='b a'>x<p class=a>y", "y"),
+        ("<style>p:hover{display:none}</style><p>y", "y"),
+        # Long cells are wrapped, so that what follows stays in its column.
+        (
+            "<table><tr><td>a<td>b<tr><td>" + "word " * 12 + "<td>c</table>",
+            "a" + " " * 40 + "b\n" + " ".join(["word"] * 8) + "  c\n" + " ".join(["word"] * 4),
+        ),
+    ],
+)
+def test_styles_depth_and_wide_cells(page, text):
+    assert visible_text(page) == text
