@@ -112,27 +112,34 @@ def shard(df: DataFrame, cell: str, digest: str, ties: list[str], shards: int, t
     return rows.drop("__rows", "__cell_first", "__total", "__digits", "__slice", "__slice_first", "__rank")
 
 
-def measured(documents: DataFrame, seed: str = "0") -> DataFrame:
-    """doc_id with size, checksum, quantised dimensions, curve index and digest of each document."""
+def measured(documents: DataFrame, seed: str = "0", *also: str) -> DataFrame:
+    """doc_id (and also further columns) with size, checksum, quantised dimensions, curve index and digest of each document."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     narrow = documents.select(
         "doc_id",
+        *also,
         size.alias("size"),
         F.crc32(F.encode("text", "utf-8")).alias("text_crc32"),
         text_dimension(documents, "source").alias("source_level"),
         text_dimension(documents, "lang").alias("lang_level"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("digest"),
-    ).withColumn("size_level", size_dimension(F.col("size")))
+    )
+    # Of id, checksum and size, so that rows that share an id are spread.
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text_crc32", "size")]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *told))
+    narrow = narrow.withColumns({"digest": digest, "size_level": size_dimension(F.col("size"))})
     return with_curve(narrow, ["source_level", "lang_level", "size_level"])
 
 
+def _placed(narrow: DataFrame, shards: int, tables: Tables) -> DataFrame:
+    rows = tables.write(narrow, "measured")
+    return shard(rows, "curve", "digest", ["doc_id", "text_crc32", "size"], shards, tables)
+
+
 def shard_documents(documents: DataFrame, shards: int = SHARDS, seed: str = "0") -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, curve and the
     quantised dimensions. The texts are read once; what moves is narrow."""
     tables = Tables(documents.sparkSession)
-    rows = tables.write(measured(documents, seed), "measured")
-    ties = ["doc_id", "text_crc32", "size"]
-    return shard(rows, "curve", "digest", ties, shards, tables).select(
+    return _placed(measured(documents, seed), shards, tables).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -148,14 +155,20 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, seed: str = "0")
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, seed: str = "0") -> DataFrame:
-    """Write whole documents as parquet below path, a folder per shard, and return the manifest:
-    per shard its rows, bytes and the range of each dimension, for pruning. doc_id must be unique."""
-    placed = shard_documents(documents, shards, seed)
-    columns = [c for c in placed.columns if c != "doc_id" and c not in documents.columns]
-    rows = documents.join(placed.select("doc_id", *columns), "doc_id")
+    """Write whole documents as parquet below path, a folder per shard, and return the manifest: per shard its
+    rows, bytes and the range of each dimension, for pruning. Every row is written once, rows with null or
+    repeated ids and columns of any names included; the folders' names are `shard=0` and so on, so a column
+    `shard` of the documents is written as `shard_of_document`."""
+    tables = Tables(documents.sparkSession)
+    clash = [c for c in documents.columns if c.lower() == "shard"]
+    rows = documents.withColumnsRenamed({c: f"{c}_of_document" for c in clash})
+    rows = tables.write(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    # Every row of the written table has a number of its own, by which it meets its place.
+    placed = tables.write(_placed(measured(rows, seed, "__row"), shards, tables), "placed")
+    ordered = rows.join(placed.select("__row", "shard", F.col("slot").alias("__slot")), "__row")
     # Ranges of slots become files, so a shard's size is no task's size.
-    ordered = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    ordered.write.partitionBy("shard").parquet(path)
+    ordered = ordered.repartitionByRange("shard", "__slot").sortWithinPartitions("shard", "__slot")
+    ordered.drop("__row", "__slot").write.partitionBy("shard").parquet(path)
     return placed.groupBy("shard").agg(
         F.count("*").alias("n_rows"),
         F.sum("size").alias("n_bytes"),

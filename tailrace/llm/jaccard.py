@@ -46,6 +46,7 @@ FREQUENT = 8
 LARGEST_LIGHT = 32
 HELD = 1 << 20  # shingles or prefix entries that a task holds before it sends them out
 FILTER_BITS = 25
+SLOT_SHINGLES = 1 << 22  # of the sets whose prefixes, a quarter of it, meet in one slot
 
 COUNTED = "kind int, doc_id long, set_id long, n int, shingle long, number long, sketch binary"
 PACKED = "slot int, entry binary, owner binary, place binary, set_id binary, n binary"
@@ -359,7 +360,9 @@ def join_sets(documents: DataFrame, tables: Tables) -> tuple[DataFrame, DataFram
     sizes = counted.where("kind = 2").groupBy("n").agg(F.sum("number"), F.sum("shingle")).collect()  # a row per size
     tasks = counted.where("kind = 2").groupBy("n").count().agg(F.max("count")).first()[0] or 1
     heavy = boundary([tuple(r) for r in sizes], tasks)
-    slots = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A slot is held by one task, so their number grows with the shingles of all sets.
+    whole = counted.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    slots = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), whole // SLOT_SHINGLES)
     packed = texts.select("text").mapInArrow(_prefixes(frequent, counts, heavy, slots), PACKED)
     meetings = tables.write(packed.groupBy("slot").applyInArrow(_meetings, MEETING), "meetings")
     # Each set meets the one with most room in its list.

@@ -7,18 +7,19 @@ routes the patterns' words to the sources' quotas at least cost. Patterns and so
 connected share no capacity, so each connected part of that graph is solved in a task of its own;
 a part's size is the number of its membership patterns, never that of documents.
 
-Inside a pattern every document is taken floor(flow / words) times, and a seeded choice once more:
-documents in the order of a seeded digest as long as they fit whole, then FILLS more that fit what is
-left best. Where others still fit, the order is gone through again without those that are too long, in
-turn with a best fill, until none fits; each turn at least halves what is left. So a source's words miss
-its quota by less than its smallest document that is left.
+Inside a pattern every document is taken floor(flow / words) times, and a seeded choice once more, in turns of one rule:
+of the documents that are not chosen and fit what is left, those go in, by seeded digest, whose running total fits too,
+and then the longest one that still fits. Turns end when no document fits; all that fit after a turn are at most as long
+as its last one, so each turn at least halves what is left or takes all there is. So a source's words miss its quota by
+less than its smallest document that is left.
 
 Targets: sources by code point, null last, weigh WEIGHTS in turn and share all words; a target stops
 at REPEATS times its source's words, and the excess is shared by weight until none is above.
 
 Null and empty texts have size 0 and are never taken. A document without a source belongs to the
-null source. Repeated rows are documents of their own that tie in order: they are taken alike, but
-for one at the edge of the choice. An empty table gives no rows.
+null source. The digest is of id, size and text, so rows that share an id are spread. Repeated rows are documents of
+their own that tie in order: they are taken alike, but for those at the edge of the choice. An empty table gives no rows.
+Of other columns none is read, whatever its name.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ from tailrace.plans.tables import Tables
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-FILLS = 3
 ROUTES = "pattern string, source string, words long"
 
 
@@ -153,14 +153,25 @@ def routes(patterns: DataFrame, quotas: DataFrame, tables: Tables, repeats: int
     return parts.select("part", "pattern", "words", "source", "quota").groupBy("part").applyInPandas(solved, ROUTES)
 
 
-def mix(documents: DataFrame, members: str, size: str, key: str = "doc_id", seed: str = "0") -> DataFrame:
+def mix(
+    documents: DataFrame,
+    members: str,
+    size: str,
+    key: str = "doc_id",
+    name: str | None = None,
+    also: str | None = None,
+    seed: str = "0",
+) -> DataFrame:
     """Adds taken (words, whole repeats of a document) to the key, members and size of each document,
     and the source_size and target of its first source.
 
-    members: an array of the sources that a document belongs to. size: its words. key: its id.
+    members: an array of the sources that a document belongs to. size: its words. key: its id. The choice depends on
+    size, name (default: key) and also, a text that tells rows of one name apart.
     """
     tables = Tables(documents.sparkSession)
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    told = F.col(also) if also else F.lit(None).cast("string")
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (F.col(name or key), F.col(size), told)]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *parts))
     rows = tables.write(
         documents.select(
             F.col(key).alias("id"),
@@ -196,66 +207,61 @@ def mix(documents: DataFrame, members: str, size: str, key: str = "doc_id", seed
     )
 
 
-def _sliced_totals(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """rows with `within`, the running total of size in their slice, and by pattern and slice `done`, the
-    total of the slices before it."""
-    before = W.partitionBy("pattern").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = rows.groupBy("pattern", "slice").agg(F.sum("size").alias("words"))
-    slices = slices.withColumn("done", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
-    within = W.partitionBy("pattern", "slice").orderBy(*order)
-    total = F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("place", F.row_number().over(within)).withColumn("within", total), slices
-
-
 def _one_more(rows: DataFrame, plan: DataFrame, tables: Tables) -> DataFrame:
     """rows with plan and more: 1 for a seeded choice of each pattern's rows whose sizes come to `rest`.
 
     The digest's first three digits deal a pattern's rows in 4,096 slices, so that no task orders more
-    than a slice of one pattern. Each fill adds the largest row that fits what is left. With it, all rows
-    that fit are at most as long; so the prefix after it stops with less than half left, or for want of
-    rows, and turns of both end soon."""
-    rows, slices = _sliced_totals(
-        rows.withColumn("slice", F.substring("digest", 1, 3)), ["digest", "size", "id"]
-    )
-    slices = tables.write(slices.join(plan, "pattern"), "slices")
-    dealt = rows.join(slices, ["pattern", "slice"])
-    dealt = dealt.withColumn("more", F.expr("size > 0 and done + within <= rest")).drop("done", "within")
-    dealt = tables.write(dealt, "dealt")
-    tables.drop("slices")
-    taken = F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))
-    left = tables.write(dealt.groupBy("pattern").agg((F.max("rest") - taken).alias("left")), "left")
+    than a slice of one pattern."""
+    within = W.partitionBy("pattern", "slice").orderBy("digest", "size", "id")
+    sliced = rows.withColumn("slice", F.substring("digest", 1, 3))
+    dealt = tables.write(sliced.withColumn("place", F.row_number().over(within)), "dealt")
     row = ["pattern", "slice", "place"]
-    out = dealt.where("not more and size > 0").select(*row, "size", "digest")
-    picks = None
-
-    def fitting() -> DataFrame:
+    out = dealt.where("size > 0").select(*row, "size", "digest")
+    left, picks, turn = plan.select("pattern", F.col("rest").alias("left")), None, 0
+    while True:
         fits = out.join(left, "pattern").where("size <= left")
-        return fits if picks is None else fits.join(picks, row, "left_anti")
-
-    turn = 0
-    while turn < FILLS or not fitting().isEmpty():
-        if turn >= FILLS:
-            fits = tables.write(fitting().withColumnRenamed("place", "__place"), f"fits-{turn}")
-            totals, slices = _sliced_totals(fits, ["__place"])
-            first = totals.join(slices, ["pattern", "slice"]).where("done + within <= left")
-            first = first.select("pattern", "slice", F.col("__place").alias("place"), "size", "left")
-            first = tables.write(first, f"prefix-{turn}")
-            tables.drop(f"fits-{turn}")
-            picks = picks.union(first.select(row))
-            rest = first.groupBy("pattern").agg((F.max("left") - F.sum("size")).alias("left"))
-            left = tables.write(rest, f"left-{turn}")
+        fits = fits if picks is None else fits.join(picks, row, "left_anti")
+        fits = tables.write(fits, f"fits-{turn}")
+        if fits.isEmpty():
+            break
+        totals, slices = _sliced_totals(fits)
+        first = totals.join(slices, ["pattern", "slice"]).where("done + within <= left").select(*row, "size", "left")
+        first = tables.write(first, f"prefix-{turn}")
+        rest = first.groupBy("pattern").agg((F.max("left") - F.sum("size")).alias("rest"))
         best = F.max(F.struct("size", "digest", "slice", "place")).alias("best")
-        fill = fitting().groupBy("pattern").agg(best, F.max("left").alias("left"))
-        fill = fill.select("pattern", "best.slice", "best.place", F.expr("left - best.size AS left"))
-        fill = tables.write(fill, f"fill-{turn}")
-        left = fill.select("pattern", "left")
-        picks = fill.select(row) if picks is None else picks.union(fill.select(row))
+        fill = fits.join(rest, "pattern").where("size <= rest").join(first, row, "left_anti").groupBy("pattern").agg(best)
+        fill = tables.write(fill.select("pattern", "best.slice", "best.place", F.col("best.size").alias("longest")), f"fill-{turn}")
+        after = F.col("rest") - F.coalesce("longest", F.lit(0))
+        left = tables.write(rest.join(fill, "pattern", "left").select("pattern", after.alias("left")), f"left-{turn}")
+        new = first.select(row).union(fill.select(row))
+        picks = new if picks is None else picks.union(new)
+        tables.drop(f"fits-{turn}")
         turn += 1
-    picked = dealt.join(picks.withColumn("picked", F.lit(True)), row, "left")
-    return picked.withColumn("more", (F.col("more") | F.coalesce("picked", F.lit(False))).cast("int"))
+    if picks is None:
+        picks = out.limit(0).select(row)
+    picked = dealt.join(picks.withColumn("picked", F.lit(True)), row, "left").join(plan, "pattern")
+    return picked.withColumn("more", F.coalesce("picked", F.lit(False)).cast("int"))
+
+
+def _sliced_totals(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with `within`, the running total of size in their slice, and by pattern and slice `done`, the
+    total of the slices before it."""
+    before = W.partitionBy("pattern").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = rows.groupBy("pattern", "slice").agg(F.sum("size").alias("words"))
+    slices = slices.withColumn("done", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
+    total = F.sum("size").over(W.partitionBy("pattern", "slice").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("within", total), slices
+
+
+def mix_rows(documents: DataFrame, key: str = "doc_id", seed: str = "0") -> DataFrame:
+    """Mixes documents whose one source is their pattern; the result has `key` in place of doc_id, the choice is the
+    same for any key."""
+    size, text = n_words(F.col("text")).alias("__size"), F.md5("text").alias("__md5")
+    rows = documents.select(F.col(key).alias("__key"), F.col("doc_id").alias("__name"), F.array("source").alias("__members"), size, text)
+    mixed = mix(rows, "__members", "__size", "__key", "__name", "__md5", seed)
+    return mixed.select(F.col("__key").alias(key), F.col("size"), "source_size", "target", "taken")
 
 
 def mix_documents(documents: DataFrame, seed: str = "0") -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document, its one source being its pattern."""
-    rows = documents.select("doc_id", F.array("source").alias("members"), n_words(F.col("text")).alias("size"))
-    return mix(rows, "members", "size", seed=seed).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken of every document."""
+    return mix_rows(documents, seed=seed)

@@ -69,26 +69,10 @@ SELECT page_id * 2 + 1 AS record_id, place AS canonical_url, moment AS captured,
 FROM judged"""
 
 
-def _fills(count: int) -> str:
-    """Each fill takes, per source, the largest document left out that fits what is left."""
-    steps = []
-    for i in range(count):
-        before = f"fill{i - 1}" if i else "chosen"
-        steps.append(
-            f"""pick{i} AS (
-  SELECT source, arg_max(struct_pack(doc_id, size), struct_pack(size, h)) AS best FROM (
-    SELECT c.*, rest - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY source) AS remaining FROM {before} c)
-  WHERE NOT more AND size > 0 AND size <= remaining GROUP BY source),
-fill{i} AS (
-  SELECT c.* REPLACE (more OR coalesce(c.doc_id = p.best.doc_id, false) AS more) FROM {before} c
-  LEFT JOIN pick{i} p ON c.source IS NOT DISTINCT FROM p.source)"""
-        )
-    return ",\n".join(steps)
-
-
-OP9 = f"""WITH sized AS (
+OP9 = f"""WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
-    md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':'
+      || len(regexp_extract_all(coalesce(text, ''), '{WORD}')) || ':' || coalesce(md5(text), '')) AS h FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 3 * source_size AS cap,
@@ -104,14 +88,27 @@ targets AS (
 planned AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS copies,
     CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) % source_size ELSE 0 END AS rest FROM targets),
-chosen AS (
-  SELECT s.*, source_size, target, copies, rest, size > 0
-    AND sum(size) OVER (PARTITION BY s.source ORDER BY h, size, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS more
+numbered AS (
+  SELECT s.*, source_size, target, copies, rest, row_number() OVER (ORDER BY h, size, doc_id) AS row
   FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source),
-{_fills(3)}
+turns AS (
+  SELECT 0 AS turn, row, source, size, h, CAST(rest AS BIGINT) AS remaining, false AS more,
+    bool_or(size > 0 AND size <= rest) OVER (PARTITION BY source) AS further FROM numbered
+  UNION ALL
+  SELECT turn + 1, row, source, size, h, remaining, more,
+    bool_or(NOT more AND size > 0 AND size <= remaining) OVER (PARTITION BY source) FROM (
+    SELECT * REPLACE (more OR best AS more,
+      CAST(remaining - sum(CASE WHEN best THEN size ELSE 0 END) OVER (PARTITION BY source) AS BIGINT) AS remaining) FROM (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY NOT more AND size > 0 AND size <= remaining DESC,
+        size DESC, h DESC, row DESC) = 1 AND NOT more AND size > 0 AND size <= remaining AS best FROM (
+        SELECT * REPLACE (more OR prefix AS more,
+          CAST(remaining - sum(CASE WHEN prefix THEN size ELSE 0 END) OVER (PARTITION BY source) AS BIGINT) AS remaining) FROM (
+          SELECT *, NOT more AND size > 0 AND size <= remaining AND sum(CASE WHEN NOT more AND size <= remaining THEN size
+            ELSE 0 END) OVER (PARTITION BY source ORDER BY row ROWS UNBOUNDED PRECEDING) <= remaining AS prefix
+          FROM turns WHERE further))))),
+ended AS (SELECT row, arg_max(more, turn) AS more FROM turns GROUP BY row)
 SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN more THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM fill2"""
-
+FROM numbered JOIN ended USING (row)"""
 
 
 def _crc32(text: str) -> str:

@@ -255,6 +255,19 @@ def test_written_shards(spark, tmp_path):
     assert {r.doc_id: r.text for r in back.collect()} == {i: t for i, t, _ in rows}
 
 
+def test_written_shards_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows and clashing columns: every row is written once."""
+    rows = [(None if i % 10 == 0 else i % 50, f"text {i % 30}" if i % 7 else None) for i in range(200)]
+    frame = documents(spark, rows).selectExpr("*", "99 AS shard", "98 AS slot", "97 AS curve", "96 AS size")
+    manifest = hilbert.write_shards(frame, f"{tmp_path}/out", shards=4).collect()
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r.n_rows for r in manifest) == [50] * 4
+    assert back.groupBy("shard").count().collect() and {r["count"] for r in back.groupBy("shard").count().collect()} == {50}
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=key) == sorted(rows, key=key)
+    assert {(r.shard_of_document, r.slot, r.curve, r.size) for r in back.collect()} == {(99, 98, 97, 96)}
+
+
 # 5 ------------------------------------------------------------------------------------------
 
 
@@ -433,8 +446,10 @@ def test_mixture_meets_targets(spark):
 
 
 def test_mixture_with_a_very_long_document(spark):
-    order = sorted(range(201), key=lambda i: hashlib.md5(f"0:{i}".encode()).hexdigest())
-    rows = [(i, ["b"], 4000 if i == order[0] else 20) for i in range(201)]
+    digest = lambda i, size: hashlib.md5(f"0:{i}:{size}:".encode()).hexdigest()
+    first = min(range(201), key=lambda i: digest(i, 4000))
+    assert digest(first, 4000) < min(digest(i, 20) for i in range(201) if i != first)
+    rows = [(i, ["b"], 4000 if i == first else 20) for i in range(201)]
     rnd = random.Random(2)
     long = [(1000 + i, ["c"], int(4 ** (8 * rnd.random()))) for i in range(400)]
     rows += [(500, ["a"], 5650), *long]
@@ -451,6 +466,26 @@ def test_mixture_with_a_very_long_document(spark):
             assert source != "b" or left < 20
 
 
+def test_mixture_equals_sql_where_many_turns_are_needed(spark):
+    """Sizes of all magnitudes, null and repeated ids, repeated rows; the same rule in SQL."""
+    import duckdb
+
+    from tailrace.llm.oracle import ORACLES
+
+    rnd = random.Random(11)
+    rows = [(rnd.choice([None, 7, i]), "w " * int(4 ** (6 * rnd.random())) + str(i % 40), f"s{i % 3}") for i in range(400)]
+    rows += [(None, None, None), (1, "", "s1"), (2, "x y", None), (2, "x y", None), (3, "z", "alone")]
+    frame = documents(spark, rows, 4)
+    con = duckdb.connect()
+    con.register("documents", frame.toArrow())
+    found = mixture.mix_documents(frame)
+    sql = con.sql(ORACLES["op9_mixture"])
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, found.select(*sql.columns).collect()), key=key) == sorted(sql.fetchall(), key=key)
+    turns = con.sql(ORACLES["op9_mixture"].split("SELECT doc_id, size, source_size, target, CAST")[0] + "SELECT max(turn) FROM turns")
+    assert turns.fetchall()[0][0] >= 3
+
+
 def test_flow_through_overlapping_sources(spark):
     # All of both sources' words are in documents that belong to both, but for ten of a's.
     rows = [(i, ["a", "b"], 10) for i in range(9)] + [(9, ["a"], 10), (10, ["c"], 0)]

@@ -162,3 +162,29 @@ def test_pipeline_against_brute_force(spark):
 
     whole = corpus_pipeline.run(spark, FOLDER).toPandas().sort_values(["shard", "slot"])
     assert whole.doc_id.tolist() == shards.sort_values(["shard", "slot"]).doc_id.tolist()
+
+
+def test_pipeline_decides_by_row(spark):
+    """Rows with null and repeated ids, and columns that stages use themselves."""
+    import corpus_pipeline
+    from collections import Counter
+
+    words = " ".join(f"w{i}" for i in range(60))
+    texts = [(None, words), (None, words + " more"), (7, words + " x"), (7, words + " y"), (9, words), (9, words)]
+    texts += [(None, "alone here"), (None, "alone here"), (3, None), (3, None), (5, "")]
+    rows = [(d, t, "en", "s", 1, f"own {i}", 3) for i, (d, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, severity string, toxic int"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["jaccard_join"](spark, docs, FOLDER)
+    assert one.columns == docs.columns
+    # One of the six linked rows, that with the smallest id; one of two equal texts; rows without words stay.
+    left = Counter((r.doc_id, r.text and r.text[:5]) for r in one.collect())
+    assert left == Counter({(7, "w0 w1"): 1, (None, "alone"): 1, (3, None): 2, (5, ""): 1})
+    calm = stages["toxicity"](spark, docs, FOLDER)
+    assert sorted(calm.columns) == sorted(docs.columns)
+    assert sorted(r.severity for r in calm.collect()) == sorted(r[5] for r in rows)
+    mixed = stages["mixture"](spark, docs, FOLDER)
+    taken = Counter(r.severity for r in mixed.collect())
+    assert mixed.columns == docs.columns and sum(len(texts[int(k[4:])][1].split()) * n for k, n in taken.items()) <= 3 * 370
+    assert sum(taken.values()) > 0 and all(texts[int(k[4:])][1] for k in taken)
