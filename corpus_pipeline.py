@@ -1,7 +1,7 @@
 """From raw documents to the plan of a training set's shards, stage by stage.
 
 toxicity          documents that the severity model calls toxic go
-jaccard_join      of each group of linked near copies the one with the smallest doc_id stays
+jaccard_join      of each group of linked near copies one document stays, that with the smallest doc_id
 decontamination   documents that hold a benchmark item go
 mixture           documents are taken as often as the mix of sources takes them, or not at all
 sharding          every row that is left gets its shard and slot
@@ -25,17 +25,22 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not toxic, by a model of the labelled ones among them."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    marked = toxicity.score(docs.withColumnRenamed("toxic", "__toxic"), model)
-    return marked.where("not toxic").drop(*toxicity.ADDED).withColumnRenamed("__toxic", "toxic")
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in toxicity.ADDED}
+    marked = toxicity.score(docs.withColumnsRenamed(own), model)
+    kept = marked.where("not toxic").drop(*toxicity.ADDED)
+    return kept.withColumnsRenamed({new: old for old, new in own.items()})
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component; of rows that repeat it and its text one."""
-    found = jaccard.near_copies(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first"))
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["__first"]), "left_semi")
-    kept = kept.withColumn("__hash", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    """Of each component of linked rows one: the smallest doc_id, a null one last, then the smallest hash of its text."""
+    tables = Tables(spark)
+    rows = tables.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = jaccard.near_copies(rows.select(F.col("__row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row")
+    first = rows.select("__row", order.alias("order")).join(found, "__row").groupBy("component_id")
+    first = first.agg(F.min("order").alias("order")).select("order.__row")
+    return rows.join(first, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +49,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; rows that repeat a doc_id are taken alike."""
-    taken = mixture.mix_documents(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__id"))
-    times = taken.agg(F.ceil(F.sum("taken") / F.sum("size")).cast("int").alias("__times"))
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    """Every row as often as the mix takes it."""
+    rows = Tables(spark).write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    taken = mixture.mix_rows(rows, "__row").where("taken > 0")
+    times = taken.select("__row", F.expr("int(taken div size)").alias("__times"))
+    copies = rows.join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times")))
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
