@@ -1,8 +1,8 @@
 """Benchmark passages in documents, found by their edit distance.
 
-Texts are words (letters and digits in lower case; bytes of other scripts are letters). A document holds an item if
-some run of its words is at most EDITS of the item's words away in word insertions, deletions and
-substitutions.
+Texts are words (letters and digits in lower case). Spaces, punctuation and symbols of any script part words, and in
+scripts without spaces (Han, Kana, Thai and others) each character is a word. A document holds an item if some run of its
+words is at most EDITS of the item's words away in word insertions, deletions and substitutions.
 
 Windows of a document's words, as long as an item and its edits, are embedded by the CGK random walk: step
 j writes the word at the pointer and moves on or not, as a random bit of (j, word) says. Two walks over
@@ -10,7 +10,8 @@ similar windows fall in step again after an edit, so a small edit distance becom
 distance. Keys of some sampled steps are looked up among those of the items (locality-sensitive hashing
 by bit sampling), over so many walks that an item with the most edits allowed is found with probability
 RECALL: the rate of one walk is measured for each class of items on edited copies of its own items. Each
-candidate is then verified with the exact edit distance.
+candidate is then verified with the exact edit distance. Where walks find none of those copies, keys say nothing, and
+all windows that the next step leaves are verified.
 
 Before that, windows are left out that cannot match: an item with e edits keeps all but q * e of its runs
 of q words, so a window with fewer of its class's runs in it is none (q is 3, less for short items).
@@ -19,7 +20,8 @@ The benchmark is read in blocks of at most BLOCK_BYTES, each sent to the tasks;
 for each block and do not move, so their number, copies and hot sources cost what they weigh.
 
 Null and empty texts hold nothing, and items without words are in nothing. Items with the same words are
-matched each. Repeated documents are matched each. Empty tables give no matches.
+matched each. Repeated documents are matched each. Empty tables give no matches. Documents keep all columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -39,8 +41,20 @@ EDITS = 0.2
 RECALL = 0.98
 SAMPLED = 2  # steps in a key
 KEYS = 4  # keys of a walk
+TRIES = 16  # walks over each copy that measure the rate, so a rate that is not 0 needs 63 walks at most
 MOST_WALKS = 64
 BLOCK_BYTES = 4 << 20
+# Unicode ranges (of RE2) of spaces, punctuation and symbols, and of scripts without spaces.
+PARTING = (
+    r"[\x{80}-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{D7}\x{F7}\x{1680}\x{2000}-\x{206F}\x{20A0}-\x{20CF}"
+    r"\x{2190}-\x{2BFF}\x{2E00}-\x{2E7F}\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{303D}\x{30FB}\x{FE10}-\x{FE6F}"
+    r"\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}\x{1F000}-\x{1FAFF}]+"
+)
+SINGLE = (
+    r"([\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3021}-\x{302F}"
+    r"\x{3031}-\x{303C}\x{3040}-\x{30FA}\x{30FC}-\x{312F}\x{31A0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+    r"\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}])"
+)
 GROWTH = 1.25  # lengths of the items of a class differ by this factor at most
 MATCH = "doc_id long, item_id long, edits int, item_words int, first_word int, n_words int"
 
@@ -57,7 +71,7 @@ class Class_:
     run: int
     least: int  # runs of `run` words that a matching window has at least
     marks: np.ndarray
-    steps: np.ndarray  # walks x KEYS x SAMPLED
+    steps: np.ndarray | None  # walks x KEYS x SAMPLED; None: keys say nothing
     keys: np.ndarray
     owner: np.ndarray
 
@@ -99,6 +113,12 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarr
     return np.array(out, np.uint64)
 
 
+def parted(column: pa.Array) -> pa.Array:
+    """Texts in lower case whose words are parted by ASCII alone."""
+    lower = pc.utf8_lower(column)
+    return pc.replace_substring_regex(pc.replace_substring_regex(lower, PARTING, " "), SINGLE, r" \1 ")
+
+
 def _class(items: np.ndarray, words: list[np.ndarray], share: float, recall: float) -> Class_:
     sizes = [len(w) for w in words]
     shortest, longest = min(sizes), max(sizes)
@@ -114,8 +134,11 @@ def _class(items: np.ndarray, words: list[np.ndarray], share: float, recall: flo
     reach = max(SAMPLED, int(1.6 * shortest))
     steps = np.stack([np.stack([rng.choice(reach, SAMPLED, replace=False) for _ in range(KEYS)]) for _ in range(MOST_WALKS)])
     rate = _rate(words, edits, share, steps, rng)
-    walks = 1 if rate >= 1 else int(np.ceil(np.log(1 - recall) / np.log(1 - rate)))
-    steps = steps[: min(max(walks, 2), MOST_WALKS)]
+    walks = 1 if rate >= 1 else int(np.ceil(np.log(1 - recall) / np.log(1 - rate))) if rate else 0
+    if not 0 < walks <= MOST_WALKS:
+        none = np.zeros(0, np.uint64)
+        return Class_(items, words, shortest, longest, edits, run, least, marks, None, none, np.zeros(0, int))
+    steps = steps[: max(walks, 2)]
     text = np.concatenate(words)
     ends = np.cumsum(sizes)
     starts = ends - np.array(sizes)
@@ -127,17 +150,17 @@ def _class(items: np.ndarray, words: list[np.ndarray], share: float, recall: flo
 
 def _rate(words: list[np.ndarray], edits: int, share: float, steps: np.ndarray, rng) -> float:
     """How often a walk of an edited copy, from its true begin, has a key of the item: for the quarter of
-    some of the items' copies that are found least, and at least 0.06."""
+    some of the items' copies that are found least."""
     hits = []
     for w in words[:: max(1, len(words) // 24)][:24]:
         copy = _edited(w, allowed(len(w), share), rng)
         own = 0
-        for i in range(16):
+        for i in range(TRIES):
             a = walk(w, np.zeros(1, int), np.array([len(w)]), i, steps[i])
             b = walk(copy, np.zeros(1, int), np.array([len(copy)]), i, steps[i])
             own += bool((a == b).any())
-        hits.append(own / 16)
-    return max(0.06, float(np.quantile(hits, 0.25)))
+        hits.append(own / TRIES)
+    return float(np.quantile(hits, 0.25, method="lower"))
 
 
 def _runs_of(words: np.ndarray, run: int) -> np.ndarray:
@@ -151,7 +174,7 @@ def classes(items: list[tuple[int, str]], share: float = EDITS, recall: float =
     """Items (id, text) by length in words."""
     held: dict[int, list] = {}
     separators = no_letter_or_digit()
-    for run in runs(pc.utf8_lower(pa.array([t for _, t in items], pa.string()))):
+    for run in runs(parted(pa.array([t for _, t in items], pa.string()))):
         begin, end, at = run.words(separators)
         words = run.hashes(begin, end)
         for i in range(run.texts):
@@ -212,6 +235,10 @@ def _candidates(run: Run, words: np.ndarray, at: np.ndarray, c: Class_) -> dict[
     if not len(start):
         return {}
     found: dict[tuple[int, int], list[int]] = {}
+    if c.steps is None:
+        for own in np.split(np.arange(len(start)), np.flatnonzero(np.diff(text)) + 1):
+            found.update(((int(text[own[0]]), owner), start[own].tolist()) for owner in range(len(c.items)))
+        return found
     for i, steps in enumerate(c.steps):
         keys = walk(words, start, stop, i, steps)
         low, high = np.searchsorted(c.keys, keys, "left"), np.searchsorted(c.keys, keys, "right")
@@ -224,7 +251,7 @@ def _candidates(run: Run, words: np.ndarray, at: np.ndarray, c: Class_) -> dict[
 def _matches(column: pa.Array, index: list[Class_], share: float) -> Iterator[tuple]:
     """(row, item_id, edits, item_words, first_word, n_words) of an Arrow column of texts."""
     separators = no_letter_or_digit()
-    for run in runs(pc.utf8_lower(column)):
+    for run in runs(parted(column)):
         begin, end, at = run.words(separators)
         if not len(begin):
             continue

@@ -175,6 +175,40 @@ def test_decontamination(spark):
     assert decontamination.decontaminate(frame, benchmark.limit(0)).count() == len(rows)
 
 
+def test_decontamination_of_any_script(spark):
+    """Words are parted by spaces, dashes and quotes of any script; where a script has none, each character is a word."""
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(30))
+    rows = [
+        (0, "before\u00a0“one two three four five six”—after", None),
+        (1, "字" * 9 + han + "字" * 9, None),
+        (2, "字" * 9 + han[:14] + "x" + han[14:] + "字" * 9, None),
+        (3, "onetwo three four five six", None),
+        (4, "字" * 40, None),
+    ]
+    frame = documents(spark, [r[:2] for r in rows]).selectExpr("*", "1 AS item_id", "2 AS edits", "3 AS first_word")
+    benchmark = spark.createDataFrame([(0, "One two, three four five six."), (1, han)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.edits, r.first_word, r.n_words) for r in decontamination.matches(frame, benchmark).collect()}
+    assert found == {(0, 0): (0, 1, 6), (1, 1): (0, 9, 30), (2, 1): (1, 9, 31)}
+    kept = decontamination.decontaminate(frame, benchmark)
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
+def test_items_that_walks_do_not_find_are_verified_without_keys(spark, monkeypatch):
+    rnd = random.Random(6)
+    voc = [f"v{i}" for i in range(300)]
+    items = [(i, [rnd.choice(voc) for _ in range(n)]) for i, n in enumerate([5, 9, 25, 80, 200])]
+    rows = []
+    for i, words in items:
+        edited = [w if j % 5 else "other" for j, w in enumerate(words[: len(words) // 5 * 5])] + words[len(words) // 5 * 5 :]
+        rows.append((i, " ".join([rnd.choice(voc) for _ in range(50)] + edited + [rnd.choice(voc) for _ in range(50)])))
+    rows.append((50, " ".join(rnd.choice(voc) for _ in range(900))))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    monkeypatch.setattr(decontamination, "_rate", lambda *_: 0.0)
+    assert all(c.steps is None for c in decontamination.classes([(i, " ".join(w)) for i, w in items]))
+    found = {(r.doc_id, r.item_id) for r in decontamination.matches(documents(spark, rows), benchmark).collect()}
+    assert found == {(i, i) for i, _ in items}
+
+
 def test_edit_match():
     def distance(a, b):
         row = list(range(len(b) + 1))
