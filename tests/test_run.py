@@ -1,10 +1,12 @@
 """The whole run against row-by-row SQL on small, gappy data, and its plans."""
 
 import datetime as dt
+import inspect
 import json
 import random
 import re
 from pathlib import Path
+from unittest.mock import Mock
 
 import duckdb
 import pandas as pd
@@ -442,3 +444,24 @@ def test_command_line_with_flat_files(spark, tmp_path, monkeypatch):
     assert national.count() == 6 * len(days)
     # No balance row falls on the first day of a month with statistics, so no share is known.
     assert {r["en.vkraft"] for r in national.select("`en.vkraft`").collect()} == {"0.0"}
+
+
+def test_command_line_with_both_frequencies(monkeypatch):
+    seen = {}
+    names = list(inspect.signature(run_job).parameters)
+    monkeypatch.setattr("tailrace.__main__.run_job", lambda *args: seen.update(zip(names, args)))
+    monkeypatch.setattr("tailrace.__main__.SparkSession", Mock())
+    feeds = ["--production", "a", "b", "--consumption", "c", "d", "--prices", "e", "f"]
+    argv = ["tailrace", "--freq", "daily", "hourly", *feeds, "--statistics", "s", "--out", "o", "--codes", "Tid=2021M01,2021M02", "Produk2=01"]
+    monkeypatch.setattr("sys.argv", argv)
+    main()
+    assert seen["paths"] == {
+        "daily": {"production": "a", "consumption": "c", "prices": "e"},
+        "hourly": {"production": "b", "consumption": "d", "prices": "f"},
+    }
+    assert {s.freq for s in seen["scenarios"]} == {"daily", "hourly"} and len(seen["scenarios"]) == 12
+    assert seen["codes"] == {"Tid": ["2021M01", "2021M02"], "Produk2": ["01"]}
+    for wrong in (["--freq", "daily"], ["--freq", "daily", "hourly", "--codes", "Tid"]):
+        monkeypatch.setattr("sys.argv", ["tailrace", *feeds, "--statistics", "s", "--out", "o", *wrong])
+        with pytest.raises(SystemExit):
+            main()
