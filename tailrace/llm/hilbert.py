@@ -5,15 +5,16 @@ the prefix that all values share, the size by its logarithm. Nearby points of th
 the curve, so runs of the curve hold few sources, languages and sizes each, and the range of every
 dimension that a reader filters on excludes most files.
 
-Rows are ordered by curve index, inside a cell of the grid by a seeded digest of the id (so that a
-cell is shuffled), and cut in runs whose row counts differ by one at most (law `rows`).
+Rows are ordered by curve index, inside a cell of the grid by a seeded digest of id, checksum and size (so that
+a cell is shuffled, and rows that share an id are spread), and cut in runs whose row counts differ by one at most (law `rows`).
 
 All of it is DataFrame functions. Ranks need no global window: totals are taken by cell and by a
 slice of the digest, whose length grows with the cell's rows, and only a slice's rows are ordered
 together. Cells are at most 2 ** (3 * BITS), so their table can be broadcast at any input size.
 
 Null source or language comes first in its dimension; a null text has size 1 and no checksum.
-Repeated rows take neighbouring slots. An empty table gives no rows.
+Repeated rows take neighbouring slots. An empty table gives no rows. Only doc_id, text, source and lang are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations

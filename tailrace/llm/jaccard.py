@@ -24,7 +24,8 @@ order gives the same links.
 Shingles are 64-bit hashes of SHINGLE words; words are runs of bytes other than white space, A-Z folded. A
 text with fewer words is one shingle of all its words; one without words, empty or null, has no set and
 is its own component. Rows that repeat a doc_id are texts of their own. The component of a null doc_id is
-the smallest known id it is linked with, or null. An empty table gives no rows.
+the smallest known id it is linked with, or null. An empty table gives no rows. Only doc_id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ sends out link counts and the edges of a spanning forest, never its pairs.
 Equal vectors are joined as one of their number. Vectors that are null, empty, zero, or hold a null or
 a non-finite component have no links and are their own component; vectors of different lengths never
 link. Rows that repeat a vec_id are vectors of their own, linked by what they hold. The component of a
-null vec_id without links to others is null. An empty table gives no rows.
+null vec_id without links to others is null. An empty table gives no rows. Only vec_id and embedding are read, so other
+columns may have any name.
 
 What pivots cannot part, as vectors spread evenly in many dimensions, is compared by blocks.
 """

@@ -14,7 +14,8 @@ and bodies never move.
 
 Outcomes: resolved, no_earlier_response (also for a null or empty URL or a null time),
 validator_mismatch, no_validator. Rows of other kinds are ignored. Repeated response ids count once
-(the smallest row); repeated revisits are resolved each. An empty table gives no rows.
+(the smallest row); repeated revisits are resolved each. An empty table gives no rows. Other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -580,3 +580,20 @@ def test_repeated_substrings(spark, monkeypatch, length, flank, unit, letters):
 
 def test_repeated_substrings_of_nothing(spark):
     assert substrings.cut_repeats(documents(spark, [])).count() == 0
+
+
+def test_other_columns_may_have_any_name(spark):
+    """Columns named as the operators name their own change nothing."""
+    rows = [(i, " ".join(f"w{j}" for j in range(20 + i % 3)), f"s{i % 2}") for i in range(12)]
+    frame = documents(spark, rows)
+    names = "kind set_id n shingle number sketch first size curve digest shard slot __rows id pattern members taken".split()
+    more = frame.selectExpr("*", *[f"{i} AS {name}" for i, name in enumerate(names)])
+    for run in (jaccard.near_copies, hilbert.shard_documents, mixture.mix_documents):
+        assert sorted(map(str, run(more).collect())) == sorted(map(str, run(frame).collect()))
+    vectors = spark.createDataFrame([(i, [float(i % 4), 1.0, 2.0]) for i in range(12)], "vec_id long, embedding array<float>")
+    clash = vectors.selectExpr("*", *[f"{i} AS {name}" for i, name in enumerate("id weight first vector dims cell home near part".split())])
+    assert sorted(map(str, metric.near_duplicates(clash).collect())) == sorted(map(str, metric.near_duplicates(vectors).collect()))
+    pages = spark.createDataFrame([(i, f"http://a.b/{i % 5}", f"<p>{i % 3}") for i in range(30)], "page_id long, url string, html string")
+    records = revisits.crawl(pages)
+    odd = records.selectExpr("*", *[f"{i} AS {name}" for i, name in enumerate("place outcome full response_id slice".split())])
+    assert sorted(map(str, revisits.resolve(odd).collect())) == sorted(map(str, revisits.resolve(records).collect()))
