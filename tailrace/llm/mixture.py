@@ -217,9 +217,11 @@ def _one_more(rows: DataFrame, plan: DataFrame, tables: Tables) -> DataFrame:
     dealt = tables.write(sliced.withColumn("place", F.row_number().over(within)), "dealt")
     row = ["pattern", "slice", "place"]
     out = dealt.where("size > 0").select(*row, "size", "digest")
+    # What is known of a pattern reaches its rows by slice, so that no join deals rows by pattern alone.
+    every = tables.write(dealt.select("pattern", "slice").distinct(), "every")
     left, picks, turn = plan.select("pattern", F.col("rest").alias("left")), None, 0
     while True:
-        fits = out.join(left, "pattern").where("size <= left")
+        fits = out.join(every.join(left, "pattern"), ["pattern", "slice"]).where("size <= left")
         fits = fits if picks is None else fits.join(picks, row, "left_anti")
         fits = tables.write(fits, f"fits-{turn}")
         if fits.isEmpty():
@@ -229,7 +231,8 @@ def _one_more(rows: DataFrame, plan: DataFrame, tables: Tables) -> DataFrame:
         first = tables.write(first, f"prefix-{turn}")
         rest = first.groupBy("pattern").agg((F.max("left") - F.sum("size")).alias("rest"))
         best = F.max(F.struct("size", "digest", "slice", "place")).alias("best")
-        fill = fits.join(rest, "pattern").where("size <= rest").join(first, row, "left_anti").groupBy("pattern").agg(best)
+        further = fits.join(every.join(rest, "pattern"), ["pattern", "slice"]).where("size <= rest")
+        fill = further.join(first, row, "left_anti").groupBy("pattern").agg(best)
         fill = tables.write(fill.select("pattern", "best.slice", "best.place", F.col("best.size").alias("longest")), f"fill-{turn}")
         after = F.col("rest") - F.coalesce("longest", F.lit(0))
         left = tables.write(rest.join(fill, "pattern", "left").select("pattern", after.alias("left")), f"left-{turn}")
@@ -239,7 +242,8 @@ def _one_more(rows: DataFrame, plan: DataFrame, tables: Tables) -> DataFrame:
         turn += 1
     if picks is None:
         picks = out.limit(0).select(row)
-    picked = dealt.join(picks.withColumn("picked", F.lit(True)), row, "left").join(plan, "pattern")
+    picked = dealt.join(picks.withColumn("picked", F.lit(True)), row, "left")
+    picked = picked.join(every.join(plan, "pattern"), ["pattern", "slice"])
     return picked.withColumn("more", F.coalesce("picked", F.lit(False)).cast("int"))
 
 
