@@ -10,10 +10,13 @@ group, shorter than a window, goes to sequences whose lengths are powers of two,
 at all, and few documents are cut in other places than full windows.
 
 A word between white space is tokenized once by a worker, as tokens never cross white space in the
-vocabularies this is for (pre-tokenizers that split at it and drop it). New words of letters alone, and the letters of
-those that only end in punctuation, are tokenized many at a time as one text, which is cut where tokens end words; that as
-many end as there are words proves the cuts. The vocabulary is read in the driver (a few MB) and broadcast. A very long
-text is looked up word by word, so it takes memory in proportion to its words and ids only.
+vocabularies this is for (pre-tokenizers that split at it and drop it). Texts are split, their different words told apart
+and their ids put back as Arrow arrays, a few MB of text at a time; Python meets each different word of those once.
+Letters and the punctuation behind them are words by themselves. New words of letters alone are tokenized many at a time
+as one text, which is cut where tokens end words; that as many end as there are words proves the cuts. Where the
+vocabulary is of lower case, texts are lowered before, but for those in which that might change an id. The vocabulary is
+read in the driver (a few MB) and broadcast. A very long text is looked up alone and takes memory in proportion to its
+words and ids.
 
 A null text is empty: it has the end id alone. Ties and repeated rows are documents of their own. An empty table gives
 no rows. Only doc_id and text are read, so other columns may have any name.
@@ -23,7 +26,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import string
 import sys
 from array import array
@@ -34,6 +36,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -42,8 +45,9 @@ END_ID = 2
 GROUP_TOKENS = 1 << 22
 # Words whose ids a worker holds; the table starts anew beyond that. Longer words are never held.
 HELD_WORDS, HELD_LENGTH = 1 << 20, 64
-OTHER_SPACE = "\x1c\x1d\x1e\x1f"  # at which Python splits, and no tokenizer
-HELD_TEXTS = 1 << 15  # words of texts that are looked up together; a longer text is looked up alone
+HELD_BYTES = 1 << 22  # of texts that are looked up together; a longer text is looked up alone
+# Of characters below U+0300 but I with a dot, lower case is one of each and normal forms are the same.
+MARKED = "[\u0130\u0300-\U0010ffff]"
 BATCH_WORDS = 1 << 12  # words sent to the tokenizer at once
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 SEQUENCE_BITS = 36  # of a task's sequence numbers, below the task's own
@@ -135,11 +139,21 @@ class Group:
 # Tasks ----------------------------------------------------------------------------------------------
 
 
+def _behind(words: pa.Array, stems: pa.Array) -> pa.Array:
+    """What follows each stem in its word."""
+    whole, kept = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (words, stems))
+    sizes = whole - kept
+    ends = np.cumsum(sizes)
+    at = np.arange(sizes.sum()) + np.repeat(np.cumsum(whole) - ends, sizes)
+    bare = words.cast(pa.large_binary())
+    _, places, data = bare.buffers()
+    data = np.frombuffer(data or b"", np.uint8)[np.frombuffer(places, np.int64)[bare.offset] :][at]
+    return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(data))
+
+
 class Encoder:
     """Token ids of whole texts, each different word encoded once."""
 
-    WORD = re.compile(r"[^ \t-\r]+")
-
     def __init__(self, vocabulary: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -149,56 +163,82 @@ class Encoder:
         self.ends = None
         rules = json.loads(vocabulary)
         self.lower = "Lowercase" in json.dumps(rules["normalizer"])
+        self.added = [x["content"] for x in rules.get("added_tokens") or []]
+        self.letters: dict[str, bool] = {}
         suffix = rules["model"].get("end_of_word_suffix")
         if suffix:
             words = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(words.values()) + 1, bool)
             self.ends[[i for word, i in words.items() if word.endswith(suffix)]] = True
 
-    def ids(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text and the end id."""
-        held, size = [], 0
-        for text in texts:
-            held.append(self._words(text or ""))
-            size += len(held[-1])
-            if size >= HELD_TEXTS:
-                yield from self._looked_up(held)
-                held, size = [], 0
-        yield from self._looked_up(held)
-
-    def _words(self, text: str) -> list[str]:
-        if not text.isascii() or any(c in text for c in OTHER_SPACE):
-            return self.WORD.findall(text)
-        return text.lower().split() if self.lower else text.split()
-
-    def _looked_up(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+        first = 0
+        while first < len(texts):
+            most = HELD_BYTES + (ends[first - 1] if first else 0)
+            last = max(first + 1, int(np.searchsorted(ends, most, "right")))
+            yield from self._looked_up(texts[first:last])
+            first = last
+
+    def _lowered(self, texts: pa.Array) -> pa.Array:
+        """Texts in lower case where that changes no id: without added tokens, which are found before, and characters
+        of MARKED."""
+        if not self.lower:
+            return texts
+        lowered = pc.utf8_lower(texts)
+        other = pc.match_substring_regex(texts, MARKED)
+        for token in self.added:
+            other = pc.or_(other, pc.match_substring(lowered, token.lower()))
+        return pc.if_else(other, texts, lowered)
+
+    def _looked_up(self, texts: pa.Array) -> Iterator[np.ndarray]:
         if len(self.known) > HELD_WORDS:
             self.known = {}
-        new = set().union(*texts).difference(self.known)
+        words = pc.ascii_split_whitespace(self._lowered(texts.fill_null("")))
+        edges, coded = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        found = self._of_words(coded.dictionary).take(coded.indices)
+        _, places, data = found.buffers()
+        cuts = np.frombuffer(places, np.int64)[edges] // 4
+        ids, end = np.frombuffer(data or b"", np.uint32), np.array([self.end_id], np.uint32)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            yield np.append(ids[a:b], end)
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of different words, as bytes; letters and the punctuation behind them one by one."""
+        if self.ends is None:
+            return self._held(words)
+        stems = pc.ascii_rtrim(words, characters=string.punctuation)
+        last = pc.utf8_slice_codeunits(stems, -1).dictionary_encode()
+        parted = pa.array([self._parted(c) for c in last.dictionary.to_pylist()], pa.bool_()).take(last.indices)
+        stems = pc.if_else(pc.and_(pc.utf8_is_alpha(stems), parted), stems, words)
+        return pc.binary_join_element_wise(self._held(stems), self._held(_behind(words, stems)), pa.scalar(b"", pa.large_binary()))
+
+    def _parted(self, letter: str) -> bool:
+        """Whether the vocabulary parts this letter from punctuation behind it."""
+        if letter not in self.letters:
+            both, own, mark = self.tokenizer.encode_batch_fast([letter + "!", letter, "!"], add_special_tokens=False)
+            self.letters[letter] = both.ids == own.ids + mark.ids
+        return self.letters[letter]
+
+    def _held(self, words: pa.Array) -> pa.Array:
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = {word for word in names if word not in self.known}
         self._learn(new)
-        end = np.array([self.end_id], np.uint32).tobytes()
-        for words in texts:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)) + end, np.uint32)
+        found = pa.array([self.known[word] for word in names], pa.large_binary()).take(coded.indices)
         for word in new:
             if len(word) > HELD_LENGTH:
                 del self.known[word]
+        return found
 
     def _learn(self, words: set[str]) -> None:
         if self.ends is None:
             self._one_by_one(list(words))
             return
-        letters, split, others = set(filter(str.isalpha, words)), {}, set()
-        stems = set()
-        for word in words.difference(letters):
-            stem = word.rstrip(string.punctuation)
-            if stem.isalpha():
-                split[word] = (stem, word[len(stem) :])
-                stems.add(stem)
-                others.add(word[len(stem) :])
-            else:
-                others.add(word)
-        self._one_by_one(list(others.difference(self.known)))
-        fresh = list(letters.union(stems.difference(self.known)))
+        letters = set(filter(str.isalpha, words))
+        self._one_by_one(list(words.difference(letters)))
+        fresh = list(letters)
         for i in range(0, len(fresh), BATCH_WORDS):
             part = fresh[i : i + BATCH_WORDS]
             (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
@@ -209,8 +249,6 @@ class Encoder:
                 self.known.update(zip(part, [data[a:b] for a, b in zip(at, at[1:])]))
             else:  # a letter that is none for the vocabulary
                 self._one_by_one(part)
-        for word, (stem, tail) in split.items():
-            self.known[word] = self.known[stem] + self.known[tail]
 
     def _one_by_one(self, words: list[str]) -> None:
         for i in range(0, len(words), BATCH_WORDS):
@@ -254,7 +292,7 @@ def _packed(encoder: Callable[[], Encoder], window: int, group_tokens: int):
             return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in PIECE.split(", ")])
 
         for found in batches:
-            for doc_id, ids in zip(found["doc_id"].to_pylist(), texts.ids(t.as_py() for t in found["text"])):
+            for doc_id, ids in zip(found["doc_id"].to_pylist(), texts.ids(found["text"])):
                 whole = len(ids) - len(ids) % window
                 for start in range(0, whole, window):
                     put([((doc_id, ids, 0, len(ids)), start, window)])

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tailrace.llm import packing
@@ -86,3 +87,28 @@ def test_null_and_repeated_ids_and_no_rows(spark):
     found = packing.pack(spark.createDataFrame(rows, schema).coalesce(1), vocabulary()).collect()
     assert Counter((r.doc_id, r.doc_tokens) for r in found if not r.start) == Counter({(None, 3): 2, (5, 2): 1, (5, 1): 1})
     assert packing.pack(spark.createDataFrame([], schema), vocabulary()).count() == 0
+
+
+def test_words_of_any_script_have_the_ids_of_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, path = Tokenizer.from_file(vocabulary()), packing.Path(vocabulary())
+    rnd = random.Random(3)
+    odd = ["<|ENDOFTEXT|>", "<|endoftext|>", "H\u0331", "I\u0307", "\u0130", "ΑΣ.", "ﬁ!", "\U0001df00.", "\U0001df00", "\u1c90'", "'S", "it'S"]
+    odd += ["Élan,", "ÉLAN", "œuvre...", "Œ", "naïve's", "Straße!", "ẞ?", "\u00a0", "\u0085", "\x1c", "\u2003", "日本。", "日本.", "1.", "x2,", "--"]
+    odd += ["".join(chr(rnd.choice([rnd.randrange(33, 0x300), rnd.randrange(33, 0x2FFF)])) for _ in range(3)) for _ in range(400)]
+    texts = [None, ""] + [rnd.choice([" ", "\n", "\t \x0b"]).join(rnd.choices(odd, k=rnd.randrange(12))) for _ in range(600)]
+    texts += [*odd, "x" * 200 + "! y"]
+    encoder = packing.Encoder(path.read_text(encoding="utf-8"), 2)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    for held, kind in ((1, pa.string()), (1 << 22, pa.string()), (300, pa.large_string())):
+        monkeypatch.setattr(packing, "HELD_BYTES", held)
+        whole = pa.array(["before", *texts], kind)
+        assert [x.tolist() for x in encoder.ids(whole[1:])] == want
+
+
+def test_spellings_of_a_word_are_tokenized_once():
+    encoder = packing.Encoder(packing.Path(vocabulary()).read_text(encoding="utf-8"), 2)
+    list(encoder.ids(pa.array(["Élan élan, ÉLAN! élan... Straße", "STRASSE, straße? élan"])))
+    assert {word for word in encoder.known if word.isalpha()} == {"élan", "straße", "strasse"}
+    assert set(encoder.known) <= {"élan", "straße", "strasse", "", ",", "!", "...", "?"}
