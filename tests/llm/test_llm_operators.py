@@ -22,6 +22,7 @@ from tailrace.llm import (
     substrings,
     toxicity,
 )
+from tailrace.llm.queries import QUERIES
 from tailrace.plans.tables import Tables
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -578,6 +579,27 @@ def test_repeated_substrings(spark, monkeypatch, length, flank, unit, letters):
     assert got == cut(rows, length)
 
 
+@pytest.mark.parametrize("size", [323, 399, 400, 401, 600])
+def test_passages_go_from_400_bytes_on(spark, tmp_path, size):
+    """Passages of more than 50 words that two texts share: the contract counts bytes, so shorter ones stay."""
+    rnd = random.Random(size)
+
+    def words(n_bytes):
+        return " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(n_bytes))[:n_bytes]
+
+    passage = f" {words(size - 2)} "
+    assert len(passage) == size and len(passage.split()) > 50
+    sides = [words(300) for _ in range(4)]
+    texts = [f"{sides[0]}1{passage}2{sides[1]}", f"{sides[2]}3{passage}4{sides[3]}", words(900)]
+    documents(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in QUERIES["op10_suffix_arrays"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        gone = size >= 400 and i < 2
+        kept = text.replace(passage, "") if gone else text
+        want = (len(text), size * gone, int(gone), hashlib.sha256(kept.encode()).hexdigest())
+        assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) == want
+
+
 def test_repeated_substrings_of_nothing(spark):
     assert substrings.cut_repeats(documents(spark, [])).count() == 0
 
