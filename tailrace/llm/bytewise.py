@@ -74,12 +74,26 @@ class Run:
         if fold not in self._sums:
             n = len(self.bytes)
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((FOLDED if fold else EXACT)[self.bytes] * _powers(_BASE, n), out=sums[1:])
+            np.cumsum(self._codes(fold) * _powers(_BASE, n), out=sums[1:])
             self._sums[fold] = sums
         sums = self._sums[fold]
         spans = (sums[end] - sums[begin]) * _powers(_BASE_INVERSE, len(self.bytes) + 1)[begin]
         return mixed(spans + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def _codes(self, fold: bool) -> np.ndarray:
+        return (FOLDED if fold else EXACT)[self.bytes]
+
+
+class WordRun(Run):
+    """The texts of a run as words between separators; a word's 64-bit hash stands where a Run has a byte."""
+
+    def __init__(self, run: Run, separators: np.ndarray):
+        begin, end, at = run.words(separators)
+        super().__init__(run.first, run.hashes(begin, end), at)
+
+    def _codes(self, fold: bool) -> np.ndarray:
+        return self.bytes
+
 
 _power_tables: dict[int, np.ndarray] = {}
 

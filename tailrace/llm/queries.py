@@ -79,9 +79,11 @@ def op9_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_suffix_arrays(spark: SparkSession, folder: str) -> DataFrame:
-    """What stays of every document without strings of 400 bytes that occur twice."""
+    """What stays of every document without strings of 400 bytes that occur twice, and how many words of it lie in
+    passages of 50 words that stand in another document too."""
     rows = substrings.cut_repeats(read(spark, folder, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", digest, "n_shared_words")
 
 
 def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,6 +19,12 @@ the same core, so contexts are grouped by a hash of their core:
 
 Spans of repeated windows then meet their text once and are cut out.
 
+Words go the same way beside the bytes: a passage is PASSAGE words (what white space parts), and what is looked
+for are passages that another row has as well, whatever their length in bytes and the space between their words.
+A passage that a text holds several times counts where it is first, so equal ones are always of two rows.
+In step 2 their windows are compared by 64-bit hashes, without suffix arrays. Nothing is removed for them;
+n_shared_words tells how many words of a text lie in such passages.
+
 Null texts are empty. Texts shorter than LENGTH keep all their bytes. Rows that repeat doc_id and text are
 texts that repeat each other. An empty table gives no rows.
 """
@@ -29,16 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tailrace.llm.bytewise import Run, mixed, runs, signed
+from tailrace.llm.bytewise import Run, WordRun, mixed, runs, signed, white_space
 from tailrace.llm.grouping import suffix_arrays
 from tailrace.plans.tables import Tables
 
 LENGTH = 400
 FLANK = 64
+PASSAGE = 50
+PASSAGE_FLANK = 24
 GRAM = 16
 UNIT = 24
 # Contexts that a task holds before it sends them out.
@@ -47,9 +56,17 @@ HELD = 1 << 19
 FILTER_BITS = 25
 SYMBOLS = 1 << 18  # of strings whose suffix arrays are built in one call
 
-PACKED = "slot int, core binary, context binary, many binary, row binary, doc_id binary, text_hash binary, low binary, high binary"
-SPAN = "doc_id long, text_hash long, low int, high int, core long"
-STRING = "slot int, core long, many boolean, doc_id long, text_hash long, low int, before binary, after binary"
+PACKED = (
+    "slot int, core binary, context binary, many binary, row binary, doc_id binary, text_hash binary, words binary, "
+    "low binary, high binary"
+)
+SPAN = "doc_id long, text_hash long, words boolean, low int, high int, core long"
+STRING = (
+    "slot int, core long, many boolean, doc_id long, text_hash long, words boolean, low int, before binary, after binary"
+)
+SPACE = white_space()
+# Windows of bytes and of words: (length, flank) of each.
+Sizes = tuple[tuple[int, int], tuple[int, int]]
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -65,9 +82,10 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 class Contexts:
     """The contexts of a run of texts: text, low (first window, from the text's begin), high (last
-    window), at (anchor), and the hashes core and context."""
+    window), at (anchor), and the hashes core and context. once: equal windows of a text count where they
+    are first."""
 
-    def __init__(self, run: Run, length: int, flank: int):
+    def __init__(self, run: Run, length: int, flank: int, once: bool = False):
         n = len(run.bytes)
         windows = n - length + 1
         self.length, self.flank = length, flank
@@ -83,15 +101,25 @@ class Contexts:
         sizes = np.diff(run.at)
         for text in np.flatnonzero(sizes >= length):
             inside[run.at[text] : run.at[text + 1] - length + 1] = True
+        if once:
+            inside[_later(run, np.flatnonzero(inside), length)] = False
         least[~inside] = 0
         padded = np.concatenate([np.zeros(flank, np.uint32), least, np.zeros(flank, np.uint32)])
         at = np.flatnonzero(_sliding(padded, flank + 1, np.maximum) == x)
-        low, high = np.empty_like(at), np.empty_like(at)
+        found = [(at[:0], at[:0], at[:0])]
         for first in range(0, len(at), 1 << 16):
             part = at[first : first + (1 << 16)]
             own = padded[part[:, None] + np.arange(flank + 1)] == x[part][:, None]
-            low[first : first + (1 << 16)] = part - flank + own.argmax(1)
-            high[first : first + (1 << 16)] = part - own[:, ::-1].argmax(1)
+            if once:  # an anchor's windows may have gaps, each stretch is a context
+                edged = np.zeros((len(part), flank + 3), bool)
+                edged[:, 1:-1] = own
+                who, low = np.nonzero(edged[:, 1:] & ~edged[:, :-1])
+                high = np.nonzero(edged[:, :-1] & ~edged[:, 1:])[1] - 1
+                part = part[who]
+                found.append((part, part - flank + low, part - flank + high))
+            else:
+                found.append((part, part - flank + own.argmax(1), part - own[:, ::-1].argmax(1)))
+        at, low, high = (np.concatenate(x) for x in zip(*found))
         self.text = np.searchsorted(run.at, at, "right") - 1
         begin = run.at[self.text]
         self.core = run.hashes(at, at + length - flank)
@@ -100,6 +128,26 @@ class Contexts:
         self.low, self.high, self.at = low - begin, high - begin, at - begin
 
 
+def _later(run: Run, windows: np.ndarray, length: int) -> np.ndarray:
+    """The windows that their text holds further left as well."""
+    text = np.searchsorted(run.at, windows, "right").astype(np.uint64)
+    key = mixed(run.hashes(windows, windows + length) + mixed(text))
+    ordered = np.sort(key)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return windows[:0]
+    spot = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
+    windows, key = (x[twice[spot] == key] for x in (windows, key))
+    return np.delete(windows, np.unique(key, return_index=True)[1])
+
+
+def _both(run: Run, sizes: Sizes) -> Iterator[tuple[bool, Run, Contexts]]:
+    """(words, run, contexts) of a run's bytes and of its words."""
+    yield False, run, Contexts(run, *sizes[False])
+    words = WordRun(run, SPACE)
+    yield True, words, Contexts(words, *sizes[True], once=True)
+
+
 def _merged(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
     """Joined spans (row, low, high) of windows that follow each other or overlap."""
     order = np.lexsort((low, row))
@@ -125,18 +173,19 @@ def _counted(core: np.ndarray, context: np.ndarray):
     return np.bincount(kind, minlength=1)[kind] if len(core) else kind, first
 
 
-def _packed(slots: int, length: int, flank: int):
-    """Contexts by slot of their core, once per task; spans of those that repeat inside it."""
+def _packed(slots: int, sizes: Sizes):
+    """Contexts by slot of their core, once per task; spans of those that repeat inside it. A text's row is
+    twice its number, and one more for its words."""
 
     def rows(held: list, docs: list) -> Iterator[pa.RecordBatch]:
         core, context, row, low, high = (np.concatenate(x) for x in zip(*held))
         doc_id, text_hash = (np.concatenate(x) for x in zip(*docs))
         number, first = _counted(core, context)
-        columns: list[list] = [[] for _ in range(9)]
+        columns: list[list] = [[] for _ in range(10)]
 
         def add(slot: int, *arrays) -> None:
             at, own = np.unique(arrays[3], return_inverse=True)
-            values = (*arrays[:3], own.astype(np.uint32), doc_id[at], text_hash[at], *arrays[4:])
+            values = (*arrays[:3], own.astype(np.uint32), doc_id[at >> 1], text_hash[at >> 1], at % 2 > 0, *arrays[4:])
             for column, value in zip(columns, (slot, *(v.tobytes() for v in values))):
                 column.append(value)
 
@@ -152,8 +201,8 @@ def _packed(slots: int, length: int, flank: int):
             own = pick[edges[s] : edges[s + 1]]
             if len(own):
                 add(s, core[own], context[own], twice[own], row[own], low[own].astype(np.int32), high[own].astype(np.int32))
-        kinds = [pa.int32(), *[pa.binary()] * 8]
-        names = ["slot", "core", "context", "many", "row", "doc_id", "text_hash", "low", "high"]
+        kinds = [pa.int32(), *[pa.binary()] * 9]
+        names = ["slot", "core", "context", "many", "row", "doc_id", "text_hash", "words", "low", "high"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +210,9 @@ def _packed(slots: int, length: int, flank: int):
         for batch in batches:
             docs.append(_keys(batch))
             for run in runs(batch["text"]):
-                c = Contexts(run, length, flank)
-                held.append((c.core, c.context, base + run.first + c.text, c.low, c.high))
-                size += len(c.core)
+                for words, _, c in _both(run, sizes):
+                    held.append((c.core, c.context, 2 * (base + run.first + c.text) + words, c.low, c.high))
+                    size += len(c.core)
             base += batch.num_rows
             if size >= HELD:
                 yield from rows(held, docs)
@@ -178,10 +227,10 @@ def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "text_hash"))
 
 
-def _spans(doc_id, text_hash, low, high, core=None) -> pa.Table:
+def _spans(doc_id, text_hash, words, low, high, core=None) -> pa.Table:
     core = pa.nulls(len(low), pa.int64()) if core is None else core
-    columns = [doc_id, text_hash, low.astype(np.int32), high.astype(np.int32)]
-    return pa.table([*map(pa.array, columns), core], names=["doc_id", "text_hash", "low", "high", "core"])
+    columns = [doc_id, text_hash, words, low.astype(np.int32), high.astype(np.int32)]
+    return pa.table([*map(pa.array, columns), core], names=["doc_id", "text_hash", "words", "low", "high", "core"])
 
 
 def _from_hashes(packed: pa.Table) -> pa.Table:
@@ -190,12 +239,12 @@ def _from_hashes(packed: pa.Table) -> pa.Table:
     def column(name: str, kind) -> list[np.ndarray]:
         return [np.frombuffer(x, kind) for x in packed[name].to_pylist()]
 
-    docs, hashes = column("doc_id", np.int64), column("text_hash", np.int64)
+    docs, hashes, words = column("doc_id", np.int64), column("text_hash", np.int64), column("words", bool)
     base = np.cumsum([0, *(len(d) for d in docs)])
     row = [r.astype(np.int64) + b for r, b in zip(column("row", np.uint32), base)]
     core, context, many = column("core", np.uint64), column("context", np.uint64), column("many", bool)
     low, high = column("low", np.int32), column("high", np.int32)
-    docs, hashes = np.concatenate(docs), np.concatenate(hashes)
+    docs, hashes, words = (np.concatenate(x) for x in (docs, hashes, words))
     known = [len(c) == 0 for c in core]  # spans that a task has found itself
     parts = [(r, a, b) for r, a, b, k in zip(row, low, high, known) if k]
     fresh = [x for x in zip(row, core, context, many, low, high) if len(x[1])]
@@ -211,28 +260,34 @@ def _from_hashes(packed: pa.Table) -> pa.Table:
         alone = np.add.reduceat(((number == 1) & ~many)[order].astype(int), start)
         needed = core[order][start][(kinds > 1) & (alone > 0)]
     row, low, high = (np.concatenate(x) for x in zip(*parts))
-    found = _spans(docs[row], hashes[row], low, high)
+    found = _spans(docs[row], hashes[row], words[row], low, high)
     none = [pa.nulls(len(needed), kind) for kind in found.schema.types[:-1]]
     return pa.concat_tables([found, pa.table([*none, pa.array(signed(needed))], names=found.column_names)])
 
 
-def _with_bytes(marks: np.ndarray, bits: int, slots: int, length: int, flank: int):
-    """The contexts of marked cores with the bytes left and right of the core; equal ones once per task."""
-    names = ["slot", "core", "many", "doc_id", "text_hash", "low", "before", "after"]
+def _with_bytes(marks: np.ndarray, bits: int, slots: int, sizes: Sizes):
+    """The contexts of marked cores with the bytes left and right of the core, or for words with the hashes of
+    their windows; equal ones once per task."""
+    names = ["slot", "core", "many", "doc_id", "text_hash", "words", "low", "before", "after"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_id, text_hash = _keys(batch)
-            for run in runs(batch["text"]):
-                c = Contexts(run, length, flank)
+            for words, run, c in (x for whole in runs(batch["text"]) for x in _both(whole, sizes)):
+                length, flank = sizes[words]
                 slot = c.core >> np.uint64(64 - bits)
                 wanted = (marks[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 pick = np.flatnonzero(wanted)
                 number, first = _counted(c.core[pick], c.context[pick])
                 pick, many = pick[first], number[first] > 1
-                data = run.bytes.tobytes()
                 begin = run.at[c.text[pick]]
                 a, b, e = begin + c.low[pick], begin + c.at[pick], begin + c.high[pick] + length
+                if words:
+                    before, after = _window_hashes(run, a, b, e, length), [b""] * len(pick)
+                else:
+                    data = run.bytes.tobytes()
+                    before = [data[x:y] for x, y in zip(a, b)]
+                    after = [data[y + length - flank : z] for y, z in zip(b, e)]
                 row = run.first + c.text[pick]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -241,9 +296,10 @@ def _with_bytes(marks: np.ndarray, bits: int, slots: int, length: int, flank: in
                         pa.array(many),
                         pa.array(doc_id[row]),
                         pa.array(text_hash[row]),
+                        pa.array(np.full(len(pick), words)),
                         pa.array(c.low[pick].astype(np.int32)),
-                        pa.array([data[x:y] for x, y in zip(a, b)], pa.binary()),
-                        pa.array([data[y + length - flank : z] for y, z in zip(b, e)], pa.binary()),
+                        pa.array(before, pa.binary()),
+                        pa.array(after, pa.binary()),
                     ],
                     names,
                 )
@@ -251,6 +307,17 @@ def _with_bytes(marks: np.ndarray, bits: int, slots: int, length: int, flank: in
     return send
 
 
+def _window_hashes(run: Run, low: np.ndarray, anchor: np.ndarray, end: np.ndarray, length: int) -> list[bytes]:
+    """For each context from low to end the hashes of its windows and of the way from each to the anchor, end to
+    end; so a window with several anchors is not taken for two."""
+    count = end - low - length + 1
+    edge = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(edge[-1]) + np.repeat(low - edge[:-1], count)
+    way = (np.repeat(anchor, count) - at).astype(np.uint64)
+    data = mixed(run.hashes(at, at + length) ^ mixed(way + np.uint64(1))).tobytes()
+    return [data[x:y] for x, y in zip(8 * edge[:-1], 8 * edge[1:])]
+
+
 def _squeezed(core, before, n_before, after, n_after, alone):
     """Equal strings of a core as one: which of them stands for each, and for which all windows repeat."""
     weigh = mixed(np.arange(1, 2 + before.shape[1] + after.shape[1], dtype=np.uint64)) | np.uint64(1)
@@ -402,28 +469,47 @@ def _matrix(column: pa.ChunkedArray, flank: int, right: bool) -> tuple[np.ndarra
 def _from_bytes(flank: int):
     def find(strings: pa.Table) -> pa.Table:
         """Spans of the windows of a slot's contexts that repeat."""
+        words = strings["words"].combine_chunks()
+        return pa.concat_tables([by_suffixes(strings.filter(pc.invert(words))), _by_hashes(strings.filter(words))])
+
+    def by_suffixes(strings: pa.Table) -> pa.Table:
         before, n_before = _matrix(strings["before"], flank, True)
         after, n_after = _matrix(strings["after"], flank, False)
         core = strings["core"].to_numpy().view(np.uint64)
-        alone = ~strings["many"].to_numpy()
+        alone = ~strings["many"].to_numpy().astype(bool)
         who, window = repeated_windows(core, before, n_before, after, n_after, alone, flank)
         # A context's windows start at its low; its first one has all of `before` left of the core.
         low = strings["low"].to_numpy().astype(np.int64)[who] + n_before[who] - window
-        row, a, b = _merged(who, low, low)
-        doc_id, text_hash = (strings[c].to_numpy() for c in ("doc_id", "text_hash"))
-        return _spans(doc_id[row], text_hash[row], a, b)
+        return _found(strings, *_merged(who, low, low))
 
     return find
 
 
-def repeated_spans(documents: DataFrame, tables: Tables, length: int = LENGTH, flank: int = FLANK) -> DataFrame:
-    """(doc_id, text_hash, low, high): ranges of begins of windows that occur twice."""
+def _by_hashes(strings: pa.Table) -> pa.Table:
+    """The same for words, whose contexts come with the hashes of their windows."""
+    sent = strings["before"].to_pylist()
+    window = np.frombuffer(b"".join(sent), np.uint64)
+    count = np.array([len(x) // 8 for x in sent], np.int64)
+    who = np.repeat(np.arange(len(count)), count)
+    low = strings["low"].to_numpy().astype(np.int64)[who] + np.arange(len(who)) - (np.cumsum(count) - count)[who]
+    _, kind, number = np.unique(window, return_inverse=True, return_counts=True)
+    hit = (number[kind] > 1) | strings["many"].to_numpy().astype(bool)[who]
+    return _found(strings, *_merged(who[hit], low[hit], low[hit]))
+
+
+def _found(strings: pa.Table, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
+    return _spans(*(strings[c].to_numpy()[row] for c in ("doc_id", "text_hash", "words")), low, high)
+
+
+def repeated_spans(documents: DataFrame, tables: Tables, sizes: Sizes) -> DataFrame:
+    """(doc_id, text_hash, words, low, high): ranges of begins of windows that occur twice, counted in bytes or
+    words."""
     spark = documents.sparkSession
     slots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = documents.select(
         F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("text_hash"), "text"
     )
-    packed = keyed.mapInArrow(_packed(slots, length, flank), PACKED)
+    packed = keyed.mapInArrow(_packed(slots, sizes), PACKED)
     spans = tables.write(packed.groupBy("slot").applyInArrow(_from_hashes, SPAN), "spans")
     cores = spans.where("low is null")
     bits = min(FILTER_BITS, max(16, cores.count().bit_length() + 4))
@@ -431,20 +517,28 @@ def repeated_spans(documents: DataFrame, tables: Tables, length: int = LENGTH, f
     slot = slot.toPandas()["slot"].to_numpy(np.int64)  # at most 2 ** FILTER_BITS numbers
     marks = np.zeros(1 << (bits - 3), np.uint8)
     np.bitwise_or.at(marks, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    sent = keyed.mapInArrow(_with_bytes(marks, bits, slots, length, flank), STRING)
+    sent = keyed.mapInArrow(_with_bytes(marks, bits, slots, sizes), STRING)
     # Cores sent because they share a mark with a needed one fall out here, or stay without effect.
-    exact = tables.write(sent.groupBy("slot").applyInArrow(_from_bytes(flank), SPAN), "exact")
+    exact = tables.write(sent.groupBy("slot").applyInArrow(_from_bytes(sizes[False][1]), SPAN), "exact")
     return spans.where("low is not null").union(exact).drop("core")
 
 
-def cut_repeats(documents: DataFrame, length: int = LENGTH, flank: int = FLANK) -> DataFrame:
-    """documents with kept (the remaining bytes), n_bytes, n_removed and n_spans; columns of these names
-    are replaced."""
-    added = ["kept", "n_bytes", "n_removed", "n_spans"]
+def cut_repeats(
+    documents: DataFrame,
+    length: int = LENGTH,
+    flank: int = FLANK,
+    passage: int = PASSAGE,
+    passage_flank: int = PASSAGE_FLANK,
+) -> DataFrame:
+    """documents with kept (the remaining bytes), n_bytes, n_removed, n_spans and n_shared_words (words in
+    passages that another row has as well, a text's equal passages counted once); columns of these names are
+    replaced."""
+    added = ["kept", "n_bytes", "n_removed", "n_spans", "n_shared_words"]
+    sizes = ((length, flank), (passage, passage_flank))
     names = [c for c in documents.columns if c.lower() not in [*added, "__spans"]]
     tables = Tables(documents.sparkSession)
-    spans = repeated_spans(documents, tables, length, flank).groupBy("doc_id", "text_hash")
-    spans = spans.agg(F.collect_list(F.struct("low", "high")).alias("__spans"))
+    spans = repeated_spans(documents, tables, sizes).groupBy("doc_id", "text_hash")
+    spans = spans.agg(F.collect_list(F.struct("low", "high", "words")).alias("__spans"))
     spans = spans.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     match = (F.coalesce(documents["doc_id"], F.lit(0)) == spans["__id"]) & (
         F.xxhash64(documents["doc_id"], documents["text"]) == spans["__hash"]
@@ -453,7 +547,7 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, flank: int = FLANK)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, counts = [], np.zeros((3, batch.num_rows), np.int64)
+            kept, counts = [], np.zeros((4, batch.num_rows), np.int64)
             lists = batch["__spans"]
             for run in runs(batch["text"]):
                 for i in range(run.texts):
@@ -463,7 +557,11 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, flank: int = FLANK)
                     own = lists[row]
                     if own.is_valid:
                         low, high = (own.values.field(j).to_numpy().astype(np.int64) for j in (0, 1))
-                        _, low, high = _merged(np.zeros(len(low), np.int64), low, high + length - 1)
+                        words = own.values.field(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                        kind, low, high = _merged(words, low, high + np.where(words, passage, length) - 1)
+                        shared = kind > 0
+                        counts[3, row] = (high - low + 1)[shared].sum()
+                        low, high = low[~shared], high[~shared]
                         counts[1, row] = (high - low + 1).sum()
                         counts[2, row] = len(low)
                         gone = np.zeros(len(whole) + 1, np.int32)

@@ -600,6 +600,62 @@ def test_passages_go_from_400_bytes_on(spark, tmp_path, size):
         assert (found[i].n_bytes, found[i].n_removed, found[i].n_spans, found[i].kept_sha256) == want
 
 
+def shared_words(texts, passage):
+    """For each text the words in passages that another one has; a text's equal passages count where they are first."""
+    first = []
+    for text in texts:
+        words, own = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()), {}
+        for i in range(len(words) - passage + 1):
+            own.setdefault(tuple(words[i : i + passage]), i)
+        first.append(own)
+    holders = collections.Counter(p for own in first for p in own)
+    return [len({i + k for p, i in own.items() if holders[p] > 1 for k in range(passage)}) for own in first]
+
+
+@pytest.mark.parametrize("passage, flank, unit, kinds", [(6, 2, 3, 2), (12, 5, 24, 3), (12, 8, 2, 2), (9, 6, 3, 40)])
+def test_shared_passages_of_words(spark, monkeypatch, passage, flank, unit, kinds):
+    monkeypatch.setattr(substrings, "UNIT", unit)
+    rnd = random.Random(passage + unit + kinds)
+    names = [rnd.choice(["a", "bb", "é", "word", "Word"]) + str(i) for i in range(kinds)]
+    base = [[rnd.choice(names) for _ in range(rnd.randrange(80))] for _ in range(6)]
+    texts = [None, "", " \t ", "x " * 40, "y " * 30, "y\n" * 25]
+    for i in range(60):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.randrange(4)):
+            words.insert(rnd.randrange(len(words) + 1), rnd.choice([*names, f"own{i}"]))
+        if i % 3 == 0:
+            words = words[rnd.randrange(20) :] + rnd.choice(base)[:20] + words
+        texts.append("".join(w + rnd.choice([" ", "  ", "\n", "\t"]) for w in words))
+    texts.append(texts[-1])
+    rows = [*enumerate(texts), (len(texts), texts[9]), (len(texts), texts[9]), (None, texts[8])]
+    frame = documents(spark, rows).withColumnRenamed("lang", "n_shared_words")
+    found = substrings.cut_repeats(frame, passage=passage, passage_flank=flank).collect()
+    want = shared_words([text for _, text in rows], passage)
+    assert sum(map(bool, want)) > 10 and min(want) == 0
+    assert sorted((str(r.doc_id), r.n_shared_words) for r in found) == sorted((str(k), n) for (k, _), n in zip(rows, want))
+
+
+@pytest.mark.parametrize("size", [49, 51, 55, 80])
+def test_passages_of_words_across_documents(spark, tmp_path, size):
+    """Passages of more than 50 words are seen in texts that share them, be they shorter than 400 bytes, and not
+    in one that holds its own twice; what is removed stays as the contract has it."""
+    rnd = random.Random(size)
+
+    def words(n, letters):
+        return ["".join(rnd.choices(letters, k=4)) for _ in range(n)]
+
+    passage, own = words(size, "abcdefghij"), words(size, "klmnopqrst")
+    sides = [" ".join(words(60, "abcdefghij")) for _ in range(4)]
+    texts = [f"{sides[0]} {' '.join(passage)} {sides[1]}", f"{sides[2]}\n{'  '.join(passage)}\n{sides[3]}"]
+    texts += [" ".join([*own, sides[0][:50], *own]), " ".join(words(200, "uvwxyz"))]
+    documents(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in QUERIES["op10_suffix_arrays"](spark, str(tmp_path)).collect()}
+    shared = size * (size >= 50)
+    assert [found[i].n_shared_words for i in range(4)] == [shared, shared, 0, 0]
+    rows = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.values())
+    assert rows == cut(list(enumerate(texts)), 400)
+
+
 def test_repeated_substrings_of_nothing(spark):
     assert substrings.cut_repeats(documents(spark, [])).count() == 0
 
