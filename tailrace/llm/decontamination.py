@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailrace.llm.bytewise import Run, mixed, no_letter_or_digit, runs
+from tailrace.llm.workers import giving_back
 
 EDITS = 0.2
 RECALL = 0.98
@@ -293,6 +294,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, share: float = EDITS, re
     for items in blocks(benchmark):
         index = spark.sparkContext.broadcast(classes(items, share, recall))
 
+        @giving_back
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             names = ["item_id", "edits", "item_words", "first_word", "n_words"]
             for batch in batches:
@@ -313,6 +315,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, share: float = EDI
     for items in blocks(benchmark):
         index = spark.sparkContext.broadcast(classes(items, share, recall))
 
+        @giving_back
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)

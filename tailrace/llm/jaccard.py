@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from tailrace.llm.bytewise import distinct, mixed, runs, shingles, signed, white_space
 from tailrace.llm.components import components
+from tailrace.llm.workers import give_back, giving_back
 from tailrace.plans.tables import Tables
 
 SHINGLE = 5
@@ -91,6 +92,7 @@ def _differing(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+@giving_back
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch["n"].to_numpy() + batch["m"].to_numpy()
@@ -101,6 +103,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield kept.select(["a", "b", "first_a", "first_b"])
 
 
+@giving_back
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a document's set; 1: a shingle of several of the task's sets; 2: of sets of n shingles, the
     number and (as shingle) how many other sets stand in their lists."""
@@ -229,7 +232,7 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray, heavy: int, slots: int):
         if total:
             yield from send(held, sets)
 
-    return prefixes
+    return giving_back(prefixes)
 
 
 def _meetings(packed: pa.Table) -> pa.Table:
@@ -256,6 +259,12 @@ def _meetings(packed: pa.Table) -> pa.Table:
     return pa.table(list(map(pa.array, columns)), names=["entry", "pair", "set_id", "n", "place"])
 
 
+def _slot_meetings(packed: pa.Table) -> pa.Table:
+    met = _meetings(packed)
+    give_back()
+    return met
+
+
 def _room(a: str, b: str, heavy: int) -> str:
     """SQL: sets a and b can be linked, and this is a list in which they have to meet."""
     return (
@@ -285,9 +294,10 @@ def _needed_sets(marks: np.ndarray, bits: int):
                 columns = [pa.array(signed(ids[rows])), pa.array(n[rows].astype(np.int32)), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["set_id", "n", "shingles"])
 
-    return send
+    return giving_back(send)
 
 
+@giving_back
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
@@ -365,7 +375,7 @@ def join_sets(documents: DataFrame, tables: Tables) -> tuple[DataFrame, DataFram
     whole = counted.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     slots = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), whole // SLOT_SHINGLES)
     packed = texts.select("text").mapInArrow(_prefixes(frequent, counts, heavy, slots), PACKED)
-    meetings = tables.write(packed.groupBy("slot").applyInArrow(_meetings, MEETING), "meetings")
+    meetings = tables.write(packed.groupBy("slot").applyInArrow(_slot_meetings, MEETING), "meetings")
     # Each set meets the one with most room in its list.
     most = meetings.groupBy("entry", "pair").agg(
         F.min_by(F.struct("set_id", "n", "place"), F.struct("place", "set_id")).alias("l")

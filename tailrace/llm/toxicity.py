@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tailrace.llm.bytewise import distinct, no_letter_or_digit, runs
+from tailrace.llm.workers import giving_back
 
 # Most labelled documents that the fit reads; the ones with the smallest hash of their id.
 TRAINING_ROWS = 8_000
@@ -49,6 +50,7 @@ def _word_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield run.first, run.texts, *distinct(text, run.hashes(begin, end, fold=True), run.texts)
 
 
+@giving_back
 def _training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = []
@@ -189,6 +191,7 @@ def score(documents: DataFrame, model: SeverityModel) -> DataFrame:
     words, weights, thresholds = model.words, model.weights, model.thresholds
     names = [c for c in documents.columns if c.lower() not in ADDED]
 
+    @giving_back
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.zeros(batch.num_rows)
