@@ -9,7 +9,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -77,12 +77,10 @@ def _remove_at_exit(files: tuple, path: str) -> None:
 
 
 @contextmanager
-def footers(spark: SparkSession) -> Iterator[None]:
-    """Within, counts and extremes of parquet tables that are read here are answered from the footers of their
-    files, where nothing but partitions is filtered and columns are numbers or dates; plan and read inside."""
-    settings = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Within, the session has these settings; plan and read inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
         spark.conf.set(key, value)
     try:
         yield
@@ -91,6 +89,12 @@ def footers(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def footers(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within, counts and extremes of parquet tables that are read here are answered from the footers of their
+    files, where nothing but partitions is filtered and columns are numbers or dates; plan and read inside."""
+    return settings(spark, {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"})
+
+
 def aggregated(spark: SparkSession, path: str, *columns: Column) -> Row:
     """Aggregates of a parquet table as one row, from footers where they hold them."""
     with footers(spark):

@@ -332,6 +332,56 @@ def test_metric_join(spark):
     assert metric.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_metric_join_writes_no_copies(spark, monkeypatch):
+    """Vectors that pivots cannot part are not copied for the cells that they might meet."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(1_200, 24))
+    vectors[600:900] = vectors[:300] + rng.normal(size=(300, 24)) * 0.1
+    vectors = vectors.astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    written = {}
+
+    class Counted(Tables):
+        def write(self, df, name):
+            table = super().write(df, name)
+            written[name] = max(written.get(name, 0), table.count())
+            return table
+
+    monkeypatch.setattr(metric, "Tables", Counted)
+    found = {r.vec_id: r for r in metric.near_duplicates(frame.repartition(2), block=50).collect()}
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    assert [found[i].n_links for i in range(1_200)] == (linked.sum(1) - 1).tolist()
+    assert found[0].component_id == found[600].component_id == 0
+    assert max(written.values()) < 3 * len(vectors)
+
+
+@pytest.mark.parametrize("dims, kind", [(24, np.float32), (64, np.float64), (5, np.float64)])
+def test_cosines_by_blocks(dims, kind):
+    """Pairs found along leading axes, whole or at the very limit are those of double precision."""
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(400, dims)).astype(kind)
+    x[200:300] = x[:100] + rng.normal(size=(100, dims)) * 0.05
+    x[300:] = x[0] + rng.normal(size=(100, dims)) * 0.01
+    x = metric._unit(x)
+    axes = metric._axes(x[:200], 0.9)
+    assert (axes is not None) == (dims > 5)
+    cosines = (x[:, None] * x).sum(2)
+    for limit in (0.9, float(cosines[0, 200]), float(cosines[3, 7])):
+        for own in (None, axes):
+            found = [np.stack(part, 1) for part in metric._hits(x, x, own, limit)]
+            assert set(map(tuple, np.concatenate(found).tolist())) == set(zip(*(i.tolist() for i in np.nonzero(cosines >= limit))))
+
+
+def test_equal_vectors_of_any_key(spark):
+    """Keys of text, null and repeated keys; zeros of either sign are equal, and equal vectors count as one that weighs."""
+    rows = [("b", [1.0, 0.0]), ("a", [1.0, -0.0]), (None, [1.0, 0.0]), (None, [0.0, 1.0]), ("c", [0.0, -1.0]), ("c", [-0.0, -2.0])]
+    frame = spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(4)
+    found = sorted(map(str, map(tuple, metric.near_duplicates(frame).collect())))
+    want = [("b", 2, "a", False), ("a", 2, "a", True), (None, 2, "a", False), (None, 0, None, False), *[("c", 1, "c", True)] * 2]
+    assert found == sorted(map(str, want))
+
+
 # 7 ------------------------------------------------------------------------------------------
 
 RECORD = "record_id long, url string, captured long, kind string, etag string, last_modified string, headers map<string,string>, digest string"
