@@ -42,6 +42,7 @@ from pyspark.sql.types import StructType
 
 from tailrace.llm.bytewise import Run, WordRun, mixed, runs, signed, white_space
 from tailrace.llm.grouping import suffix_arrays
+from tailrace.llm.workers import giving_back
 from tailrace.plans.tables import Tables
 
 LENGTH = 400
@@ -54,6 +55,7 @@ UNIT = 24
 HELD = 1 << 19
 # At most so many bits mark the cores whose contexts are sent out with bytes.
 FILTER_BITS = 25
+PIECE = 15  # Spark's bitmaps have 2 ** 15 bits
 SYMBOLS = 1 << 18  # of strings whose suffix arrays are built in one call
 
 PACKED = (
@@ -501,6 +503,17 @@ def _found(strings: pa.Table, row: np.ndarray, low: np.ndarray, high: np.ndarray
     return _spans(*(strings[c].to_numpy()[row] for c in ("doc_id", "text_hash", "words")), low, high)
 
 
+def _marked(cores: DataFrame, bits: int) -> np.ndarray:
+    """Bits marked for the first bits of all cores. Executors set them, in pieces of PIECE, so the driver gets
+    2 ** bits bits at most and no cores."""
+    slot = cores.select(F.shiftrightunsigned("core", 64 - bits).alias("slot"))
+    piece = slot.groupBy(F.shiftrightunsigned("slot", PIECE).cast("int").alias("piece"))
+    marks = np.zeros((1 << (bits - PIECE), 1 << (PIECE - 3)), np.uint8)
+    for row in piece.agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND((1 << PIECE) - 1)).alias("marks")).collect():
+        marks[row.piece] = np.frombuffer(row.marks, np.uint8)
+    return marks.ravel()
+
+
 def repeated_spans(documents: DataFrame, tables: Tables, sizes: Sizes) -> DataFrame:
     """(doc_id, text_hash, words, low, high): ranges of begins of windows that occur twice, counted in bytes or
     words."""
@@ -509,15 +522,12 @@ def repeated_spans(documents: DataFrame, tables: Tables, sizes: Sizes) -> DataFr
     keyed = documents.select(
         F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("text_hash"), "text"
     )
-    packed = keyed.mapInArrow(_packed(slots, sizes), PACKED)
+    packed = keyed.mapInArrow(giving_back(_packed(slots, sizes)), PACKED)
     spans = tables.write(packed.groupBy("slot").applyInArrow(_from_hashes, SPAN), "spans")
     cores = spans.where("low is null")
     bits = min(FILTER_BITS, max(16, cores.count().bit_length() + 4))
-    slot = cores.select(F.shiftrightunsigned("core", 64 - bits).cast("int").alias("slot")).distinct()
-    slot = slot.toPandas()["slot"].to_numpy(np.int64)  # at most 2 ** FILTER_BITS numbers
-    marks = np.zeros(1 << (bits - 3), np.uint8)
-    np.bitwise_or.at(marks, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    sent = keyed.mapInArrow(_with_bytes(marks, bits, slots, sizes), STRING)
+    marks = _marked(cores, bits)
+    sent = keyed.mapInArrow(giving_back(_with_bytes(marks, bits, slots, sizes)), STRING)
     # Cores sent because they share a mark with a needed one fall out here, or stay without effect.
     exact = tables.write(sent.groupBy("slot").applyInArrow(_from_bytes(sizes[False][1]), SPAN), "exact")
     return spans.where("low is not null").union(exact).drop("core")
@@ -575,4 +585,4 @@ def cut_repeats(
     schema = StructType([f for f in rows.schema.fields if f.name in names]).add("kept", "binary")
     for name in added[1:]:
         schema = schema.add(name, "long")
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(giving_back(cut), schema)

@@ -629,6 +629,51 @@ def test_repeated_substrings(spark, monkeypatch, length, flank, unit, letters):
     assert got == cut(rows, length)
 
 
+def test_driver_gets_bits_of_cores(spark, monkeypatch):
+    """However many cores are sent out with bytes, the driver gets no row for each."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(120):
+        text = [rnd.choice("abcdefgh") for _ in range(400)]
+        rows.append((2 * i, "".join(text)))
+        for at in range(20, 400, 40):
+            text[at] = "x"
+        rows.append((2 * i + 1, "".join(text)))
+    held, kind, marked = [], type(spark.range(0)), substrings._with_bytes
+
+    def with_bytes(marks, bits, *more):
+        held.append(int(np.unpackbits(marks).sum()))
+        return marked(marks, bits, *more)
+
+    def counted(name, own):
+        def run(frame):
+            back = own(frame)
+            held.append((name, len(back)))
+            return back
+
+        return run
+
+    monkeypatch.setattr(substrings, "_with_bytes", with_bytes)
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(kind, name, counted(name, getattr(kind, name)))
+    frame = substrings.cut_repeats(documents(spark, rows), 30, 8)
+    monkeypatch.undo()
+    found = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in frame.collect()), key=repr)
+    assert found == cut(rows, 30)
+    assert max(x for x in held if isinstance(x, int)) > 200
+    assert all(x[1] <= 2 for x in held if isinstance(x, tuple))
+
+
+@pytest.mark.parametrize("bits", [16, 20])
+def test_marks_of_cores(spark, bits):
+    rng = np.random.default_rng(bits)
+    cores = np.concatenate([rng.integers(-(2**63), 2**63, 500, np.int64), [0, -1, -1, 2**63 - 1, -(2**63)]])
+    marks = substrings._marked(spark.createDataFrame([(int(x),) for x in cores], "core long"), bits)
+    slots = np.unique(cores.view(np.uint64) >> np.uint64(64 - bits))
+    assert np.flatnonzero(np.unpackbits(marks, bitorder="little")).tolist() == slots.tolist()
+    assert not substrings._marked(spark.createDataFrame([], "core long"), bits).any()
+
+
 @pytest.mark.parametrize("size", [323, 399, 400, 401, 600])
 def test_passages_go_from_400_bytes_on(spark, tmp_path, size):
     """Passages of more than 50 words that two texts share: the contract counts bytes, so shorter ones stay."""
