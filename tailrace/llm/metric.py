@@ -48,8 +48,8 @@ SLACK = 1e-7  # for rounding of distances; the cosine itself decides about links
 ROWS, COLUMNS = 256, 4_096  # of cosines that are held at once
 # A task compares two partitions of blocks: at least so many of them, if there are as many, and of about so many bytes.
 PARTITIONS, PARTITION_BYTES = 64, 1 << 26
-# Pairs of blocks that a task gets at once.
-PAIRS = 4
+# Blocks that a task reads, and pairs of them that it gets, at once.
+PAIRS = 2
 FOUND = "a long, b long, n long"
 PLACES = 32  # bits of an id that number the vectors of a block
 
@@ -370,7 +370,8 @@ def links(rows: DataFrame, tables: Tables, cosine: float = COSINE, block: int =
     once = (F.col("a") == F.col("b")) | ((F.col("a") < F.col("b")) == ((F.col("a") + F.col("b")) % 2 == 1))
     right = right.withColumnRenamed("dims", "dims_b").hint("shuffle_replicate_nl")
     pairs = left.join(right, once & (F.col("dims") == F.col("dims_b"))).drop("dims_b")
-    with settings(rows.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(PAIRS)}):
+    few = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(PAIRS), "spark.sql.parquet.columnarReaderBatchSize": str(PAIRS)}
+    with settings(rows.sparkSession, few):
         found = tables.write(pairs.mapInArrow(giving_back(_joined(kind, pivots, axes, cosine, r)), FOUND), "found")
     nodes = blocks.select("number", F.posexplode(F.arrays_zip("digest", "first", "weight")).alias("place", "own"))
     nodes = nodes.select((F.shiftleft("number", PLACES) + F.col("place")).alias("id"), "own.*")
